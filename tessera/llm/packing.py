@@ -74,7 +74,7 @@ class WordIds(dict):
         self.marked: list[tuple[int, int, int]] = []
 
     def __missing__(self, word: str) -> int:
-        if word[-1:] in self.marks and word[-2:-1].isalpha() and len(self.marks[word[-1]]) == 1:
+        if word[-1:] in self.marks and word[-2:-1] <= "\xff" and word[-2:-1].isalpha() and len(self.marks[word[-1]]) == 1:
             base = self[word[:-1]]
             self.marked.append((len(self), base, self.marks[word[-1]][0]))
         else:
