@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing, simhash
+from tessera.llm import packing, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_packing": packing.op8_packing, "op10_simhash": simhash.op10_simhash}
+    return {"op8_packing": packing.op8_packing, "op9_sharding": sharding.op9_sharding, "op10_simhash": simhash.op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
