@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing, quality_rules, sharding, simhash
+from tessera.llm import packing, quality_mil, quality_rules, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": quality_rules.op1_quality_rules, "op8_packing": packing.op8_packing, "op9_sharding": sharding.op9_sharding, "op10_simhash": simhash.op10_simhash}
+    return {"op1_quality_rules": quality_rules.op1_quality_rules, "op2_quality_mil": quality_mil.op2_quality_mil, "op8_packing": packing.op8_packing, "op9_sharding": sharding.op9_sharding, "op10_simhash": simhash.op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
