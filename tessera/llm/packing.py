@@ -13,6 +13,8 @@ their names. An empty table gives no rows."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,8 @@ from tessera.llm.common import bounded, table
 
 MAX_LEN = 2048
 END_ID = 1
-#: Words that a Python worker remembers the ids of before it starts anew.
-CACHE_WORDS = 1_000_000
+#: Words that a Python worker remembers the ids of; the rarer half then goes.
+CACHE_WORDS = 500_000
 
 
 def _parts(text: str | None) -> list[str]:
@@ -61,6 +63,9 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        tokens = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(tokens.values()) + 1, bool)
+        self.last[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
         self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,"}
         self.end_id, self.most = end_id, most
         self.reset()
@@ -69,7 +74,7 @@ class WordIds(dict):
         self.clear()
         self[None] = 0
         self.flat = np.array([self.end_id], np.uint32)
-        self.start, self.length = np.array([0]), np.array([1])
+        self.start, self.length, self.hits = np.array([0]), np.array([1]), np.array([0])
         self.plain: list[tuple[int, str]] = []
         self.marked: list[tuple[int, int, int]] = []
 
@@ -82,13 +87,39 @@ class WordIds(dict):
         self[word] = n = len(self)
         return n
 
+    def _encode(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word. Words of plain letters go together as one text: the
+        vocabulary marks the last token of each, which tells them apart again."""
+        encode = lambda texts: [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        letters = [w.isalpha() and max(w) <= "\xff" for w in words]
+        joined = [w for w, ok in zip(words, letters, strict=True) if ok]
+        ids = [i for x in encode([" ".join(joined[k : k + 1000]) for k in range(0, len(joined), 1000)]) for i in x]
+        ends = (np.flatnonzero(self.last[np.array(ids, np.int64)]) + 1).tolist()
+        if len(ends) != len(joined):
+            return encode(words)
+        cut = iter([ids[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+        other = iter(encode([w for w, ok in zip(words, letters, strict=True) if not ok]))
+        return [next(cut if ok else other) for ok in letters]
+
+    def _shrink(self) -> None:
+        """Keep the half of the words that were met most often."""
+        keep = np.argsort(-self.hits, kind="stable")[: self.most // 2]
+        keep = np.concatenate([[0], np.sort(keep[keep != 0])])
+        words = list(self)
+        self.flat = self.flat[_spread(self.start[keep], self.length[keep])]
+        self.length, self.hits = self.length[keep], self.hits[keep] // 2
+        self.start = np.cumsum(self.length) - self.length
+        self.clear()
+        self.update((words[k], i) for i, k in enumerate(keep.tolist()))
+
     def _learn(self) -> None:
         """Fill in the ids of the words met since the last call."""
         known = len(self.start)
         if len(self) == known:
             return
-        self.length = np.concatenate([self.length, np.zeros(len(self) - known, np.int64)])
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w for _, w in self.plain], add_special_tokens=False)]
+        fresh = np.zeros(len(self) - known, np.int64)
+        self.length, self.hits = np.concatenate([self.length, fresh]), np.concatenate([self.hits, fresh])
+        found = self._encode([w for _, w in self.plain])
         at = np.array([n for n, _ in self.plain], np.int64)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         self.length[at] = lengths
@@ -106,10 +137,11 @@ class WordIds(dict):
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by the end id, and the count for each text."""
         if len(self) > self.most:
-            self.reset()
+            self._shrink()
         parts = [_parts(t) + [None] for t in texts]
-        at = np.fromiter((i for p in parts for i in map(self.__getitem__, p)), np.int64, sum(map(len, parts)))
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
         self._learn()
+        self.hits += np.bincount(at, minlength=len(self.hits))
         lengths = self.length[at]
         ends = np.cumsum(lengths)
         ids = self.flat[_spread(self.start[at], lengths)]
@@ -117,6 +149,12 @@ class WordIds(dict):
         return ids, np.diff(ends[last], prepend=0)
 
 
+@lru_cache(1)
+def _worker_words(path: str, end_id: int) -> WordIds:
+    """One memory for all the tasks of a Python worker."""
+    return WordIds(path, end_id)
+
+
 def binary_pieces(total: int, max_len: int = MAX_LEN) -> list[int]:
     """Lengths of the pieces of ``total`` ids; ``max_len`` is a power of two."""
     full, rest = divmod(total, max_len)
@@ -129,7 +167,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     No shuffle: each task packs what it reads, in slices of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(vocabulary, end_id)
+        words = _worker_words(vocabulary, end_id)
         for batch in bounded(batches, "text"):
             ids, counts = words.encode(batch.column("text").to_pylist())
             pieces = [binary_pieces(int(n), max_len) for n in counts]
