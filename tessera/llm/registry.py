@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import flac, packing, quality_mil, quality_rules, sharding, simhash
+from tessera.llm import flac, packing, quality_mil, quality_rules, sharding, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": quality_rules.op1_quality_rules, "op2_quality_mil": quality_mil.op2_quality_mil, "op3_flac": flac.op3_flac, "op8_packing": packing.op8_packing, "op9_sharding": sharding.op9_sharding, "op10_simhash": simhash.op10_simhash}
+    return {"op1_quality_rules": quality_rules.op1_quality_rules, "op2_quality_mil": quality_mil.op2_quality_mil, "op3_flac": flac.op3_flac, "op4_warc": warc.op4_warc, "op8_packing": packing.op8_packing, "op9_sharding": sharding.op9_sharding, "op10_simhash": simhash.op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.OP1_SQL}
+    return {"op1_quality_rules": quality_rules.OP1_SQL, "op4_warc": warc.OP4_SQL}
