@@ -1,6 +1,6 @@
 """FLAC: losslessly stored byte payloads, decoded with checks.
 
-Encoding: one channel of 8-bit samples (a byte less 128), blocks of 4,096
+Encoding: one channel of 8-bit samples (a byte less 128), blocks of 1,024
 samples; each block takes the cheapest of a constant, raw samples, the fixed
 predictors and a fitted linear predictor, with Rice-coded residuals in
 partitions. A seek table has the sample and byte offset of every block.
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded, table
 
-BLOCK, UNIT, RATE, BITS = 4096, 64, 8000, 8
-LPC_ORDER, LPC_BITS, MAX_PARTITION = 4, 7, 3
+BLOCK, UNIT, RATE, BITS = 1024, 64, 8000, 8
+LPC_ORDER, LPC_BITS, MAX_PARTITION = 4, 7, 2
 ESCAPE = 15
 FIXED = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}
 
@@ -77,7 +77,7 @@ def _number(n: int) -> bytes:
 
 def _block_header(number: int, n: int) -> bytes:
     full = n == BLOCK
-    head = bytes([0xFF, 0xF8, (12 if full else 7) << 4 | 4, 1 << 1]) + _number(number) + (b"" if full else struct.pack(">H", n - 1))
+    head = bytes([0xFF, 0xF8, (10 if full else 7) << 4 | 4, 1 << 1]) + _number(number) + (b"" if full else struct.pack(">H", n - 1))
     return head + bytes([crc8(head)])
 
 
@@ -118,22 +118,23 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     """A FLAC file for each payload; lengths are multiples of ``UNIT``."""
     sizes = np.array([len(p) for p in payloads], np.int64)
     blocks = -(-sizes // BLOCK)
-    data = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int64) - 128
+    data = np.frombuffer(b"".join(payloads), np.uint8).astype(np.int32) - 128
     f = int(blocks.sum())
     number = np.arange(f) - np.repeat(np.cumsum(blocks) - blocks, blocks)
     n = np.minimum(BLOCK, np.repeat(sizes, blocks) - number * BLOCK)
     first = np.cumsum(n) - n
     wide = int(n.max())
-    rows = np.zeros((f, wide), np.int64)
+    rows = np.zeros((f, wide), np.int32)
     inside = np.arange(wide) < n[:, None]
     rows[inside] = data
     coef, shift = _linear(rows, n)
-    predicted = sum(coef[:, j, None] * rows[:, LPC_ORDER - 1 - j : wide - 1 - j] for j in range(LPC_ORDER)) >> shift[:, None]
+    small = coef.astype(np.int32)
+    predicted = sum(small[:, j, None] * rows[:, LPC_ORDER - 1 - j : wide - 1 - j] for j in range(LPC_ORDER)) >> shift[:, None].astype(np.int32)
     tried = {"lpc": (LPC_ORDER, rows[:, LPC_ORDER:] - predicted)}
     residual = rows
-    for order in range(3):
+    for order in range(2):
         tried[order] = (order, residual)
-        residual = np.diff(residual, axis=1)
+        residual = residual[:, 1:] - residual[:, :-1]
     # Partitions: as many as the block's length allows, eight at most.
     log2 = np.minimum(MAX_PARTITION, np.log2((n & -n) // UNIT).astype(np.int64))
     step = n >> log2
@@ -143,7 +144,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     codes = list(tried)
     for c, name in enumerate(codes):
         order, r = tried[name]
-        u = r[inside[:, order:]].astype(np.int32)
+        u = r[inside[:, order:]]
         u = u << 1 ^ u >> 31
         size = step[of_part] - np.where(np.isin(np.arange(len(of_part)), part0), order, 0)
         k, cost = _rice_cost(u, size)
@@ -182,17 +183,18 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         mine = np.flatnonzero(choice[of_part] == c)
         if not len(mine):
             continue
-        u = u[np.repeat(choice[of_part] == c, size)].astype(np.int64)
+        u = u[np.repeat(choice[of_part] == c, size)]
         owner = np.repeat(mine, size[mine])
         frame = of_part[owner]
-        kk = k[owner]
+        kk = k[owner].astype(np.int32)
         opens = np.concatenate([[True], owner[1:] != owner[:-1]])
-        length = (u >> kk) + 1 + kk + 4 * opens
-        end = np.cumsum(length)
+        length = (u >> kk) + 1 + kk + 4 * opens.astype(np.int32)
+        end = np.cumsum(length, dtype=np.int64)
         starts = np.concatenate([[True], frame[1:] != frame[:-1]])
         base = (pos[frame[starts]] - (end - length)[starts]).repeat(np.diff(np.flatnonzero(starts), append=len(u)))
         end = end + base
-        _put(bits, end, (u & ((1 << kk) - 1)) | 1 << kk, kk + 1)
+        one = np.left_shift(np.int32(1), kk)
+        _put(bits, end, (u & (one - 1)) | one, kk + 1)
         _put(bits, (end - length)[opens] + 4, kk[opens], np.full(int(opens.sum()), 4))
     out = np.packbits(bits)
     for b, h in zip(begin.tolist(), heads, strict=True):
@@ -429,7 +431,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc_id, n_bytes, media): every text's padded bytes as a FLAC file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "text", 2 << 20):
+        for batch in bounded(batches, "text", 1 << 20):
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             files = encode([padded(r) for r in raw])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(r) for r in raw], pa.int64()), pa.array(files, pa.binary())], names=["doc_id", "n_bytes", "media"])
@@ -442,7 +444,7 @@ def from_media(media: DataFrame) -> DataFrame:
     """Adds the payload read back and the decoding's figures to (doc_id, n_bytes, media)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "media", 2 << 20):
+        for batch in bounded(batches, "media", 1 << 20):
             found = decode(batch.column("media").to_pylist())
             say = [" ".join(f"{k}={v}" for k, v in x[2].items()) for x in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in found], pa.binary()), pa.array(say, pa.string())], names=["doc_id", "n_bytes", "media", "payload", "feature"])
@@ -454,7 +456,7 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
     """(doc_id, block, sample_offset, pcm): decoded blocks, each to be sought by its sample offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, "media", 2 << 20):
+        for batch in bounded(batches, "media", 1 << 20):
             found = decode(batch.column("media").to_pylist())
             rows = [(d, i, o, x[0][o : o + n]) for d, x in zip(batch.column("doc_id").to_pylist(), found, strict=True) for i, (o, n) in enumerate(x[1])]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "block", "sample_offset", "pcm"])

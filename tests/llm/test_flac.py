@@ -27,8 +27,8 @@ def test_kinds_and_sizes():
     noise = rng.integers(0, 256, 4096, dtype=np.uint8).tobytes()
     files = A.encode([wave, noise, bytes(4096), b"words of text " * 256 + bytes(64 * 8)])
     figures = [x[2] for x in A.decode(files)]
-    assert figures[0]["lpc"] + figures[0]["fixed"] == 2 and len(files[0]) < 0.7 * 8192
-    assert figures[1]["verbatim"] == 1 and figures[2]["constant"] == 1 and len(files[2]) < 110
+    assert figures[0]["lpc"] + figures[0]["fixed"] == 8192 // A.BLOCK and len(files[0]) < 0.7 * 8192
+    assert figures[1]["verbatim"] == figures[2]["constant"] == 4096 // A.BLOCK and len(files[2]) < 200
 
 
 def test_any_damage_is_noticed():
@@ -52,7 +52,7 @@ def test_without_a_seek_table():
 def test_header_fields():
     assert A._number(0x7F) == b"\x7f" and A._number(0x80).decode() == "\x80" and A._number(0xFFFF).decode() == "￿"
     (file,) = A.encode([bytes(range(256)) * 20])
-    assert struct.unpack(">HH", file[8:12]) == (4096, 4096) and file[12 + 14 : 42] == hashlib.md5((np.arange(5120, dtype=np.int64).astype(np.uint8) - np.uint8(128)).tobytes()).digest()
+    assert struct.unpack(">HH", file[8:12]) == (A.BLOCK, A.BLOCK) and file[12 + 14 : 42] == hashlib.md5((np.arange(5120, dtype=np.int64).astype(np.uint8) - np.uint8(128)).tobytes()).digest()
 
 
 def test_escape_partition_is_read():
@@ -80,5 +80,5 @@ def test_query_and_odd_rows(spark, sf, docs):
     back = {r.doc_id: r for r in A.from_media(media).collect()}
     assert [bytes(back[i].payload) for i in range(6)] == [A.padded((t or "").encode()) for t in odd]
     blocks = A.pcm_blocks(media).where("doc_id = 4").orderBy("block").collect()
-    assert b"".join(bytes(b.pcm) for b in blocks) == A.padded(odd[4].encode()) and [b.sample_offset for b in blocks] == list(range(0, 300_032, 4096))
+    assert b"".join(bytes(b.pcm) for b in blocks) == A.padded(odd[4].encode()) and [b.sample_offset for b in blocks] == list(range(0, 300_032, A.BLOCK))
     assert A.to_media(docs(["a"]).where("false")).count() == 0
