@@ -45,7 +45,9 @@ def external_shuffle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def with_shards(shuffled: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Adds shard and slot by the rank over all buckets; only the buckets' counts meet in one task."""
+    """Adds shard and slot to rows with bucket and place, by the rank over all buckets.
+
+    Only the buckets' counts meet in one task: a row for each ``bucket_bytes`` of input."""
     counts = shuffled.groupBy("bucket").agg(F.count("*").alias("rows"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("begin"))
@@ -61,13 +63,7 @@ def write_shards(sharded: DataFrame, path: str) -> None:
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document under the law ``rows``, from the records as written."""
-    placed = with_shards(external_shuffle(table(spark, sf_dir, "documents")))
-    return placed.select(
-        "doc_id",
-        size_of(F.col("text")).alias("size"),
-        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        F.lit("rows").alias("law"),
-        "shard",
-        "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    written = external_shuffle(table(spark, sf_dir, "documents"))
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    digests = written.select("bucket", "place", "doc_id", size_of(F.col("text")).alias("size"), crc.alias("text_crc32"))
+    return with_shards(digests).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
