@@ -15,7 +15,7 @@ Cases: null and empty texts are one passage of no characters and get a score
 like any other. Null labels are left out; conflicting labels of a document
 count as 0. Equal texts have equal scores. Repeated rows are scored once each.
 Where labels are too few or of one kind, the score is that share of ones.
-Other columns are kept by ``add_scores``. An empty table gives no rows."""
+Other columns are kept by ``keep``. An empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -164,6 +164,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return texts.mapInArrow(_scorer(model), "doc_id long, score double")
 
 
+def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, all columns as they were."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, text_col, 1 << 20):
+            good = model.score(*passage_features(batch.column(at).to_pylist())) >= threshold
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score, fitted on labelled documents that aren't held out."""
     docs = table(spark, sf_dir, "documents")

@@ -108,10 +108,15 @@ def repeat_words(words: Column) -> Column:
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the base counts and verdict, lost characters, ``kept`` and the cleaned text."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    split = base.select("doc_id", "text", words_of(F.col("text")).alias("words"), F.filter(F.split("text", "\n"), lambda x: F.length(without(x, BREAKS)) > 0).alias("lines"))
+    return _judge(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
+
+
+def _judge(texts: DataFrame, carried: str) -> DataFrame:
+    """Counts and verdicts of rows (carried, text)."""
+    base = texts.select(carried, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    split = base.select(carried, "text", words_of(F.col("text")).alias("words"), F.filter(F.split("text", "\n"), lambda x: F.length(without(x, BREAKS)) > 0).alias("lines"))
     counted = split.select(
-        "doc_id",
+        carried,
         F.size("words").cast("long").alias("n_words"),
         F.length(without(F.col("text"), BREAKS)).cast("long").alias("word_chars"),
         (F.length("text") - F.length(without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
@@ -124,6 +129,20 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * MAX_LOST_PERCENT))
 
 
+def clean(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, failing lines removed and ``chars_col``, where present, counted anew.
+
+    The columns of ``docs`` stay as they were, but for these two."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    judged = _judge(whole, "row").where("kept")
+    return judged.select(
+        *[
+            F.col("clean_text").cast(docs.schema[c].dataType).alias(c) if c == text_col else F.length("clean_text").cast(docs.schema[c].dataType).alias(c) if c == chars_col else F.col("row")[c].alias(c)
+            for c in docs.columns
+        ]
+    )
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and line-first verdict for every document."""
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "kept"]

@@ -83,75 +83,101 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return kept.mapInArrow(run, "doc_id long, fp long")
 
 
-def planes(values: np.ndarray) -> list[np.ndarray]:
-    """Bit planes of 64-bit values: a packed word array for each bit in which they differ."""
-    bits = np.unpackbits(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    pad = -len(values) % 64
+def bits_of(values: np.ndarray) -> np.ndarray:
+    """A row of bits, lowest first, for each fingerprint of one or more 64-bit words."""
+    return np.unpackbits(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
+
+
+def planes(bits: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Bit planes: a packed word array for each bit in which the rows differ."""
+    pad = -len(bits) % 64
     live = np.flatnonzero(bits.any(0) & ~bits.all(0))
     return [(int(b), np.packbits(np.pad(bits[:, b], (0, pad)), bitorder="little").view(np.uint64)) for b in live]
 
 
 class Counter:
-    """Vertical counters, a lane for each bit of a word, that stick above ``radius``."""
-
-    def __init__(self, words: int, radius: int):
-        self.radius = radius
-        self.digits = [np.zeros(words, np.uint64) for _ in range((radius + 1).bit_length())]
-        self.over = np.zeros(words, np.uint64)
-
-    def add(self, carry: np.ndarray) -> None:
-        for i, digit in enumerate(self.digits):
-            self.digits[i], carry = digit ^ carry, digit & carry
-        self.over |= carry | self._above()
-
-    def _above(self) -> np.ndarray:
-        """Lanes whose count is radius + 1 now."""
-        want = self.radius + 1
-        out = np.full_like(self.over, ~np.uint64(0))
-        for i, digit in enumerate(self.digits):
-            out &= digit if want >> i & 1 else ~digit
-        return out
-
-
-def near(sliced: list[tuple[int, np.ndarray]], words: int, value: int, radius: int) -> np.ndarray:
-    """Lanes within ``radius`` of ``value``, as words; a block whose lanes all exceed it is given up."""
-    count = Counter(words, radius)
+    """Vertical counters, a lane for each bit of a word, that stick above ``radius``.
+
+    Digits begin at a bias from which ``radius`` + 1 overflow the highest. Planes
+    of a digit wait for a second one, so that a full adder takes both and carries
+    one on: about five word operations a plane, whatever the number of digits."""
+
+    def __init__(self, shape: tuple[int, ...], radius: int):
+        self.n = radius.bit_length()
+        bias, ones = (1 << self.n) - 1 - radius, ~np.uint64(0)
+        self.digits = [np.full(shape, ones if bias >> i & 1 else 0, np.uint64) for i in range(self.n)]
+        self.waiting: list[np.ndarray | None] = [None] * self.n
+        self.over = np.zeros(shape, np.uint64)
+
+    def add(self, plane: np.ndarray, level: int = 0) -> None:
+        while level < self.n:
+            first, digit = self.waiting[level], self.digits[level]
+            if first is None:
+                self.waiting[level] = plane
+                return
+            self.waiting[level], either = None, first ^ plane
+            self.digits[level], plane = digit ^ either, (first & plane) | (either & digit)
+            level += 1
+        self.over |= plane
+
+    def exceeds(self) -> np.ndarray:
+        """Lanes above the radius so far, with all that waits added in."""
+        for level in range(self.n):
+            if (plane := self.waiting[level]) is not None:
+                self.waiting[level] = None
+                self.digits[level], carry = self.digits[level] ^ plane, self.digits[level] & plane
+                self.add(carry, level + 1)
+        return self.over
+
+
+def near(sliced: list[tuple[int, np.ndarray]], bits: np.ndarray, lanes: int, radius: int, pause: int = 8) -> np.ndarray:
+    """Which of ``lanes`` rows are within ``radius`` of any of the given rows of bits.
+
+    The block is given up for them once every lane exceeds the radius, which is
+    looked at every ``pause`` planes."""
     ones = ~np.uint64(0)
+    flip = np.where(bits, ones, np.uint64(0))
+    count = Counter((len(bits), (lanes + 63) // 64), radius)
     for done, (bit, plane) in enumerate(sliced):
-        count.add(plane ^ ones if value >> bit & 1 else plane)
-        if done >= radius and done % 4 == 3 and (count.over == ones).all():
+        count.add(plane ^ flip[:, bit, None])
+        if done >= radius and done % pause == pause - 1 and (count.exceeds() == ones).all():
             break
-    return ~count.over
+    within = np.bitwise_or.reduce(~count.exceeds(), axis=0)
+    return np.unpackbits(within.view(np.uint8), bitorder="little").view(bool)[:lanes]
 
 
-def groups(values: np.ndarray, radius: int) -> np.ndarray:
-    """For distinct ``values`` of a block, the least value of each one's linked group."""
-    n, root = len(values), values.copy()
-    sliced, words = planes(values), (len(values) + 63) // 64
-    free = np.zeros(words * 64, bool)
-    free[:n] = True
+def linked(bits: np.ndarray, radius: int, at_once: int = 64) -> np.ndarray:
+    """For each row of a block, the first row of its linked group; every row is held against the block once."""
+    n = len(bits)
+    sliced, free, root = planes(bits), np.ones(n, bool), np.arange(n)
     for first in range(n):
         if not free[first]:
             continue
-        free[first], todo = False, [first]
-        for i in todo:
-            hit = np.unpackbits(near(sliced, words, int(values[i]), radius).view(np.uint8), bitorder="little").view(bool) & free
-            more = np.flatnonzero(hit)
+        free[first], todo, done = False, [first], 0
+        while done < len(todo):
+            some = todo[done : done + at_once]
+            done += len(some)
+            more = np.flatnonzero(near(sliced, bits[some], n, radius) & free)
             free[more] = False
             todo += more.tolist()
-        root[todo] = values[todo].min()
+        root[todo] = first
     return root
 
 
+def groups(values: np.ndarray, radius: int) -> np.ndarray:
+    """For sorted distinct ``values`` of a block, the least value of each one's linked group."""
+    return values[linked(bits_of(values), radius)]
+
+
 def pair_lanes(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     """Whether a[i] and b[i] lie within ``radius``: many blocks of two at once, a lane for each."""
-    bits = np.unpackbits((a ^ b).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    pad = -len(a) % 64
-    count = Counter((len(a) + pad) // 64, radius)
-    for b_ in range(64):
-        if bits[:, b_].any():
-            count.add(np.packbits(np.pad(bits[:, b_], (0, pad)), bitorder="little").view(np.uint64))
-    return np.unpackbits((~count.over).view(np.uint8), bitorder="little").view(bool)[: len(a)]
+    if not len(a):
+        return np.zeros(0, bool)
+    bits, pad = bits_of(a ^ b), -len(a) % 64
+    count = Counter(((len(a) + pad) // 64,), radius)
+    for i in np.flatnonzero(bits.any(0)):
+        count.add(np.packbits(np.pad(bits[:, i], (0, pad)), bitorder="little").view(np.uint64))
+    return np.unpackbits((~count.exceeds()).view(np.uint8), bitorder="little").view(bool)[: len(a)]
 
 
 def _block_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
@@ -161,10 +187,10 @@ def _block_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
         cuts = np.flatnonzero(np.concatenate([[True], (c[1:] != c[:-1]) | (s[1:] != s[:-1])])) if len(c) else np.zeros(0, np.int64)
         sizes = np.diff(cuts, append=len(c))
         twos = cuts[sizes == 2]
-        ok = pair_lanes(f[twos], f[twos + 1], radius) if len(twos) else np.zeros(0, bool)
+        ok = pair_lanes(f[twos], f[twos + 1], radius)
         u, v = [np.maximum(f[twos], f[twos + 1])[ok]], [np.minimum(f[twos], f[twos + 1])[ok]]
         for at, n in zip(cuts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            root = groups(values := f[at : at + n], radius)
+            root = groups(values := np.sort(f[at : at + n]), radius)
             u.append(values[root != values])
             v.append(root[root != values])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u).view(np.int64)), pa.array(np.concatenate(v).view(np.int64))], names=["u", "v"])
@@ -194,7 +220,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (u, v) that join all distinct fingerprints ``fp`` within ``radius``, directly or on."""
     masks = F.array(*[F.lit(m).cast("long") for m in block_masks(radius)])
     blocks = distinct.select("fp", F.posexplode(F.transform(masks, lambda m: F.col("fp").bitwiseAND(m))).alias("choice", "shared"))
-    dealt = blocks.select("choice", "shared", "fp").repartition("choice", "shared").sortWithinPartitions("choice", "shared")
+    dealt = blocks.select("choice", "shared", "fp").repartition("choice", "shared").sortWithinPartitions("choice", "shared", "fp")
     return dealt.mapInArrow(partial(_block_links, radius=radius), "u long, v long")
 
 
