@@ -26,12 +26,11 @@ from tessera.llm.common import table
 
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LOST_PERCENT, MAX_MARK_PERCENT = 20, 30, 40, 15
 FRAGMENT_WORDS, BOILERPLATE_CHARS, WINDOW = 8, 200, 8
-# Characters and stock phrases that the line rules look for.
+# Character classes, characters and stock phrases that the rules look for.
 BREAKS = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
-SEPARATORS = "|»›•·>"
-MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-SENTENCE_END = "[.!?…。！？:;\"'”’»)\\]]\\s*$"
+BREAK, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]+"
+SYMBOL, SEPARATOR, MARK = r"[#*$%&|<>]", "[|»›•·>]", r"[!-/:-@\[-`{-~]"
+SENTENCE_END = tuple(".!?…。！？:;\"'”’»)]")
 PHRASES = (
     "all rights reserved",
     "privacy policy",
@@ -55,29 +54,30 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern))
+
+
+def word_chars(text: Column) -> Column:
+    return F.length(text) - count(text, BREAK)
 
 
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(text, BREAKS, " " * len(BREAKS)), " "), "")
+    return F.array_remove(F.split(text, BREAK + "+"), "")
 
 
 def line_fails(line: Column) -> Column:
     """Whether a line with a word fails one of the three kinds of rules."""
 
     def judged(n_words: Column) -> Column:
-        bare = F.length(without(line, BREAKS))
-        marks = bare - F.length(without(without(line, BREAKS), MARKS))
-        bars = F.length(line) - F.length(without(line, SEPARATORS))
         return (
-            (marks * 100 > bare * MAX_MARK_PERCENT)
-            | ((n_words < FRAGMENT_WORDS) & ~line.rlike(SENTENCE_END))
-            | ((bars >= 2) & (bars * 4 >= n_words))
+            ((n_words < FRAGMENT_WORDS) & ~F.right(F.rtrim(line, F.lit(BREAKS)), F.lit(1)).isin(*SENTENCE_END))
+            | (count(line, MARK) * 100 > word_chars(line) * MAX_MARK_PERCENT)
             | ((F.length(line) <= BOILERPLATE_CHARS) & F.lower(line).rlike(BOILERPLATE))
+            | let(count(line, SEPARATOR), lambda n: (n >= 2) & (n * 4 >= n_words))
         )
 
-    return let(F.size(words_of(line)), judged)
+    return let(count(line, WORD), judged)
 
 
 def repeat_words(words: Column) -> Column:
@@ -108,25 +108,32 @@ def repeat_words(words: Column) -> Column:
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the base counts and verdict, lost characters, ``kept`` and the cleaned text."""
-    return _judge(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
+    counted = _count(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
+    judged = counted.withColumn("base_failed", _failed()).withColumn("lost_chars", F.col("word_chars") - word_chars(F.col("clean_text")))
+    return judged.withColumn("kept", _keeps(F.col("base_failed"), F.col("lost_chars")))
+
+
+def _failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
+
 
+def _keeps(failed: Column, lost: Column) -> Column:
+    return ~failed & (lost * 100 <= F.col("word_chars") * MAX_LOST_PERCENT)
 
-def _judge(texts: DataFrame, carried: str) -> DataFrame:
-    """Counts and verdicts of rows (carried, text)."""
+
+def _count(texts: DataFrame, carried: str) -> DataFrame:
+    """Counts and cleaned texts of rows (carried, text)."""
     base = texts.select(carried, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    split = base.select(carried, "text", words_of(F.col("text")).alias("words"), F.filter(F.split("text", "\n"), lambda x: F.length(without(x, BREAKS)) > 0).alias("lines"))
-    counted = split.select(
+    split = base.select(carried, "text", words_of(F.col("text")).alias("words"), F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)).alias("lines"))
+    return split.select(
         carried,
         F.size("words").cast("long").alias("n_words"),
-        F.length(without(F.col("text"), BREAKS)).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
+        word_chars(F.col("text")).cast("long").alias("word_chars"),
+        count(F.col("text"), SYMBOL).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("words")).cast("long").alias("n_repeat_words"),
         F.array_join(F.filter("lines", lambda x: ~line_fails(x)), "\n").alias("clean_text"),
     )
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    judged = counted.withColumn("base_failed", failed).withColumn("lost_chars", F.col("word_chars") - F.length(without(F.col("clean_text"), BREAKS)))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * MAX_LOST_PERCENT))
 
 
 def clean(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
@@ -134,8 +141,12 @@ def clean(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -
 
     The columns of ``docs`` stay as they were, but for these two."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
-    judged = _judge(whole, "row").where("kept")
-    return judged.select(
+    counted = _count(whole, "row")
+    lost = lambda t: F.col("word_chars") - word_chars(t)
+    text = let(F.col("clean_text"), lambda t: F.when(_keeps(_failed(), lost(t)), F.array(t)))
+    # A generator, as a filter would be pushed down and have the counts computed twice.
+    kept = counted.select("row", F.explode(text).alias("clean_text"))
+    return kept.select(
         *[
             F.col("clean_text").cast(docs.schema[c].dataType).alias(c) if c == text_col else F.length("clean_text").cast(docs.schema[c].dataType).alias(c) if c == chars_col else F.col("row")[c].alias(c)
             for c in docs.columns
@@ -149,17 +160,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure(table(spark, sf_dir, "documents")).select(*columns)
 
 
-_W = r"'[^\x20\x09-\x0D]+'"
-_B = r"'[\x20\x09-\x0D]'"
-
-
 def _sql_text(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-def _sql_without(x: str, chars: str) -> str:
-    return f"translate({x}, {_sql_text(chars)}, '')"
-
+_W, _B = f"'{WORD}'", f"'{BREAK}'"
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 OP1_SQL = f"""
 WITH base AS (
@@ -174,16 +180,16 @@ gaps AS (SELECT rid, least({WINDOW}, i - lag(i, 1, -{WINDOW}) OVER (PARTITION BY
 repeats AS (SELECT rid, sum(g)::BIGINT AS n FROM gaps GROUP BY rid),
 judged AS (SELECT rid, sum(bare) FILTER (fails)::BIGINT AS lost FROM (
   SELECT rid, bare,
-         (bare - length({_sql_without("b", MARKS)})) * 100 > bare * {MAX_MARK_PERCENT}
-         OR (n < {FRAGMENT_WORDS} AND NOT regexp_matches(line, {_sql_text(SENTENCE_END)}))
+         len(regexp_extract_all(line, {_sql_text(MARK)})) * 100 > bare * {MAX_MARK_PERCENT}
+         OR (n < {FRAGMENT_WORDS} AND NOT list_contains([{", ".join(map(_sql_text, SENTENCE_END))}], right(rtrim(line, {_SPACES}), 1)))
          OR (bars >= 2 AND bars * 4 >= n)
          OR (length(line) <= {BOILERPLATE_CHARS} AND regexp_matches(lower(line), {_sql_text(BOILERPLATE)})) AS fails
-  FROM (SELECT rid, line, regexp_replace(line, {_B}, '', 'g') AS b, length(regexp_replace(line, {_B}, '', 'g')) AS bare,
-               len(regexp_extract_all(line, {_W})) AS n, length(line) - length({_sql_without("line", SEPARATORS)}) AS bars
+  FROM (SELECT rid, line, length(regexp_replace(line, {_B}, '', 'g')) AS bare,
+               len(regexp_extract_all(line, {_W})) AS n, len(regexp_extract_all(line, {_sql_text(SEPARATOR)})) AS bars
         FROM (SELECT rid, unnest(lines) AS line FROM base))) GROUP BY rid),
 counts AS (
   SELECT base.rid, doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, {_B}, '', 'g'))::BIGINT AS word_chars,
-         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+         len(regexp_extract_all(text, {_sql_text(SYMBOL)}))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words,
          coalesce(lost, 0)::BIGINT AS lost_chars
   FROM base LEFT JOIN repeats USING (rid) LEFT JOIN judged USING (rid)),
