@@ -123,7 +123,7 @@ def choices(text: str, offered: int, keep: int) -> list[tuple[int, str | None]]
 
 def rerank_scores(reply: Column, expected: int) -> Column:
     """Array of scores 0 to 1 from ``1: 7`` lines, or null where fewer than half are given."""
-    lines = F.transform(F.split(reply, "\n"), F.trim)
+    lines = F.transform(F.split(reply, "\n"), lambda x: F.trim(x))
     rows = F.filter(lines, lambda x: F.contains(x, F.lit(":")))
     pair = lambda x: F.struct(
         F.regexp_replace(F.substring_index(x, ":", 1), "[^0-9]", "").try_cast("int").alias("i"),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import retrieval_queries, store_queries, text_queries
+from tessera.plans import parse_queries, retrieval_queries, store_queries, text_queries
 
-_MODULES = (text_queries, retrieval_queries, store_queries)
+_MODULES = (text_queries, retrieval_queries, store_queries, parse_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
