@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -16,30 +17,41 @@ from tessera.functions.text import stem_word
 from tessera.functions.vectors import fnv1a_many
 
 DIMENSIONS, GRAM = 384, 4
+#: Texts that share one table of word vectors.
+SLICE = 200
 WORD_WEIGHT, PAIR_WEIGHT, GRAM_WEIGHT = 1.0, 0.65, 0.28
 _STOP = frozenset(STOP_WORDS)
 
 
-def features(text: str) -> list[tuple[str, float]]:
-    """A text's hashed features with their weights."""
-    kept = [s for w in re.findall(r"[^\W_]+", text.lower()) if w not in _STOP and len(s := stem_word(w)) >= 2]
-    words = [(f"w:{s}", WORD_WEIGHT) for s in kept]
-    grams = [(f"c:{s[i : i + GRAM]}", GRAM_WEIGHT) for s in kept for i in range(len(s) - GRAM + 1)]
-    pairs = [(f"b:{a}_{b}", PAIR_WEIGHT) for a, b in zip(kept, kept[1:], strict=False)]
-    return words + grams + pairs
+def _slots(names: list[str], weight: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index and signed weight of each feature."""
+    h = fnv1a_many(names)
+    return (h % np.uint64(DIMENSIONS)).astype(np.int64), np.where(h >> np.uint64(63) == 1, -weight, weight)
 
 
 def embed(texts: list[str]) -> np.ndarray:
-    """Unit vectors of ``DIMENSIONS``, a row for each text; no features give zeros. Each feature is hashed once."""
-    found = [features(t) for t in texts]
-    names = sorted({n for f in found for n, _ in f})
-    hashes = dict(zip(names, fnv1a_many(names).tolist(), strict=True)) if names else {}
-    out = np.zeros((len(texts), DIMENSIONS))
-    for row, f in zip(out, found, strict=True):
-        if f:
-            h = np.array([hashes[n] for n, _ in f], np.uint64)
-            signed = np.where(h >> np.uint64(63) == 1, -1.0, 1.0) * np.array([w for _, w in f])
-            np.add.at(row, (h % np.uint64(DIMENSIONS)).astype(np.int64), signed)
+    """Unit vectors of ``DIMENSIONS``, a row for each text; no features give zeros.
+
+    A word's own feature and letter runs make one sparse vector, computed once
+    for each distinct word; pairs of neighbours are hashed side by side."""
+    words = [re.findall(r"[^\W_]+", t.lower()) for t in texts]
+    stems = {w: "" if w in _STOP else stem_word(w) for w in set(chain.from_iterable(words))}
+    kept = [[s for w in ws if len(s := stems[w]) >= 2] for ws in words]
+    known = {s: i for i, s in enumerate(sorted(set(chain.from_iterable(kept))))}
+    grams = [[s[i : i + GRAM] for i in range(len(s) - GRAM + 1)] for s in known]
+    own_at, own = _slots([f"w:{s}" for s in known], WORD_WEIGHT)
+    gram_at, gram = _slots([f"c:{g}" for gs in grams for g in gs], GRAM_WEIGHT)
+    vectors = np.zeros((len(known), DIMENSIONS), np.float32)
+    vectors[np.arange(len(known)), own_at] += own
+    np.add.at(vectors, (np.repeat(np.arange(len(known)), [len(g) for g in grams]), gram_at), gram)
+    pair_at, pair = _slots([f"b:{a}_{b}" for k in kept for a, b in pairwise(k)], PAIR_WEIGHT)
+    out, at = np.zeros((len(texts), DIMENSIONS)), 0
+    for row, k in zip(out, kept, strict=True):
+        if k:
+            which, counts = np.unique([known[s] for s in k], return_counts=True)
+            end = at + len(k) - 1
+            row += counts @ vectors[which].astype(np.float64) + np.bincount(pair_at[at:end], pair[at:end], DIMENSIONS)
+            at = end
     length = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
 
@@ -48,7 +60,8 @@ def embed(texts: list[str]) -> np.ndarray:
 def builtin_embedding(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Vectors of a column of texts."""
     for texts in batches:
-        yield pd.Series([v.astype(np.float32).tolist() for v in embed(texts.fillna("").tolist())])
+        parts = [embed(texts.iloc[i : i + SLICE].fillna("").tolist()) for i in range(0, len(texts), SLICE)]
+        yield pd.Series([v.astype(np.float32) for part in parts for v in part])
 
 
 def with_vectors(rows: DataFrame, text_col: str = "text") -> DataFrame:

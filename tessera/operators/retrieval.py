@@ -8,6 +8,7 @@ aggregates and top lists; what is broadcast are lists of at most
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,12 +46,12 @@ def settings_for_context(tokens: int) -> Settings:
 
 
 def term_counts(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    """chunk_id, dl and an array of each distinct term's frequency."""
+    """chunk_id, dl and an array of each distinct term's frequency; a passage's words are gone through once."""
     distinct = list(dict.fromkeys(terms))
     words = chunks.select("chunk_id", T.tokens(T.fold(F.lower("text"))).alias("words"))
+    hits = words.select("chunk_id", F.size("words").alias("dl"), F.filter("words", lambda w: w.isin(*distinct) if distinct else F.lit(False)).alias("hits"))
     is_term = lambda t: lambda w: w == F.lit(t)
-    freq = F.array(*[F.size(F.filter("words", is_term(t))) for t in distinct])
-    return words.select("chunk_id", F.size("words").alias("dl"), freq.alias("tf"))
+    return hits.select("chunk_id", "dl", F.array(*[F.size(F.filter("hits", is_term(t))) for t in distinct]).alias("tf"))
 
 
 def keyword_scores(chunks: DataFrame, terms: list[str]) -> DataFrame:
@@ -64,7 +65,6 @@ def keyword_scores(chunks: DataFrame, terms: list[str]) -> DataFrame:
         return counted.select("chunk_id", F.lit(0.0).alias("keyword")).where("false")
     holds = [F.sum((F.get("tf", F.lit(i)) > 0).cast("long")).alias(f"n{i}") for i in range(len(distinct))]
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *holds)
-    with_stats = counted.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))
     score = F.lit(0.0)
     for i, t in enumerate(distinct):
         n, f = F.col(f"n{i}"), F.get("tf", F.lit(i)).cast("double")
@@ -72,7 +72,9 @@ def keyword_scores(chunks: DataFrame, terms: list[str]) -> DataFrame:
         idf = F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf)
         length = F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")
         score = score + F.lit(float(terms.count(t))) * idf * f * (K1 + 1) / (f + F.lit(K1) * length)
-    return with_stats.select("chunk_id", score.alias("keyword"))
+    # A score is above 0 where a term is held: asked of the score, as a filter on the
+    # frequencies would move below their projection and have the words split twice.
+    return counted.crossJoin(F.broadcast(stats)).select("chunk_id", score.alias("keyword")).where("keyword > 0")
 
 
 def semantic_scores(vectors: DataFrame, query: list[float]) -> DataFrame:
@@ -118,6 +120,10 @@ def lexical_score(query: str, text: Column, heading: Column, token_count: Column
     if not wanted:
         return fused
     q, k = T.strings(wanted), F.lit(float(len(wanted)))
+    # All but a stem's last letter begins its words, so other words need no stemming.
+    begins = sorted({w[: max(1, min(3, len(w) - 1))] for w in wanted})
+    maybe = lambda w: reduce(Column.__or__, [w.startswith(p) for p in begins])
+    reduced = F.transform(T.tokens(text), lambda w: F.when(maybe(w), T.stem(w)).otherwise(w))
 
     def scored(words: Column) -> Column:
         n = F.size(words)
@@ -131,7 +137,7 @@ def lexical_score(query: str, text: Column, heading: Column, token_count: Column
         score = share(words) * 0.44 + proximity * 0.24 + title * 0.16 + frequency * 0.10 + F.least(F.lit(1.0), density * 12.0) * 0.06
         return score * F.when(token_count < 40, F.lit(0.85)).otherwise(F.lit(1.0))
 
-    return F.least(F.lit(1.0), T.let(T.stems(T.tokens(text)), scored) * 0.75 + fused * 0.25)
+    return F.least(F.lit(1.0), T.let(reduced, scored) * 0.75 + fused * 0.25)
 
 
 def select_rows(scored: DataFrame, settings: Settings, eligible_sources: int) -> DataFrame:

@@ -9,7 +9,7 @@ from tessera.functions import sql as S
 from tessera.functions import text as T
 from tessera.functions import urls as U
 from tessera.operators import embedding, passages, replies
-from tessera.plans.views import documents, lines, messages, table
+from tessera.plans.views import documents, lines, messages, pages, table
 from tessera.sources import archive, html, robots
 
 ROBOTS = "User-agent: *\nDisallow: /en/1\nAllow: /en/12\nDisallow: /*9$\nAllow: /en\nUser-agent: other\nDisallow: /\n"
@@ -30,12 +30,12 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = html.with_pages(table(spark, sf_dir, "pages"))
+    made = html.with_pages(pages(spark, sf_dir))
     return made.select("page_id", "problem", F.size("blocks").cast("long").alias("n_blocks"), F.md5(F.array_join(F.transform("blocks", lambda b: b["text"]), "\n").cast("binary")).alias("text_md5"))
 
 
 def html_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.with_pages(table(spark, sf_dir, "pages")).select("page_id", *html.META_FIELDS)
+    return html.with_pages(pages(spark, sf_dir)).select("page_id", *html.META_FIELDS)
 
 
 def builtin_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,9 +80,9 @@ def rerank_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def robots_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit("*").alias("origin"), U.path(F.col("url")).alias("path"))
+    paths = pages(spark, sf_dir).select(F.col("page_id").alias("id"), F.lit("*").alias("origin"), U.path(F.col("url")).alias("path"))
     rules = spark.createDataFrame([("*", r, a, robots.pattern(r)) for r, a in robots.parse(ROBOTS)], "origin string, rule string, allow boolean, regex string")
-    return robots.decide(pages, rules).select(F.col("id").alias("page_id"), "allowed", "rule")
+    return robots.decide(paths, rules).select(F.col("id").alias("page_id"), "allowed", "rule")
 
 
 def archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ def first_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieval_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Position scores of search results and their merged snippet, as web results give them."""
-    p = table(spark, sf_dir, "pages")
+    p = pages(spark, sf_dir)
     text = F.regexp_replace("html", "<[^>]+>", " ")
     return p.select("page_id", F.round(T.position_score(F.col("page_id") % 10), 6).alias("score"), T.preview(text, 120).alias("snippet"))
 

@@ -10,7 +10,7 @@ from tessera.functions import sql as S
 from tessera.functions import text as T
 from tessera.operators import store
 from tessera.plans import text_queries
-from tessera.plans.views import SOURCES_SQL, documents, lines, messages, sources, table
+from tessera.plans.views import SOURCES_SQL, documents, lines, messages, pages, sources, table
 
 PHRASE = "the and"
 
@@ -154,7 +154,7 @@ def fallback_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifteen pages to read where no model chose: least navigation penalty, then position."""
     from tessera.functions.urls import navigation_penalty
 
-    p = table(spark, sf_dir, "pages").select("page_id", navigation_penalty(F.col("url")).alias("penalty"), F.round(T.position_score(F.col("page_id")), 6).alias("score"))
+    p = pages(spark, sf_dir).select("page_id", navigation_penalty(F.col("url")).alias("penalty"), F.round(T.position_score(F.col("page_id")), 6).alias("score"))
     return p.orderBy("penalty", "page_id").limit(15)
 
 

@@ -10,7 +10,7 @@ from tessera.functions import sql as S
 from tessera.functions import text as T
 from tessera.functions import urls as U
 from tessera.functions.vectors import cosine, fnv1a_hex, norm, normalized
-from tessera.plans.views import documents, messages, table
+from tessera.plans.views import documents, messages, pages, table
 
 QUERY_VECTOR_ID = 7
 
@@ -57,17 +57,17 @@ def fnv_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_host(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", U.host(F.col("url")).alias("host"), U.path(F.col("url")).alias("path"))
+    return pages(spark, sf_dir).select("page_id", U.host(F.col("url")).alias("host"), U.path(F.col("url")).alias("path"))
 
 
 def url_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page of each address key, by page_id: a partial minimum, no window over all pages."""
-    keyed = table(spark, sf_dir, "pages").select(U.dedupe_key(F.col("url")).alias("key"), "page_id")
+    keyed = pages(spark, sf_dir).select(U.dedupe_key(F.col("url")).alias("key"), "page_id")
     return keyed.groupBy("key").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n_pages"))
 
 
 def navigation_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", U.navigation_penalty(F.col("url")).alias("penalty"))
+    return pages(spark, sf_dir).select("page_id", U.navigation_penalty(F.col("url")).alias("penalty"))
 
 
 def private_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def private_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unwrap_redirect(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrapped = F.concat(F.lit("//search.example/l/?uddg="), F.url_encode("url"), F.lit("&rut=x"))
-    return table(spark, sf_dir, "pages").select("page_id", U.unwrap_redirect(wrapped).alias("target"), U.unwrap_redirect(F.lit("//a.example/b")).alias("plain"))
+    return pages(spark, sf_dir).select("page_id", U.unwrap_redirect(wrapped).alias("target"), U.unwrap_redirect(F.lit("//a.example/b")).alias("plain"))
 
 
 def embedding_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +105,7 @@ def access_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.size(T.tokens(F.regexp_replace("html", "<[^>]+>", " ")))
     script = F.length("html") - F.length(F.substring_index("html", "<script", 1)) - F.lit(len("<script")) * (F.size(F.split("html", "<script")) - 1)
     client = F.when(framework, words < 120).otherwise((script > F.floor(F.length("html") / 2)) & (F.length("html") > 2000))
-    return table(spark, sf_dir, "pages").select("page_id", gate.alias("gate"), client.alias("client_rendered"))
+    return pages(spark, sf_dir).select("page_id", gate.alias("gate"), client.alias("client_rendered"))
 
 
 def session_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
