@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, table
+from tessera.llm.common import bounded, in_batches, table
 
 MAX_LEN = 2048
 END_ID = 1
 #: Words that a Python worker remembers the ids of; the rarer half then goes.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 
 def _parts(text: str | None) -> list[str]:
@@ -42,7 +42,7 @@ def _parts(text: str | None) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
-def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The positions start, start + 1, ... of each range, one after another."""
     ends = np.cumsum(length)
     return np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)
@@ -90,10 +90,10 @@ class WordIds(dict):
     def _encode(self, words: list[str]) -> list[list[int]]:
         """Ids of each word. Words of plain letters go together as one text: the
         vocabulary marks the last token of each, which tells them apart again."""
-        encode = lambda texts: [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        encode = lambda texts, n=2048: [e.ids for k in range(0, len(texts), n) for e in self.tokenizer.encode_batch_fast(texts[k : k + n], add_special_tokens=False)]
         letters = [w.isalpha() and max(w) <= "\xff" for w in words]
         joined = [w for w, ok in zip(words, letters, strict=True) if ok]
-        ids = [i for x in encode([" ".join(joined[k : k + 1000]) for k in range(0, len(joined), 1000)]) for i in x]
+        ids = [i for x in encode([" ".join(joined[k : k + 500]) for k in range(0, len(joined), 500)], 8) for i in x]
         ends = (np.flatnonzero(self.last[np.array(ids, np.int64)]) + 1).tolist()
         if len(ends) != len(joined):
             return encode(words)
@@ -106,7 +106,7 @@ class WordIds(dict):
         keep = np.argsort(-self.hits, kind="stable")[: self.most // 2]
         keep = np.concatenate([[0], np.sort(keep[keep != 0])])
         words = list(self)
-        self.flat = self.flat[_spread(self.start[keep], self.length[keep])]
+        self.flat = self.flat[spread(self.start[keep], self.length[keep])]
         self.length, self.hits = self.length[keep], self.hits[keep] // 2
         self.start = np.cumsum(self.length) - self.length
         self.clear()
@@ -128,9 +128,9 @@ class WordIds(dict):
         new = self.length[known:]
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(new) - new])
         self.flat = np.concatenate([self.flat, np.zeros(int(new.sum()), np.uint32)])
-        self.flat[_spread(self.start[at], lengths)] = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
+        self.flat[spread(self.start[at], lengths)] = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
         to, base, mark = marked.T
-        self.flat[_spread(self.start[to], self.length[base])] = self.flat[_spread(self.start[base], self.length[base])]
+        self.flat[spread(self.start[to], self.length[base])] = self.flat[spread(self.start[base], self.length[base])]
         self.flat[self.start[to] + self.length[base]] = mark
         self.plain, self.marked = [], []
 
@@ -144,7 +144,7 @@ class WordIds(dict):
         self.hits += np.bincount(at, minlength=len(self.hits))
         lengths = self.length[at]
         ends = np.cumsum(lengths)
-        ids = self.flat[_spread(self.start[at], lengths)]
+        ids = self.flat[spread(self.start[at], lengths)]
         last = np.cumsum(np.array([len(p) for p in parts], np.int64)) - 1
         return ids, np.diff(ends[last], prepend=0)
 
@@ -161,6 +161,7 @@ def binary_pieces(total: int, max_len: int = MAX_LEN) -> list[int]:
     return [max_len] * full + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
+@in_batches
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", max_len: int = MAX_LEN, end_id: int = END_ID) -> DataFrame:
     """doc_id, start, length (also the bucket), ids (little-endian 32-bit), doc_tokens; a row is a sequence.
 
@@ -168,7 +169,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _worker_words(vocabulary, end_id)
-        for batch in bounded(batches, "text"):
+        for batch in bounded(batches, "text", 1 << 20):
             ids, counts = words.encode(batch.column("text").to_pylist())
             pieces = [binary_pieces(int(n), max_len) for n in counts]
             per = np.array([len(p) for p in pieces], np.int64)

@@ -28,30 +28,37 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, stored, table
+from tessera.llm.common import bounded, in_batches, stored, table
+from tessera.llm.packing import spread
 
-CHUNK, GIANT = 1 << 12, 1 << 16
+CHUNK, GIANT, GROUP = 1 << 12, 1 << 16, 1 << 18
 SPACE = "▁".encode()
 #: What an unknown character costs beyond the lowest score, as in unigram models.
 UNKNOWN_COST = 10.0
 LOW = -1e30
 
 
+def _model(path: str):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    return model
+
+
 class Lattice:
     """A model's pieces as a byte trie in flat arrays."""
 
     def __init__(self, path: str):
-        from sentencepiece import sentencepiece_model_pb2 as pb
-
-        model = pb.ModelProto()
-        with open(path, "rb") as f:
-            model.ParseFromString(f.read())
+        model = _model(path)
         self.prefix = bool(model.normalizer_spec.add_dummy_prefix)
         if model.normalizer_spec.name != "identity" or model.normalizer_spec.remove_extra_whitespaces:
             raise ValueError("only models with the identity normaliser are read here")
@@ -92,28 +99,34 @@ class Lattice:
 
     @staticmethod
     def _rows(children: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows of the trie laid over one another: child of node by byte b at base[node] + b."""
+        """Rows of the trie laid over one another: child of node by byte b at base[node] + b.
+
+        Rows with several children go first, each to the first place where it
+        fits; a row of one child fits into any free slot."""
         size = 1 << 19
-        taken, base, low = np.zeros(size + 256, bool), np.zeros(len(children), np.int64), 0
-        check, nxt = np.full(size + 256, -1, np.int64), np.zeros(size + 256, np.int32)
-        for node in sorted(range(len(children)), key=lambda n: -len(children[n])):
+        taken, base, low = np.zeros(size, bool), np.zeros(len(children), np.int64), 0
+        check, nxt = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+        several = sorted((n for n, c in enumerate(children) if len(c) > 1), key=lambda n: -len(children[n]))
+        for node in several:
             keys = np.array(sorted(children[node]), np.int64)
-            if not len(keys):
-                continue
             at = low
             while True:
-                free = np.flatnonzero(~taken[at : at + 4096]) + at - keys[0]
-                free = free[free >= 0]
-                ok = free[~taken[free[:, None] + keys].any(1)] if len(free) else free
-                if len(ok):
-                    at = int(ok[0])
+                ok = ~taken[at + keys[0] : at + keys[0] + 1024]
+                for k in keys[1:]:
+                    ok &= ~taken[at + k : at + k + 1024]
+                hit = int(ok.argmax())
+                if ok[hit]:
+                    at += hit
                     break
-                at += 4096
+                at += 1024
             base[node] = at
             taken[at + keys], check[at + keys] = True, node
             nxt[at + keys] = [children[node][int(k)] for k in keys]
-            if taken[low : low + 256].all():
+            while taken[low : low + 512].all():
                 low += 256
+        single = np.array([(n, *next(iter(c.items()))) for n, c in enumerate(children) if len(c) == 1], np.int64).reshape(-1, 3)
+        slots = np.flatnonzero(~taken[256:])[: len(single)] + 256
+        base[single[:, 0]], check[slots], nxt[slots] = slots - single[:, 1], single[:, 0], single[:, 2]
         return base, check, nxt
 
     def normalise(self, text: str) -> bytes:
@@ -248,19 +261,270 @@ def lattice_of(path: str) -> Lattice:
     return Lattice(path)
 
 
-class Words:
-    """Best paths of whole stretches between safe places, remembered per worker."""
+class Words(dict):
+    """Best paths of stretches between safe places, remembered per worker: a number for each stretch,
+    its ids and sum in flat arrays. The rarer half goes when there are too many."""
+
+    def __init__(self, lattice: Lattice, most: int = 200_000):
+        super().__init__()
+        self.lattice, self.most = lattice, most
+        self.flat = np.zeros(0, np.uint32)
+        self.start, self.length, self.hits = (np.zeros(0, np.int64) for _ in range(3))
+        self.score = np.zeros(0)
+        self.waiting: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.waiting.append(word)
+        return n
+
+    def at(self, parts: list[bytes]) -> np.ndarray:
+        """The numbers of stretches, all known afterwards."""
+        if len(self) > self.most:
+            self._shrink()
+        found = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
+        self._learn()
+        self.hits += np.bincount(found, minlength=len(self.hits))
+        return found
+
+    def ids(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stretches one after another, and the count for each."""
+        at = self.at(parts)
+        return self.flat[spread(self.start[at], self.length[at])], self.length[at]
+
+    def _shrink(self) -> None:
+        keep = np.sort(np.argsort(-self.hits, kind="stable")[: self.most // 2])
+        words = list(self)
+        self.flat = self.flat[spread(self.start[keep], self.length[keep])]
+        self.length, self.hits, self.score = self.length[keep], self.hits[keep] // 2, self.score[keep]
+        self.start = np.cumsum(self.length) - self.length
+        self.clear()
+        self.update((words[k], i) for i, k in enumerate(keep.tolist()))
+
+    def _learn(self) -> None:
+        """Paths of the waiting stretches, in groups of bounded size."""
+        new, self.waiting = self.waiting, []
+        while new:
+            sizes = np.cumsum([len(w) for w in new])
+            n = max(1, int(np.searchsorted(sizes, GROUP)))
+            self._paths(new[:n])
+            new = new[n:]
+
+    def _paths(self, new: list[bytes]) -> None:
+        # All new stretches side by side: arcs with the same end depth and length in one step,
+        # short before long, so that of equal sums the longest last piece stays.
+        size = np.array([len(w) for w in new])
+        first = np.cumsum(size) - size
+        data = np.frombuffer(b"".join(new), np.uint8)
+        s, e, p, w = self.lattice.arcs(data, np.repeat(first + size, size))
+        begin = np.repeat(first, size)[s]
+        span = self.lattice.states + 1
+        step = (e - begin) * span + (e - s)
+        order = np.argsort(step.astype(np.uint16) if step.max() < 1 << 16 else step, kind="stable")
+        s, e, p, w, step, begin = s[order], e[order], p[order], w[order], step[order], begin[order]
+        # The sum up to a node stands at the byte before it, as stretches adjoin.
+        best, via = np.full(len(data), LOW), np.full(len(data), -1)
+        cuts = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1], [True]])).tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            start, end = s[a:b], e[a:b] - 1
+            sums = np.where(start == begin[a:b], 0.0, best[start - 1]) + w[a:b]
+            better = sums >= best[end]
+            end = end[better]
+            best[end] = sums[better]
+            via[end] = np.flatnonzero(better) + a
+        # Back from all ends at once, a piece of each stretch at a time.
+        at, taken = first + size, []
+        while (on := at > first).any():
+            k = np.where(on, via[at - 1], -1)
+            taken.append(k)
+            at = np.where(on, s[k], at)
+        arcs = np.stack(taken[::-1], 1)
+        used = arcs >= 0
+        path, counts = arcs[used], used.sum(1)
+        # An unknown character gives an id for each of its bytes.
+        wide = np.where(p[path] >= 0, 1, e[path] - s[path])
+        ids = np.repeat(p[path], wide)
+        lost = ids < 0
+        ids[lost] = self.lattice.byte_id[data[spread(s[path], wide)[lost]]]
+        ends = np.cumsum(counts)
+        length = np.diff(np.cumsum(wide)[ends - 1], prepend=0)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
+        self.score = np.concatenate([self.score, best[first + size - 1]])
+        self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
+
+
+def safe_split(raw: bytes) -> list[bytes]:
+    """Stretches of a normalised text that no piece reaches across: runs of spaces go with what follows."""
+    parts = raw.split(SPACE)
+    out, spaces = ([parts[0]] if parts[0] else []), 0
+    for p in parts[1:]:
+        spaces += 1
+        if p:
+            out.append(SPACE * spaces + p)
+            spaces = 0
+    return [*out, SPACE * spaces] if spaces else out
+
+
+def encode_span(words: Words, raw: bytes, chunk: int = CHUNK) -> np.ndarray:
+    """Ids of a normalised text: stretches up to ``chunk`` bytes by their remembered paths, longer ones by the scan."""
+    out, short = [], []
+    for part in [*safe_split(raw), b""]:
+        if 0 < len(part) <= chunk:
+            short.append(part)
+            continue
+        out.append(words.ids(short)[0])
+        short = []
+        if part:
+            out.append(np.array(scan_encode(words.lattice, part, chunk), np.uint32))
+    return np.concatenate(out)
+
+
+def scan_encode(lattice: Lattice, raw: bytes, chunk: int = CHUNK) -> list[int]:
+    """The scan over the chunks of one stretch, in this process."""
+    return Segment(lattice, raw, 0, True, True, chunk).ids(_start(lattice), 0)
+
+
+def _start(lattice: Lattice) -> np.ndarray:
+    out = np.full(lattice.states, LOW)
+    out[0] = 0.0
+    return out
+
+
+class Segment:
+    """A run of chunks: ``lead`` bytes of ``raw`` go before it; left, right: whether its ends are safe."""
+
+    def __init__(self, lattice: Lattice, raw: bytes, lead: int, left: bool, right: bool, chunk: int = CHUNK):
+        self.lattice, self.raw = lattice, raw
+        begins = [lead + b for b in cut(raw[lead:], chunk)]
+        self.chunks = []
+        for i, a in enumerate(begins):
+            b = begins[i + 1] if i + 1 < len(begins) else len(raw)
+            before = 0 if (left if i == 0 else is_safe(raw, a)) else min(a, lattice.states - 1)
+            self.chunks.append((a - before, b, before, right if b == len(raw) else is_safe(raw, b)))
+
+    def _forward(self, i: int, enter: np.ndarray) -> Forward:
+        a, b, lead, _ = self.chunks[i]
+        return Forward(self.lattice, self.raw[a:b], lead, enter)
+
+    def matrices(self) -> list[np.ndarray]:
+        """Each chunk's max-plus matrix (left state, right state)."""
+        states, out = self.lattice.states, []
+        for i, (_, _, lead, safe) in enumerate(self.chunks):
+            alone = np.full((lead + 1, states), LOW)
+            np.fill_diagonal(alone, 0.0)
+            matrix = np.full((states, states), LOW)
+            matrix[: lead + 1] = self._forward(i, alone).transfer(states)
+            if safe:
+                matrix[:, 1:] = LOW
+            out.append(matrix)
+        return out
+
+    def _entries(self, enter: np.ndarray) -> list[np.ndarray]:
+        """The sums into each chunk's left states, from the segment's own."""
+        ahead = scan(self.matrices())
+        return [enter, *(np.maximum((enter[:, None] + m).max(0), LOW) for m in ahead[:-1])]
+
+    def ids(self, enter: np.ndarray, state: int) -> list[int]:
+        """Ids of the path that leaves in ``state``: of equal sums the longest last piece, and so on back."""
+        out = []
+        for i, sums in reversed(list(enumerate(self._entries(enter)))):
+            ids, state = self._forward(i, sums[None]).trace(state)
+            out.append(ids)
+        return [j for ids in reversed(out) for j in ids]
+
+    def lefts(self, enter: np.ndarray, rights: list[int]) -> list[int]:
+        """The left state of the best path to each right state, -1 where there is none."""
+        works = [self._forward(i, sums[None]) for i, sums in enumerate(self._entries(enter))]
+        out = []
+        for state in rights:
+            for w in reversed(works):
+                if state >= 0:
+                    at = w.n - state
+                    state = w.trace(state)[1] if at >= 0 and w.best[at, 0] > LOW / 2 else -1
+            out.append(state)
+        return out
+
 
-    def __init__(self, lattice: Lattice, most: int = 400_000):
-        self.lattice, self.most, self.known = lattice, most, {}
+class Pieces:
+    """A model's pieces as bytes, for decoding alone."""
 
-    def learn(self, words: set[bytes]) -> None:
-        new = list(words - self.known.keys())
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = list(words)
-        if not new:
-            return
+    def __init__(self, path: str):
+        model = _model(path)
+        self.prefix = bool(model.normalizer_spec.add_dummy_prefix)
+        kinds = model.SentencePiece
+        raw = [bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else p.piece.encode().replace(SPACE, b" ") if p.type in (kinds.NORMAL, kinds.USER_DEFINED) else b"" for p in model.pieces]
+        self.flat, self.length = np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def decode(self, ids: np.ndarray) -> str:
+        # Three byte pieces may spell the space's bytes, so it is looked for once more.
+        raw = self.flat[spread(self.start[ids], self.length[ids])].tobytes().replace(SPACE, b" ")
+        text = raw.decode("utf-8", "surrogatepass")
+        return text[1:] if self.prefix and text.startswith(" ") else text
+
+
+@lru_cache(2)
+def pieces_of(path: str) -> Pieces:
+    return Pieces(path)
+
+
+@lru_cache(2)
+def lattice_of(path: str) -> Lattice:
+    return Lattice(path)
+
+
+class Words(dict):
+    """Best paths of stretches between safe places, remembered per worker: a number for each stretch,
+    its ids and sum in flat arrays. The rarer half goes when there are too many."""
+
+    def __init__(self, lattice: Lattice, most: int = 200_000):
+        super().__init__()
+        self.lattice, self.most = lattice, most
+        self.flat = np.zeros(0, np.uint32)
+        self.start, self.length, self.hits = (np.zeros(0, np.int64) for _ in range(3))
+        self.score = np.zeros(0)
+        self.waiting: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.waiting.append(word)
+        return n
+
+    def at(self, parts: list[bytes]) -> np.ndarray:
+        """The numbers of stretches, all known afterwards."""
+        if len(self) > self.most:
+            self._shrink()
+        found = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
+        self._learn()
+        self.hits += np.bincount(found, minlength=len(self.hits))
+        return found
+
+    def ids(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stretches one after another, and the count for each."""
+        at = self.at(parts)
+        return self.flat[spread(self.start[at], self.length[at])], self.length[at]
+
+    def _shrink(self) -> None:
+        keep = np.sort(np.argsort(-self.hits, kind="stable")[: self.most // 2])
+        words = list(self)
+        self.flat = self.flat[spread(self.start[keep], self.length[keep])]
+        self.length, self.hits, self.score = self.length[keep], self.hits[keep] // 2, self.score[keep]
+        self.start = np.cumsum(self.length) - self.length
+        self.clear()
+        self.update((words[k], i) for i, k in enumerate(keep.tolist()))
+
+    def _learn(self) -> None:
+        """Paths of the waiting stretches, in groups of bounded size."""
+        new, self.waiting = self.waiting, []
+        while new:
+            sizes = np.cumsum([len(w) for w in new])
+            n = max(1, int(np.searchsorted(sizes, GROUP)))
+            self._paths(new[:n])
+            new = new[n:]
+
+    def _paths(self, new: list[bytes]) -> None:
         # All new stretches side by side: arcs with the same end depth and length in one step,
         # short before long, so that of equal sums the longest last piece stays.
         size = np.array([len(w) for w in new])
@@ -290,17 +554,19 @@ class Words:
             at = np.where(on, s[k], at)
         arcs = np.stack(taken[::-1], 1)
         used = arcs >= 0
-        flat, counts = arcs[used], used.sum(1)
-        ids, ends = p[flat].tolist(), np.cumsum(counts)
-        strange = set(np.flatnonzero(np.logical_or.reduceat(p[flat] < 0, ends - counts)).tolist())
-        score = best[first + size - 1].tolist()
-        cut_ = [0, *ends.tolist()]
-        for i, word in enumerate(new):
-            path = ids[cut_[i] : cut_[i + 1]]
-            if i in strange:
-                each = zip(path, flat[cut_[i] : cut_[i + 1]].tolist(), strict=True)
-                path = [j for piece, k in each for j in ([piece] if piece >= 0 else self.lattice.byte_id[data[s[k] : e[k]]].tolist())]
-            self.known[word] = (path, score[i])
+        path, counts = arcs[used], used.sum(1)
+        # An unknown character gives an id for each of its bytes.
+        wide = np.where(p[path] >= 0, 1, e[path] - s[path])
+        ids = np.repeat(p[path], wide)
+        lost = ids < 0
+        ids[lost] = self.lattice.byte_id[data[spread(s[path], wide)[lost]]]
+        ends = np.cumsum(counts)
+        length = np.diff(np.cumsum(wide)[ends - 1], prepend=0)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
+        self.score = np.concatenate([self.score, best[first + size - 1]])
+        self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
 
 
 def safe_split(raw: bytes) -> list[bytes]:
@@ -315,12 +581,18 @@ def safe_split(raw: bytes) -> list[bytes]:
     return [*out, SPACE * spaces] if spaces else out
 
 
-def encode_span(words: Words, raw: bytes, chunk: int = CHUNK) -> list[int]:
+def encode_span(words: Words, raw: bytes, chunk: int = CHUNK) -> np.ndarray:
     """Ids of a normalised text: stretches up to ``chunk`` bytes by their remembered paths, longer ones by the scan."""
-    out: list[int] = []
-    for part in safe_split(raw):
-        out += words.known[part][0] if len(part) <= chunk else scan_encode(words.lattice, part, chunk)
-    return out
+    out, short = [], []
+    for part in [*safe_split(raw), b""]:
+        if 0 < len(part) <= chunk:
+            short.append(part)
+            continue
+        out.append(words.ids(short)[0])
+        short = []
+        if part:
+            out.append(np.array(scan_encode(words.lattice, part, chunk), np.uint32))
+    return np.concatenate(out)
 
 
 def scan_encode(lattice: Lattice, raw: bytes, chunk: int = CHUNK) -> list[int]:
@@ -401,14 +673,20 @@ def worker_words(path: str) -> Words:
     return Words(lattice_of(path))
 
 
-def encode_texts(words: Words, texts: list[str | None]) -> list[list[int] | None]:
+def encode_texts(words: Words, texts: list[str | None]) -> list[np.ndarray | None]:
     raws = [None if t is None else words.lattice.normalise(t) for t in texts]
-    words.learn({p for r in raws if r for p in safe_split(r) if len(p) <= CHUNK})
-    return [None if r is None else encode_span(words, r) for r in raws]
+    parts = [safe_split(r) if r else [] for r in raws]
+    long = [max(map(len, p), default=0) > CHUNK for p in parts]
+    plain = [[] if far else p for p, far in zip(parts, long, strict=True)]
+    ids, counts = words.ids(list(chain.from_iterable(plain)))
+    before = np.concatenate([[0], np.cumsum(counts)])
+    ends = before[np.cumsum([len(p) for p in plain])].tolist() if plain else []
+    spans = zip([0, *ends], ends, strict=False)
+    return [None if r is None else encode_span(words, r) if far else ids[a:b] for r, far, (a, b) in zip(raws, long, spans, strict=True)]
 
 
-def _ids_column(found: list[list[int] | None]) -> pa.Array:
-    return pa.array([None if f is None else np.array(f, "<u4").tobytes() for f in found], pa.binary())
+def _ids_column(found: list[np.ndarray | None]) -> pa.Array:
+    return pa.array([None if f is None else f.astype("<u4").tobytes() for f in found], pa.binary())
 
 
 def segment_matrix(words: Words, raw: bytes, lead: int, left: bool, right: bool) -> np.ndarray:
@@ -417,19 +695,19 @@ def segment_matrix(words: Words, raw: bytes, lead: int, left: bool, right: bool)
     if not (left and right):
         return scan(Segment(lattice, raw, lead, left, right).matrices())[-1]
     parts = safe_split(raw[lead:])
-    words.learn({p for p in parts if len(p) <= CHUNK})
     out = np.full((lattice.states, lattice.states), LOW)
-    out[0, 0] = sum(words.known[p][1] if len(p) <= CHUNK else scan(Segment(lattice, p, 0, True, True).matrices())[-1][0, 0] for p in parts)
+    at = words.at([p for p in parts if len(p) <= CHUNK])
+    out[0, 0] = words.score[at].sum()
+    out[0, 0] += sum(scan(Segment(lattice, p, 0, True, True).matrices())[-1][0, 0] for p in parts if len(p) > CHUNK)
     return out
 
 
-def segment_ids(words: Words, row: dict) -> list[int]:
+def segment_ids(words: Words, row: dict) -> np.ndarray:
     """Ids of a segment by its entry sums and right state, found without the other segments."""
     if row["safe_left"] and row["safe_right"]:
-        words.learn({p for p in safe_split(row["raw"]) if len(p) <= CHUNK})
         return encode_span(words, row["raw"])
     segment = Segment(words.lattice, row["raw"], row["lead"], row["safe_left"], row["safe_right"])
-    return segment.ids(np.frombuffer(row["enter"], "<f8"), row["state_out"] or 0)
+    return np.array(segment.ids(np.frombuffer(row["enter"], "<f8"), row["state_out"] or 0), np.uint32)
 
 
 SEGMENTS = "doc_id long, n long, part long, raw binary, lead int, safe_left boolean, safe_right boolean"
@@ -505,12 +783,13 @@ def _giants(docs: DataFrame, path: str, segment: int) -> DataFrame:
     return joined.select("doc_id", F.unhex(F.array_join(F.transform("all", lambda x: F.hex(x["ids"])), "")).alias("ids"))
 
 
+@in_batches
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT) -> DataFrame:
     """(doc_id, ids): little-endian 32-bit ids of every text; documents over ``giant`` bytes are dealt out by segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = worker_words(model)
-        for batch in bounded(batches, "text"):
+        for batch in bounded(batches, "text", 2 << 20):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _ids_column(encode_texts(words, batch.column("text").to_pylist()))], names=["doc_id", "ids"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -518,13 +797,14 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     return kept.where(~large).mapInArrow(run, "doc_id long, ids binary").unionByName(_giants(kept.where(large), model, giant // 2))
 
 
+@in_batches
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """(doc_id, text) of (doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = lattice_of(model)
-        for batch in bounded(batches, "ids"):
-            texts = [None if i is None else decode_ids(lattice, np.frombuffer(i, "<u4").tolist()) for i in batch.column("ids").to_pylist()]
+        pieces = pieces_of(model)
+        for batch in bounded(batches, "ids", 1 << 20):
+            texts = [None if i is None else pieces.decode(np.frombuffer(i, "<u4")) for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")

@@ -63,7 +63,7 @@ def test_scan_of_small_chunks_is_the_best_path(text, chunk):
     want = best(raw)[1]
     assert S.scan_encode(LATTICE, raw, chunk) == want if raw else want == []
     words = S.Words(LATTICE)
-    assert S.encode_texts(words, [text])[0] == want
+    assert S.encode_texts(words, [text])[0].tolist() == want
 
 
 @settings(max_examples=50, deadline=None)
@@ -85,7 +85,7 @@ def test_products_associate():
 def test_library_agrees_by_word(library, spark, sf):
     words = {w for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() for w in r.text.split()}
     words = sorted(words)
-    mine = S.encode_texts(S.Words(LATTICE), words)
+    mine = [x.tolist() for x in S.encode_texts(S.Words(LATTICE), words)]
     theirs = library.encode(words, num_threads=1)
     # The library adds 32-bit floats and at times stops short of the best sum by a small difference.
     total = lambda ids: sum(scores().get(i, 0.0) for i in ids)
