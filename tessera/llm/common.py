@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
 WORD_BREAKS = " \t\n\x0b\x0c\r"
-BATCH_BYTES = 4 << 20
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _UNSET_FOLDER = "/tmp/checkpoints"
 
 
@@ -49,6 +51,20 @@ def forget(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def in_batches(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Has Spark pass ``BATCH_ROWS`` rows at a time to Python, not its own 10,000, which for long
+    texts are hundreds of megabytes in either process. A setting of the session's owner stays."""
+
+    @wraps(operator)
+    def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+        conf = df.sparkSession.conf
+        if conf.get(_ROWS_SETTING) == "10000":
+            conf.set(_ROWS_SETTING, str(BATCH_ROWS))
+        return operator(df, *args, **kwargs)
+
+    return run
+
+
 def bounded(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``column`` holds about ``limit`` bytes, one row at least."""
     for batch in batches:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, table
+from tessera.llm.common import bounded, in_batches, table
 
 BLOCK, UNIT, RATE, BITS = 1024, 64, 8000, 8
 LPC_ORDER, LPC_BITS, MAX_PARTITION = 4, 7, 2
@@ -427,6 +427,7 @@ def padded(raw: bytes) -> bytes:
     return raw + bytes(max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw))
 
 
+@in_batches
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): every text's padded bytes as a FLAC file."""
 
@@ -440,6 +441,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return kept.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+@in_batches
 def from_media(media: DataFrame) -> DataFrame:
     """Adds the payload read back and the decoding's figures to (doc_id, n_bytes, media)."""
 
@@ -452,6 +454,7 @@ def from_media(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, media binary, payload binary, feature string")
 
 
+@in_batches
 def pcm_blocks(media: DataFrame) -> DataFrame:
     """(doc_id, block, sample_offset, pcm): decoded blocks, each to be sought by its sample offset."""
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, table
+from tessera.llm.common import bounded, in_batches, table
 
 MAX_GAP = 2
 
@@ -164,6 +164,7 @@ class Knowledge:
         return sorted(out, key=lambda x: x[1])
 
 
+@in_batches
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: tuple = RULES, anchors: tuple = ANCHORS) -> DataFrame:
     """(doc_id, licences array<struct<name, start>>, sentence_ids array<string>); no shuffle."""
     kind = pa.list_(pa.struct([("name", pa.string()), ("start", pa.int64())]))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, stored
+from tessera.llm.common import bounded, in_batches, stored
 from tessera.llm.components import components
 from tessera.llm.simhash import bits_of, linked, majority, pair_lanes, shingle_hashes
 
@@ -48,6 +48,7 @@ def _odd(n: int, seed: int) -> np.ndarray:
 MIX, PERMUTE = _odd(WORDS, 5), _odd(BANDS * ROWS, 6)
 
 
+@in_batches
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, same, fp array<long>, keys array<long>); ``same`` is equal for equal sets of shingles."""
 
@@ -110,6 +111,7 @@ def few(df: DataFrame, limit: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+@in_batches
 def block_links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """(u, v) from rows (doc_id, fp, keys): texts that blocks link, each to the first of its group there."""
     keys = distinct.select("doc_id", F.posexplode("keys").alias("band", "key"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, table
+from tessera.llm.common import bounded, in_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1
@@ -284,6 +284,7 @@ def digest(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
 
 
+@in_batches
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, n_added, base, spans): counts of the base, both lists as text."""
     field = trained()
@@ -316,6 +317,7 @@ def redacted(text: str | None, spans: list[Span]) -> str | None:
     return "".join([*out, text[at:]])
 
 
+@in_batches
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, with personal data in the text replaced."""
     field = trained()

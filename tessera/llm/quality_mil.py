@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, table
+from tessera.llm.common import bounded, in_batches, table
 
 PASSAGE, SAMPLE, THRESHOLD = 512, 4000, 0.7
 HIDDEN, GATE, ROUNDS, SEED = 24, 16, 400, 7
@@ -142,6 +142,7 @@ def _scorer(model: Model | None):
     return run
 
 
+@in_batches
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` labelled documents that aren't held out.
 
@@ -158,12 +159,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(every, np.array([len(b) for b in x], np.int64), np.array([y[r.doc_id] for r in rows], np.float32))
 
 
+@in_batches
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for each row."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(_scorer(model), "doc_id long, score double")
 
 
+@in_batches
 def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, all columns as they were."""
     at = docs.columns.index(text_col)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, stored, table
+from tessera.llm.common import bounded, in_batches, stored, table
 from tessera.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -69,6 +69,7 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+@in_batches
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fp), the fingerprint's bits in a signed long; no shuffle."""
 
@@ -216,6 +217,7 @@ def block_masks(radius: int = RADIUS, pieces: int = PIECES) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in found]
 
 
+@in_batches
 def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (u, v) that join all distinct fingerprints ``fp`` within ``radius``, directly or on."""
     masks = F.array(*[F.lit(m).cast("long") for m in block_masks(radius)])

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, stored, table
+from tessera.llm.common import bounded, in_batches, stored, table
 
 PACKAGE_BYTES = 8 << 20
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -181,6 +181,7 @@ def read_record(fields: dict[str, str], block: bytes) -> dict:
     return {"page_id": number(fields["WARC-Record-ID"]), "payload_bytes": size, "payload_digest": stated, "record_type": fields["WARC-Type"], "refers_to": None if response else number(fields["WARC-Refers-To"]), "payload": payload if response else None}
 
 
+@in_batches
 def write_packages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", package_bytes: int = PACKAGE_BYTES) -> DataFrame:
     """(name, content): the pages' records in packages, in the shared folder.
 
@@ -211,6 +212,7 @@ def write_packages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
+@in_batches
 def read_packages(packages: DataFrame) -> DataFrame:
     """A row for each record of the packages (name, content), payloads of responses included."""
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
