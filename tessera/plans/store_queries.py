@@ -71,7 +71,7 @@ def palette_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _library(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     s = sources(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("notebook").alias("notebook_id"), F.lit("file").alias("kind"), "title", "bytes", F.col("doc_id").alias("added_at"))
-    return s, s.where("id % 7 = 0").select("id", F.lit("moved").alias("notebook_id"), F.lit("web").alias("kind"), F.upper("title").alias("title"), (F.col("bytes") + 1).alias("bytes"), F.lit(-1).cast("long").alias("added_at"))
+    return s, s.where("id % 7 = 0").select("id", F.lit("moved").alias("notebook_id"), F.lit("web").alias("kind"), F.concat(F.lit("> "), "title").alias("title"), (F.col("bytes") + 1).alias("bytes"), F.lit(-1).cast("long").alias("added_at"))
 
 
 def upsert_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,8 +184,8 @@ SQL = {
     "palette_search": f"""WITH {SOURCES_SQL}, a AS (SELECT DISTINCT 'nb-' || notebook AS id, {_match("notebook", 100)} AS score FROM sources UNION ALL SELECT 'src-' || doc_id, {_match("title || ' ' || site", 70)} FROM sources UNION ALL SELECT 'note-' || item_id, {_match("text", 60)} FROM benchmark)
         SELECT id, score::INT AS score FROM a WHERE score > 0 ORDER BY score DESC, id LIMIT 40""",
     "upsert_sources": f"""WITH {SOURCES_SQL}, o AS (SELECT doc_id AS id, notebook AS notebook_id, 'file' AS kind, title, bytes, doc_id AS added_at FROM sources)
-        SELECT id, notebook_id, kind, CASE WHEN id % 7 = 0 THEN upper(title) ELSE title END AS title, CASE WHEN id % 7 = 0 THEN bytes + 1 ELSE bytes END AS bytes, added_at FROM o
-        UNION ALL SELECT id + 1000000000, 'moved', 'web', upper(title), bytes + 1, -1 FROM o WHERE id % 7 = 0""",
+        SELECT id, notebook_id, kind, CASE WHEN id % 7 = 0 THEN '> ' || title ELSE title END AS title, CASE WHEN id % 7 = 0 THEN bytes + 1 ELSE bytes END AS bytes, added_at FROM o
+        UNION ALL SELECT id + 1000000000, 'moved', 'web', '> ' || title, bytes + 1, -1 FROM o WHERE id % 7 = 0""",
     "replace_chunks": f"WITH {_LINES}, kept AS (SELECT doc_id, length(text) AS n FROM lines WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, 0 FROM documents WHERE doc_id % 5 = 0 AND doc_id % 10 <> 0) SELECT doc_id AS source_id, count(*)::BIGINT AS n_chunks, sum(n)::BIGINT AS n_chars FROM kept GROUP BY doc_id",
     "cascade_delete": f"WITH {_LINES} SELECT (SELECT count(DISTINCT lang) FROM documents WHERE lang <> 'de')::BIGINT AS notebooks, (SELECT count(*) FROM documents WHERE lang <> 'de')::BIGINT AS sources, (SELECT count(*) FROM lines l JOIN documents d ON l.doc_id = d.doc_id WHERE lang <> 'de')::BIGINT AS chunks",
     "orphan_check": "SELECT (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents))::BIGINT AS labels_without_document, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings))::BIGINT AS documents_without_vector",
