@@ -129,7 +129,8 @@ def block_links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """(doc_id, group) of the documents that have near-duplicates: the group is the least doc_id in it."""
     signed = stored(signatures(docs, id_col, text_col))
-    sets = signed.groupBy("same").agg(F.min("doc_id").alias("first"))
+    # Written first, so that the join may split the rows of one large group of copies.
+    sets = stored(signed.groupBy("same").agg(F.min("doc_id").alias("first")))
     equal = stored(signed.select("doc_id", "same").join(sets, "same").select("doc_id", "first").where("doc_id <> first").distinct())
     # A document is compared unless an equal one comes first.
     distinct = signed.join(few(equal.select("doc_id")), "doc_id", "left_anti").dropDuplicates(["doc_id"]).select("doc_id", "fp", "keys")
