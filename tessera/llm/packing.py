@@ -87,19 +87,21 @@ class WordIds(dict):
         self[word] = n = len(self)
         return n
 
-    def _encode(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word. Words of plain letters go together as one text: the
-        vocabulary marks the last token of each, which tells them apart again."""
-        encode = lambda texts, n=2048: [e.ids for k in range(0, len(texts), n) for e in self.tokenizer.encode_batch_fast(texts[k : k + n], add_special_tokens=False)]
-        letters = [w.isalpha() and max(w) <= "\xff" for w in words]
-        joined = [w for w, ok in zip(words, letters, strict=True) if ok]
-        ids = [i for x in encode([" ".join(joined[k : k + 500]) for k in range(0, len(joined), 500)], 8) for i in x]
-        ends = (np.flatnonzero(self.last[np.array(ids, np.int64)]) + 1).tolist()
+    def _encode(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places among ``words``, ids one after another, ids of each), in two parts. Words of plain
+        letters go together as one text: the vocabulary marks the last token of each, which tells
+        them apart again."""
+        few = lambda texts, n: [texts[k : k + n] for k in range(0, len(texts), n)]
+        encode = lambda some: [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        flat = lambda found: np.fromiter(chain.from_iterable(found), np.uint32, sum(map(len, found)))
+        letters = np.array([w.isalpha() and (w.isascii() or max(w) <= "\xff") for w in words], bool)
+        joined, other = [w for w, ok in zip(words, letters, strict=True) if ok], [w for w, ok in zip(words, letters, strict=True) if not ok]
+        ids = np.concatenate([np.zeros(0, np.uint32), *(flat(encode([" ".join(part)])) for part in few(joined, 1000))])
+        ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(joined):
-            return encode(words)
-        cut = iter([ids[a:b] for a, b in zip([0, *ends], ends, strict=False)])
-        other = iter(encode([w for w, ok in zip(words, letters, strict=True) if not ok]))
-        return [next(cut if ok else other) for ok in letters]
+            letters[:], other, ids, ends = False, words, ids[:0], ends[:0]
+        rest = [x for part in few(other, 2048) for x in encode(part)]
+        return [(np.flatnonzero(letters), ids, np.diff(ends, prepend=0)), (np.flatnonzero(~letters), flat(rest), np.fromiter(map(len, rest), np.int64, len(rest)))]
 
     def _shrink(self) -> None:
         """Keep the half of the words that were met most often."""
@@ -119,16 +121,17 @@ class WordIds(dict):
             return
         fresh = np.zeros(len(self) - known, np.int64)
         self.length, self.hits = np.concatenate([self.length, fresh]), np.concatenate([self.hits, fresh])
-        found = self._encode([w for _, w in self.plain])
         at = np.array([n for n, _ in self.plain], np.int64)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.length[at] = lengths
+        found = [(at[place], ids, lengths) for place, ids, lengths in self._encode([w for _, w in self.plain])]
+        for at, _, lengths in found:
+            self.length[at] = lengths
         marked = np.array(self.marked, np.int64).reshape(-1, 3)
         self.length[marked[:, 0]] = self.length[marked[:, 1]] + 1
         new = self.length[known:]
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(new) - new])
         self.flat = np.concatenate([self.flat, np.zeros(int(new.sum()), np.uint32)])
-        self.flat[spread(self.start[at], lengths)] = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
+        for at, ids, lengths in found:
+            self.flat[spread(self.start[at], lengths)] = ids
         to, base, mark = marked.T
         self.flat[spread(self.start[to], self.length[base])] = self.flat[spread(self.start[base], self.length[base])]
         self.flat[self.start[to] + self.length[base]] = mark
