@@ -188,7 +188,8 @@ def write_packages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     The largest page_id of each payload comes from partial maxima, so a payload
     with many copies reaches one task as a row from each task that read it."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    kept = rows.groupBy("sha").agg(F.max("page_id").alias("keeper"))
+    # Written first, so that the join may split the rows of one payload with many copies.
+    kept = stored(rows.groupBy("sha").agg(F.max("page_id").alias("keeper")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         package = Package()
