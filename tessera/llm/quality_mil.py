@@ -81,7 +81,8 @@ class Model:
     def score(self, x: np.ndarray, bags: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(bags), self.constant)
-        return _forward(self.w, np.clip((x - self.mean) / self.scale, -6, 6), np.cumsum(bags) - bags, bags)["p"]
+        scaled = np.clip((x.astype(np.float64) - self.mean) / self.scale, -6, 6)
+        return np.round(_forward(self.w, scaled, np.cumsum(bags) - bags, bags)["p"], 9)
 
 
 def _forward(w: dict[str, np.ndarray], x: np.ndarray, start: np.ndarray, bags: np.ndarray) -> dict[str, np.ndarray]:
