@@ -14,7 +14,8 @@ A block of over ``BLOCK`` rows is split into parts, and each two parts make a
 tile, so no task takes more than about two parts at once.
 
 Cases: null and empty texts are one group. Rows that share a doc_id are one
-document, of which one row stays. Ties go to the least doc_id. Other columns
+document, of which one row stays; rows without one are compared to none and
+all stay. Ties go to the least doc_id. Other columns
 are kept, whatever their names. An empty table gives no rows."""
 
 from __future__ import annotations
@@ -128,7 +129,7 @@ def block_links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """(doc_id, group) of the documents that have near-duplicates: the group is the least doc_id in it."""
-    signed = stored(signatures(docs, id_col, text_col))
+    signed = stored(signatures(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
     # Written first, so that the join may split the rows of one large group of copies.
     sets = stored(signed.groupBy("same").agg(F.min("doc_id").alias("first")))
     equal = stored(signed.select("doc_id", "same").join(sets, "same").select("doc_id", "first").where("doc_id <> first").distinct())
@@ -142,4 +143,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs`` that stay: one of each group, all columns as they were."""
     gone = stored(near_groups(docs, id_col, text_col).where(F.col("doc_id") != F.col("group")).select(F.col("doc_id").alias("__gone")))
     left = docs.join(few(gone), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    return left.dropDuplicates([id_col])
+    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")))
+    return left.withColumn("__tessera_key", key).dropDuplicates(["__tessera_key"]).drop("__tessera_key")

@@ -126,7 +126,8 @@ def fit(x: np.ndarray, bags: np.ndarray, y: np.ndarray) -> Model:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    """Whether labels of a document are kept from training; a null id's aren't known."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def _scorer(model: Model | None):

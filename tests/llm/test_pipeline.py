@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from tessera.llm import near_dedup as N
@@ -125,6 +126,10 @@ def test_odd_rows(spark, docs):
     assert r.columns == d.columns and sorted(x.doc_id for x in r.collect()) == [2, 2, 4, 4]
     k = N.deduplicate(d)
     assert k.columns == d.columns and sorted(x.doc_id for x in k.collect()) == [0, 2, 3, 4]
+    unnamed = d.withColumn("doc_id", F.when(F.col("doc_id") > 2, F.col("doc_id")))
+    assert sorted(x.doc_id or 0 for x in N.deduplicate(unnamed).collect()) == [0] * 6 + [3, 4]
+    assert packing.pack(unnamed, __import__("public_tokenizers").path("word_bpe_49k.json")).where("doc_id is null").count() >= 6
+    assert pii.redact(unnamed).count() == 10 and S.near_duplicates(unnamed).count() == 10
     empty = d.where("false")
     model = quality_mil.Model(np.zeros(1), np.ones(1), {}, 1.0)
     assert quality_mil.keep(d, model).count() == 10
