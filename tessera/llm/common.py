@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
@@ -34,14 +35,29 @@ def scratch(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    This cuts lineage and survives the loss of any executor."""
+    This cuts lineage and survives the loss of any executor. The folder is
+    deleted when the driver's Python ends, as what is read from it is lazy."""
     spark = df.sparkSession
     df.write.parquet(path := scratch(spark))
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
+    if not _kept:
+        atexit.register(_forget_all)
+    _kept[path] = out
     return out
 
 
+_kept: dict[str, DataFrame] = {}
+
+
+def _forget_all() -> None:
+    for df in list(_kept.values()):
+        try:
+            forget(df)
+        except Exception:  # noqa: BLE001 - the session may have ended first
+            return
+
+
 def forget(df: DataFrame) -> None:
     """Delete what ``stored`` wrote; for state that a later round replaced."""
     path = getattr(df, "_tessera_path", None)
@@ -49,6 +65,7 @@ def forget(df: DataFrame) -> None:
         spark = df.sparkSession
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _kept.pop(path, None)
 
 
 def in_batches(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
