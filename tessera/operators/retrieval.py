@@ -193,6 +193,37 @@ def assemble(selected: DataFrame, chunks: DataFrame, titles: DataFrame, budget:
     return blocks.withColumn("total", total).where((F.col("total") <= budget) | (F.col("n") == 1)).select("n", "chunk_id", "marker", "body", "estimate")
 
 
+WEB_ALLOWANCE = 1200
+# Headings of the context's two parts.
+SOURCES_HEADING = "NOTEBOOK SOURCES (the user's own collected material):"
+WEB_HEADING = "WEB RESULTS (live search; NOT part of the user's notebook):"
+BETWEEN = "\n\n---\n\n"
+
+
+def assemble_web(web: DataFrame, blocks: DataFrame, budget: int) -> DataFrame:
+    """(n, marker, body, estimate) of web results (position, title, url, content): they go on with the
+    count of the source ``blocks``, up to ``WEB_ALLOWANCE`` beyond the budget; the first block of all stays."""
+    used = blocks.agg(F.coalesce(F.sum("estimate"), F.lit(0)).alias("used"))
+    numbered = web.withColumn("n", F.row_number().over(Window.orderBy("position")))
+    marker = F.concat(F.lit("[Web "), F.col("n").cast("string"), F.lit("]"))
+    body = F.concat(F.col("marker"), F.lit(" "), "title", F.lit(" — "), "url", F.lit("\n"), T.preview(F.col("content"), 1200))
+    rows = numbered.withColumn("marker", marker).withColumn("body", body).withColumn("estimate", T.token_estimate(F.col("body"))).crossJoin(F.broadcast(used))
+    total = F.col("used") + F.sum("estimate").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    kept = rows.withColumn("total", total).where((F.col("total") <= budget + WEB_ALLOWANCE) | ((F.col("n") == 1) & (F.col("used") == 0)))
+    return kept.select("n", "marker", "body", "estimate")
+
+
+def context_text(blocks: DataFrame, web: DataFrame | None = None) -> DataFrame:
+    """One row (context): the blocks under their headings, which a part without blocks lacks."""
+    rows = blocks.select(F.lit(0).alias("part"), "n", "body")
+    rows = rows if web is None else rows.unionByName(web.select(F.lit(1).alias("part"), "n", "body"))
+    # Blocks are as few as the budget allows.
+    one = rows.agg(F.sort_array(F.collect_list(F.struct("part", "n", "body"))).alias("all"))
+    part = lambda i, head: F.filter("all", lambda x: x["part"] == i) if head is None else F.concat(F.lit(f"{head}\n\n"), F.array_join(F.transform(F.filter("all", lambda x: x["part"] == i), lambda x: x["body"]), BETWEEN))
+    shown = [F.when(F.size(part(i, None)) > 0, part(i, head)) for i, head in ((0, SOURCES_HEADING), (1, WEB_HEADING))]
+    return one.select(F.array_join(F.array_compact(F.array(*shown)), "\n\n").alias("context"))
+
+
 def resolve_citations(answers: DataFrame, citations: DataFrame) -> DataFrame:
     """(answer_id, cited, invented, cleaned, insufficient) of (answer_id, answer), citations being (answer_id, marker).
 

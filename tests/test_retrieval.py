@@ -109,3 +109,19 @@ def test_settings():
     s = R.Settings(results=500, candidates=1, budget=1, per_source=0).clamped()
     assert (s.results, s.candidates, s.budget, s.per_source) == (60, 60, 500, 1)
     assert T.keyword_terms("is it the") == ["is", "or", "it", "or", "the"]
+
+
+def test_context_with_web_results(spark, library):
+    chunks, _ = library
+    picked = spark.createDataFrame([(0, 1), (2, 2)], "chunk_id long, rank int")
+    titles = chunks.select("source_id").distinct().select("source_id", F.col("source_id").alias("title"), F.lit(None).cast("string").alias("location"))
+    web = spark.createDataFrame([(i, f"W{i}", f"http://w/{i}", "words " * 300) for i in range(1, 9)], "position int, title string, url string, content string")
+    blocks = R.assemble(picked, chunks, titles, 4000)
+    found = R.assemble_web(web, blocks, 500)
+    used = sum(r.estimate for r in blocks.collect())
+    rows = found.orderBy("n").collect()
+    assert 0 < len(rows) < 8 and used + sum(r.estimate for r in rows) <= 1700 < used + sum(r.estimate for r in rows) + rows[0].estimate
+    text = R.context_text(blocks, found).first().context
+    assert text.startswith(R.SOURCES_HEADING + "\n\n[Source 1] Inspectorate Annual Report\nSection: ") and "\n\n---\n\n[Source 2]" in text and R.WEB_HEADING + "\n\n[Web 1] W1 — http://w/1\n" in text
+    assert R.WEB_HEADING not in R.context_text(blocks).first().context
+    assert R.assemble_web(web, blocks.where("false"), -5000).count() == 1
