@@ -86,6 +86,11 @@ def semantic_scores(vectors: DataFrame, query: list[float]) -> DataFrame:
     return vectors.select("chunk_id", score.alias("semantic")).where("semantic > 0")
 
 
+def _short(rows: DataFrame) -> DataFrame:
+    """A top list of at most ``Settings.candidates`` rows (400), taken once instead of once for each use."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
 def _ranked(scores: DataFrame, score: str, name: str) -> DataFrame:
     return scores.withColumn(name, F.row_number().over(Window.orderBy(F.desc(score), "chunk_id")))
 
@@ -96,8 +101,8 @@ def fuse(semantic: DataFrame, keyword: DataFrame, candidates: int) -> DataFrame:
     Only the first ``candidates`` of a channel can be among the best by rank in
     it alone. A keyword hit beyond the vector channel's list has its exact rank
     there counted, as one more than the scores above its own."""
-    words = _ranked(keyword.orderBy(F.desc("keyword"), "chunk_id").limit(candidates), "keyword", "kr")
-    top = _ranked(semantic.orderBy(F.desc("semantic"), "chunk_id").limit(candidates), "semantic", "sr")
+    words = _short(_ranked(keyword.orderBy(F.desc("keyword"), "chunk_id").limit(candidates), "keyword", "kr"))
+    top = _short(_ranked(semantic.orderBy(F.desc("semantic"), "chunk_id").limit(candidates), "semantic", "sr"))
     hit = semantic.join(F.broadcast(words.select("chunk_id")), "chunk_id").select("chunk_id", F.col("semantic").alias("score"))
     above = (F.col("semantic") > F.col("score")) | ((F.col("semantic") == F.col("score")) & (F.col("s.chunk_id") < F.col("h.chunk_id")))
     beaten = semantic.alias("s").join(F.broadcast(hit).alias("h"), above).groupBy(F.col("h.chunk_id").alias("chunk_id")).agg(F.count("*").alias("above"))
@@ -106,7 +111,7 @@ def fuse(semantic: DataFrame, keyword: DataFrame, candidates: int) -> DataFrame:
     rrf = lambda r: F.coalesce(F.lit(1.0) / (F.lit(RRF_K) + F.col(r)), F.lit(0.0))
     both = F.when(F.col("sr").isNotNull() & F.col("kr").isNotNull(), F.lit(BOTH_CHANNELS)).otherwise(F.lit(1.0))
     joined = ranks.join(words, "chunk_id", "full_outer").withColumn("rrf", (rrf("sr") + rrf("kr")) * both)
-    best = joined.orderBy(F.desc("rrf"), "chunk_id").limit(candidates)
+    best = _short(joined.orderBy(F.desc("rrf"), "chunk_id").limit(candidates))
     return best.withColumn("fused", F.col("rrf") / F.max("rrf").over(Window.partitionBy())).drop("sr", "kr")
 
 
