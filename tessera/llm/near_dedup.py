@@ -6,12 +6,17 @@ distance estimates the similarity of two shingle sets (at 0.8 within 0.02), and
 similarity share one but in 2 of 10,000 cases. Texts with the same set of
 shingles count as one from the start. Within a block every text is held
 against all others by ``simhash``'s comparison: bit planes, carry-save
-counters, blocks given up. Texts within ``RADIUS`` are linked; a block gives
-one link for each text to the first of its group, never all pairs. Groups are
-the components of these links; the least doc_id of each stays.
+counters, blocks given up. Texts within ``WIDE`` bits are candidates, which a
+pair at the similarity exceeds in 3 of 100,000 cases; a block gives one link
+for each text to the first of its group, never all pairs. The components of
+these links only say which texts to hold against each other: within one, two
+texts are linked where the exact similarity of their shingle sets is
+``SIMILARITY`` at least. Groups are the components of the exact links; the
+least doc_id of each stays.
 
 A block of over ``BLOCK`` rows is split into parts, and each two parts make a
-tile, so no task takes more than about two parts at once.
+tile, so no task takes more than about two parts at once. Components of over
+``PART`` rows or ``PART_BYTES`` of text are split likewise.
 
 Cases: null and empty texts are one group. Rows that share a doc_id are one
 document, of which one row stays; rows without one are compared to none and
@@ -31,13 +36,17 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded, in_batches, stored
 from tessera.llm.components import components
+from tessera.llm.packing import spread
 from tessera.llm.simhash import bits_of, linked, majority, pair_lanes, shingle_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 WORDS, BANDS, ROWS = 8, 12, 3
 #: Differing bits to expect at SIMILARITY: the angle between two sets of one size, over pi, of all bits.
 RADIUS = round(64 * WORDS * math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi)
+#: Four standard errors of that number more: pairs to be compared exactly.
+WIDE = math.ceil(RADIUS + 4 * math.sqrt(RADIUS * (1 - RADIUS / (64 * WORDS))))
 BLOCK = 20_000
+PART, PART_BYTES = 4_000, 8 << 20
 #: Rows that may be broadcast, of 8 bytes each.
 FEW = 1_000_000
 
@@ -51,7 +60,8 @@ MIX, PERMUTE = _odd(WORDS, 5), _odd(BANDS * ROWS, 6)
 
 @in_batches
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, same, fp array<long>, keys array<long>); ``same`` is equal for equal sets of shingles."""
+    """(doc_id, same, fp array<long>, keys array<long>, mark, size); ``same`` is equal for equal sets of
+    shingles, ``mark`` and ``size`` are a hash of the text and its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text", 1 << 20):
@@ -68,10 +78,14 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 keys = (keys ^ keys >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + least[:, :, r]
             same = [f"{int(a):x}.{int(b):x}.{int(c):x}" for a, b, c in zip(full, np.add.reduceat(hashes, start), np.bitwise_xor.reduceat(hashes * MIX[0], start), strict=True)]
             lists = lambda a: pa.FixedSizeListArray.from_arrays(pa.array(a.ravel().view(np.int64)), a.shape[1]).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same), lists(fps), lists(keys)], names=["doc_id", "same", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same), lists(fps), lists(keys), batch.column("mark"), batch.column("size")], names=["doc_id", "same", "fp", "keys", "mark", "size"])
 
+    return _marked(docs, id_col, text_col).mapInArrow(run, "doc_id long, same string, fp array<long>, keys array<long>, mark long, size long")
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(run, "doc_id long, same string, fp array<long>, keys array<long>")
+    return kept.withColumn("mark", F.xxhash64("text")).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
 
 
 def _fps(column: pa.Array) -> np.ndarray:
@@ -112,30 +126,101 @@ def few(df: DataFrame, limit: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def _dealt(rows: DataFrame, block: list[str], hot: DataFrame) -> DataFrame:
+    """``rows`` sorted by block, with columns part and other: the tile, where ``hot`` (block, parts) splits a block."""
+    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    others = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: q != F.col("mine")))
+    tiles = rows.join(few(hot), block, "left").withColumn("mine", F.coalesce(part, F.lit(0))).select(*rows.columns, "mine", F.explode(others).alias("to"))
+    tags = [*block, "part", "other"]
+    placed = tiles.select(*rows.columns, F.least("mine", "to").alias("part"), F.greatest("mine", "to").alias("other"))
+    return placed.repartition(*tags).sortWithinPartitions(*tags, "doc_id")
+
+
 @in_batches
-def block_links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def block_links(distinct: DataFrame, radius: int = WIDE, block: int = BLOCK) -> DataFrame:
     """(u, v) from rows (doc_id, fp, keys): texts that blocks link, each to the first of its group there."""
     keys = distinct.select("doc_id", F.posexplode("keys").alias("band", "key"))
     hot = stored(keys.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > block).withColumn("parts", F.ceil(F.col("n") / block).cast("int")).drop("n"))
-    rows = distinct.select("doc_id", "fp", F.posexplode("keys").alias("band", "key")).join(few(hot), ["band", "key"], "left")
-    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    others = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: q != F.col("mine")))
-    tiles = rows.withColumn("mine", F.coalesce(part, F.lit(0))).select("doc_id", "fp", "band", "key", "mine", F.explode(others).alias("to"))
-    tags = ["band", "key", "part", "other"]
-    placed = tiles.select("band", "key", F.least("mine", "to").alias("part"), F.greatest("mine", "to").alias("other"), "doc_id", "fp")
-    dealt = placed.repartition(*tags).sortWithinPartitions(*tags, "doc_id")
+    rows = distinct.select("doc_id", "fp", F.posexplode("keys").alias("band", "key"))
+    dealt = _dealt(rows, ["band", "key"], hot)
     return dealt.mapInArrow(partial(_block_links, radius=radius), "u long, v long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def alike(sets: list[np.ndarray], fps: np.ndarray, radius: int) -> np.ndarray:
+    """For each sorted set, the first of its group: pairs within ``radius`` whose exact similarity suffices join groups."""
+    n, size = len(sets), np.array([len(s) for s in sets], np.int64)
+    flat, start = np.concatenate(sets), np.cumsum(size) - size
+    free, root = np.ones(n, bool), np.arange(n)
+    for first in range(n):
+        if not free[first]:
+            continue
+        free[first], todo = False, [first]
+        for i in todo:
+            rest = np.flatnonzero(free)
+            rest = rest[np.minimum(size[rest], size[i]) >= SIMILARITY * np.maximum(size[rest], size[i])]
+            rest = rest[np.bitwise_count(fps[rest] ^ fps[i]).sum(1, dtype=np.int64) <= radius]
+            if not len(rest) or not size[i]:
+                continue
+            theirs = flat[spread(start[rest], size[rest])]
+            hit = sets[i][np.minimum(np.searchsorted(sets[i], theirs), size[i] - 1)] == theirs
+            common = np.add.reduceat(hit, np.cumsum(size[rest]) - size[rest], dtype=np.int64)
+            more = rest[common >= SIMILARITY * (size[rest] + size[i] - common)]
+            free[more] = False
+            todo += more.tolist()
+        root[todo] = first
+    return root
+
+
+def _exact_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Links from rows (label, part, other, doc_id, fp, text) sorted by the first three; a tile may span batches."""
+
+    def links(rows: pa.Table, cuts: list[int]) -> pa.RecordBatch:
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at, end in zip(cuts, cuts[1:], strict=False):
+            tile = rows.slice(at, end - at).combine_chunks()
+            ids, fps = tile.column("doc_id").to_numpy(), np.concatenate([_fps(c) for c in tile.column("fp").chunks])
+            root = alike([np.unique(np.array(shingle_hashes(t, SHINGLE), np.uint64)) for t in tile.column("text").to_pylist()], fps, radius)
+            on = root != np.arange(len(ids))
+            u.append(ids[on])
+            v.append(ids[root[on]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([*rest, batch])
+        tags = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("label", "part", "other")], 1)
+        cuts = [0, *(np.flatnonzero((tags[1:] != tags[:-1]).any(1)) + 1).tolist()]
+        yield links(rows, cuts)
+        rest = rows.slice(cuts[-1]).to_batches()
+    if rest:
+        rows = pa.Table.from_batches(rest)
+        yield links(rows, [0, rows.num_rows])
+
+
+@in_batches
+def exact_links(docs: DataFrame, members: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE, part: int = PART) -> DataFrame:
+    """(u, v) from ``docs`` and their components ``members`` (doc_id, mark, size, fp, label): texts of exact similarity."""
+    parts = F.ceil(F.greatest(F.col("n") / part, F.col("bytes") / PART_BYTES)).cast("int")
+    hot = stored(members.groupBy("label").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).select("label", parts.alias("parts")).where("parts > 1"))
+    texts = _marked(docs, id_col, text_col).select("doc_id", "mark", "text").join(few(members.drop("size"), FEW // 16), ["doc_id", "mark"])
+    rows = texts.dropDuplicates(["doc_id"]).select("label", "doc_id", "fp", "text")
+    return _dealt(rows, ["label"], hot).mapInArrow(partial(_exact_links, radius=radius), "u long, v long")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE, block: int = BLOCK) -> DataFrame:
     """(doc_id, group) of the documents that have near-duplicates: the group is the least doc_id in it."""
     signed = stored(signatures(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
     # Written first, so that the join may split the rows of one large group of copies.
     sets = stored(signed.groupBy("same").agg(F.min("doc_id").alias("first")))
     equal = stored(signed.select("doc_id", "same").join(sets, "same").select("doc_id", "first").where("doc_id <> first").distinct())
     # A document is compared unless an equal one comes first.
-    distinct = signed.join(few(equal.select("doc_id")), "doc_id", "left_anti").dropDuplicates(["doc_id"]).select("doc_id", "fp", "keys")
-    label = components(block_links(stored(distinct), radius, block).union(equal.select(F.col("doc_id").alias("u"), F.col("first").alias("v"))))
+    distinct = stored(signed.join(few(equal.select("doc_id")), "doc_id", "left_anti").dropDuplicates(["doc_id"]).select("doc_id", "fp", "keys", "mark", "size"))
+    close = components(block_links(distinct.select("doc_id", "fp", "keys"), radius, block)).withColumnRenamed("node", "doc_id")
+    members = stored(distinct.join(close, "doc_id").select("doc_id", "mark", "size", "fp", "label"))
+    exact = exact_links(docs.where(F.col(id_col).isNotNull()), members, id_col, text_col, radius, min(block, PART))
+    label = components(exact.union(equal.select(F.col("doc_id").alias("u"), F.col("first").alias("v"))))
     return label.select(F.col("node").alias("doc_id"), F.col("label").alias("group"))
 
 

@@ -118,6 +118,27 @@ def test_distance_follows_similarity():
         assert hits >= 28 if near else hits <= 2, (changes, hits)
 
 
+@pytest.mark.parametrize("block", [20_000, 30])
+def test_pairs_around_the_similarity_are_decided_exactly(docs, block):
+    """400 words of which 5 to 13 differ: similarities of 0.72 to 0.88, on either side of 0.8."""
+    rnd, texts = random.Random(6), []
+    for k in range(90):
+        base = [f"w{k}x{i}" for i in range(400)]
+        other = list(base)
+        for i in rnd.sample(range(10, 390, 6), 5 + k % 9):
+            other[i] = f"y{k}"
+        texts += [" ".join(base), " ".join(other)]
+    texts += [" ".join(f"v{i}" if i != j else f"z{j}" for i in range(400)) for j in range(40)]
+    assert {r.doc_id for r in N.deduplicate(docs(texts)).collect()} == brute_kept(dict(enumerate(texts)))
+    groups = {r.doc_id: r.group for r in N.near_groups(docs(texts), block=block).collect()}
+    assert {i for i in range(len(texts)) if groups.get(i, i) == i} == brute_kept(dict(enumerate(texts)))
+
+
+def test_near_duplicates_of_a_table_are_exact(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert {r.doc_id for r in N.deduplicate(d).collect()} == brute_kept({r.doc_id: r.text for r in d.collect()})
+
+
 def test_odd_rows(spark, docs):
     good = "This sentence is long enough to be kept by every rule of the set, as it ends with a stop."
     texts = [None, "", good + "\nMenu\nQuite another one follows here with other words in it, and is whole too.", "x" * 100_000, "a@b.co and 1.2.3.4 " + good]
