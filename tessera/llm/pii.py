@@ -5,10 +5,11 @@ field's nodes are a document's candidate mentions (runs of digits with their
 separators, mail-like forms); each has weights for its shape and the words
 before it. Chain edges join neighbours; skip edges join distant mentions whose
 normal forms are equal or similar (the same last seven digits, the same
-mailbox), each to the next of its kind, so edges grow with the text and not
-with its square. Loopy message passing over all of them makes a document's
-labels agree: a number that is a phone in one place is found in another form
-elsewhere. Mentions that a base pattern found are held at its kind; base spans
+mailbox), each to the next of its kind and to one that a base pattern found, so
+edges grow with the text and not with its square. Loopy message passing over
+all of them, until no message moves, makes a document's labels agree: a number
+that is a phone in one place is found in another form elsewhere, however often
+and far away. Mentions that a base pattern found are held at its kind; base spans
 always stay, and the field adds the mentions that overlap none of them.
 
 Weights are trained on generated mentions with known labels, by
@@ -26,6 +27,7 @@ import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,9 @@ from tessera.llm.common import bounded, in_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1
-ROUNDS, DAMPING, SURE = 12, 0.3, 0.8
+DAMPING, SURE = 0.3, 0.8
+#: Messages have settled once none moves more than this. After PATIENCE rounds damping grows, which ends oscillations.
+SETTLED, PATIENCE = 1e-4, 200
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -140,16 +144,41 @@ def shape(text: str, start: int, end: int, form: str) -> list[float]:
 EQUAL, SIMILAR, CHAIN = range(3)
 
 
-def edges(nodes: list[tuple[int, int, str]]) -> list[tuple[int, int, int]]:
-    """(node, later node, type): each to its neighbour, to the next equal and to the next similar form."""
+def _keys(form: str) -> tuple[tuple[int, tuple[str, str]], ...]:
+    return (EQUAL, ("=", form)), (SIMILAR, ("~", form.split("@")[0] if "@" in form else form[-7:]))
+
+
+def edges(nodes: list[tuple[int, int, str]], held: list[int] | None = None) -> list[tuple[int, int, int]]:
+    """(node, later node, type): each to its neighbour, to the next equal and to the next similar form.
+
+    With ``held`` (a label, or -1) each node that isn't held has an edge to a held one of an equal form, or
+    else of a similar one, too: the last before it, or else the first after it."""
     out, last = [], {}
     for i, (_, _, form) in enumerate(nodes):
         if i and nodes[i][0] - nodes[i - 1][1] < 200:
             out.append((i - 1, i, CHAIN))
-        for kind, key in ((EQUAL, ("=", form)), (SIMILAR, ("~", form.split("@")[0] if "@" in form else form[-7:]))):
+        for kind, key in _keys(form):
             if key in last and (kind == EQUAL or nodes[last[key]][2] != form):
                 out.append((last[key], i, kind))
             last[key] = i
+    if held is None or max(held, default=-1) < 0:
+        return out
+    near: list[dict[int, int]] = [{} for _ in nodes]
+    for order in (range(len(nodes)), range(len(nodes) - 1, -1, -1)):
+        seen: dict[tuple[str, str], int] = {}
+        for i in order:
+            for kind, key in _keys(nodes[i][2]):
+                if held[i] >= 0:
+                    seen[key] = i
+                elif key in seen:
+                    near[i].setdefault(kind, seen[key])
+    known = set(out)
+    for i, found in enumerate(near):
+        if found:
+            kind = min(found)
+            link = (min(i, found[kind]), max(i, found[kind]), kind)
+            if link not in known:
+                out.append(link)
     return out
 
 
@@ -160,7 +189,7 @@ class Field:
         self.unary, self.pair = unary, pair
 
     def marginals(self, x: np.ndarray, links: np.ndarray, held: np.ndarray) -> np.ndarray:
-        """Label shares of every node after loopy sum-product rounds; ``held`` nodes (label, or -1) stay."""
+        """Label shares of every node once loopy sum-product has settled; ``held`` nodes (label, or -1) stay."""
         u = x @ self.unary
         fixed = np.flatnonzero(held >= 0)
         u[fixed] = -30
@@ -172,14 +201,17 @@ class Field:
         table_ = np.concatenate([self.pair[kind], self.pair[kind].transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
         msg = np.zeros((len(source), LABELS))
-        for _ in range(ROUNDS):
+        for done in count():
             belief = u.copy()
             np.add.at(belief, to, msg)
             out = (belief[source] - msg[back])[:, :, None] + table_
             top = out.max(1, keepdims=True)
             new = np.log(np.exp(out - top).sum(1)) + top[:, 0]
             new -= new.max(1, keepdims=True)
-            msg = DAMPING * msg + (1 - DAMPING) * new
+            step = (1 - DAMPING) * min(1.0, PATIENCE / (done + 1)) ** 2 * (new - msg)
+            msg = msg + step
+            if np.abs(step).max() <= SETTLED:
+                break
         belief = u.copy()
         np.add.at(belief, to, msg)
         return _share(belief)
@@ -260,10 +292,11 @@ def added_spans(texts: list[str], bases: list[list[Span]], field: Field, sure: f
         nodes = candidates(text, base)
         known = {(s, e): KINDS.index(k) + 1 for k, s, e in reversed(base)}
         at = len(spans)
-        links += [(a + at, b + at, k) for a, b, k in edges(nodes)]
+        fixed = [known.get(n[:2], -1) for n in nodes]
+        links += [(a + at, b + at, k) for a, b, k in edges(nodes, fixed)]
         spans += [n[:2] for n in nodes]
         xs += [shape(text, *n) for n in nodes]
-        held += [known.get(n[:2], -1) for n in nodes]
+        held += fixed
         owner += [i] * len(nodes)
     out: list[list[Span]] = [[] for _ in texts]
     if not spans:

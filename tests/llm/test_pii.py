@@ -58,6 +58,15 @@ def test_distant_mentions_agree():
     assert found("Write to a12.lee (at) mail4.example (dot) com now.") == [("email", "a12.lee (at) mail4.example (dot) com")]
 
 
+def test_many_distant_repeats_agree():
+    far = " and so on and on" * 40
+    first, more = "Phone +1 (551) 555-0826 was given.", far + " no 5515550826 more."
+    for text in (first + more * 100, more * 100 + far + first, more * 50 + far + first + more * 50):
+        assert found(text) == [("phone", "5515550826")] * 100
+    both = "".join(far + f" no {'5515550826' if i % 2 else '551-555-0826'} more." for i in range(100))
+    assert len(found(first + both)) == 100 and found(more * 100) == []
+
+
 def test_plain_numbers_stay_clean():
     for t in ("On 2024-01-05 12-30 it rained.", "ISBN 978-3-16-148410-0 costs 12.", "Version 10.2.300.4 came.", 'token = "9c8b45435718dcc700c184a7e303cdc6"', "pi is 3.14159265", "1234567", "words only, no more"):
         assert found(t) == [], t
