@@ -29,14 +29,16 @@ END_ID = 1
 CACHE_WORDS = 250_000
 
 
-def _parts(text: str | None) -> list[str]:
+def _parts(text: str | None, added: tuple[str, ...] = ()) -> list[str]:
     """Words between spaces and line feeds. Letters up to U+00FF are put in lower
-    case, as the normaliser does too; that halves the forms to remember."""
+    case, as the normaliser does too; that halves the forms to remember. Texts
+    with one of the ``added`` tokens in any case stay, as these count as written."""
     if not text:
         return []
     try:
         text.encode("latin-1")
-        text = text.lower()
+        low = text.lower()
+        text = text if any(a in low for a in added) else low
     except UnicodeEncodeError:
         pass
     return text.replace("\n", " ").split(" ")
@@ -53,7 +55,7 @@ class WordIds(dict):
 
     The vocabulary's normaliser and splitter never join text across a space or
     a line feed, nor a letter with a full stop or comma, so the ids of a text
-    are those of such parts in order. Looking up words costs a fraction of
+    are those of such parts in order; added tokens hold neither. Looking up words costs a fraction of
     encoding every occurrence anew. The key None stands for the end of a
     document."""
 
@@ -62,7 +64,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
         tokens = self.tokenizer.get_vocab(with_added_tokens=False)
         self.last = np.zeros(max(tokens.values()) + 1, bool)
         self.last[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
@@ -141,7 +143,7 @@ class WordIds(dict):
         """All ids, each text's followed by the end id, and the count for each text."""
         if len(self) > self.most:
             self._shrink()
-        parts = [_parts(t) + [None] for t in texts]
+        parts = [_parts(t, self.added) + [None] for t in texts]
         at = np.fromiter(map(self.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
         self._learn()
         self.hits += np.bincount(at, minlength=len(self.hits))

@@ -31,6 +31,18 @@ def test_words_give_the_ids_of_whole_texts(whole_texts):
     assert counts.sum() == len(ids)
 
 
+def test_added_tokens_are_those_of_the_library(docs):
+    plain = Tokenizer.from_file(PATH)
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|endof text|>"]
+    texts = ["end <|endoftext|> go", *marks, *(f"{a}{m}{b}{m}{m}, Next {m}.\nAnd {m}" for m in marks for a, b in (("End", "Go"), (" É.", "x "), ("", "中")))]
+    want = [plain.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    assert want[0] == [806, 49407, 861, 1]
+    ids, counts = WordIds(PATH).encode(texts)
+    assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == list(map(len, want))
+    rows = pack(docs(texts), PATH).orderBy("doc_id", "start").collect()
+    assert [[i for r in rows if r.doc_id == k for i in np.frombuffer(r.ids, "<u4").tolist()] for k in range(len(texts))] == want
+
+
 def test_pieces_are_powers_of_two():
     for n in [1, 2, 3, 2047, 2048, 2049, 5000, 10240]:
         p = binary_pieces(n)
