@@ -96,7 +96,8 @@ RULES = (
     ("all-rights-reserved", ("all-rights",)),
 )
 #: Every known sentence has one of these, so a text without any needs no further look.
-ANCHORS = ("licen", "copyright", "rights reserved", "permission", "redistribut", "warrant", "mozilla", "public domain", "mpl was")
+#: Each is part of one word, as line breaks may stand between words.
+ANCHORS = ("licen", "copyright", "reserved", "permission", "redistribut", "warrant", "mozilla", "domain", "mpl")
 
 _STRONG = re.compile(r"[.!?;:…]+(?=\s|$)|\n\s*")
 _WORD = re.compile(r"[^\W_]+")
@@ -117,6 +118,16 @@ def words_and_marks(text: str) -> tuple[list[str], list[int], list[bool]]:
     return words, offsets, [*marks, True]
 
 
+def anchors_of(sentences: dict[str, str]) -> tuple[str, ...]:
+    """Parts of single words, one of which every text with any of the normalised sentences has."""
+    out = set()
+    for text in sentences.values():
+        words = [w for w in text.split() if w.isascii()]
+        known = [a for a in ANCHORS if any(a in w for w in words)]
+        out.add(known[0] if known else max(words, key=len, default=""))
+    return tuple(sorted(out))
+
+
 class Knowledge:
     """Sentences by their first words, and ordered rules."""
 
@@ -165,8 +176,11 @@ class Knowledge:
 
 
 @in_batches
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: tuple = RULES, anchors: tuple = ANCHORS) -> DataFrame:
-    """(doc_id, licences array<struct<name, start>>, sentence_ids array<string>); no shuffle."""
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules: tuple = RULES, anchors: tuple | None = None) -> DataFrame:
+    """(doc_id, licences array<struct<name, start>>, sentence_ids array<string>); no shuffle.
+
+    Texts without any of ``anchors``, by default those of ``sentences``, are not looked at."""
+    anchors = anchors_of(sentences) if anchors is None else anchors
     kind = pa.list_(pa.struct([("name", pa.string()), ("start", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +189,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
             names, ids = [], []
             for text in batch.column("text").to_pylist():
                 low = (text or "").lower()
-                found = known.sentences(text) if any(a in low for a in anchors) else []
+                found = known.sentences(text) if text and any(a in low for a in anchors) else []
                 names.append([{"name": n, "start": s} for n, s in known.licences(found)])
                 ids.append([n for n, _ in found if n])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, kind), pa.array(ids, pa.list_(pa.string()))], names=["doc_id", "licences", "sentence_ids"])

@@ -53,6 +53,18 @@ def test_anchors_cover_every_sentence():
     assert {i for _, seq in L.RULES for i in seq} == set(L.SENTENCES)
 
 
+def test_anchors_hold_across_line_breaks_and_for_other_sentences(docs):
+    """Each sentence alone, wrapped at every word in several ways."""
+    names = list(L.SENTENCES)
+    for gap in ("\n", "  ", "\n\t", " - "):
+        rows = {r.doc_id: r.sentence_ids for r in L.scan(docs(["Text. " + gap.join(L.SENTENCES[k].upper().split()) + "." for k in names])).collect()}
+        assert [rows[i] for i in range(len(names))] == [[k] for k in names]
+    assert L.scan(docs(["All rights\nreserved."])).first().licences[0].name == "all-rights-reserved"
+    own, rules = {"own": "use it as you like", "greek": "ελεύθερη χρήση"}, (("Own", ("own",)), ("Greek", ("greek",)))
+    rows = {r.doc_id: [x.name for x in r.licences] for r in L.scan(docs(["Use it\nas you LIKE!", "Ελεύθερη\nχρήση", None, "x"]), sentences=own, rules=rules).collect()}
+    assert rows == {0: ["Own"], 1: ["Greek"], 2: [], 3: []}
+
+
 def test_query_against_brute_force(spark, sf):
     """Short licence sentences of the documents are single lines."""
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
