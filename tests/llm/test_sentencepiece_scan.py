@@ -114,3 +114,12 @@ def test_query(spark, sf):
     for r in rows[:50]:
         ids = S.encode_texts(words, [texts[r.doc_id]])[0]
         assert (r.n_ids, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_models_with_spaces_inside_pieces_are_refused(monkeypatch):
+    model = S._model(PATH)
+    piece = next(p for p in model.pieces if p.type == model.SentencePiece.NORMAL)
+    piece.piece = "a\u2581b"
+    monkeypatch.setattr(S, "_model", lambda path: model)
+    with pytest.raises(ValueError, match="space"):
+        S.Lattice(PATH)
