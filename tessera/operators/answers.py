@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import replies
-from tessera.operators.retrieval import Settings, assemble, resolve_citations, retrieve
+from tessera.functions.lexicon import REFUSALS
+from tessera.functions.text import preview
+from tessera.operators import prompts, replies
+from tessera.operators.retrieval import Settings, assemble, assemble_web, context_text, resolve_citations, search
+
+#: Results of one search that discovery looks at.
+MOST_RESULTS = 24
 
 # What each study tool looks for and how widely.
 TOOL_QUERIES = {
@@ -84,37 +89,92 @@ class Answer:
     invented: list[str]
     insufficient: bool
     passages: int
-
-
-SYSTEM = "Answer from the numbered passages alone and cite them as [Source n]. Say so where they do not answer the question."
-
-
-def answer(provider: Provider, question: str, chunks: DataFrame, titles: DataFrame, vectors: DataFrame | None = None, query_vector: list[float] | None = None, settings: Settings = Settings()) -> Answer:
-    """Retrieve, assemble, ask, resolve. A reply that breaks off keeps the text so far."""
-    picked = retrieve(chunks, vectors, question, query_vector, settings)
-    blocks = assemble(picked, chunks, titles, settings.clamped().budget).orderBy("n").select("marker", "body").collect()
-    user = "\n\n---\n\n".join(b.body for b in blocks) + f"\n\nQuestion: {question}"
+    notices: list[str] = field(default_factory=list)
+
+
+def model_scores(provider: Provider, question: str):
+    """A function for ``search(model=)``: scores 0 to 1 of passages by the model's reply, None where it can't be read."""
+
+    def score(rows: list[Row]) -> list[float] | None:
+        if not rows:
+            return []
+        spark = SparkSession.active()
+        flat = spark.createDataFrame([(i, r.text) for i, r in enumerate(rows)], "i long, t string").select("i", preview(F.col("t"), 700).alias("t")).collect()
+        try:
+            reply = provider.generate(*prompts.rerank(question, [r.t for r in sorted(flat)]))
+        except Exception:
+            return None
+        return spark.createDataFrame([(reply,)], "r string").select(replies.rerank_scores(F.col("r"), len(rows))).first()[0]
+
+    return score
+
+
+def answer(
+    provider: Provider, question: str, chunks: DataFrame, titles: DataFrame, vectors: DataFrame | None = None, query_vector=None, settings: Settings = Settings(), *,
+    eligible: DataFrame | None = None, index=None, web: DataFrame | None = None, history: str | None = None, system: str | None = None, model_rerank: bool = False,
+) -> Answer:
+    """Search, assemble, ask, resolve. ``web`` (position, title, url, content) follows the sources within the
+    budget. A reply that breaks off keeps the text so far."""
+    model = model_scores(provider, question) if model_rerank else None
+    found = search(chunks, vectors, question, query_vector, settings, eligible=eligible, index=index, model=model)
+    budget = settings.clamped().budget
+    blocks = assemble(found.rows, chunks, titles, budget)
+    rows = blocks.orderBy("n").select("n", "marker", "body", "estimate").collect()
+    blocks = chunks.sparkSession.createDataFrame(rows, blocks.select("n", "marker", "body", "estimate").schema)
+    more = assemble_web(web, blocks, budget) if web is not None else None
+    given = [r.marker for r in rows] + ([r.marker for r in more.select("marker").collect()] if more is not None else [])
+    context = context_text(blocks, more).first().context
     said = ""
     try:
-        for part in provider.stream(SYSTEM, user):
+        for part in provider.stream(system or prompts.answer_system(bool(rows), len(given) > len(rows)), prompts.answer_user(question, context, history)):
             said += part
     except Exception:
         if not said:
             raise
     spark = chunks.sparkSession
-    given = spark.createDataFrame([(0, said)], "answer_id long, answer string")
-    known = spark.createDataFrame([(0, b.marker) for b in blocks], "answer_id long, marker string")
-    r = resolve_citations(given, known).first()
-    return Answer(r.cleaned, list(r.cited), list(r.invented), r.insufficient, len(blocks))
+    asked = spark.createDataFrame([(0, said)], "answer_id long, answer string")
+    r = resolve_citations(asked, spark.createDataFrame([(0, m) for m in given], "answer_id long, marker string")).first()
+    return Answer(r.cleaned, list(r.cited), list(r.invented), r.insufficient, len(rows), found.notices)
 
 
-def study(provider: Provider, tool: str, chunks: DataFrame, titles: DataFrame, settings: Settings = Settings(), focus: str | None = None):
-    """A study tool's reply: cards or quiz items where the tool has them, else the answer."""
-    names = [r.title for r in titles.select("title").limit(4).collect()]
-    out = answer(provider, tool_query(tool, names, focus), chunks, titles, settings=tool_settings(tool, settings, len(names)))
+def study(provider: Provider, tool: str, chunks: DataFrame, titles: DataFrame, settings: Settings = Settings(), focus: str | None = None, **how):
+    """A study tool's reply: cards or quiz items where the tool has them, else the answer. The first four titles
+    in order make the question of a tool without one of its own; the number of sources is that of all."""
+    n = titles.count()
+    names = [r.title for r in titles.select("title").orderBy("title").limit(4).collect()]
+    out = answer(provider, tool_query(tool, names, focus), chunks, titles, settings=tool_settings(tool, settings, n), system=prompts.study_system(tool), **how)
     return replies.flashcards(out.text) if tool == "flashcards" else replies.quiz(out.text) if tool == "quiz" else out
 
 
+def suggested_query(provider: Provider, question: str) -> str:
+    """A query that the model suggests, or the question where what it says doesn't look like one."""
+    try:
+        said = provider.generate(*prompts.suggest_query(question)).strip().strip('"')
+    except Exception:
+        return question
+    fits = said and "\n" not in said and len(said) <= max(80, 3 * len(question)) and not any(r in said.lower() for r in REFUSALS)
+    return said if fits else question
+
+
+def discover(provider: Provider | None, search_provider: SearchProvider, topic: str, spark: SparkSession, keep: int = 8) -> DataFrame:
+    """The results (position, title, url, snippet, reason) worth reading on a topic: searched with a suggested query,
+    one for each address key, chosen by the model or, without a readable reply, by navigation penalty."""
+    from tessera.functions.urls import dedupe_key
+
+    query = suggested_query(provider, topic) if provider else topic
+    found = search_provider.search(query, MOST_RESULTS)
+    rows = [(i, r.get("title") or r["url"], r["url"], r.get("snippet")) for i, r in enumerate(found, 1) if r.get("url")]
+    table = spark.createDataFrame(rows, "position int, title string, url string, snippet string").withColumn("key", dedupe_key(F.col("url")))
+    results = table.groupBy("key").agg(F.min(F.struct("position", "title", "url", "snippet")).alias("r")).select("r.*")
+    picks = None
+    if provider and rows:
+        try:
+            picks = replies.choices(provider.generate(*prompts.pick(topic, [r[:3] for r in rows], keep)), len(rows), keep)
+        except Exception:
+            picks = None
+    return pick_results(results, picks, keep)
+
+
 def pick_results(results: DataFrame, picks: list[tuple[int, str | None]] | None, keep: int) -> DataFrame:
     """The results (position from 1) that a model picked; without a readable reply those with the least navigation penalty."""
     from tessera.functions.urls import navigation_penalty
@@ -127,9 +187,12 @@ def pick_results(results: DataFrame, picks: list[tuple[int, str | None]] | None,
 
 
 def enrich(results: DataFrame, pages: DataFrame, top: int = 4) -> DataFrame:
-    """Web results with the text of their pages (url, text), for the first ``top`` where it is 200 characters longer than the snippet."""
-    from tessera.functions.text import preview
+    """Web results with the text of their pages (url, text), for the first ``top`` where it is 200 characters longer than the snippet.
 
+    Only these results' pages are joined; of several pages of one url the text that sorts first is taken."""
+    first = results.where(F.col("position") <= top).select("url").distinct()
+    texts = pages.join(F.broadcast(first), "url", "left_semi").groupBy("url").agg(F.min("text").alias("text"))
     richer = (F.col("position") <= top) & (F.length("p.text") > F.length(F.coalesce("snippet", F.lit(""))) + 200)
-    joined = results.join(pages.select("url", "text").alias("p"), "url", "left")
+    # At most ``top`` pages.
+    joined = results.join(F.broadcast(texts).alias("p"), "url", "left")
     return joined.withColumn("content", F.when(richer, preview(F.col("p.text"), 3000)).otherwise(F.col("content"))).drop("text")

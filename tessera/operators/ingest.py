@@ -5,15 +5,19 @@ keeps its id (by address or path) and has its passages replaced."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import urls as U
-from tessera.operators import embedding, passages
-from tessera.operators.store import Store, replace_children
+from tessera.operators import embedding, keyword_index, passages
+from tessera.operators.store import Store
 
 MIN_PASTED = 20
+# The settings that passages and vectors depend on.
+INDEX_SETTINGS = ("embedding_choice", "embedding_model", "chunk_target_tokens", "chunk_overlap_tokens", "heading_in_passages")
 
 
 def source_id(key: Column) -> Column:
@@ -43,28 +47,84 @@ def from_files(read: DataFrame) -> DataFrame:
 
 
 def build(sources: DataFrame, chunking: passages.Chunking = passages.Chunking(), vectors: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(sources with counts and status, their passages with vectors). One pass over the texts for each."""
+    """(sources with counts and status, their passages with vectors). One pass over the texts for each, no join."""
     numbered = sources.withColumn("status", F.when(F.col("text").isNull(), "failed").otherwise("ready"))
     rows = numbered.select("id", "kind", "title", "url", "status", "error", F.octet_length("text").cast("long").alias("bytes"), F.size(T.tokens(F.coalesce("text", F.lit("")))).cast("long").alias("words"), F.sha2("text", 256).alias("checksum"))
-    keyed = numbered.where("status = 'ready'").select("id", F.xxhash64("id").alias("doc_id"), "text")
-    made = passages.with_passages(keyed.select("doc_id", "text"), chunking=chunking)
-    chunks = made.join(keyed.select("doc_id", F.col("id").alias("source_id")), "doc_id").drop("doc_id")
-    chunks = chunks.select(F.concat_ws(":", "source_id", "ordinal").alias("id"), "source_id", "ordinal", "heading", "page", "start", "end", "token_count", "text")
+    made = passages.with_passages(numbered.where("status = 'ready'"), "id", "text", chunking).withColumnRenamed("doc_id", "source_id")
+    chunks = made.select(F.concat_ws(":", "source_id", "ordinal").alias("id"), "source_id", "ordinal", "heading", "page", "start", "end", "token_count", "text")
     return rows, embedding.with_vectors(chunks) if vectors else chunks
 
 
 def store_batch(store: Store, sources: DataFrame, chunking: passages.Chunking = passages.Chunking(), vectors: bool = True) -> DataFrame:
-    """Puts a batch into the store: sources upserted, their passages replaced; returns the batch's rows by status."""
+    """Puts a batch into the store as one change; returns the batch's rows by status.
+
+    Sources are upserted, their texts, passages (with vectors) and postings replaced and the
+    statistics of the buckets touched renewed: readers see all of these or none."""
     rows, chunks = build(sources, chunking, vectors)
-    written = store.write("_incoming_sources", rows)
-    new = store.write("_incoming_chunks", chunks)
-    if store.has("chunks"):
-        new = replace_children(store.read("chunks"), new, written.select(F.col("id").alias("source_id")), "source_id", "id")
-    store.write("chunks", new)
-    store.upsert("sources", written)
+    with store.change() as c:
+        written, new = c.stage(rows), c.stage(chunks)
+        ids = written.select(F.col("id").alias("source_id"))
+        touched = c.replace("chunks", new, ids, "source_id", "id")
+        c.replace("content", sources.where(F.col("text").isNotNull()).select(F.col("id").alias("source_id"), "text"), ids, "source_id", None)
+        c.replace("postings", keyword_index.postings(new.withColumnRenamed("id", "chunk_id")), ids, "source_id", None, sort=("term",))
+        counted = keyword_index.statistics(c.read("postings", touched).withColumn("bucket", c.bucket("source_id")))
+        c.write("statistics", counted.unionByName(c.read("statistics").where(~F.col("bucket").isin(*touched))) if c.has("statistics") else counted)
+        c.upsert("sources", written)
     return written.groupBy("status").agg(F.count("*").alias("sources"), F.sum("bytes").alias("bytes"), F.sum("words").alias("words"))
 
 
-def reindex(store: Store, texts: DataFrame, chunking: passages.Chunking = passages.Chunking()) -> DataFrame:
-    """Passages and vectors made anew from stored texts (id, kind, title, url, text, error)."""
+def index_of(store: Store) -> keyword_index.Index:
+    """The store's keyword index, for ``retrieval.search``."""
+    return keyword_index.Index(store.read("postings"), store.read("statistics"))
+
+
+def delete_sources(store: Store, ids: DataFrame) -> None:
+    """The sources (source_id) and all that hangs on them taken out, as one change."""
+    with store.change() as c:
+        touched = c.delete("chunks", ids, "source_id")
+        c.delete("content", ids, "source_id")
+        c.delete("postings", ids, "source_id")
+        counted = keyword_index.statistics(c.read("postings", touched).withColumn("bucket", c.bucket("source_id")))
+        c.write("statistics", counted.unionByName(c.read("statistics").where(~F.col("bucket").isin(*touched))))
+        c.delete("sources", ids.withColumnRenamed("source_id", "id"), "id")
+
+
+def reindex(store: Store, texts: DataFrame | None = None, chunking: passages.Chunking = passages.Chunking()) -> DataFrame:
+    """Passages, vectors and postings made anew from texts (id, kind, title, url, text, error), without any given from those stored."""
+    if texts is None:
+        texts = store.read("sources").select("id", "kind", "title", "url", "error").join(store.read("content").withColumnRenamed("source_id", "id"), "id", "left")
     return store_batch(store, texts, chunking)
+
+
+def needs_reindex(old: DataFrame, new: DataFrame) -> bool:
+    """Whether settings (name, value) changed in what passages and vectors depend on."""
+    kept = lambda df: df.where(F.col("name").isin(*INDEX_SETTINGS)).select("name", "value")
+    return not kept(old).exceptAll(kept(new)).isEmpty() or not kept(new).exceptAll(kept(old)).isEmpty()
+
+
+def known_source(found: DataFrame, stored: DataFrame) -> DataFrame:
+    """``found`` (url, canonical) with the id of the stored source (id, url) that it renews, or null: by canonical address first, else by its own."""
+    by = stored.select("id", U.dedupe_key(F.col("url")).alias("key")).groupBy("key").agg(F.min("id").alias("id"))
+    first = found.withColumn("c", U.dedupe_key(F.col("canonical"))).withColumn("r", U.dedupe_key(F.col("url")))
+    one = first.join(by.select(F.col("key").alias("c"), F.col("id").alias("by_canonical")), "c", "left")
+    two = one.join(by.select(F.col("key").alias("r"), F.col("id").alias("by_url")), "r", "left")
+    return two.withColumn("known_id", F.coalesce("by_canonical", "by_url")).drop("c", "r", "by_canonical", "by_url")
+
+
+def from_results(results: DataFrame, pages: DataFrame, most: int) -> DataFrame:
+    """Sources of a search's results (position, title, url, snippet) that are web pages and new by their address key,
+    the first ``most``, with their pages (url, problem, blocks) where these were fetched; else the failure says so."""
+    first = results.where(F.lower("url").rlike("^https?://")).withColumn("key", U.dedupe_key(F.col("url")))
+    # A search gives a page of results, so all of them are one small list.
+    kept = first.groupBy("key").agg(F.min_by(F.struct("position", "title", "url"), "position").alias("r")).select("key", "r.*").orderBy("position").limit(most)
+    text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n\n")
+    page = pages.join(F.broadcast(kept.select("url")), "url", "left_semi").groupBy("url").agg(F.min(F.struct("problem", text.alias("text"))).alias("p"))
+    joined = kept.join(F.broadcast(page), "url", "left")
+    return joined.select(source_id(F.col("key")).alias("id"), F.lit("website").alias("kind"), F.coalesce("title", "url").alias("title"), "url", F.when(F.col("p.problem").isNull(), F.col("p.text")).alias("text"), F.when(F.col("p").isNull(), F.lit("not fetched")).otherwise(F.col("p.problem")).alias("error"))
+
+
+def dispatch(pages: DataFrame | None = None, files: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """Sources of every kind as one table: pages, files (of a folder as well) and pasted texts; the first of each id."""
+    made = [f(x) for f, x in ((from_pages, pages), (from_files, files), (from_texts, texts)) if x is not None]
+    every = reduce(DataFrame.unionByName, made)
+    return every.groupBy("id").agg(F.min(F.struct("kind", "title", "url", "text", "error")).alias("s")).select("id", "s.*")

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.lexicon import MARKER
+from tessera.operators.batches import rows_of_texts
 
 _MARKER = re.compile(MARKER, re.I)
 _LEAD = re.compile(r"\A(?:- )?(?:\* )?(?:• )?(?:> )?")
@@ -104,6 +105,18 @@ def quiz(text: str) -> list[QuizItem]:
     return [QuizItem(_neat(i["q"]), [_neat(c) for c in i["choices"]], i["answer"], _neat(i["why"]), i["marker"]) for i in whole]
 
 
+def with_flashcards(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, ordinal, front, back, marker): every card of every reply."""
+    rows = lambda t: [(n, c.front, c.back, c.marker) for n, c in enumerate(flashcards(t))]
+    return rows_of_texts(texts, "ordinal long, front string, back string, marker string", rows, id_col, text_col, id_col)
+
+
+def with_quiz(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, ordinal, question, choices, answer, explanation, marker): every item of every reply."""
+    rows = lambda t: [(n, i.question, i.choices, i.answer, i.explanation, i.marker) for n, i in enumerate(quiz(t))]
+    return rows_of_texts(texts, "ordinal long, question string, choices array<string>, answer long, explanation string, marker string", rows, id_col, text_col, id_col)
+
+
 _PICK = re.compile(r"([^|\-.:—)]*)(?:[|\-.:—)](.*))?", re.S)
 
 

@@ -1,18 +1,27 @@
-"""Hybrid retrieval as one lazy plan: keyword and vector channels, fusion, rerank, caps, budget.
+"""Hybrid retrieval: keyword and vector channels, fusion, rerank, caps, budget.
 
 Relations: ``chunks(chunk_id, source_id, text, heading, token_count)`` and
-``vectors(chunk_id, vector)``. Scores of whole tables meet only as partial
-aggregates and top lists; what is broadcast are lists of at most
-``Settings.candidates`` rows (400 by its own limit) and single rows."""
+``vectors(chunk_id, vector)``. Each channel is a scan that ends in a top list of
+at most ``Settings.candidates`` rows (400 by its own limit); these short lists
+meet on the driver, and the passages behind them are then looked up by their
+ids, which the scan takes as a pushed filter. With a stored ``index`` the
+keyword channel reads the postings of the question's terms and no text.
+
+Keyword statistics are over the whole table; scope and inclusion come after."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tessera.functions import lexicon as L
 from tessera.functions import text as T
 from tessera.functions.vectors import dot, norm
 
@@ -45,36 +54,55 @@ def settings_for_context(tokens: int) -> Settings:
     return Settings(results=18, budget=24_000)
 
 
+def _any_accent(term: str) -> str:
+    """A pattern of the term in which a letter stands for its accented forms too, so that texts need no folding."""
+    accents = {u: [a for a, v in zip(L.ACCENTED, L.UNACCENTED, strict=True) if v == u] for u in set(L.UNACCENTED)}
+    return "".join(f"[{c}{''.join(accents[c])}]" if c in accents else re.escape(c) for c in term)
+
+
 def term_counts(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    """chunk_id, dl and an array of each distinct term's frequency; a passage's words are gone through once."""
-    distinct = list(dict.fromkeys(terms))
-    words = chunks.select("chunk_id", T.tokens(T.fold(F.lower("text"))).alias("words"))
-    hits = words.select("chunk_id", F.size("words").alias("dl"), F.filter("words", lambda w: w.isin(*distinct) if distinct else F.lit(False)).alias("hits"))
+    """chunk_id, other columns, dl and an array of each distinct term's frequency.
+
+    A passage's words are counted without being made, and only those that are terms come out of it."""
+    distinct, letter = list(dict.fromkeys(terms)), "[\\p{L}\\p{N}]"
+    known = [c for c in ("source_id",) if c in chunks.columns]
+    dl = F.size(F.split("text", f"{letter}+")) - 1
+    pattern = f"(?<!{letter})(?:{'|'.join(map(_any_accent, distinct))})(?!{letter})"
+    hits = F.transform(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0)), T.fold) if distinct else F.array().cast("array<string>")
+    counted = chunks.select("chunk_id", *known, dl.alias("dl"), hits.alias("hits"))
     is_term = lambda t: lambda w: w == F.lit(t)
-    return hits.select("chunk_id", "dl", F.array(*[F.size(F.filter("hits", is_term(t))) for t in distinct]).alias("tf"))
+    return counted.select("chunk_id", *known, "dl", F.array(*[F.size(F.filter("hits", is_term(t))) for t in distinct]).alias("tf"))
+
+
+def idf(n_all: Column, n_with: Column) -> Column:
+    raw = F.log((n_all - n_with + 0.5) / (n_with + 0.5))
+    return F.when(raw <= 0, F.lit(IDF_FLOOR)).otherwise(raw)
+
+
+def saturation(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """A term frequency's share of its idf, by the passage's length."""
+    return tf * (K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * dl / avgdl))
 
 
 def keyword_scores(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    """(chunk_id, keyword): BM25 of every chunk with a term, statistics over the whole table.
+    """(chunk_id, source_id where there is one, keyword): BM25 of every chunk with a term, statistics over the whole table.
 
     A repeated term counts as often. One pass gathers the statistics as partial
     sums (a single row, broadcast), another scores; nothing is shuffled."""
     distinct = list(dict.fromkeys(terms))
     counted = term_counts(chunks, terms)
+    known = [c for c in counted.columns if c not in ("dl", "tf")]
     if not distinct:
-        return counted.select("chunk_id", F.lit(0.0).alias("keyword")).where("false")
+        return counted.select(*known, F.lit(0.0).alias("keyword")).where("false")
     holds = [F.sum((F.get("tf", F.lit(i)) > 0).cast("long")).alias(f"n{i}") for i in range(len(distinct))]
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *holds)
     score = F.lit(0.0)
     for i, t in enumerate(distinct):
-        n, f = F.col(f"n{i}"), F.get("tf", F.lit(i)).cast("double")
-        idf = F.log((F.col("n") - n + 0.5) / (n + 0.5))
-        idf = F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf)
-        length = F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl")
-        score = score + F.lit(float(terms.count(t))) * idf * f * (K1 + 1) / (f + F.lit(K1) * length)
+        part = saturation(F.get("tf", F.lit(i)).cast("double"), F.col("dl"), F.col("avgdl"))
+        score = score + F.lit(float(terms.count(t))) * idf(F.col("n"), F.col(f"n{i}")) * part
     # A score is above 0 where a term is held: asked of the score, as a filter on the
     # frequencies would move below their projection and have the words split twice.
-    return counted.crossJoin(F.broadcast(stats)).select("chunk_id", score.alias("keyword")).where("keyword > 0")
+    return counted.crossJoin(F.broadcast(stats)).select(*known, score.alias("keyword")).where("keyword > 0")
 
 
 def semantic_scores(vectors: DataFrame, query: list[float]) -> DataFrame:
@@ -90,33 +118,69 @@ def _ranked(scores: DataFrame, score: str, name: str) -> DataFrame:
     return scores.withColumn(name, F.row_number().over(Window.orderBy(F.desc(score), "chunk_id")))
 
 
-def fuse(semantic: DataFrame, keyword: DataFrame, candidates: int) -> DataFrame:
-    """(chunk_id, semantic, keyword, fused, candidate_count): reciprocal ranks, the best ``candidates``.
+def top(scores: DataFrame, score: str, n: int) -> list[Row]:
+    """The best ``n`` rows, ties to the least chunk_id: a top list kept by each task and merged."""
+    return scores.select("chunk_id", score).orderBy(F.desc(score), "chunk_id").limit(n).collect()
+
+
+def ranks_of(scores: DataFrame, score: str, rows: list[Row]) -> list[int]:
+    """Each row's rank among all scores. The rows, best first, part the scores into as many ranges
+    and one; the counts of these are all that leaves a task."""
+    if not rows:
+        return []
+    limits = F.array(*[F.struct(F.lit(r[score]).alias("score"), F.lit(r.chunk_id).alias("id")) for r in rows])
+    before = lambda x: (x["score"] > F.col(score)) | ((x["score"] == F.col(score)) & (x["id"] < F.col("chunk_id")))
+    # A score is put where the rows before it end, so the rows themselves count in their own range or before.
+    counts = {r.at: r.n for r in scores.groupBy(F.size(F.filter(limits, before)).alias("at")).agg(F.count("*").alias("n")).collect()}
+    return list(accumulate(counts.get(i, 0) for i in range(len(rows))))
+
+
+@dataclass
+class Fused:
+    """What the channels found: the best rows, whether there are any, and how many there were before the cut (a count of its own)."""
+
+    rows: DataFrame
+    some: bool
+    count: Callable[[], int]
+
+
+def fuse(semantic: DataFrame | None, keyword: DataFrame, candidates: int) -> DataFrame:
+    """(chunk_id, semantic, keyword, rrf, fused): reciprocal ranks, the best ``candidates``."""
+    return fused_lists(semantic, keyword, candidates).rows
+
+
+def fused_lists(semantic: DataFrame | None, keyword: DataFrame, candidates: int) -> Fused:
+    """The fusion and its count before the cut.
 
     Only the first ``candidates`` of a channel can be among the best by rank in
     it alone. A keyword hit beyond the vector channel's list has its exact rank
-    there counted, as one more than the scores above its own."""
-    words = _ranked(keyword.orderBy(F.desc("keyword"), "chunk_id").limit(candidates), "keyword", "kr")
-    top = _ranked(semantic.orderBy(F.desc("semantic"), "chunk_id").limit(candidates), "semantic", "sr")
-    hit = semantic.join(F.broadcast(words.select("chunk_id")), "chunk_id").select("chunk_id", F.col("semantic").alias("score"))
-    above = (F.col("semantic") > F.col("score")) | ((F.col("semantic") == F.col("score")) & (F.col("s.chunk_id") < F.col("h.chunk_id")))
-    beaten = semantic.alias("s").join(F.broadcast(hit).alias("h"), above).groupBy(F.col("h.chunk_id").alias("chunk_id")).agg(F.count("*").alias("above"))
-    far = hit.join(F.broadcast(beaten), "chunk_id", "left").select("chunk_id", F.col("score").alias("semantic"), (F.coalesce("above", F.lit(0)) + 1).cast("int").alias("sr"))
-    ranks = top.unionByName(far.join(F.broadcast(top.select("chunk_id")), "chunk_id", "left_anti"))
-    rrf = lambda r: F.coalesce(F.lit(1.0) / (F.lit(RRF_K) + F.col(r)), F.lit(0.0))
-    both = F.when(F.col("sr").isNotNull() & F.col("kr").isNotNull(), F.lit(BOTH_CHANNELS)).otherwise(F.lit(1.0))
-    joined = ranks.join(words, "chunk_id", "full_outer").withColumn("rrf", (rrf("sr") + rrf("kr")) * both)
-    best = joined.orderBy(F.desc("rrf"), "chunk_id").limit(candidates)
-    return best.withColumn("fused", F.col("rrf") / F.max("rrf").over(Window.partitionBy())).drop("sr", "kr")
+    there counted. All lists here have ``candidates`` rows at most."""
+    words = {r.chunk_id: (n, r.keyword) for n, r in enumerate(top(keyword, "keyword", candidates), 1)}
+    near, hits = {}, []
+    if semantic is not None:
+        near = {r.chunk_id: (n, r.semantic) for n, r in enumerate(top(semantic, "semantic", candidates), 1)}
+        far = [i for i in words if i not in near]
+        if far:
+            hits = semantic.where(F.col("chunk_id").isin(*far)).select("chunk_id", "semantic").collect()
+            hits.sort(key=lambda r: (-r.semantic, r.chunk_id))
+        near |= {r.chunk_id: (n, r.semantic) for r, n in zip(hits, ranks_of(semantic, "semantic", hits), strict=True)}
+    rrf = {i: sum(1.0 / (RRF_K + c[i][0]) for c in (near, words) if i in c) * (BOTH_CHANNELS if i in near and i in words else 1.0) for i in {**near, **words}}
+    best = sorted(rrf, key=lambda i: (-rrf[i], i))[:candidates]
+    rows = [(i, near.get(i, (0, None))[1], words.get(i, (0, None))[1], rrf[i], rrf[i] / rrf[best[0]]) for i in best]
+    schema = StructType([keyword.schema["chunk_id"], *(StructField(c, DoubleType()) for c in ("semantic", "keyword", "rrf", "fused"))])
+    every = lambda: len(words) if semantic is None else semantic.count() + len([i for i in words if i not in near])
+    return Fused(keyword.sparkSession.createDataFrame(rows, schema), bool(rrf), every)
+
+
+def passages_of(chunks: DataFrame, found: DataFrame) -> DataFrame:
+    """The chunks of a short list, with its columns: their ids reach the scan as a filter."""
+    ids = [r.chunk_id for r in found.select("chunk_id").collect()]
+    return chunks.where(F.col("chunk_id").isin(*ids) if ids else F.lit(False)).join(F.broadcast(found), "chunk_id")
 
 
 def lexical_score(query: str, text: Column, heading: Column, token_count: Column, fused: Column) -> Column:
     """How well a passage answers the query: coverage, proximity, heading, frequency, density, blended with ``fused``."""
-    import re
-
-    from tessera.functions.lexicon import STOP_WORDS
-
-    wanted = sorted({T.stem_word(w) for w in re.findall(r"[^\W_]+", query.lower()) if w not in STOP_WORDS})
+    wanted = sorted({T.stem_word(w) for w in re.findall(r"[^\W_]+", query.lower()) if w not in L.STOP_WORDS})
     if not wanted:
         return fused
     q, k = T.strings(wanted), F.lit(float(len(wanted)))
@@ -155,34 +219,107 @@ def select_rows(scored: DataFrame, settings: Settings, eligible_sources: int) ->
     return ranked.withColumn("used_tokens", used).where((F.col("used_tokens") <= s.budget) | (F.col("rank") == 1)).drop("in_source", "few")
 
 
-def retrieve(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | None, settings: Settings = Settings(), rerank=None) -> DataFrame:
-    """The selected passages: chunk_id, source_id, semantic, keyword, fused, effective, rank, used_tokens.
-
-    Without a vector (or where the embedder failed) the keyword channel stands
-    alone. With no candidate at all and no floor, the first passages in reading
-    order are taken. ``rerank`` replaces the lexical score: a function of
-    (candidates) that returns them with a column ``effective``."""
-    s = settings.clamped()
-    keyword = keyword_scores(chunks, T.keyword_terms(query))
-    none = keyword.select("chunk_id", F.lit(0.0).alias("semantic")).where("false")
-    semantic = semantic_scores(vectors, query_vector) if vectors is not None and query_vector else none
-    fused = fuse(semantic, keyword, s.candidates)
-    if s.floor <= 0:
-        everything = chunks.orderBy("chunk_id").limit(s.candidates).select("chunk_id", F.lit(None).cast("double").alias("semantic"), F.lit(None).cast("double").alias("keyword"), F.lit(1.0).alias("rrf"), F.lit(1.0).alias("fused"))
-        any_hit = fused.agg(F.count("*").alias("hits"))
-        fused = fused.unionByName(everything.crossJoin(F.broadcast(any_hit)).where("hits = 0").drop("hits"))
-    found = chunks.join(F.broadcast(fused), "chunk_id")
+class NoSources(ValueError):
+    """No source is included and in scope."""
+
+
+#: How many of the best candidates a model may score anew.
+MODEL_RERANK = 20
+NOTICE_NO_VECTORS = "Meaning search was unavailable, so only keywords were used."
+NOTICE_NO_RERANK = "The model's ranking could not be read, so the built-in one was used."
+
+
+@dataclass
+class Outcome:
+    """The selected rows, what went less than well, and the number of candidates before the cut, counted when asked for."""
+
+    rows: DataFrame
+    notices: list[str]
+    candidates: Callable[[], int]
+
+
+def with_model_scores(scored: DataFrame, score: Callable[[list[Row]], list[float] | None], notices: list[str], most: int = MODEL_RERANK) -> DataFrame:
+    """``effective`` of the best ``most`` replaced by a model's scores (0 to 1); others stay, as all do without a readable reply."""
+    first = scored.orderBy(F.desc("effective"), "chunk_id").limit(most).select("chunk_id", "heading", "text").collect()
+    given = score(first) if first else []
+    if given is None or len(given) != len(first):
+        notices.append(NOTICE_NO_RERANK)
+        return scored
+    if not first:
+        return scored
+    schema = StructType([scored.schema["chunk_id"], StructField("given", DoubleType())])
+    new = scored.sparkSession.createDataFrame([(r.chunk_id, float(v)) for r, v in zip(first, given, strict=True)], schema)
+    return scored.join(F.broadcast(new), "chunk_id", "left").withColumn("effective", F.coalesce("given", "effective")).drop("given")
+
+
+def search(
+    chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | Callable[[str], list[float]] | None = None, settings: Settings = Settings(),
+    rerank=None, eligible: DataFrame | None = None, index=None, model: Callable[[list[Row]], list[float] | None] | None = None,
+) -> Outcome:
+    """Rows (chunk_id, source_id, semantic, keyword, fused, effective, rank, used_tokens) of the selected passages.
+
+    ``eligible`` (source_id) keeps both channels to sources that are included and in
+    scope; it comes after the keyword statistics, and where it has no row NoSources
+    is raised. ``index`` (``keyword_index.Index``) saves the keyword channel from reading
+    texts. ``query_vector`` may be an embedder; where it fails, the keyword channel
+    stands alone, with a notice. An empty query finds nothing. With no candidate
+    at all and no floor, the first passages in reading order are taken. ``rerank``
+    replaces the lexical score: a function of (candidates) that returns them with
+    a column ``effective``; ``model`` scores the best ``MODEL_RERANK`` after that."""
+    s, notices = settings.clamped(), []
+    if eligible is not None:
+        eligible = eligible.select("source_id").distinct()
+        several = len(eligible.limit(2).collect())
+        if not several:
+            raise NoSources("no source is included and in scope")
+    else:
+        ends = chunks.agg(F.min("source_id").alias("a"), F.max("source_id").alias("b")).first()
+        several = 1 if ends.a == ends.b else 2
+    terms = T.keyword_terms(query)
+    keyword = index.scores(terms) if index is not None else keyword_scores(chunks, terms)
+    within = lambda rows: rows if eligible is None else rows.join(eligible, "source_id", "left_semi")
+    if callable(query_vector):
+        try:
+            query_vector = query_vector(query) if query.strip() else None
+        except Exception:
+            query_vector = None
+            notices.append(NOTICE_NO_VECTORS)
+    semantic = None
+    if vectors is not None and query_vector and query.strip():
+        semantic = semantic_scores(vectors, query_vector)
+        if eligible is not None:
+            owned = vectors.select("chunk_id", "source_id") if "source_id" in vectors.columns else chunks.select("chunk_id", "source_id")
+            semantic = semantic.join(within(owned).select("chunk_id"), "chunk_id", "left_semi")
+    found = fused_lists(semantic, within(keyword), s.candidates)
+    fused = found.rows
+    if s.floor <= 0 and query.strip() and not found.some:
+        first = within(chunks).orderBy("chunk_id").limit(s.candidates).select("chunk_id").collect()
+        fused = chunks.sparkSession.createDataFrame([(r.chunk_id, None, None, 1.0, 1.0) for r in first], fused.schema)
+    rows = passages_of(chunks, fused)
     if rerank is None:
-        found = found.withColumn("effective", lexical_score(query, F.col("text"), F.col("heading"), F.col("token_count"), F.col("fused")))
+        rows = rows.withColumn("effective", lexical_score(query, F.col("text"), F.col("heading"), F.col("token_count"), F.col("fused")))
     else:
-        found = rerank(found)
-    sources = chunks.select("source_id").distinct().limit(2).count()
-    return select_rows(found.select("chunk_id", "source_id", "semantic", "keyword", "fused", "effective", "token_count"), s, sources)
+        rows = rerank(rows)
+    if model is not None:
+        rows = with_model_scores(rows, model, notices)
+    picked = select_rows(rows.select("chunk_id", "source_id", "semantic", "keyword", "fused", "effective", "token_count"), s, several)
+    # At most 60 rows; taken once, so that what follows reads no table again for them.
+    return Outcome(chunks.sparkSession.createDataFrame(picked.collect(), picked.schema), notices, found.count)
+
+
+def retrieve(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector=None, settings: Settings = Settings(), rerank=None, eligible: DataFrame | None = None, index=None) -> DataFrame:
+    """The selected passages of ``search``."""
+    return search(chunks, vectors, query, query_vector, settings, rerank, eligible, index).rows
 
 
 def assemble(selected: DataFrame, chunks: DataFrame, titles: DataFrame, budget: int) -> DataFrame:
-    """(n, chunk_id, marker, body, estimate): context blocks in rank order while the budget lasts, the first always."""
-    rows = chunks.join(F.broadcast(selected.select("chunk_id", "rank")), "chunk_id").join(F.broadcast(titles), "source_id", "left")
+    """(n, chunk_id, marker, body, estimate): context blocks in rank order while the budget lasts, the first always.
+
+    ``selected`` has 60 rows at most; of ``titles`` (a row for each source) only theirs are taken."""
+    few = selected.select("chunk_id", "rank")
+    rows = passages_of(chunks, few)
+    needed = titles.join(F.broadcast(rows.select("source_id").distinct()), "source_id", "left_semi")
+    rows = rows.join(F.broadcast(needed), "source_id", "left")
     number = F.row_number().over(Window.orderBy("rank"))
     marker = F.concat(F.lit("[Source "), F.col("n").cast("string"), F.lit("]"))
     section = F.when(F.col("heading").isNotNull() & (F.col("heading") != ""), F.concat(F.lit("\nSection: "), "heading")).otherwise("")

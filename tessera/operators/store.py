@@ -1,17 +1,25 @@
 """The library store: tables as Parquet folders, upserts, replacement, cascades, checks.
 
-Parquet has no MERGE or DELETE, so a change is a new version of a table: it is
-written to a folder of its own and becomes current when the pointer file names
-it. Readers see the old version or the new one, never a mixture; a failed write
-leaves the old one in place."""
+A table with a key is kept in ``buckets`` folders by the key's hash. A change
+writes the buckets that it touches to new folders and then one manifest that
+names the folders of all tables. Manifests are numbered, written once and never
+changed; the largest whole one is current. So readers see all of a change or
+nothing of it, however many tables it spans, a failed write leaves everything
+as it was, and a small change costs what its buckets cost, not the table.
+
+Two writers at once: the second to take a number fails and its change is lost,
+as with any store that has one writer."""
 
 from __future__ import annotations
 
 import json
 import uuid
+from contextlib import contextmanager
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SCHEMA_VERSION = 1
 #: Columns that an upsert of an existing row leaves as they were.
@@ -31,20 +39,29 @@ CHILDREN = {
 }
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "id", immutable: tuple[str, ...] = ()) -> DataFrame:
-    """``old`` with the rows of ``new`` put in: existing keys are replaced but for immutable columns."""
-    n, o = new.alias("n"), old.alias("o")
+def last_of_each(rows: DataFrame, key: str, latest: str | None = None) -> DataFrame:
+    """A row for each key: that with the largest ``latest``, of equal ones (or without it) the largest in the order of the columns."""
+    rest = [c for c in rows.columns if c != latest]
+    order = F.struct(*([latest] if latest else []), *rest)
+    return rows.groupBy(F.col(key).alias("__key")).agg(F.max(order).alias("__row")).select(*[F.col("__row")[c].alias(c) for c in rows.columns])
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str = "id", immutable: tuple[str, ...] = (), latest: str | None = None) -> DataFrame:
+    """``old`` with the rows of ``new`` put in: existing keys are replaced but for immutable columns.
+
+    A key that ``new`` repeats is put in once, by ``last_of_each``; rows without a key are left out."""
+    n, o = last_of_each(new.where(F.col(key).isNotNull()), key, latest).alias("n"), old.alias("o")
     both = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
     is_new, is_old = F.col(f"n.{key}").isNotNull(), F.col(f"o.{key}").isNotNull()
     pick = lambda c: F.when(is_new & ~(is_old & F.lit(c in immutable)), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
     return both.select(*[pick(c).alias(c) for c in old.columns])
 
 
-def replace_children(old: DataFrame, new: DataFrame, parents: DataFrame, parent_key: str, key: str) -> DataFrame:
+def replace_children(old: DataFrame, new: DataFrame, parents: DataFrame, parent_key: str, key: str | None) -> DataFrame:
     """``old`` without the children of ``parents`` (also where ``new`` has none) and with ``new``.
 
     Raises ValueError where ``new`` repeats a key; the old rows then stand."""
-    if not new.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+    if key and not new.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         raise ValueError(f"repeated {key}")
     return old.join(parents.select(parent_key).distinct(), parent_key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
@@ -75,69 +92,181 @@ def touch(rows: DataFrame, row_id, now: Column, opened: bool, key: str = "id") -
     return out.withColumn("last_opened_at", F.when(here, now).otherwise(F.col("last_opened_at"))) if opened else out
 
 
+BUCKETS = 64
+
+
 class Store:
     """Versioned tables under one folder, on any file system that Spark reaches."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._check_version()
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self._manifest()
 
     def _fs(self, name: str):
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
-    def _read_text(self, name: str) -> str | None:
-        fs, where = self._fs(f"{self.path}/{name}")
-        if not fs.exists(where):
-            return None
+    def _names(self, name: str) -> list[str]:
+        fs, where = self._fs(name)
+        return [x.getPath().getName() for x in fs.listStatus(where)] if fs.exists(where) else []
+
+    def _read_text(self, name: str) -> str:
+        fs, where = self._fs(name)
         stream = fs.open(where)
         try:
             return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
 
-    def _write_text(self, name: str, text: str) -> None:
-        """A whole file under its name at once: written aside, then renamed over."""
-        fs, where = self._fs(f"{self.path}/{name}")
-        _, aside = self._fs(f"{self.path}/{name}.{uuid.uuid4().hex}")
-        out = fs.create(aside, True)
-        out.write(bytearray(text.encode()))
+    def _manifest(self) -> tuple[int, dict]:
+        """The number and content of the current manifest; one that isn't whole is passed over."""
+        for number in sorted((int(n[:-5]) for n in self._names("_manifests") if n.endswith(".json") and n[:-5].isdigit()), reverse=True):
+            try:
+                found = json.loads(self._read_text(f"_manifests/{number:012d}.json"))
+            except json.JSONDecodeError:
+                continue
+            if found["schema_version"] > SCHEMA_VERSION:
+                raise ValueError(f"the store has schema {found['schema_version']}, newer than {SCHEMA_VERSION}")
+            return number, found
+        return 0, {"schema_version": SCHEMA_VERSION, "buckets": self.buckets, "tables": {}}
+
+    def _commit(self, number: int, manifest: dict) -> None:
+        """A new file, which may not exist already: of two writers one gets the number."""
+        fs, where = self._fs(f"_manifests/{number:012d}.json")
+        out = fs.create(where, False)
+        out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        if not fs.rename(aside, where):
-            fs.delete(where, False)
-            fs.rename(aside, where)
 
-    def _check_version(self) -> None:
-        found = self._read_text("_schema_version")
-        if found is None:
-            self._write_text("_schema_version", str(SCHEMA_VERSION))
-        elif int(found) > SCHEMA_VERSION:
-            raise ValueError(f"the store has schema {found}, newer than {SCHEMA_VERSION}")
+    @contextmanager
+    def change(self) -> Iterator[Change]:
+        """Changes of any number of tables that become visible together, at the end; an error leaves all as it was."""
+        number, manifest = self._manifest()
+        made = Change(self, manifest)
+        yield made
+        if made.touched:
+            self._commit(number + 1, manifest)
+
+    def folders(self, table: dict, buckets: list[int] | None = None) -> list[str]:
+        return [f"{self.path}/{f}" for b, f in table["folders"].items() if buckets is None or int(b) in buckets]
+
+    def _rows(self, table: dict, buckets: list[int] | None = None) -> DataFrame:
+        schema, paths = StructType.fromJson(table["schema"]), self.folders(table, buckets)
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def read(self, name: str) -> DataFrame:
-        current = self._read_text(f"{name}/_current")
-        if current is None:
+        tables = self._manifest()[1]["tables"]
+        if name not in tables:
             raise KeyError(name)
-        return self.spark.read.parquet(f"{self.path}/{name}/{json.loads(current)['version']}")
+        return self._rows(tables[name])
+
+    def has(self, name: str) -> bool:
+        return name in self._manifest()[1]["tables"]
 
-    def write(self, name: str, rows: DataFrame) -> DataFrame:
-        version = uuid.uuid4().hex
-        rows.write.parquet(f"{self.path}/{name}/{version}")
-        self._write_text(f"{name}/_current", json.dumps({"version": version}))
+    def write(self, name: str, rows: DataFrame, key: str | None = None) -> DataFrame:
+        with self.change() as c:
+            c.write(name, rows, key)
         return self.read(name)
 
-    def has(self, name: str) -> bool:
-        return self._read_text(f"{name}/_current") is not None
-
-    def upsert(self, name: str, new: DataFrame, key: str = "id") -> DataFrame:
-        return self.write(name, upsert(self.read(name), new, key, IMMUTABLE.get(name, ())) if self.has(name) else new)
-
-    def vacuum(self, name: str) -> int:
-        """Deletes versions that aren't current; returns their number."""
-        fs, where = self._fs(f"{self.path}/{name}")
-        current, gone = json.loads(self._read_text(f"{name}/_current"))["version"], 0
-        for status in fs.listStatus(where):
-            if status.isDirectory() and status.getPath().getName() != current:
-                fs.delete(status.getPath(), True)
-                gone += 1
+    def upsert(self, name: str, new: DataFrame, key: str = "id", latest: str | None = None) -> DataFrame:
+        with self.change() as c:
+            c.upsert(name, new, key, latest)
+        return self.read(name)
+
+    def vacuum(self) -> int:
+        """Deletes older manifests and the folders that the current one doesn't name; returns the number of folders.
+        Readers of older manifests must be done."""
+        number, manifest = self._manifest()
+        live, gone = {f for t in manifest["tables"].values() for f in t["folders"].values()}, 0
+        for name in [n for n in self._names("") if n != "_manifests"]:
+            for version in self._names(name):
+                inner = [f"{name}/{version}/{b}" for b in self._names(f"{name}/{version}") if b.startswith("bucket=")]
+                dead = [f for f in inner or [f"{name}/{version}"] if f not in live]
+                for f in [f"{name}/{version}"] if len(dead) == len(inner or [0]) else dead:
+                    fs, where = self._fs(f)
+                    fs.delete(where, True)
+                gone += len(dead)
+        for old in self._names("_manifests"):
+            if old.endswith(".json") and int(old[:-5]) < number:
+                fs, where = self._fs(f"_manifests/{old}")
+                fs.delete(where, False)
         return gone
+
+
+class Change:
+    """What one change writes; ``Store.change`` makes it visible."""
+
+    def __init__(self, store: Store, manifest: dict):
+        self.store, self.manifest, self.touched = store, manifest, set()
+
+    def bucket(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(self.manifest["buckets"])).cast("int")
+
+    def _table(self, name: str) -> dict:
+        if name not in self.manifest["tables"]:
+            raise KeyError(name)
+        return self.manifest["tables"][name]
+
+    def _put(self, name: str, rows: DataFrame, bucket: Column | None, sort: tuple[str, ...] = ()) -> dict[str, str]:
+        """Writes rows to a new version; the folder of each bucket that has any."""
+        version = f"{name}/{uuid.uuid4().hex}"
+        if bucket is None:
+            rows.write.parquet(f"{self.store.path}/{version}")
+            return {"0": version}
+        # Rebalanced, so that a bucket with a third of all rows is more than one task's.
+        dealt = rows.withColumn("bucket", bucket).hint("rebalance", "bucket")
+        dealt = dealt.sortWithinPartitions("bucket", *sort) if sort else dealt
+        dealt.write.partitionBy("bucket").parquet(f"{self.store.path}/{version}")
+        return {n[len("bucket=") :]: f"{version}/{n}" for n in self.store._names(version) if n.startswith("bucket=")}
+
+    def stage(self, rows: DataFrame) -> DataFrame:
+        """Rows written once, for use by several tables of a change; ``vacuum`` deletes them."""
+        path = f"{self.store.path}/_staged/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.store.spark.read.schema(rows.schema).parquet(path)
+
+    def read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        """A table as this change has it so far."""
+        return self.store._rows(self._table(name), buckets)
+
+    def has(self, name: str) -> bool:
+        return name in self.manifest["tables"]
+
+    def buckets_of(self, rows: DataFrame, key: str) -> list[int]:
+        """The buckets that the keys fall into: as many numbers as there are buckets at most."""
+        return [r.b for r in rows.select(self.bucket(key).alias("b")).distinct().collect()]
+
+    def write(self, name: str, rows: DataFrame, key: str | None = None, sort: tuple[str, ...] = ()) -> None:
+        """The whole table anew."""
+        folders = self._put(name, rows, self.bucket(key) if key else None, sort)
+        self.manifest["tables"][name] = {"key": key, "sort": list(sort), "schema": rows.schema.jsonValue(), "folders": folders}
+        self.touched.add(name)
+
+    def write_buckets(self, name: str, rows: DataFrame, key: str, touched: list[int], sort: tuple[str, ...] = ()) -> None:
+        """``rows`` as all that the touched buckets hold from now on."""
+        if not self.has(name):
+            self.manifest["tables"][name] = {"key": key, "sort": list(sort), "schema": rows.schema.jsonValue(), "folders": {}}
+        table = self._table(name)
+        folders = self._put(name, rows, self.bucket(key), tuple(table["sort"]))
+        table["folders"] = {b: f for b, f in table["folders"].items() if int(b) not in touched} | folders
+        self.touched.add(name)
+
+    def upsert(self, name: str, new: DataFrame, key: str = "id", latest: str | None = None) -> None:
+        """Rows put in by key; only the buckets of their keys are read and written."""
+        if not self.has(name):
+            self.write(name, last_of_each(new.where(F.col(key).isNotNull()), key, latest), key)
+            return
+        touched = self.buckets_of(new, key)
+        self.write_buckets(name, upsert(self.read(name, touched), new, key, IMMUTABLE.get(name, ()), latest), key, touched)
+
+    def replace(self, name: str, new: DataFrame, parents: DataFrame, parent_key: str, key: str | None, sort: tuple[str, ...] = ()) -> list[int]:
+        """The parents' children replaced by ``new`` in a table kept by ``parent_key``; returns the buckets touched."""
+        touched = self.buckets_of(parents, parent_key)
+        old = self.read(name, touched) if self.has(name) else self.store.spark.createDataFrame([], new.schema)
+        self.write_buckets(name, replace_children(old, new, parents, parent_key, key), parent_key, touched, sort)
+        return touched
+
+    def delete(self, name: str, parents: DataFrame, parent_key: str) -> list[int]:
+        """The rows of the parents taken out of a table kept by ``parent_key``."""
+        touched = self.buckets_of(parents, parent_key)
+        self.write_buckets(name, self.read(name, touched).join(parents.select(parent_key).distinct(), parent_key, "left_anti").select(*self.read(name).columns), parent_key, touched)
+        return touched

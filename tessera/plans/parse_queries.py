@@ -44,34 +44,27 @@ def builtin_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector written as a line of JSON and read back from it."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.lit("m").alias("model"), F.size("embedding").alias("dimensions"), F.col("embedding").alias("vector"))
-    return archive.json_lines(e).select(F.get_json_object("value", "$.chunk_id").cast("long").alias("chunk_id"), F.md5(F.col("value").cast("binary")).alias("line_md5"))
+    back = archive.json_lines(e).select(F.from_json("value", e.schema).alias("r")).select("r.*")
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return back.select("chunk_id", "model", F.col("dimensions").cast("long").alias("dimensions"), F.round(total, 4).alias("total"))
 
 
 def flashcards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards out of made replies: user turns as questions, the next answers as answers."""
     said = messages(spark, sf_dir).where("role <> 'system'").withColumn("line", F.concat(F.when(F.col("role") == "user", "Q: ").otherwise("A: "), F.translate("text", "\n", " ")))
     text = said.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "line"))).alias("all")).select("conv_id", F.array_join(F.transform("all", lambda x: x["line"]), "\n").alias("text"))
-
-    @F.udf("long")
-    def n_cards(reply: str) -> int:
-        return len(replies.flashcards(reply))
-
-    return text.select("conv_id", n_cards("text").alias("n_cards"))
+    return replies.with_flashcards(text, "conv_id", "text").select("conv_id", "ordinal", "front", "back")
 
 
 def quiz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A made quiz item for each benchmark text."""
+    """Two made quiz items for each benchmark text, all of them read."""
     w = F.split(F.translate("text", "\n", " "), " ")
     at = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit("none"))
-    text = F.concat(F.lit("1. What of "), at(0), F.lit("?\nA. "), at(1), F.lit("\nB. "), at(2), F.lit("\nAnswer: B\nWhy: "), at(3), F.lit(" [Source 1]"))
-
-    @F.udf("struct<question:string,answer:int,marker:string>")
-    def first(reply: str):
-        items = replies.quiz(reply)
-        return (items[0].question, items[0].answer, items[0].marker) if items else None
-
-    return table(spark, sf_dir, "benchmark").select("item_id", first(text).alias("q")).select("item_id", "q.question", "q.answer", "q.marker")
+    text = F.concat(F.lit("1. What of "), at(0), F.lit("?\nA. "), at(1), F.lit("\nB. "), at(2), F.lit("\nAnswer: B\nWhy: "), at(3), F.lit(" [Source 1]\n2. Which is "), at(0), F.lit("?\nA) first\nB) second\nC) third\nAnswer: 3\nWhy: see [Web 2]"))
+    made = table(spark, sf_dir, "benchmark").select("item_id", text.alias("text"))
+    return replies.with_quiz(made, "item_id", "text").select("item_id", "ordinal", "question", F.size("choices").cast("long").alias("n_choices"), F.col("answer").cast("int").alias("answer"), "marker")
 
 
 def rerank_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,15 +79,15 @@ def robots_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One conversation notebook exported, loaded and given new ids: rows by table."""
-    some = messages(spark, sf_dir).where("conv_id < 20")
+    """Every conversation exported, loaded and given new ids: rows by role."""
+    said = messages(spark, sf_dir)
     tables = {
-        "sessions": some.select(F.col("conv_id").alias("id")).distinct(),
-        "messages": some.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("conv_id").alias("session_id"), "role", "text"),
+        "sessions": said.select(F.col("conv_id").alias("id")).distinct(),
+        "messages": said.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("conv_id").alias("session_id"), "role", "text"),
     }
-    back = archive.remap(archive.load(spark, archive.export(tables, "Conversations")), "import")
+    back = archive.remap(archive.load(archive.export(tables, "Conversations"), {n: df.schema for n, df in tables.items()}), "import")
     joined = back["messages"].join(back["sessions"].withColumnRenamed("id", "session_id"), "session_id")
-    return joined.groupBy("role").agg(F.count("*").alias("n_messages"), F.sum(F.length("text")).cast("long").alias("n_chars"))
+    return joined.groupBy("role").agg(F.count("*").alias("n_messages"), F.sum(F.length("text")).cast("long").alias("n_chars"), F.sum(F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 8), 16, 10).cast("long")).alias("checksums"), F.countDistinct("session_id").alias("n_sessions"))
 
 
 def first_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,13 +109,24 @@ _RULES = [(r, a, robots.pattern(r)) for r, a in robots.parse(ROBOTS)]
 _PATH = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 _W = "coalesce(string_split(translate(text, chr(10), ' '), ' ')[{}], 'none')"
 
+
+
+def _neat(x: str) -> str:
+    return S.squeeze(f"regexp_replace(regexp_replace({x}, '^[*_]{{1,3}}', ''), '[*_]{{1,3}}$', '')")
+
+
 SQL = {
-    "quiz": f"SELECT item_id, 'What of ' || {_W.format(1)} || '?' AS question, 1::INT AS answer, '[Source 1]' AS marker FROM benchmark",
+    "embedding_jsonl": "SELECT vec_id AS chunk_id, 'm' AS model, len(embedding)::BIGINT AS dimensions, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings",
+    "flashcards": f"""WITH m AS (SELECT conv_id, turn, role, trim(translate(text, chr(10), ' ')) AS t, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS card FROM conversations WHERE role <> 'system'),
+        c AS (SELECT conv_id, card, arg_min(t, turn) FILTER (role = 'user') AS f, arg_max(t, turn) FILTER (role <> 'user') AS b FROM m WHERE card > 0 GROUP BY conv_id, card)
+        SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY card) - 1 AS ordinal, {_neat("f")} AS front, {_neat("b")} AS back FROM c WHERE f <> '' AND b <> ''""",
+    "quiz": f"""SELECT item_id, 0::BIGINT AS ordinal, 'What of ' || {_W.format(1)} || '?' AS question, 2::BIGINT AS n_choices, 1::INT AS answer, '[Source 1]' AS marker FROM benchmark
+        UNION ALL SELECT item_id, 1, 'Which is ' || {_W.format(1)} || '?', 3, 2, '[Web 2]' FROM benchmark""",
     "rerank_parse": "SELECT item_id, least(10.0, item_id % 13)::DOUBLE / 10 || ' 0.45 0.0 0.0' AS scores FROM benchmark",
     "robots_decision": f"""WITH r(rule, allow, regex) AS (VALUES {", ".join(f"({S.text(r)}, {a}, {S.text(x)})" for r, a, x in _RULES)}),
         h AS (SELECT page_id, rule, allow, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC, allow DESC, rule DESC) AS n FROM (SELECT page_id, CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END AS p FROM pages) JOIN r ON regexp_matches(p, regex))
         SELECT p.page_id, coalesce(allow, true) AS allowed, rule FROM pages p LEFT JOIN h ON p.page_id = h.page_id AND n = 1""",
-    "archive_roundtrip": "SELECT role, count(*)::BIGINT AS n_messages, sum(length(text))::BIGINT AS n_chars FROM conversations WHERE conv_id < 20 GROUP BY role",
+    "archive_roundtrip": "SELECT role, count(*)::BIGINT AS n_messages, sum(length(text))::BIGINT AS n_chars, sum(('0x' || left(md5(text), 8))::BIGINT)::BIGINT AS checksums, count(DISTINCT conv_id)::BIGINT AS n_sessions FROM conversations GROUP BY role",
     "first_blocks": """WITH l AS (SELECT doc_id, source, i - 1 AS ordinal, string_split(text, chr(10))[i] AS t FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))
         SELECT source, doc_id, ordinal::BIGINT AS ordinal FROM (SELECT *, row_number() OVER (PARTITION BY source, lower(left(t, 160)) ORDER BY doc_id, ordinal) AS n FROM l WHERE trim(t) <> '') WHERE n = 1""",
     "retrieval_text": f"SELECT page_id, round(greatest(0.1::DOUBLE, 1.0::DOUBLE - 0.06::DOUBLE * (page_id % 10)), 6) AS score, {S.preview('plain', 120)} AS snippet FROM (SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS plain FROM pages)",

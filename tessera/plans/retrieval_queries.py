@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import lexicon as L
 from tessera.functions import sql as S
 from tessera.functions import text as T
+from tessera.operators import keyword_index, listings, store
 from tessera.operators import retrieval as R
 from tessera.plans.views import PASSAGES_SQL, documents, messages, passages, table, vectors
 
@@ -20,15 +21,66 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.keyword_scores(passages(spark, sf_dir), TERMS)
 
 
+def _ids(rows: DataFrame) -> DataFrame:
+    return rows.select("chunk_id", F.round("keyword", 6).alias("score"))
+
+
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: keyword retrieval with markers and previews."""
-    top = _terms(spark, sf_dir).orderBy(F.desc("keyword"), "chunk_id").limit(20)
-    ranked = R._ranked(top, "keyword", "rank")
-    rows = passages(spark, sf_dir).join(F.broadcast(ranked), "chunk_id")
+    return _shown(spark, sf_dir, _terms(spark, sf_dir))
+
+
+def _shown(spark: SparkSession, sf_dir: str, scores: DataFrame) -> DataFrame:
+    best = R.top(scores, "keyword", 20)
+    ranked = spark.createDataFrame([(r.chunk_id, r.keyword, n) for n, r in enumerate(best, 1)], "chunk_id long, keyword double, rank int")
+    rows = R.passages_of(passages(spark, sf_dir), ranked)
     marker = F.concat(F.lit("[Source "), F.col("rank").cast("string"), F.lit("]"))
     return rows.select("chunk_id", "source_id", F.round("keyword", 6).alias("score"), marker.alias("marker"), T.preview(F.col("text"), 80).alias("preview"))
 
 
+def _scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sites that are included (the hash of their name is even) and in scope (not the first by name)."""
+    sites = documents(spark, sf_dir).select(F.col("source").alias("source_id")).distinct().withColumn("included", F.ascii(F.md5(F.col("source_id").cast("binary"))) % 2 == 0)
+    return listings.eligible(sites, sites.where("source_id <> 'web'"))
+
+
+def scoped_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword scores within a scope; their statistics are over all passages."""
+    return _ids(_terms(spark, sf_dir).join(_scope(spark, sf_dir), "source_id", "left_semi"))
+
+
+def indexed_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of ``bm25_all``, from postings."""
+    return _ids(keyword_index.Index.of(passages(spark, sf_dir)).scores(TERMS))
+
+
+def scoped_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both channels within a scope, fused."""
+    question = " ".join(TERMS)
+    found = R.search(passages(spark, sf_dir), vectors(spark, sf_dir), question, _probe(spark, sf_dir), R.Settings(results=40, per_source=50, floor=0.0, budget=200_000), lambda c: c.withColumn("effective", F.round("fused", 9)), _scope(spark, sf_dir))
+    return found.rows.select("chunk_id", "source_id", F.round("fused", 6).alias("fused"), "rank")
+
+
+def index_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores from an index whose postings of one language were replaced by those of changed texts."""
+    whole = passages(spark, sf_dir).join(documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "lang"), "chunk_id")
+    changed = whole.where("lang = 'de'").withColumn("text", F.concat("text", F.lit(" inand the inand")))
+    owned = lambda df: df.select("chunk_id", F.col("chunk_id").alias("source_id"), "text")
+    rows = store.replace_children(keyword_index.postings(owned(whole)), keyword_index.postings(owned(changed)), owned(changed), "source_id", None)
+    counts = keyword_index.statistics(rows.withColumn("bucket", F.pmod(F.xxhash64("source_id"), F.lit(8))))
+    return _ids(keyword_index.Index(rows, counts).scores(TERMS))
+
+
+def no_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search says where no source is in scope."""
+    try:
+        R.search(passages(spark, sf_dir), None, "inand", eligible=_scope(spark, sf_dir).where("false"))
+        said = None
+    except R.NoSources as e:
+        said = str(e)
+    return spark.createDataFrame([(said,)], "problem string")
+
+
 def bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _terms(spark, sf_dir).select("chunk_id", F.round("keyword", 6).alias("score"))
 
@@ -59,7 +111,7 @@ def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = passages(spark, sf_dir).join(F.broadcast(_fused(spark, sf_dir)), "chunk_id")
+    found = R.passages_of(passages(spark, sf_dir), _fused(spark, sf_dir))
     score = R.lexical_score(" ".join(TERMS), F.col("text"), F.col("heading"), F.col("token_count"), F.col("fused"))
     return found.select("chunk_id", "source_id", F.round(score, 9).alias("effective"), "token_count")
 
@@ -111,7 +163,7 @@ def citation_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("answer_id", F.array_join("cited", "|").alias("cited"), F.array_join("invented", "|").alias("invented"), "cleaned", "insufficient")
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_all, fts_terms, rrf_fusion, lexical_rerank, per_source_cap, score_floor, budget_prefix, hybrid_retrieve, whole_document_fallback, context_assembly, citation_resolve)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_all, scoped_bm25, indexed_bm25, scoped_retrieve, index_replace, no_source, fts_terms, rrf_fusion, lexical_rerank, per_source_cap, score_floor, budget_prefix, hybrid_retrieve, whole_document_fallback, context_assembly, citation_resolve)}
 
 _DISTINCT = list(dict.fromkeys(TERMS))
 _WANTED = S.texts(sorted({T.stem_word(t) for t in TERMS if t not in L.STOP_WORDS}))
@@ -129,6 +181,8 @@ bm AS (SELECT chunk_id, {" + ".join(part(i, t) for i, t in enumerate(_DISTINCT))
 
 
 _BASE = f"WITH {PASSAGES_SQL}, {_bm25_sql()}"
+_SCOPE = "scope AS (SELECT DISTINCT source AS source_id FROM documents WHERE ascii(md5(source)) % 2 = 0 AND source <> 'web')"
+_CHANGED = PASSAGES_SQL.replace("source AS source_id, text,", "source AS source_id, CASE WHEN lang = 'de' THEN text || ' inand the inand' ELSE text END AS text,")
 _FUSED = f""",
 probe AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id = {PROBE_ID} LIMIT 1),
 sem0 AS (SELECT vec_id AS chunk_id, list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), q) AS semantic FROM embeddings, probe),
@@ -169,6 +223,14 @@ _ANSWER = "text || ' as shown [Source ' || (conv_id % 5) || '] and [web' || (con
 SQL = {
     "bm25_topk": _BASE + f""", top AS (SELECT chunk_id, keyword, row_number() OVER (ORDER BY keyword DESC, chunk_id) AS r FROM bm)
 SELECT chunk_id, source_id, round(keyword, 6) AS score, '[Source ' || r || ']' AS marker, {S.preview("text", 80)} AS preview FROM top JOIN passages USING (chunk_id) WHERE r <= 20""",
+    "scoped_bm25": _BASE + f", {_SCOPE} SELECT chunk_id, round(keyword, 6) AS score FROM bm JOIN passages USING (chunk_id) WHERE source_id IN (SELECT source_id FROM scope)",
+    "indexed_bm25": _BASE + " SELECT chunk_id, round(keyword, 6) AS score FROM bm",
+    "index_replace": f"WITH {_CHANGED}, {_bm25_sql()} SELECT chunk_id, round(keyword, 6) AS score FROM bm",
+    "scoped_retrieve": _BASE + f", {_SCOPE}, owned AS (SELECT chunk_id, source_id, token_count FROM passages WHERE source_id IN (SELECT source_id FROM scope))" + _FUSED.replace("FROM embeddings, probe)", "FROM embeddings JOIN owned ON vec_id = chunk_id, probe)").replace("FROM bm)", "FROM bm JOIN owned USING (chunk_id))") + """,
+        scored AS (SELECT *, round(fused, 9) AS effective FROM fused JOIN owned USING (chunk_id)), n AS (SELECT count(*) AS n FROM scope),
+        capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY effective DESC, chunk_id) AS i FROM scored) WHERE i <= 50)
+        SELECT chunk_id, source_id, round(fused, 6) AS fused, row_number() OVER (ORDER BY effective DESC, chunk_id)::INT AS rank FROM capped""",
+    "no_source": "SELECT 'no source is included and in scope' AS problem",
     "bm25_all": _BASE + " SELECT chunk_id, round(keyword, 6) AS score FROM bm",
     "fts_terms": f"SELECT item_id, len(w)::BIGINT AS n_terms, array_to_string({S.stems('w')}, ' ') AS stems FROM (SELECT item_id, list_filter({S.content(S.tokens('text'))}, lambda x: length(x) > 2) AS w FROM benchmark)",
     "rrf_fusion": _BASE + _FUSED + " SELECT chunk_id, round(semantic, 6) AS semantic, round(keyword, 6) AS keyword, round(fused, 6) AS fused FROM fused",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import lexicon as L
 from tessera.functions import sql as S
 from tessera.functions import text as T
-from tessera.operators import store
+from tessera.operators import listings, store
 from tessera.plans import text_queries
 from tessera.plans.views import SOURCES_SQL, documents, lines, messages, pages, sources, table
 
@@ -22,23 +22,24 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources in each of the listing's filters, with a text contained in the title."""
-    s = sources(spark, sf_dir)
-    which = {"ready": F.col("status").isin("ready", "partial"), "issues": F.col("status").isin("failed", "partial"), "excluded": ~F.col("included")}
-    flags = [F.when(cond, F.lit(name)) for name, cond in which.items()]
-    return s.where(F.lower("title").contains(PHRASE)).select("doc_id", F.array_join(F.array_compact(F.array(*flags)), ",").alias("filters"))
+    """Sources in each of the listing's filters, with a text contained in title, address or notes."""
+    s = sources(spark, sf_dir).withColumns({"url": F.concat(F.lit("https://"), "site", F.lit(".example/THE and")), "notes": F.when(F.col("doc_id") % 3 == 0, F.upper(F.lit(PHRASE))), "id": F.col("doc_id")})
+    s = s.withColumn("url", F.when(F.col("doc_id") % 5 == 0, F.col("url"))).withColumn("status", F.when(F.col("doc_id") % 11 == 0, F.lit("chunking")).otherwise(F.col("status")))
+    flags = [F.when(listings.source_filter(name), F.lit(name)) for name in ("all", "ready", "issues", "excluded")]
+    return s.where(listings.contains_any(PHRASE, "title", "url", "notes")).select("doc_id", F.array_join(F.array_compact(F.array(*flags)), ",").alias("filters"))
 
 
 def source_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fifty largest sources, by size, passages, then number."""
-    return sources(spark, sf_dir).orderBy(F.desc("bytes"), F.desc("chunk_count"), "doc_id").limit(50).select("doc_id", "bytes", "chunk_count")
+    """Every source, largest first: a range-partitioned sort."""
+    return listings.sort_sources(sources(spark, sf_dir), "size").select("doc_id", "bytes", "chunk_count")
 
 
 def recents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as items, opened or else updated, latest first."""
+    """Every order as an item, opened or else updated, latest first."""
     o = table(spark, sf_dir, "orders")
     opened = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderdate"))
-    return o.select("o_orderkey", F.coalesce(opened, F.date_sub("o_orderdate", 30)).cast("date").alias("used_at")).orderBy(F.desc("used_at"), "o_orderkey").limit(40)
+    items = o.select("o_orderkey", opened.alias("last_opened_at"), F.date_sub("o_orderdate", 30).alias("updated_at"))
+    return listings.recents(items, "o_orderkey").select("o_orderkey", F.col("used_at").cast("date").alias("used_at"))
 
 
 def library_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,10 +174,11 @@ _PENALTY = text_queries.SQL["navigation_penalty"]
 
 SQL = {
     "reading_order": f"WITH {_LINES} SELECT l.doc_id, ordinal::BIGINT AS ordinal, {S.preview('l.text', 60)} AS preview FROM lines l JOIN documents d ON l.doc_id = d.doc_id AND d.lang = 'fr' ORDER BY l.doc_id, ordinal LIMIT 200",
-    "source_filter": f"""WITH {SOURCES_SQL} SELECT doc_id, array_to_string(list_filter([CASE WHEN status IN ('ready', 'partial') THEN 'ready' END, CASE WHEN status IN ('failed', 'partial') THEN 'issues' END, CASE WHEN NOT included THEN 'excluded' END], lambda x: x IS NOT NULL), ',') AS filters
-        FROM sources WHERE contains(lower(title), '{PHRASE}')""",
-    "source_sort": f"WITH {SOURCES_SQL} SELECT doc_id, bytes, chunk_count FROM sources ORDER BY bytes DESC, chunk_count DESC, doc_id LIMIT 50",
-    "recents": "SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate ELSE o_orderdate - INTERVAL 30 DAY END AS DATE) AS used_at FROM orders ORDER BY used_at DESC, o_orderkey LIMIT 40",
+    "source_filter": f"""WITH {SOURCES_SQL}, s AS (SELECT * REPLACE (CASE WHEN doc_id % 11 = 0 THEN 'chunking' ELSE status END AS status) FROM sources)
+        SELECT doc_id, array_to_string(list_filter(['all', CASE WHEN status IN ('ready', 'partial') THEN 'ready' END, CASE WHEN status IN ('failed', 'partial', 'chunking') THEN 'issues' END, CASE WHEN NOT included THEN 'excluded' END], lambda x: x IS NOT NULL), ',') AS filters
+        FROM s WHERE contains(lower(title), '{PHRASE}') OR doc_id % 5 = 0 OR doc_id % 3 = 0""",
+    "source_sort": f"WITH {SOURCES_SQL} SELECT doc_id, bytes, chunk_count FROM sources ORDER BY bytes DESC, doc_id",
+    "recents": "SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate ELSE o_orderdate - INTERVAL 30 DAY END AS DATE) AS used_at FROM orders ORDER BY used_at DESC, o_orderkey",
     "library_stats": f"""WITH {SOURCES_SQL} SELECT count(DISTINCT notebook)::BIGINT AS notebooks, count(*)::BIGINT AS sources, sum(bytes)::BIGINT AS bytes, sum(chunk_count)::BIGINT AS chunks, count(*) FILTER (included)::BIGINT AS included,
         (SELECT count(DISTINCT conv_id) FROM conversations)::BIGINT AS sessions, (SELECT count(*) FROM conversations)::BIGINT AS messages, (SELECT count(*) FROM embeddings)::BIGINT AS embeddings FROM sources""",
     "distinct_models": "SELECT DISTINCT 'model-' || (label % 3) AS model, len(embedding)::BIGINT AS dims FROM embeddings",

@@ -40,10 +40,8 @@ def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strip_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Marked-up text made of each document's first words."""
-    w = F.split("text", " ")
-    at = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit("x"))
-    made = F.concat(F.lit("**"), at(0), F.lit("** [l"), at(1), F.lit("](https://a.example/"), at(2), F.lit(") `"), at(3), F.lit("` ~~"), at(4), F.lit("~~ _"), at(5), F.lit("_"))
+    """Every whole text, its full stops and commas turned into marks, without markup."""
+    made = F.translate(F.concat(F.lit("**"), "source", F.lit("** [link](https://a.example/"), "lang", F.lit(") ~~"), "lang", F.lit("~~ "), "text"), ".,", "*`")
     return documents(spark, sf_dir).select("doc_id", T.strip_markup(made).alias("plain"))
 
 
@@ -118,8 +116,7 @@ QUERIES = {f.__name__: f for f in (tokens_count, stopword_filter, stem_vocab, to
 _HOST = r"lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), ''))"
 _PATH = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 _QUERY = r"regexp_extract(url, '^[^?#]*\?([^#]*)', 1)"
-_WORD = "coalesce(string_split(text, ' ')[{}], 'x')"
-_MADE = "'**' || " + _WORD.format(1) + " || '** [l' || " + _WORD.format(2) + " || '](https://a.example/' || " + _WORD.format(3) + " || ') `' || " + _WORD.format(4) + " || '` ~~' || " + _WORD.format(5) + " || '~~ _' || " + _WORD.format(6) + " || '_'"
+_MADE = "translate('**' || source || '** [link](https://a.example/' || lang || ') ~~' || lang || '~~ ' || text, '.,', '*`')"
 _SCRIPT = "(length(html) - length(string_split(html, '<script')[1]) - 7 * (len(string_split(html, '<script')) - 1))"
 _VOCABULARY = f"words AS (SELECT word, count(*) AS n FROM (SELECT unnest({S.tokens('text')}) AS word FROM documents) GROUP BY word)"
 _THIN = " OR ".join(f"contains(p, {S.text(t)})" for t in L.THIN_PATHS)

@@ -1,23 +1,33 @@
-"""Notebook archives: a ZIP with a manifest, passages, vectors and texts as lines of JSON.
+"""Notebook archives: ZIPs with a manifest, and passages, vectors, texts and notes as lines of JSON.
 
-Export gathers one notebook, which the caller selects, into part files that Spark
-writes; the ZIP is then put together from those, member by member, without
-holding more than one at a time. Import gives every row a new id by a mapping
-table and joins the references over: vectors need their passage, citations of
-unmapped passages become null."""
+An export is a table of archives, each of about ``PART_BYTES``: the rows of all
+tables are dealt to parts by a hash of their place, so that neither a large
+notebook nor a long conversation makes a large archive, and each task zips its
+own. A small notebook is one part. Import reads any number of archives in
+tasks, gives every row a new id by its old one and joins the references over:
+vectors need their passage, citations of unmapped passages become null."""
 
 from __future__ import annotations
 
 import io
 import json
+import math
 import zipfile
+from collections.abc import Iterator
+from functools import reduce
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from tessera.functions.render import file_name
 
 VERSION = 1
-MEMBERS = ("sources", "chunks", "embeddings", "sessions", "messages", "notes")
-KEYS = {"sources": {"id": "source"}, "chunks": {"id": "chunk", "source_id": "source"}, "embeddings": {"chunk_id": "chunk", "source_id": "source"}, "sessions": {"id": "session"}, "messages": {"id": "message", "session_id": "session"}, "notes": {"id": "note"}}
+MEMBERS = ("sources", "content", "chunks", "embeddings", "sessions", "messages", "notes")
+PART_BYTES = 16 << 20
+KEYS = {"sources": {"id": "source"}, "content": {"source_id": "source"}, "chunks": {"id": "chunk", "source_id": "source"}, "embeddings": {"chunk_id": "chunk", "source_id": "source"}, "sessions": {"id": "session"}, "messages": {"id": "message", "session_id": "session"}, "notes": {"id": "note"}}
 
 
 def json_lines(rows: DataFrame) -> DataFrame:
@@ -25,22 +35,44 @@ def json_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*sorted(rows.columns))).alias("value"))
 
 
-def export(tables: dict[str, DataFrame], title: str) -> bytes:
-    """The archive of a notebook's tables, which are of one notebook and so of bounded size."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        counts = {}
-        for name in MEMBERS:
-            if name in tables:
-                with z.open(f"{name}.jsonl", "w") as f:
-                    n = 0
-                    for row in json_lines(tables[name]).toLocalIterator():
-                        f.write(row.value.encode() + b"\n")
-                        n += 1
-                counts[name] = n
-        schemas = {name: json.loads(tables[name].schema.json()) for name in counts}
+def _zipped(title: str, schemas: dict[str, dict]):
+    """Sorted rows (part, name, file, value) into one archive for each part; rows with a file are a file of their own."""
+
+    def closed(z: zipfile.ZipFile, counts: dict[str, int]) -> None:
         z.writestr("manifest.json", json.dumps({"version": VERSION, "title": title, "counts": counts, "schemas": schemas}, sort_keys=True))
-    return out.getvalue()
+        z.close()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for part, mine in groupby(rows, lambda r: r[0]):
+            out, counts = io.BytesIO(), dict.fromkeys(schemas, 0)
+            z = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+            for (name, file), some in groupby(mine, lambda r: r[1:3]):
+                with z.open(file or f"{name}.jsonl", "w") as f:
+                    for r in some:
+                        f.write(r[3].encode() + b"\n")
+                        counts[name] += not file
+            closed(z, counts)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([out.getvalue()], pa.binary())], names=["part", "content"])
+
+    return run
+
+
+def export(tables: dict[str, DataFrame], title: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(part, content): the archives of the tables. Notes (id, title, body) are Markdown files as well.
+
+    One pass counts the bytes and a second deals them out; an archive, like a task, holds ``part_bytes``."""
+    names = [n for n in MEMBERS if n in tables]
+    schemas = {n: json.loads(tables[n].schema.json()) for n in names}
+    rows = [json_lines(tables[n]).select(F.lit(n).alias("name"), F.lit("").alias("file"), "value") for n in names]
+    if "notes" in tables:
+        place = F.concat(F.lit("notes/"), file_name(F.concat_ws("-", "title", "id")), F.lit(".md"))
+        rows.append(tables["notes"].select(F.lit("notes").alias("name"), place.alias("file"), F.concat(F.lit("# "), "title", F.lit("\n\n"), "body").alias("value")))
+    every = reduce(DataFrame.unionByName, rows)
+    parts = max(1, math.ceil((every.agg(F.sum(F.octet_length("value"))).first()[0] or 0) / part_bytes))
+    drawn = every.withColumn("part", F.pmod(F.xxhash64("value", F.monotonically_increasing_id()), F.lit(parts)).cast("int"))
+    sorted_ = drawn.repartition(parts, "part").sortWithinPartitions("part", "name", "file", "value").select("part", "name", "file", "value")
+    return sorted_.mapInArrow(_zipped(title, schemas), "part int, content binary")
 
 
 def inspect(content: bytes) -> dict:
@@ -52,18 +84,36 @@ def inspect(content: bytes) -> dict:
     return manifest
 
 
-def load(spark: SparkSession, content: bytes) -> dict[str, DataFrame]:
-    """The archive's tables as they were exported."""
-    from pyspark.sql.types import StructType
+def members(archives: DataFrame) -> DataFrame:
+    """(name, value) of every line of the tables in the archives (content), a batch of lines at a time."""
 
-    manifest, out = inspect(content), {}
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        for name, schema in manifest["schemas"].items():
-            lines = z.read(f"{name}.jsonl").decode().splitlines()
-            kind = StructType.fromJson(schema)
-            text = spark.createDataFrame([(x,) for x in lines], "value string")
-            out[name] = text.select(F.from_json("value", kind).alias("r")).select(*[F.col("r")[c].alias(c) for c in kind.names])
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for name in inspect(content)["schemas"]:
+                        if f"{name}.jsonl" not in z.namelist():
+                            continue
+                        with z.open(f"{name}.jsonl") as f:
+                            while lines := f.readlines(4 << 20):
+                                yield pa.RecordBatch.from_arrays([pa.array([name] * len(lines)), pa.array([x.decode().rstrip("\n") for x in lines])], names=["name", "value"])
+
+    return archives.select("content").mapInArrow(run, "name string, value string")
+
+
+def load(archives: DataFrame, schemas: dict[str, StructType] | None = None) -> dict[str, DataFrame]:
+    """The archives' tables as they were exported; without ``schemas`` the first archive's manifest has them."""
+    if schemas is None:
+        first = archives.select("content").first()
+        schemas = {n: StructType.fromJson(x) for n, x in inspect(bytes(first.content))["schemas"].items()} if first else {}
+    lines = members(archives)
+    rows = {n: lines.where(F.col("name") == n).select(F.from_json("value", kind).alias("r")) for n, kind in schemas.items()}
+    return {n: df.select(*[F.col("r")[c].alias(c) for c in schemas[n].names]) for n, df in rows.items()}
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """(content) of archive files under a folder or pattern."""
+    return spark.read.format("binaryFile").load(path).select("content")
 
 
 def remap(tables: dict[str, DataFrame], salt: str) -> dict[str, DataFrame]:

@@ -6,7 +6,9 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from itertools import takewhile
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -164,18 +166,23 @@ class _Tree(HTMLParser):
             self.open[-1].children.append(Node("", text=data))
 
 
+def _beside_site(parts: list[str], site: str | None) -> str | None:
+    """The longest part beside one that names the site."""
+    others = [p for p in parts if p.lower() != site.lower()] if site else parts
+    longest = max(others, key=len, default="")
+    return longest if len(others) == len(parts) - 1 and len(longest) >= 12 else None
+
+
+def _before_short_end(parts: list[str], site: str | None) -> str | None:
+    """The first part where it is long and the last is as short as a name."""
+    return parts[0] if len(parts[0]) > 12 and len(parts[-1]) < 30 else None
+
+
 def headline(title: str, site: str | None) -> str:
-    """The headline of "Headline — Site Name"."""
-    for sep in TITLE_SEPARATORS:
-        parts = title.split(sep)
-        if not 2 <= len(parts) <= 4:
-            continue
-        others = [p for p in parts if not site or p.lower() != site.lower()]
-        if site and len(others) == len(parts) - 1 and len(best := max(others, key=len)) >= 12:
-            return best.strip()
-        if len(parts[0]) > 12 and len(parts[-1]) < 30:
-            return parts[0].strip()
-    return title.strip()
+    """The headline of "Headline — Site Name": the first separator and rule that give one."""
+    splits = (title.split(s) for s in TITLE_SEPARATORS)
+    found = (rule(parts, site) for parts in splits if 2 <= len(parts) <= 4 for rule in (_beside_site, _before_short_end))
+    return next(filter(None, found), title).strip()
 
 
 def _metadata(tree: _Tree) -> dict[str, str | None]:
@@ -192,24 +199,30 @@ def _has(text: str, signals) -> bool:
     return any(s in text for s in signals)
 
 
-def container_score(node: Node) -> float:
-    """How much an element looks like the page's content."""
-    if not node.length:
-        return 0.0
-    share = min(1.0, node.link / node.length)
-    score = node.length * (0.15 if share > 0.5 else 0.45 if share > 0.3 else 1.0) * (0.55 + 0.45 * min(1.0, node.marks / node.paragraphs))
-    score *= TAG_WEIGHT.get(node.tag, 0.6) * (0.12 if _has(node.classes, CHROME) else 1.0) * (1.45 if _has(node.classes, CONTENT) else 1.0)
-    return score * (1.0 + min(0.15, 0.01 * node.depth))
+def scores(nodes: list[Node]) -> np.ndarray:
+    """How much each element looks like the page's content; all have text."""
+    column = lambda of: np.array([of(n) for n in nodes], float)
+    length = column(lambda n: n.length)
+    share = np.minimum(1.0, column(lambda n: n.link) / length)
+    factors = (
+        np.select([share > 0.5, share > 0.3], [0.15, 0.45], 1.0),
+        0.55 + 0.45 * np.minimum(1.0, column(lambda n: n.marks) / column(lambda n: n.paragraphs)),
+        column(lambda n: TAG_WEIGHT.get(n.tag, 0.6)),
+        np.where([_has(n.classes, CHROME) for n in nodes], 0.12, 1.0),
+        np.where([_has(n.classes, CONTENT) for n in nodes], 1.45, 1.0),
+        1.0 + np.minimum(0.15, 0.01 * column(lambda n: n.depth)),
+    )
+    return length * np.prod(factors, axis=0)
 
 
 def select(root: Node) -> Node:
-    """The best container; an article or main element that comes within a fifth of it is preferred."""
-    scored = [(container_score(n), n) for n in root.walk() if n.length]
-    if not scored:
+    """The first of the best containers; an article or main element that comes within a fifth of it is preferred."""
+    nodes = [n for n in root.walk() if n.length]
+    if not nodes:
         return root
-    best = max(scored, key=lambda x: x[0])
-    preferred = max((x for x in scored if x[1].tag in ("article", "main")), key=lambda x: x[0], default=None)
-    return preferred[1] if preferred and preferred[0] >= 0.8 * best[0] else best[1]
+    score = scores(nodes)
+    named = np.where([n.tag in ("article", "main") for n in nodes], score, 0.0)
+    return nodes[int((named if named.max() >= 0.8 * score.max() else score).argmax())]
 
 
 def _hidden(n: Node) -> bool:
@@ -293,29 +306,25 @@ def _first_of_each(blocks: list[Block]) -> list[Block]:
     return list({b.text.lower()[:160]: b for b in reversed(blocks) if b.text}.values())[::-1]
 
 
-def _label_list(text: str) -> bool:
-    words = text.split(" ")
-    if len(words) < 8:
-        return False
-    return sum(name in text for name in LANGUAGES) >= 3 or (len(words) >= 25 and ". " not in text and not text.endswith("."))
-
-
-def _furniture(b: Block) -> bool:
-    if b.kind == "list_item":
-        return len(b.text) < 200
-    if b.kind not in ("paragraph", "quote"):
-        return False
-    return _has(b.text.lower(), INTERFACE) or _label_list(b.text) or (len(b.text) < 120 and ". " not in b.text and not b.text.endswith((".", "?", "!")))
+#: What marks a block at the head of a page as furniture: the kinds that a mark holds for, and the mark.
+PROSE = ("paragraph", "quote")
+FURNITURE = (
+    (("list_item",), lambda t: len(t) < 200),
+    (PROSE, lambda t: _has(t.lower(), INTERFACE)),
+    (PROSE, lambda t: len(t) < 120 and not re.search(r"\. |[.?!]\Z", t)),
+    (PROSE, lambda t: t.count(" ") >= 7 and sum(map(t.__contains__, LANGUAGES)) >= 3),
+    (PROSE, lambda t: t.count(" ") >= 24 and not re.search(r"\. |\.\Z", t)),
+)
 
 
 def trim_head(blocks: list[Block]) -> list[Block]:
     """Without up to six blocks of furniture in front, where enough remains."""
     if len(blocks) <= 3:
         return blocks
-    most = min(len(blocks) - 2, 6)
-    start = next((i for i in range(most) if not _furniture(blocks[i])), most)
-    left, all_ = (sum(len(b.text) for b in part) for part in (blocks[start:], blocks))
-    return blocks[start:] if left >= 200 and left >= 0.3 * all_ else blocks
+    head = blocks[: min(len(blocks) - 2, 6)]
+    lead = sum(1 for _ in takewhile(lambda b: any(b.kind in kinds and mark(b.text) for kinds, mark in FURNITURE), head))
+    length = np.array([len(b.text) for b in blocks])
+    return blocks[lead:] if length[lead:].sum() >= max(200, 0.3 * length.sum()) else blocks
 
 
 def trim_tail(blocks: list[Block]) -> list[Block]:
