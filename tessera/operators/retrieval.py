@@ -17,7 +17,7 @@ from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -84,6 +84,20 @@ def saturation(tf: Column, dl: Column, avgdl: Column) -> Column:
     return tf * (K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * dl / avgdl))
 
 
+def _statistics(counted: DataFrame, distinct: list[str]) -> DataFrame:
+    holds = [F.sum((F.get("tf", F.lit(i)) > 0).cast("long")).alias(f"n{i}") for i in range(len(distinct))]
+    return counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *holds)
+
+
+def _score(terms: list[str], of: Callable[[str], Column]) -> Column:
+    """BM25 of a row with dl and tf; ``of`` gives a statistic by its name. Terms in order, each as often as it was asked for."""
+    score = F.lit(0.0)
+    for i, t in enumerate(dict.fromkeys(terms)):
+        part = saturation(F.get("tf", F.lit(i)).cast("double"), F.col("dl"), of("avgdl"))
+        score = score + F.lit(float(terms.count(t))) * idf(of("n"), of(f"n{i}")) * part
+    return score
+
+
 def keyword_scores(chunks: DataFrame, terms: list[str]) -> DataFrame:
     """(chunk_id, source_id where there is one, keyword): BM25 of every chunk with a term, statistics over the whole table.
 
@@ -94,15 +108,27 @@ def keyword_scores(chunks: DataFrame, terms: list[str]) -> DataFrame:
     known = [c for c in counted.columns if c not in ("dl", "tf")]
     if not distinct:
         return counted.select(*known, F.lit(0.0).alias("keyword")).where("false")
-    holds = [F.sum((F.get("tf", F.lit(i)) > 0).cast("long")).alias(f"n{i}") for i in range(len(distinct))]
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *holds)
-    score = F.lit(0.0)
-    for i, t in enumerate(distinct):
-        part = saturation(F.get("tf", F.lit(i)).cast("double"), F.col("dl"), F.col("avgdl"))
-        score = score + F.lit(float(terms.count(t))) * idf(F.col("n"), F.col(f"n{i}")) * part
     # A score is above 0 where a term is held: asked of the score, as a filter on the
     # frequencies would move below their projection and have the words split twice.
-    return counted.crossJoin(F.broadcast(stats)).select(*known, score.alias("keyword")).where("keyword > 0")
+    return counted.crossJoin(F.broadcast(_statistics(counted, distinct))).select(*known, _score(terms, F.col).alias("keyword")).where("keyword > 0")
+
+
+def keyword_top(chunks: DataFrame, terms: list[str], n: int, eligible: DataFrame | None = None) -> list[Row]:
+    """The best ``n`` (chunk_id, keyword) by ``keyword_scores``, of ``eligible`` sources where given.
+
+    Texts are read once: the few numbers of each passage are kept, on disk beyond
+    memory, while the statistics are summed and the list is made; what is lost with
+    an executor is counted again."""
+    distinct = list(dict.fromkeys(terms))
+    if not distinct:
+        return []
+    counted = term_counts(chunks, terms).persist()
+    try:
+        stats = _statistics(counted, distinct).first()
+        scored = counted.where(F.exists("tf", lambda f: f > 0)).withColumn("keyword", _score(terms, lambda name: F.lit(float(stats[name]))))
+        return top(scored if eligible is None else scored.join(eligible, "source_id", "left_semi"), "keyword", n)
+    finally:
+        counted.unpersist()
 
 
 def semantic_scores(vectors: DataFrame, query: list[float]) -> DataFrame:
@@ -144,18 +170,13 @@ class Fused:
     count: Callable[[], int]
 
 
-def fuse(semantic: DataFrame | None, keyword: DataFrame, candidates: int) -> DataFrame:
-    """(chunk_id, semantic, keyword, rrf, fused): reciprocal ranks, the best ``candidates``."""
-    return fused_lists(semantic, keyword, candidates).rows
-
-
-def fused_lists(semantic: DataFrame | None, keyword: DataFrame, candidates: int) -> Fused:
-    """The fusion and its count before the cut.
+def fuse(semantic: DataFrame | None, keyword: list[Row], candidates: int, id_type: StructField) -> Fused:
+    """(chunk_id, semantic, keyword, rrf, fused): the best ``candidates`` by reciprocal ranks; ``keyword`` is the top list of its channel.
 
     Only the first ``candidates`` of a channel can be among the best by rank in
     it alone. A keyword hit beyond the vector channel's list has its exact rank
     there counted. All lists here have ``candidates`` rows at most."""
-    words = {r.chunk_id: (n, r.keyword) for n, r in enumerate(top(keyword, "keyword", candidates), 1)}
+    words = {r.chunk_id: (n, r.keyword) for n, r in enumerate(keyword[:candidates], 1)}
     near, hits = {}, []
     if semantic is not None:
         near = {r.chunk_id: (n, r.semantic) for n, r in enumerate(top(semantic, "semantic", candidates), 1)}
@@ -167,9 +188,9 @@ def fused_lists(semantic: DataFrame | None, keyword: DataFrame, candidates: int)
     rrf = {i: sum(1.0 / (RRF_K + c[i][0]) for c in (near, words) if i in c) * (BOTH_CHANNELS if i in near and i in words else 1.0) for i in {**near, **words}}
     best = sorted(rrf, key=lambda i: (-rrf[i], i))[:candidates]
     rows = [(i, near.get(i, (0, None))[1], words.get(i, (0, None))[1], rrf[i], rrf[i] / rrf[best[0]]) for i in best]
-    schema = StructType([keyword.schema["chunk_id"], *(StructField(c, DoubleType()) for c in ("semantic", "keyword", "rrf", "fused"))])
+    schema = StructType([StructField("chunk_id", id_type.dataType), *(StructField(c, DoubleType()) for c in ("semantic", "keyword", "rrf", "fused"))])
     every = lambda: len(words) if semantic is None else semantic.count() + len([i for i in words if i not in near])
-    return Fused(keyword.sparkSession.createDataFrame(rows, schema), bool(rrf), every)
+    return Fused(SparkSession.active().createDataFrame(rows, schema), bool(rrf), every)
 
 
 def passages_of(chunks: DataFrame, found: DataFrame) -> DataFrame:
@@ -276,7 +297,6 @@ def search(
         ends = chunks.agg(F.min("source_id").alias("a"), F.max("source_id").alias("b")).first()
         several = 1 if ends.a == ends.b else 2
     terms = T.keyword_terms(query)
-    keyword = index.scores(terms) if index is not None else keyword_scores(chunks, terms)
     within = lambda rows: rows if eligible is None else rows.join(eligible, "source_id", "left_semi")
     if callable(query_vector):
         try:
@@ -290,7 +310,8 @@ def search(
         if eligible is not None:
             owned = vectors.select("chunk_id", "source_id") if "source_id" in vectors.columns else chunks.select("chunk_id", "source_id")
             semantic = semantic.join(within(owned).select("chunk_id"), "chunk_id", "left_semi")
-    found = fused_lists(semantic, within(keyword), s.candidates)
+    keyword = keyword_top(chunks, terms, s.candidates, eligible) if index is None else top(within(index.scores(terms)), "keyword", s.candidates) if terms else []
+    found = fuse(semantic, keyword, s.candidates, chunks.schema["chunk_id"])
     fused = found.rows
     if s.floor <= 0 and query.strip() and not found.some:
         first = within(chunks).orderBy("chunk_id").limit(s.candidates).select("chunk_id").collect()

@@ -27,11 +27,7 @@ def _ids(rows: DataFrame) -> DataFrame:
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: keyword retrieval with markers and previews."""
-    return _shown(spark, sf_dir, _terms(spark, sf_dir))
-
-
-def _shown(spark: SparkSession, sf_dir: str, scores: DataFrame) -> DataFrame:
-    best = R.top(scores, "keyword", 20)
+    best = R.keyword_top(passages(spark, sf_dir), TERMS, 20)
     ranked = spark.createDataFrame([(r.chunk_id, r.keyword, n) for n, r in enumerate(best, 1)], "chunk_id long, keyword double, rank int")
     rows = R.passages_of(passages(spark, sf_dir), ranked)
     marker = F.concat(F.lit("[Source "), F.col("rank").cast("string"), F.lit("]"))
@@ -98,7 +94,8 @@ def _probe(spark: SparkSession, sf_dir: str) -> list[float]:
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors of documents with the same number stand for their passages' vectors."""
-    return R.fuse(R.semantic_scores(vectors(spark, sf_dir), _probe(spark, sf_dir)), _terms(spark, sf_dir), 40)
+    chunks = passages(spark, sf_dir)
+    return R.fuse(R.semantic_scores(vectors(spark, sf_dir), _probe(spark, sf_dir)), R.keyword_top(chunks, TERMS, 40), 40, chunks.schema["chunk_id"]).rows
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
