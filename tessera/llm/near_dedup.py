@@ -14,30 +14,34 @@ texts are linked where the exact similarity of their shingle sets is
 ``SIMILARITY`` at least. Groups are the components of the exact links; the
 least doc_id of each stays.
 
-A block of over ``BLOCK`` rows is split into parts, and each two parts make a
-tile, so no task takes more than about two parts at once. Components of over
-``PART`` rows or ``PART_BYTES`` of text are split likewise.
+Large blocks and large components are dealt to tasks in parts. Whatever is
+linked to the first text of a block needs no more comparison within it, as it
+is one group already; only the rest is held against all parts. So a group of
+near copies, however large, costs what its rows cost, and only rows of many
+unlike texts under one key cost the product of their parts.
 
 Cases: null and empty texts are one group. Rows that share a doc_id are one
-document, of which one row stays; rows without one are compared to none and
-all stay. Ties go to the least doc_id. Other columns
-are kept, whatever their names. An empty table gives no rows."""
+document, of which one row stays: that with the least hash of its text, and of
+all columns then. Rows without an id are compared to none and all stay. Ties
+go to the least doc_id. Other columns are kept, whatever their names. An empty
+table gives no rows."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded, in_batches, stored
 from tessera.llm.components import components
 from tessera.llm.packing import spread
-from tessera.llm.simhash import bits_of, linked, majority, pair_lanes, shingle_hashes
+from tessera.llm.shingles import shingle_sets
+from tessera.llm.simhash import bits_of, linked, majority, pair_lanes
 
 SHINGLE, SIMILARITY = 5, 0.8
 WORDS, BANDS, ROWS = 8, 12, 3
@@ -45,7 +49,7 @@ WORDS, BANDS, ROWS = 8, 12, 3
 RADIUS = round(64 * WORDS * math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi)
 #: Four standard errors of that number more: pairs to be compared exactly.
 WIDE = math.ceil(RADIUS + 4 * math.sqrt(RADIUS * (1 - RADIUS / (64 * WORDS))))
-BLOCK = 20_000
+BLOCK = 4_000
 PART, PART_BYTES = 4_000, 8 << 20
 #: Rows that may be broadcast, of 8 bytes each.
 FEW = 1_000_000
@@ -60,12 +64,12 @@ MIX, PERMUTE = _odd(WORDS, 5), _odd(BANDS * ROWS, 6)
 
 @in_batches
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, same, fp array<long>, keys array<long>, mark, size); ``same`` is equal for equal sets of
-    shingles, ``mark`` and ``size`` are a hash of the text and its bytes."""
+    """(doc_id, same, fp array<long>, keys array<long>, size); ``same`` is equal for equal sets of
+    shingles, ``size`` has the text's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text", 1 << 20):
-            sets = [np.unique(np.array(shingle_hashes(t, SHINGLE), np.uint64)) for t in batch.column("text").to_pylist()]
+            sets = shingle_sets(batch.column("text").to_pylist(), SHINGLE)
             n = len(sets)
             full = np.array([len(s) for s in sets], np.int64)
             counts = np.maximum(full, 1)
@@ -78,14 +82,11 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 keys = (keys ^ keys >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + least[:, :, r]
             same = [f"{int(a):x}.{int(b):x}.{int(c):x}" for a, b, c in zip(full, np.add.reduceat(hashes, start), np.bitwise_xor.reduceat(hashes * MIX[0], start), strict=True)]
             lists = lambda a: pa.FixedSizeListArray.from_arrays(pa.array(a.ravel().view(np.int64)), a.shape[1]).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same), lists(fps), lists(keys), batch.column("mark"), batch.column("size")], names=["doc_id", "same", "fp", "keys", "mark", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(same), lists(fps), lists(keys), batch.column("size")], names=["doc_id", "same", "fp", "keys", "size"])
 
-    return _marked(docs, id_col, text_col).mapInArrow(run, "doc_id long, same string, fp array<long>, keys array<long>, mark long, size long")
-
-
-def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return kept.withColumn("mark", F.xxhash64("text")).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    sized = kept.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    return sized.mapInArrow(run, "doc_id long, same string, fp array<long>, keys array<long>, size long")
 
 
 def _fps(column: pa.Array) -> np.ndarray:
@@ -126,24 +127,47 @@ def few(df: DataFrame, limit: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def _dealt(rows: DataFrame, block: list[str], hot: DataFrame) -> DataFrame:
-    """``rows`` sorted by block, with columns part and other: the tile, where ``hot`` (block, parts) splits a block."""
-    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    others = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: q != F.col("mine")))
-    tiles = rows.join(few(hot), block, "left").withColumn("mine", F.coalesce(part, F.lit(0))).select(*rows.columns, "mine", F.explode(others).alias("to"))
+def _dealt(rows: DataFrame, block: list[str], hot: DataFrame | None) -> DataFrame:
+    """``rows`` sorted by block, with columns part and other: the tile.
+
+    ``hot`` (block, loose, tight) has the parts of large blocks, and ``rows`` says in ``bound`` which are linked to
+    the block's first: such rows meet the loose parts only, loose ones all parts. A block without any loose row
+    has no tile."""
     tags = [*block, "part", "other"]
-    placed = tiles.select(*rows.columns, F.least("mine", "to").alias("part"), F.greatest("mine", "to").alias("other"))
-    return placed.repartition(*tags).sortWithinPartitions(*tags, "doc_id")
+    if hot is None:
+        placed = rows.withColumn("part", F.lit(0)).withColumn("other", F.lit(0))
+    else:
+        spot, none = F.xxhash64("doc_id"), F.array().cast("array<int>")
+        loose, tight = F.coalesce("loose", F.lit(1)), F.coalesce("tight", F.lit(0))
+        mine = F.when(F.col("bound"), loose + F.pmod(spot, F.greatest(tight, F.lit(1)))).otherwise(F.pmod(spot, F.greatest(loose, F.lit(1)))).cast("int")
+        every = F.sequence(F.lit(0), loose + tight - 1)
+        others = F.when(loose == 0, none).when(loose + tight == 1, F.array(F.lit(0))).when(F.col("bound"), F.sequence(F.lit(0), loose - 1)).otherwise(F.filter(every, lambda q: q != F.col("mine")))
+        tiles = rows.join(few(hot), block, "left").withColumn("mine", mine).select(*rows.columns, "mine", F.explode(others).alias("to"))
+        placed = tiles.select(*rows.columns, F.least("mine", "to").alias("part"), F.greatest("mine", "to").alias("other"))
+    return placed.drop("bound").repartition(*tags).sortWithinPartitions(*tags, "doc_id")
+
+
+def _far(a: str, b: str) -> Column:
+    """Differing bits of two fingerprints."""
+    bits = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(WORDS)]
+    return reduce(Column.__add__, bits)
 
 
 @in_batches
 def block_links(distinct: DataFrame, radius: int = WIDE, block: int = BLOCK) -> DataFrame:
     """(u, v) from rows (doc_id, fp, keys): texts that blocks link, each to the first of its group there."""
-    keys = distinct.select("doc_id", F.posexplode("keys").alias("band", "key"))
-    hot = stored(keys.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > block).withColumn("parts", F.ceil(F.col("n") / block).cast("int")).drop("n"))
+    by = ["band", "key"]
     rows = distinct.select("doc_id", "fp", F.posexplode("keys").alias("band", "key"))
-    dealt = _dealt(rows, ["band", "key"], hot)
-    return dealt.mapInArrow(partial(_block_links, radius=radius), "u long, v long")
+    large = stored(rows.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > block).select(*by))
+    links = partial(_block_links, radius=radius)
+    if large.isEmpty():
+        return _dealt(rows, by, None).mapInArrow(links, "u long, v long")
+    firsts = stored(rows.join(few(large), by).groupBy(*by).agg(F.min("doc_id").alias("first"), F.min_by("fp", "doc_id").alias("first_fp")))
+    flagged = rows.join(few(firsts, FEW // 16), by, "left").withColumn("bound", F.coalesce(_far("fp", "first_fp") <= radius, F.lit(False)))
+    parts = lambda cond: F.ceil(F.count_if(cond) / block).cast("int")
+    hot = stored(flagged.where("first is not null").groupBy(*by).agg(parts(~F.col("bound")).alias("loose"), parts(F.col("bound")).alias("tight")))
+    stars = flagged.where("bound and doc_id <> first").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
+    return stars.unionByName(_dealt(flagged.drop("first", "first_fp"), by, hot).mapInArrow(links, "u long, v long"))
 
 
 def alike(sets: list[np.ndarray], fps: np.ndarray, radius: int) -> np.ndarray:
@@ -179,7 +203,7 @@ def _exact_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
         for at, end in zip(cuts, cuts[1:], strict=False):
             tile = rows.slice(at, end - at).combine_chunks()
             ids, fps = tile.column("doc_id").to_numpy(), np.concatenate([_fps(c) for c in tile.column("fp").chunks])
-            root = alike([np.unique(np.array(shingle_hashes(t, SHINGLE), np.uint64)) for t in tile.column("text").to_pylist()], fps, radius)
+            root = alike(shingle_sets(tile.column("text").to_pylist(), SHINGLE), fps, radius)
             on = root != np.arange(len(ids))
             u.append(ids[on])
             v.append(ids[root[on]])
@@ -200,33 +224,66 @@ def _exact_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
 
 
 @in_batches
-def exact_links(docs: DataFrame, members: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE, part: int = PART) -> DataFrame:
-    """(u, v) from ``docs`` and their components ``members`` (doc_id, mark, size, fp, label): texts of exact similarity."""
-    parts = F.ceil(F.greatest(F.col("n") / part, F.col("bytes") / PART_BYTES)).cast("int")
-    hot = stored(members.groupBy("label").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).select("label", parts.alias("parts")).where("parts > 1"))
-    texts = _marked(docs, id_col, text_col).select("doc_id", "mark", "text").join(few(members.drop("size"), FEW // 16), ["doc_id", "mark"])
-    rows = texts.dropDuplicates(["doc_id"]).select("label", "doc_id", "fp", "text")
-    return _dealt(rows, ["label"], hot).mapInArrow(partial(_exact_links, radius=radius), "u long, v long")
+def exact_links(docs: DataFrame, members: DataFrame, radius: int = WIDE, part: int = PART) -> DataFrame:
+    """(u, v) from ``docs`` (doc_id, text) and their components ``members`` (doc_id, size, fp, label): texts of exact similarity.
+
+    Each part of a large component is held against itself and the component's first text; what isn't linked to
+    that one then meets all other parts."""
+    n_parts = lambda n, size: F.ceil(F.greatest(n / part, size / PART_BYTES)).cast("int")
+    large = stored(members.groupBy("label").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("doc_id").alias("first")).select("label", "first", n_parts(F.col("n"), F.col("bytes")).alias("parts")).where("parts > 1"))
+    links = partial(_exact_links, radius=radius)
+    texts = lambda of: docs.join(few(of, FEW // 16), "doc_id").select("label", "doc_id", "fp", "text", *[c for c in of.columns if c in ("part", "bound")])
+    own = F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(F.col("doc_id") == F.col("first"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")))
+    dealt = members.join(few(large), "label", "left").select("label", "doc_id", "fp", own.alias("part"))
+    tags = ["label", "part", "other"]
+    alone = texts(dealt).withColumn("part", F.explode("part")).withColumn("other", F.col("part")).repartition(*tags).sortWithinPartitions(*tags, "doc_id")
+    within = alone.mapInArrow(links, "u long, v long")
+    if large.isEmpty():
+        return within
+    within = stored(within)
+    bound = within.join(few(large.select(F.col("first").alias("v"))), "v", "left_semi").select(F.col("u").alias("doc_id")).distinct()
+    firsts = large.select(F.col("first").alias("doc_id"))
+    flagged = stored(members.join(few(large.select("label")), "label").join(bound.union(firsts).withColumn("bound", F.lit(True)), "doc_id", "left").withColumn("bound", F.coalesce("bound", F.lit(False))))
+    counts = lambda cond: n_parts(F.count_if(cond), F.coalesce(F.sum(F.when(cond, F.col("size"))), F.lit(0)))
+    hot = stored(flagged.groupBy("label").agg(counts(~F.col("bound")).alias("loose"), counts(F.col("bound")).alias("tight")).where("loose > 0"))
+    rest = texts(flagged.join(few(hot.select("label")), "label", "left_semi").select("label", "doc_id", "fp", "bound"))
+    return within.unionByName(_dealt(rest, ["label"], hot).mapInArrow(links, "u long, v long"))
+
+
+def one_of_each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, row): the rows of ``docs`` whole, one for each doc_id and all without one.
+
+    Ids that repeat are found on the ids alone; only their rows are gathered, by partial minima."""
+    packed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct("*").alias("row"))
+    twice = stored(packed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if twice.isEmpty():
+        return packed
+    again = packed.join(few(twice), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "row"), F.struct(F.xxhash64("text"), F.xxhash64("row"))).alias("kept")).select("doc_id", "kept.*")
+    return packed.join(few(twice), "doc_id", "left_anti").unionByName(again)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE, block: int = BLOCK) -> DataFrame:
     """(doc_id, group) of the documents that have near-duplicates: the group is the least doc_id in it."""
-    signed = stored(signatures(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
+    return _groups(one_of_each(docs, id_col, text_col), radius, block)
+
+
+def _groups(rows: DataFrame, radius: int = WIDE, block: int = BLOCK) -> DataFrame:
+    named = rows.where("doc_id is not null").select("doc_id", "text")
+    signed = stored(signatures(named))
     # Written first, so that the join may split the rows of one large group of copies.
     sets = stored(signed.groupBy("same").agg(F.min("doc_id").alias("first")))
-    equal = stored(signed.select("doc_id", "same").join(sets, "same").select("doc_id", "first").where("doc_id <> first").distinct())
+    equal = stored(signed.select("doc_id", "same").join(sets, "same").select("doc_id", "first").where("doc_id <> first"))
     # A document is compared unless an equal one comes first.
-    distinct = stored(signed.join(few(equal.select("doc_id")), "doc_id", "left_anti").dropDuplicates(["doc_id"]).select("doc_id", "fp", "keys", "mark", "size"))
+    distinct = stored(signed.join(few(equal.select("doc_id")), "doc_id", "left_anti").select("doc_id", "fp", "keys", "size"))
     close = components(block_links(distinct.select("doc_id", "fp", "keys"), radius, block)).withColumnRenamed("node", "doc_id")
-    members = stored(distinct.join(close, "doc_id").select("doc_id", "mark", "size", "fp", "label"))
-    exact = exact_links(docs.where(F.col(id_col).isNotNull()), members, id_col, text_col, radius, min(block, PART))
+    members = stored(distinct.join(close, "doc_id").select("doc_id", "size", "fp", "label"))
+    exact = exact_links(named, members, radius, min(block, PART))
     label = components(exact.union(equal.select(F.col("doc_id").alias("u"), F.col("first").alias("v"))))
     return label.select(F.col("node").alias("doc_id"), F.col("label").alias("group"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one of each group, all columns as they were."""
-    gone = stored(near_groups(docs, id_col, text_col).where(F.col("doc_id") != F.col("group")).select(F.col("doc_id").alias("__gone")))
-    left = docs.join(few(gone), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")))
-    return left.withColumn("__tessera_key", key).dropDuplicates(["__tessera_key"]).drop("__tessera_key")
+    rows = one_of_each(docs, id_col, text_col)
+    gone = stored(_groups(rows).where(F.col("doc_id") != F.col("group")).select("doc_id"))
+    return rows.join(few(gone), "doc_id", "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -34,6 +34,7 @@ from tessera.llm.components import components
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Hashes added up in one go; the counters below have 16 bits.
 RUN = 1 << 15
+AT_ONCE = 1 << 17
 PIECES = 8
 
 
@@ -55,16 +56,22 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -
 
 
 def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Fingerprints of consecutive groups of hashes; ``counts`` has their sizes."""
+    """Fingerprints of consecutive groups of hashes; ``counts`` has their sizes.
+
+    ``AT_ONCE`` hashes are spread into lanes at a time, 128 bytes each."""
     out = np.zeros((len(counts), 64), np.int64)
-    start = np.cumsum(counts) - counts
-    owner, cuts = [], []
-    for i, (s, n) in enumerate(zip(start.tolist(), counts.tolist(), strict=True)):
-        cuts += range(s, s + n, RUN)
-        owner += [i] * len(range(0, n, RUN))
-    if cuts:
-        wide = LANES[np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)].reshape(len(hashes), 16)
-        np.add.at(out, owner, np.add.reduceat(wide, cuts, axis=0).view(np.uint16).astype(np.int64))
+    ends = np.cumsum(counts)
+    begins = np.unique(np.concatenate([ends - counts, np.arange(0, len(hashes), RUN)]))
+    begins = begins[begins < len(hashes)]
+    owner = np.searchsorted(ends, begins, side="right")
+    limits = [*begins.tolist(), len(hashes)]
+    at = 0
+    while at < len(begins):
+        to = max(at + 1, int(np.searchsorted(begins, limits[at] + AT_ONCE)))
+        part = np.ascontiguousarray(hashes[limits[at] : limits[to]])
+        wide = LANES[part.view(np.uint8).reshape(-1, 8)].reshape(len(part), 16)
+        np.add.at(out, owner[at:to], np.add.reduceat(wide, begins[at:to] - limits[at], axis=0).view(np.uint16).astype(np.int64))
+        at = to
     bits = (out * 2 > counts[:, None]).astype(np.uint8)
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
 
