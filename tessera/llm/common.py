@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
@@ -10,11 +11,14 @@ from functools import wraps
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORD_BREAKS = " \t\n\x0b\x0c\r"
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 _ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _UNSET_FOLDER = "/tmp/checkpoints"
+#: Rows that may be broadcast, of a few numbers each.
+FEW = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (a single machine, as in tests) a fixed folder
-    is used and set, so that later calls agree on it."""
+    Where the setting is absent on a single machine, as in tests, a fixed folder
+    is used; on a cluster that would be each machine's own disk, so it raises."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        spark.conf.set("spark.checkpoint.dir", base := _UNSET_FOLDER)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = _UNSET_FOLDER
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
@@ -68,6 +74,11 @@ def forget(df: DataFrame) -> None:
         _kept.pop(path, None)
 
 
+def few(df: DataFrame, limit: int = FEW) -> DataFrame:
+    """The same rows, to be broadcast where their counted number allows it."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def in_batches(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """Has Spark pass ``BATCH_ROWS`` rows at a time to Python, not its own 10,000, which for long
     texts are hundreds of megabytes in either process. A setting of the session's owner stays."""

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, in_batches, stored
+from tessera.llm.common import FEW, bounded, few, in_batches, stored
 from tessera.llm.components import components
 from tessera.llm.packing import spread
 from tessera.llm.shingles import shingle_sets
@@ -51,8 +51,6 @@ RADIUS = round(64 * WORDS * math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.
 WIDE = math.ceil(RADIUS + 4 * math.sqrt(RADIUS * (1 - RADIUS / (64 * WORDS))))
 BLOCK = 4_000
 PART, PART_BYTES = 4_000, 8 << 20
-#: Rows that may be broadcast, of 8 bytes each.
-FEW = 1_000_000
 
 
 def _odd(n: int, seed: int) -> np.ndarray:
@@ -122,11 +120,6 @@ def _block_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
     yield links(*rest)
 
 
-def few(df: DataFrame, limit: int = FEW) -> DataFrame:
-    """The same rows, to be broadcast where their counted number allows it."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def _dealt(rows: DataFrame, block: list[str], hot: DataFrame | None) -> DataFrame:
     """``rows`` sorted by block, with columns part and other: the tile.
 

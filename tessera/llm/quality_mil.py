@@ -7,13 +7,16 @@ weight within its bag, learned from document labels alone; the score is the
 logistic of the weighted passage representation.
 
 Training takes at most ``SAMPLE`` labelled documents (those with the least
-hashed ids), and none whose crc32(doc_id as text) modulo 4 is 2; these are held
-out. Scoring is one pass without a shuffle. Labels, language, source and id are
+hashed ids), of each at most ``BAG`` passages spread evenly over the whole
+text, and none whose crc32(doc_id as text) modulo 4 is 2; these are held
+out. Scoring takes every passage, in one pass without a shuffle; a long text's
+are measured ``SLICE`` bytes at a time. Labels, language, source and id are
 never inputs of a score.
 
 Cases: null and empty texts are one passage of no characters and get a score
 like any other. Null labels are left out; conflicting labels of a document
-count as 0. Equal texts have equal scores. Repeated rows are scored once each.
+count as 0; of the texts that share an id that with the least hash is fitted.
+Equal texts have equal scores. Repeated rows are scored once each.
 Where labels are too few or of one kind, the score is that share of ones.
 Other columns are kept by ``keep``. An empty table gives no rows."""
 
@@ -29,9 +32,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded, in_batches, table
 
-PASSAGE, SAMPLE, THRESHOLD = 512, 4000, 0.7
+PASSAGE, SAMPLE, BAG, THRESHOLD = 512, 4000, 64, 0.7
+SLICE = PASSAGE << 11
 HIDDEN, GATE, ROUNDS, SEED = 24, 16, 400, 7
-TRIGRAM_BINS = 512
+TRIGRAM_BINS, DECAY = 512, 1e-4
 
 
 def _classes() -> np.ndarray:
@@ -52,6 +56,21 @@ N_FEATURES = N_CLASSES + 4
 def passage_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Features of every passage in order, and the number of passages of each text (1 at least)."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    bags = np.array([max(1, -(-len(r) // PASSAGE)) for r in raw], np.int64)
+    # Slices end where passages do, which no feature reaches across.
+    pieces = [r[i : i + SLICE] for r in raw for i in range(0, len(r) or 1, SLICE)]
+    made, some, size = [], [], 0
+    for piece in [*pieces, None]:
+        if some and (piece is None or size + len(piece) > SLICE):
+            made.append(_features(some))
+            some, size = [], 0
+        if piece is not None:
+            some.append(piece)
+            size += len(piece)
+    return np.concatenate(made) if made else np.zeros((0, N_FEATURES), np.float32), bags
+
+
+def _features(raw: list[bytes]) -> np.ndarray:
     sizes = np.array([len(r) for r in raw], np.int64)
     bags = np.maximum(1, -(-sizes // PASSAGE))
     data = np.frombuffer(b"".join(raw), np.uint8)
@@ -66,7 +85,7 @@ def passage_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     grams = np.bincount(owner[:-2][whole] * TRIGRAM_BINS + code[whole] if len(code) else code, minlength=n * TRIGRAM_BINS).reshape(n, TRIGRAM_BINS) / length
     words = (shares[:, 3] + shares[:, 4])[:, None]
     figures = np.concatenate([(grams > 0).mean(1, keepdims=True), np.sqrt((grams**2).sum(1, keepdims=True)), grams.max(1, keepdims=True), words / (1 - words + 1e-3)], 1)
-    return np.concatenate([np.sqrt(shares), figures], 1).astype(np.float32), bags
+    return np.concatenate([np.sqrt(shares), figures], 1).astype(np.float32)
 
 
 @dataclass
@@ -107,37 +126,40 @@ def fit(x: np.ndarray, bags: np.ndarray, y: np.ndarray) -> Model:
     m, v2 = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
     start, bag_of = np.cumsum(bags) - bags, np.repeat(np.arange(len(bags)), bags)
     for step in range(1, ROUNDS + 1):
-        f = _forward(w, x, start, bags)
-        dp = ((f["p"] - y) / len(y)).astype(np.float32)
-        dz = dp[:, None] * w["c"]
-        dzi = dz[bag_of]
-        da = (dzi * f["h"]).sum(1)
-        ds = f["a"] * (da - np.add.reduceat(f["a"] * da, start)[bag_of])
-        dtg = ds[:, None] * w["a"]
-        dt, dg = dtg * f["g"] * (1 - f["t"] ** 2), dtg * f["t"] * f["g"] * (1 - f["g"])
-        dh = (f["a"][:, None] * dzi + dt @ w["v"].T + dg @ w["u"].T) * (1 - f["h"] ** 2)
-        grad = {"c": f["z"].T @ dp, "cb": dp.sum(keepdims=True), "a": (f["t"] * f["g"]).T @ ds, "v": f["h"].T @ dt, "u": f["h"].T @ dg, "e": x.T @ dh, "eb": dh.sum(0)}
-        for k, d in grad.items():
-            d = d + 1e-4 * w[k]
+        for k, d in gradients(w, x, start, bags, bag_of, y).items():
             m[k] += 0.1 * (d - m[k])
             v2[k] += 0.01 * (d * d - v2[k])
             w[k] = (w[k] - 0.02 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     return Model(mean, scale, w)
 
 
+def gradients(w: dict[str, np.ndarray], x: np.ndarray, start: np.ndarray, bags: np.ndarray, bag_of: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Slopes of the mean log loss over documents and ``DECAY`` / 2 times the weights' squares."""
+    f = _forward(w, x, start, bags)
+    dp = ((f["p"] - y) / len(y)).astype(x.dtype)
+    dz = dp[:, None] * w["c"]
+    dzi = dz[bag_of]
+    da = (dzi * f["h"]).sum(1)
+    ds = f["a"] * (da - np.add.reduceat(f["a"] * da, start)[bag_of])
+    dtg = ds[:, None] * w["a"]
+    dt, dg = dtg * f["g"] * (1 - f["t"] ** 2), dtg * f["t"] * f["g"] * (1 - f["g"])
+    dh = (f["a"][:, None] * dzi + dt @ w["v"].T + dg @ w["u"].T) * (1 - f["h"] ** 2)
+    grad = {"c": f["z"].T @ dp, "cb": dp.sum(keepdims=True), "a": (f["t"] * f["g"]).T @ ds, "v": f["h"].T @ dt, "u": f["h"].T @ dg, "e": x.T @ dh, "eb": dh.sum(0)}
+    return {k: d + DECAY * w[k] for k, d in grad.items()}
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether labels of a document are kept from training; a null id's aren't known."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _scorer(model: Model | None):
+def _scorer(model: Model | None, bag: int = BAG):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text", 1 << 20):
             x, bags = passage_features(batch.column("text").to_pylist())
             if model is None:
-                start = np.concatenate([[0], np.cumsum(bags)]) * N_FEATURES
-                out = pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), out], names=["doc_id", "x"])
+                parts = [b[np.unique(np.linspace(0, len(b) - 1, min(bag, len(b))).astype(np.int64))] for b in np.split(x, np.cumsum(bags)[:-1])]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([p.tobytes() for p in parts], pa.binary())], names=["doc_id", "x"])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x, bags).astype(np.float64))], names=["doc_id", "score"])
 
@@ -145,18 +167,19 @@ def _scorer(model: Model | None):
 
 
 @in_batches
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, bag: int = BAG) -> Model:
     """A model from at most ``sample`` labelled documents that aren't held out.
 
     The sample's ids and labels are at most ``sample`` rows and so are joined by
-    broadcast; features, not texts, come to the driver."""
+    broadcast; features of at most ``bag`` passages of each, not texts, come to the driver."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     drawn = known.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    bags = texts.join(F.broadcast(drawn.select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_scorer(None), "doc_id long, x array<float>")
+    chosen = texts.join(F.broadcast(drawn.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("text"), F.xxhash64("text")).alias("t")).select("doc_id", "t.text")
+    bags = chosen.mapInArrow(_scorer(None, bag), "doc_id long, x binary")
     y = {r.doc_id: r.y for r in drawn.collect()}
     rows = sorted(bags.toLocalIterator(), key=lambda r: r.doc_id)
-    x = [np.array(r.x, np.float32).reshape(-1, N_FEATURES) for r in rows]
+    x = [np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES) for r in rows]
     every = np.concatenate(x) if x else np.zeros((0, N_FEATURES), np.float32)
     return fit(every, np.array([len(b) for b in x], np.int64), np.array([y[r.doc_id] for r in rows], np.float32))
 

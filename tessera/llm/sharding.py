@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, table
+from tessera.llm.common import few, stored, table
 
 SHARDS, SEED, BUCKET_BYTES = 8, 20_240_229, 32 << 20
 
@@ -47,12 +47,13 @@ def external_shuffle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def with_shards(shuffled: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Adds shard and slot to rows with bucket and place, by the rank over all buckets.
 
-    Only the buckets' counts meet in one task: a row for each ``bucket_bytes`` of input."""
+    Only the buckets' counts meet in one task: a row for each ``bucket_bytes`` of input. They are
+    broadcast where their number is small enough, so the records stay where they are read."""
     counts = shuffled.groupBy("bucket").agg(F.count("*").alias("rows"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("begin"))
     rank = F.col("begin") + F.col("place")
-    ranked = shuffled.join(starts, "bucket")
+    ranked = shuffled.join(few(stored(starts)), "bucket")
     return ranked.withColumn("shard", (rank % shards).cast("int")).withColumn("slot", F.floor(rank / shards).cast("long")).drop("begin")
 
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, in_batches, stored, table
+from tessera.llm.common import bounded, few, in_batches, stored, table
 
 PACKAGE_BYTES = 8 << 20
 RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -186,10 +186,13 @@ def write_packages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """(name, content): the pages' records in packages, in the shared folder.
 
     The largest page_id of each payload comes from partial maxima, so a payload
-    with many copies reaches one task as a row from each task that read it."""
+    with many copies reaches one task as a row from each task that read it. Only
+    payloads that occur twice or more are joined back, by broadcast up to a
+    counted number of them; pages are then packed where they are read."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    # Written first, so that the join may split the rows of one payload with many copies.
-    kept = stored(rows.groupBy("sha").agg(F.max("page_id").alias("keeper")))
+    # Written first, so that a join beyond the broadcast may split the rows of one payload with many copies.
+    twice = stored(rows.groupBy("sha").agg(F.count("*").alias("n"), F.max("page_id").alias("keeper")).where("n > 1").select("sha", "keeper", F.lit(True).alias("shared")))
+    keeper = F.when(F.col("shared"), F.col("keeper")).otherwise(F.col("page_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         package = Package()
@@ -207,7 +210,8 @@ def write_packages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         if package.lines:
             yield closed()
 
-    return stored(rows.join(kept, "sha").select("page_id", "url", "html", "keeper").mapInArrow(run, "name string, content binary"))
+    kept = rows.join(few(twice), "sha", "left").select("page_id", "url", "html", keeper.alias("keeper"))
+    return stored(kept.mapInArrow(run, "name string, content binary"))
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"

@@ -3,6 +3,7 @@ import random
 import re
 import time
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -106,3 +107,49 @@ def test_odd_rows(docs):
     out = [r.text for r in P.redact(docs(texts)).orderBy("doc_id").collect()]
     assert out[:3] == [None, "", "é mail [EMAIL], [IP]"] and out[3].endswith("x [PHONE]")
     assert P.find(docs(["a"]).where("false")).count() == 0 and P.redact(docs(texts)).columns == docs(texts).columns
+
+
+def test_spans_apart_by_bisection():
+    import random
+
+    rnd = random.Random(2)
+    for _ in range(200):
+        base = sorted((("ip", s, s + rnd.randrange(1, 9)) for s in (rnd.randrange(60) for _ in range(rnd.randrange(6)))), key=lambda x: x[1])
+        test = P._apart(base)
+        for s in range(60):
+            e = s + rnd.randrange(1, 6)
+            assert test(s, e) == (not any(s < b and a < e for _, a, b in base))
+
+
+def test_marginals_of_trees_are_exact():
+    """Sum-product on graphs without loops, against the sum over all labellings."""
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    for links in ([(0, 1, 0), (1, 2, 2), (1, 3, 1)], [(0, 1, 2)], [(0, 2, 1), (1, 2, 0)]):
+        n = 1 + max(max(a, b) for a, b, _ in links)
+        field = P.Field(rng.normal(size=(3, P.LABELS)), rng.normal(size=(3, P.LABELS, P.LABELS)))
+        x, held = rng.normal(size=(n, 3)), np.array([-1] * (n - 1) + [2])
+        got = field.marginals(x, np.array(links), held)
+        want, u = np.zeros((n, P.LABELS)), x @ field.unary
+        for ys in product(range(P.LABELS), repeat=n):
+            if ys[-1] == 2:
+                weight = np.exp(sum(u[i, y] for i, y in enumerate(ys[:-1])) + sum(field.pair[k][ys[a], ys[b]] for a, b, k in links))
+                for i, y in enumerate(ys):
+                    want[i, y] += weight
+        assert np.abs(got - want / want.sum(1, keepdims=True)).max() < 2e-3
+
+
+def test_many_mentions_take_linear_time():
+    import time
+
+    def took(n):
+        text = " ".join(f"call 555-0{i % 10}{i % 7}-{1000 + i} or +1 555 0{i % 10}{i % 7} {1000 + i}." for i in range(n))
+        base = P.base_spans(text)
+        began = time.process_time()
+        P.added_spans([text], [base], P.trained())
+        return time.process_time() - began
+
+    P.trained()
+    few, many = took(1000), took(8000)
+    assert many < 8 * few * 2.5, (few, many)

@@ -52,3 +52,56 @@ def test_odd_rows(spark, docs):
         rows = M.score(d, model).collect()
         assert len(rows) == 5 and all(0 <= r.score <= 1 for r in rows)
     assert M.score(d.where("false"), model).count() == 0
+
+
+def plain_loss(w, x, bags, y):
+    """The mean log loss and decay, a document and a passage at a time."""
+    total, at = 0.0, 0
+    for n, label in zip(bags, y, strict=True):
+        h = [np.tanh(v @ w["e"] + w["eb"]) for v in x[at : at + n]]
+        s = [float((np.tanh(v @ w["v"]) / (1 + np.exp(-(v @ w["u"])))) @ w["a"]) for v in h]
+        a = np.exp(s) / np.exp(s).sum()
+        z = sum(k * v for k, v in zip(a, h, strict=True))
+        p = 1 / (1 + np.exp(-(z @ w["c"] + w["cb"][0])))
+        total -= label * np.log(p) + (1 - label) * np.log(1 - p)
+        at += n
+    return total / len(y) + M.DECAY / 2 * sum((v**2).sum() for v in w.values())
+
+
+def test_against_a_plain_version_and_its_slopes():
+    rng = np.random.default_rng(1)
+    bags = np.array([1, 3, 2, 5])
+    x, y = rng.normal(size=(bags.sum(), 6)), np.array([1.0, 0, 1, 0])
+    w = {"e": rng.normal(size=(6, 5)), "eb": rng.normal(size=5), "v": rng.normal(size=(5, 4)), "u": rng.normal(size=(5, 4)), "a": rng.normal(size=4), "c": rng.normal(size=5), "cb": rng.normal(size=1)}
+    start = np.cumsum(bags) - bags
+    p = M._forward(w, x, start, bags)["p"]
+    loss = -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)) + M.DECAY / 2 * sum((v**2).sum() for v in w.values())
+    assert abs(loss - plain_loss(w, x, bags, y)) < 1e-12
+    grad = M.gradients(w, x, start, bags, np.repeat(np.arange(4), bags), y)
+    for k, v in w.items():
+        for i in np.ndindex(v.shape):
+            up, down = ({n: m.copy() for n, m in w.items()} for _ in range(2))
+            up[k][i] += 1e-5
+            down[k][i] -= 1e-5
+            assert abs((plain_loss(up, x, bags, y) - plain_loss(down, x, bags, y)) / 2e-5 - grad[k][i]) < 1e-7, (k, i)
+
+
+def test_long_texts_in_slices():
+    import tracemalloc
+
+    text = "Some words of a text, as they go.\n" * 70_000
+    x, bags = M.passage_features([text, "short", text[:5000]])
+    whole = M._features([text.encode()])
+    assert np.array_equal(x[: len(whole)], whole) and bags.tolist() == [len(whole), 1, 10]
+    tracemalloc.start()
+    M.passage_features(["a b c " * 2_000_000])
+    assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+
+
+def test_texts_of_one_id(spark):
+    rows = [(i % 40, f"{'good words here. ' * (i % 7 + 1)}{i}", "x") for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    d = spark.createDataFrame(rows, "doc_id long, text string, x string")
+    a, b = (M.train(df, labels).w for df in (d, d.orderBy("text").repartition(5)))
+    assert all(np.array_equal(a[k], b[k]) for k in a) and a
