@@ -16,8 +16,10 @@ each chunk is backtraced by itself between its two states. Where a chunk begins
 that no piece reaches across, its only state is 0 and the matrix is a single
 number; long texts without such places get full matrices.
 
-Chunks of giant documents become rows and are dealt to all tasks; other
-documents are scanned where they are read.
+Texts over ``CHUNK`` bytes are scanned so; a shorter one is a chunk by itself, whose
+path is found directly. Chunks of giant documents become rows and are dealt to
+all tasks; other documents are scanned where they are read. A stretch between
+two such spaces that occurred before has its sum and ids remembered by worker, as words recur.
 
 Cases: a null text is encoded as null and decoded as null; an empty one has no
 ids. Decoding gives the text back but for U+2581 itself, which reads as a
@@ -258,197 +260,6 @@ def scan(matrices: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-@lru_cache(2)
-def lattice_of(path: str) -> Lattice:
-    return Lattice(path)
-
-
-class Words(dict):
-    """Best paths of stretches between safe places, remembered per worker: a number for each stretch,
-    its ids and sum in flat arrays. The rarer half goes when there are too many."""
-
-    def __init__(self, lattice: Lattice, most: int = 200_000):
-        super().__init__()
-        self.lattice, self.most = lattice, most
-        self.flat = np.zeros(0, np.uint32)
-        self.start, self.length, self.hits = (np.zeros(0, np.int64) for _ in range(3))
-        self.score = np.zeros(0)
-        self.waiting: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.waiting.append(word)
-        return n
-
-    def at(self, parts: list[bytes]) -> np.ndarray:
-        """The numbers of stretches, all known afterwards."""
-        if len(self) > self.most:
-            self._shrink()
-        found = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))
-        self._learn()
-        self.hits += np.bincount(found, minlength=len(self.hits))
-        return found
-
-    def ids(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of stretches one after another, and the count for each."""
-        at = self.at(parts)
-        return self.flat[spread(self.start[at], self.length[at])], self.length[at]
-
-    def _shrink(self) -> None:
-        keep = np.sort(np.argsort(-self.hits, kind="stable")[: self.most // 2])
-        words = list(self)
-        self.flat = self.flat[spread(self.start[keep], self.length[keep])]
-        self.length, self.hits, self.score = self.length[keep], self.hits[keep] // 2, self.score[keep]
-        self.start = np.cumsum(self.length) - self.length
-        self.clear()
-        self.update((words[k], i) for i, k in enumerate(keep.tolist()))
-
-    def _learn(self) -> None:
-        """Paths of the waiting stretches, in groups of bounded size."""
-        new, self.waiting = self.waiting, []
-        while new:
-            sizes = np.cumsum([len(w) for w in new])
-            n = max(1, int(np.searchsorted(sizes, GROUP)))
-            self._paths(new[:n])
-            new = new[n:]
-
-    def _paths(self, new: list[bytes]) -> None:
-        # All new stretches side by side: arcs with the same end depth and length in one step,
-        # short before long, so that of equal sums the longest last piece stays.
-        size = np.array([len(w) for w in new])
-        first = np.cumsum(size) - size
-        data = np.frombuffer(b"".join(new), np.uint8)
-        s, e, p, w = self.lattice.arcs(data, np.repeat(first + size, size))
-        begin = np.repeat(first, size)[s]
-        span = self.lattice.states + 1
-        step = (e - begin) * span + (e - s)
-        order = np.argsort(step.astype(np.uint16) if step.max() < 1 << 16 else step, kind="stable")
-        s, e, p, w, step, begin = s[order], e[order], p[order], w[order], step[order], begin[order]
-        # The sum up to a node stands at the byte before it, as stretches adjoin.
-        best, via = np.full(len(data), LOW), np.full(len(data), -1)
-        cuts = np.flatnonzero(np.concatenate([[True], step[1:] != step[:-1], [True]])).tolist()
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            start, end = s[a:b], e[a:b] - 1
-            sums = np.where(start == begin[a:b], 0.0, best[start - 1]) + w[a:b]
-            better = sums >= best[end]
-            end = end[better]
-            best[end] = sums[better]
-            via[end] = np.flatnonzero(better) + a
-        # Back from all ends at once, a piece of each stretch at a time.
-        at, taken = first + size, []
-        while (on := at > first).any():
-            k = np.where(on, via[at - 1], -1)
-            taken.append(k)
-            at = np.where(on, s[k], at)
-        arcs = np.stack(taken[::-1], 1)
-        used = arcs >= 0
-        path, counts = arcs[used], used.sum(1)
-        # An unknown character gives an id for each of its bytes.
-        wide = np.where(p[path] >= 0, 1, e[path] - s[path])
-        ids = np.repeat(p[path], wide)
-        lost = ids < 0
-        ids[lost] = self.lattice.byte_id[data[spread(s[path], wide)[lost]]]
-        ends = np.cumsum(counts)
-        length = np.diff(np.cumsum(wide)[ends - 1], prepend=0)
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
-        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
-        self.score = np.concatenate([self.score, best[first + size - 1]])
-        self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
-
-
-def safe_split(raw: bytes) -> list[bytes]:
-    """Stretches of a normalised text that no piece reaches across: runs of spaces go with what follows."""
-    parts = raw.split(SPACE)
-    out, spaces = ([parts[0]] if parts[0] else []), 0
-    for p in parts[1:]:
-        spaces += 1
-        if p:
-            out.append(SPACE * spaces + p)
-            spaces = 0
-    return [*out, SPACE * spaces] if spaces else out
-
-
-def encode_span(words: Words, raw: bytes, chunk: int = CHUNK) -> np.ndarray:
-    """Ids of a normalised text: stretches up to ``chunk`` bytes by their remembered paths, longer ones by the scan."""
-    out, short = [], []
-    for part in [*safe_split(raw), b""]:
-        if 0 < len(part) <= chunk:
-            short.append(part)
-            continue
-        out.append(words.ids(short)[0])
-        short = []
-        if part:
-            out.append(np.array(scan_encode(words.lattice, part, chunk), np.uint32))
-    return np.concatenate(out)
-
-
-def scan_encode(lattice: Lattice, raw: bytes, chunk: int = CHUNK) -> list[int]:
-    """The scan over the chunks of one stretch, in this process."""
-    return Segment(lattice, raw, 0, True, True, chunk).ids(_start(lattice), 0)
-
-
-def _start(lattice: Lattice) -> np.ndarray:
-    out = np.full(lattice.states, LOW)
-    out[0] = 0.0
-    return out
-
-
-class Segment:
-    """A run of chunks: ``lead`` bytes of ``raw`` go before it; left, right: whether its ends are safe."""
-
-    def __init__(self, lattice: Lattice, raw: bytes, lead: int, left: bool, right: bool, chunk: int = CHUNK):
-        self.lattice, self.raw = lattice, raw
-        begins = [lead + b for b in cut(raw[lead:], chunk)]
-        self.chunks = []
-        for i, a in enumerate(begins):
-            b = begins[i + 1] if i + 1 < len(begins) else len(raw)
-            before = 0 if (left if i == 0 else is_safe(raw, a)) else min(a, lattice.states - 1)
-            self.chunks.append((a - before, b, before, right if b == len(raw) else is_safe(raw, b)))
-
-    def _forward(self, i: int, enter: np.ndarray) -> Forward:
-        a, b, lead, _ = self.chunks[i]
-        return Forward(self.lattice, self.raw[a:b], lead, enter)
-
-    def matrices(self) -> list[np.ndarray]:
-        """Each chunk's max-plus matrix (left state, right state)."""
-        states, out = self.lattice.states, []
-        for i, (_, _, lead, safe) in enumerate(self.chunks):
-            alone = np.full((lead + 1, states), LOW)
-            np.fill_diagonal(alone, 0.0)
-            matrix = np.full((states, states), LOW)
-            matrix[: lead + 1] = self._forward(i, alone).transfer(states)
-            if safe:
-                matrix[:, 1:] = LOW
-            out.append(matrix)
-        return out
-
-    def _entries(self, enter: np.ndarray) -> list[np.ndarray]:
-        """The sums into each chunk's left states, from the segment's own."""
-        ahead = scan(self.matrices())
-        return [enter, *(np.maximum((enter[:, None] + m).max(0), LOW) for m in ahead[:-1])]
-
-    def ids(self, enter: np.ndarray, state: int) -> list[int]:
-        """Ids of the path that leaves in ``state``: of equal sums the longest last piece, and so on back."""
-        out = []
-        for i, sums in reversed(list(enumerate(self._entries(enter)))):
-            ids, state = self._forward(i, sums[None]).trace(state)
-            out.append(ids)
-        return [j for ids in reversed(out) for j in ids]
-
-    def lefts(self, enter: np.ndarray, rights: list[int]) -> list[int]:
-        """The left state of the best path to each right state, -1 where there is none."""
-        works = [self._forward(i, sums[None]) for i, sums in enumerate(self._entries(enter))]
-        out = []
-        for state in rights:
-            for w in reversed(works):
-                if state >= 0:
-                    at = w.n - state
-                    state = w.trace(state)[1] if at >= 0 and w.best[at, 0] > LOW / 2 else -1
-            out.append(state)
-        return out
-
-
 class Pieces:
     """A model's pieces as bytes, for decoding alone."""
 
@@ -675,16 +486,70 @@ def worker_words(path: str) -> Words:
     return Words(lattice_of(path))
 
 
+def _chunks(lattice: Lattice, raw: bytes, chunk: int) -> list[dict]:
+    """The chunks of one normalised text, with the stretches of those whose ends are safe."""
+    begins, out = cut(raw, chunk), []
+    for a, b in zip(begins, [*begins[1:], len(raw)], strict=True):
+        left, right = is_safe(raw, a), is_safe(raw, b)
+        lead = 0 if left else min(a, lattice.states - 1)
+        parts = safe_split(raw[a:b]) if left and right else []
+        out.append({"raw": raw[a - lead : b], "lead": lead, "safe_left": left, "safe_right": right, "parts": parts if max(map(len, parts), default=0) <= chunk else []})
+    return out
+
+
+def scan_texts(words: Words, raws: list[bytes], chunk: int = CHUNK) -> list[tuple[np.ndarray, float]]:
+    """(ids, best sum) of normalised texts, each by the scan over its chunks.
+
+    The matrices of chunks are 1 x 1 between safe places. Their products give the sums
+    into every chunk, its right state gives its left one, and each is traced by itself."""
+    texts = [_chunks(words.lattice, raw, chunk) for raw in raws]
+    parts = [c["parts"] for rows in texts for c in rows]
+    at = words.at(list(chain.from_iterable(parts)))
+    cuts = np.cumsum([0, *map(len, parts)])
+    sums = np.diff(np.concatenate([[0.0], np.cumsum(words.score[at])])[cuts]).tolist()
+    known = np.concatenate([[0], np.cumsum(words.length[at])])[cuts].tolist()
+    every = words.flat[spread(words.start[at], words.length[at])]
+    out, n = [], 0
+    for rows in texts:
+        ahead = scan([np.array([[sums[n + i]]]) if r["parts"] else small_matrix(words, r) for i, r in enumerate(rows)])
+        state, ids = 0, []
+        for i in range(len(rows) - 1, -1, -1):
+            r = rows[i]
+            if r["parts"]:
+                ids.append(every[known[n + i] : known[n + i + 1]])
+                state = 0
+                continue
+            enter = _start(words.lattice)
+            if i:
+                enter[:] = LOW
+                enter[: ahead[i - 1].shape[1]] = ahead[i - 1][0]
+            ids.append(segment_ids(words, r | {"enter": enter.astype("<f8").tobytes(), "state_out": state}))
+            state = 0 if r["safe_left"] else Segment(words.lattice, r["raw"], r["lead"], False, r["safe_right"]).lefts(enter, [state])[0]
+        out.append((np.concatenate(ids[::-1]), float(ahead[-1][0, 0])))
+        n += len(rows)
+    return out
+
+
+def scan_text(words: Words, raw: bytes, chunk: int = CHUNK) -> tuple[np.ndarray, float]:
+    return scan_texts(words, [raw], chunk)[0]
+
+
+def small_matrix(words: Words, r: dict) -> np.ndarray:
+    """A segment's matrix without the states that a safe end doesn't have."""
+    m = segment_matrix(words, r["raw"], r["lead"], r["safe_left"], r["safe_right"])
+    return m[: 1 if r["safe_left"] else None, : 1 if r["safe_right"] else None]
+
+
 def encode_texts(words: Words, texts: list[str | None]) -> list[np.ndarray | None]:
     raws = [None if t is None else words.lattice.normalise(t) for t in texts]
-    parts = [safe_split(r) if r else [] for r in raws]
-    long = [max(map(len, p), default=0) > CHUNK for p in parts]
-    plain = [[] if far else p for p, far in zip(parts, long, strict=True)]
+    long = [r is not None and len(r) > CHUNK for r in raws]
+    plain = [[] if far or not r else safe_split(r) for r, far in zip(raws, long, strict=True)]
     ids, counts = words.ids(list(chain.from_iterable(plain)))
     before = np.concatenate([[0], np.cumsum(counts)])
     ends = before[np.cumsum([len(p) for p in plain])].tolist() if plain else []
     spans = zip([0, *ends], ends, strict=False)
-    return [None if r is None else encode_span(words, r) if far else ids[a:b] for r, far, (a, b) in zip(raws, long, spans, strict=True)]
+    scanned = iter(scan_texts(words, [r for r, far in zip(raws, long, strict=True) if far]))
+    return [None if r is None else next(scanned)[0] if far else ids[a:b] for r, far, (a, b) in zip(raws, long, spans, strict=True)]
 
 
 def _ids_column(found: list[np.ndarray | None]) -> pa.Array:
@@ -735,9 +600,7 @@ def _giants(docs: DataFrame, path: str, segment: int) -> DataFrame:
         words = worker_words(path)
         for batch in batches:
             rows = batch.to_pylist()
-            found = [segment_matrix(words, r["raw"], r["lead"], r["safe_left"], r["safe_right"]) for r in rows]
-            # A safe end has one state, so most matrices are a single number.
-            small = [m[: 1 if r["safe_left"] else None, : 1 if r["safe_right"] else None] for m, r in zip(found, rows, strict=True)]
+            small = [small_matrix(words, r) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column("n"), batch.column("part"), pa.array([m.shape[1] for m in small], pa.int32()), pa.array([m.astype("<f8").tobytes() for m in small], pa.binary())], names=["n", "part", "wide", "matrix"])
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

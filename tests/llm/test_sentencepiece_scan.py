@@ -64,13 +64,16 @@ def test_scan_of_small_chunks_is_the_best_path(text, chunk):
     assert S.scan_encode(LATTICE, raw, chunk) == want if raw else want == []
     words = S.Words(LATTICE)
     assert S.encode_texts(words, [text])[0].tolist() == want
+    if raw:
+        ids, total = S.scan_text(words, raw, chunk)
+        assert ids.tolist() == want and abs(total - best(raw)[0]) < 1e-6
 
 
 @settings(max_examples=50, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("aeinorst日")), min_size=1, max_size=120), st.integers(5, 20))
 def test_text_without_spaces(text, chunk):
     raw = text.encode()
-    assert S.scan_encode(LATTICE, raw, chunk) == best(raw)[1]
+    assert S.scan_encode(LATTICE, raw, chunk) == best(raw)[1] == S.scan_text(S.Words(LATTICE), raw, chunk)[0].tolist()
 
 
 def test_products_associate():
@@ -110,10 +113,33 @@ def test_query(spark, sf):
     rows = S.op5_sentencepiece(spark, sf).collect()
     assert len(rows) == len(texts)
     assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in rows)
-    words = S.Words(LATTICE)
-    for r in rows[:50]:
-        ids = S.encode_texts(words, [texts[r.doc_id]])[0]
-        assert (r.n_ids, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert sum(len(t.encode()) > S.CHUNK for t in texts.values()) > 5
+    for r in rows:
+        ids = whole_path(LATTICE.normalise(texts[r.doc_id]))
+        assert (r.n_ids, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), r.doc_id
+
+
+def whole_path(raw):
+    """The best path of a whole text by one table over its bytes, no cuts and nothing remembered."""
+    pieces = {LATTICE.bytes_of[i]: (i, s) for i, s in scores().items()}
+    total, via = [0.0] + [None] * len(raw), [None] * (len(raw) + 1)
+    for s in range(len(raw)):
+        if total[s] is None or raw[s] & 0xC0 == 0x80:
+            continue
+        width = next(w for w in range(1, 5) if s + w == len(raw) or raw[s + w] & 0xC0 != 0x80)
+        for e in range(s + 1, min(len(raw), s + LATTICE.longest) + 1):
+            p = pieces.get(raw[s:e])
+            if p is None and e - s == width:
+                p = (-1, LATTICE.unknown)
+            # A later start is a shorter piece, so of equal sums the first stays.
+            if p and (total[e] is None or total[s] + p[1] > total[e]):
+                total[e], via[e] = total[s] + p[1], (s, p[0])
+    out, at = [], len(raw)
+    while at:
+        s, i = via[at]
+        out += [i] if i >= 0 else LATTICE.byte_id[np.frombuffer(raw[s:at], np.uint8)].tolist()[::-1]
+        at = s
+    return out[::-1]
 
 
 def test_models_with_spaces_inside_pieces_are_refused(monkeypatch):
