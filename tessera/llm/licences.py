@@ -52,6 +52,12 @@ SENTENCES = {
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "lgpl21-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "epl2-terms": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
     "mpl2-form": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "mpl2-copy": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
     "unlicense": "this is free and unencumbered software released into the public domain",
@@ -78,6 +84,12 @@ RULES = (
     ("GPL-3.0-or-later", ("gpl-free",)),
     ("GPL-2.0-or-later", ("gpl2-free", "gpl-hope", "gpl-see")),
     ("GPL-2.0-or-later", ("gpl2-free",)),
+    ("LGPL-2.1-or-later", ("lgpl21-free",)),
+    ("LGPL-3.0-or-later", ("lgpl3-free",)),
+    ("AGPL-3.0-or-later", ("agpl3-free",)),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("Zlib", ("zlib-grant",)),
+    ("EPL-2.0", ("epl2-terms",)),
     ("GPL-3.0-only", ("gpl3-named",)),
     ("GPL-3.0-only", ("gpl3-named-2",)),
     ("MPL-2.0", ("mpl2-form", "mpl2-copy")),
@@ -95,6 +107,38 @@ RULES = (
     ("CC-BY-4.0", ("cc-by-long",)),
     ("all-rights-reserved", ("all-rights",)),
 )
+# How licences are called, after "the", and the statements that name one.
+CALLED = {
+    "MIT": ("mit license",), "ISC": ("isc license",), "Zlib": ("zlib license",), "Unlicense": ("unlicense",), "BSL-1.0": ("boost software license version 1 0",), "Artistic-2.0": ("artistic license 2 0",),
+    "Apache-2.0": ("apache license version 2 0", "apache license 2 0"), "MPL-2.0": ("mozilla public license version 2 0", "mozilla public license 2 0"), "EPL-2.0": ("eclipse public license version 2 0", "eclipse public license 2 0"),
+    "BSD-2-Clause": ("bsd 2 clause license", "2 clause bsd license"), "BSD-3-Clause": ("bsd 3 clause license", "3 clause bsd license"),
+    "GPL-2.0-only": ("gnu general public license version 2",), "GPL-3.0-only": ("gnu general public license version 3",), "LGPL-2.1-only": ("gnu lesser general public license version 2 1",),
+    "LGPL-3.0-only": ("gnu lesser general public license version 3",), "AGPL-3.0-only": ("gnu affero general public license version 3",),
+}
+NAMING = ("licensed under", "released under", "distributed under", "this project is licensed under", "this work is licensed under", "this software is licensed under", "this code is released under")
+COMMONS = {"by": "attribution", "sa": "sharealike", "nc": "noncommercial", "nd": "noderivatives"}
+COMMONS_KINDS = (("by",), ("by", "sa"), ("by", "nd"), ("by", "nc"), ("by", "nc", "sa"), ("by", "nc", "nd"))
+COMMONS_VERSIONS = {"2.0": "generic", "2.5": "generic", "3.0": "unported", "4.0": "international"}
+
+
+def _named() -> dict[str, str]:
+    """Sentence to licence: each statement with each name, SPDX tags, and the Creative Commons family in short and long form."""
+    out = {f"{start} the {name}": licence for start in NAMING for licence, names in CALLED.items() for name in names}
+    tags = [*CALLED, *(x.replace("-only", "-or-later") for x in CALLED if x.endswith("-only"))]
+    for kind in COMMONS_KINDS:
+        for version, region in COMMONS_VERSIONS.items():
+            licence, number = f"CC-{'-'.join(kind).upper()}-{version}", version.replace(".", " ")
+            tags.append(licence)
+            out |= {f"{start} cc {' '.join(kind)} {number}": licence for start in NAMING}
+            out[f"this work is licensed under a creative commons {' '.join(COMMONS[k] for k in kind)} {number} {region} license"] = licence
+    return out | {f"spdx license identifier {re.sub('[^a-z0-9]+', ' ', t.lower())}": t for t in [*tags, "CC0-1.0"]}
+
+
+# After the sentences above, so that these keep their names; a rule for each.
+_KNOWN = set(SENTENCES.values())
+_NAMED = {f"named {text}".replace(" ", "-"): (text, licence) for text, licence in _named().items() if text not in _KNOWN}
+SENTENCES |= {name: text for name, (text, _) in _NAMED.items()}
+RULES += tuple((licence, (name,)) for name, (_, licence) in _NAMED.items())
 #: Every known sentence has one of these, so a text without any needs no further look.
 #: Each is part of one word, as line breaks may stand between words.
 ANCHORS = ("licen", "copyright", "reserved", "permission", "redistribut", "warrant", "mozilla", "domain", "mpl")

@@ -30,6 +30,15 @@ def test_whole_licence_across_lines():
     assert names("Some heading\nReleased under the MIT License.\nand more") == ["MIT"]
 
 
+def test_families_of_names():
+    assert names("SPDX-License-Identifier: LGPL-2.1-or-later\n") == ["LGPL-2.1-or-later"] and names("// SPDX-License-Identifier: MIT") == ["MIT"]
+    assert names("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License.") == ["CC-BY-NC-SA-3.0"]
+    assert names("Distributed under the Boost Software License, Version 1.0.\nThis code is released under the GNU Affero General Public License, version 3.") == ["BSL-1.0", "AGPL-3.0-only"]
+    assert names("Licensed under CC BY-ND 2.5. Licensed under CC BY 2.5.") == ["CC-BY-ND-2.5", "CC-BY-2.5"]
+    assert names("This software is provided 'as-is', without any express or implied\nwarranty. In no event so. Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:") == ["Zlib"]
+    assert len(set(L.SENTENCES.values())) == len(L.SENTENCES) > 250
+
+
 def test_rules_are_ordered_and_need_their_order():
     bsd = [L.SENTENCES[k].capitalize() + "." for k in ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")]
     assert names(" ".join(bsd)) == ["BSD-3-Clause"]
