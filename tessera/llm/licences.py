@@ -129,7 +129,7 @@ def _named() -> dict[str, str]:
         for version, region in COMMONS_VERSIONS.items():
             licence, number = f"CC-{'-'.join(kind).upper()}-{version}", version.replace(".", " ")
             tags.append(licence)
-            out |= {f"{start} cc {' '.join(kind)} {number}": licence for start in NAMING}
+            out |= {f"{start} cc {' '.join(kind)} {number}": licence for start in NAMING if "licen" in start}
             out[f"this work is licensed under a creative commons {' '.join(COMMONS[k] for k in kind)} {number} {region} license"] = licence
     return out | {f"spdx license identifier {re.sub('[^a-z0-9]+', ' ', t.lower())}": t for t in [*tags, "CC0-1.0"]}
 
