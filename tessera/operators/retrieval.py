@@ -240,6 +240,11 @@ def select_rows(scored: DataFrame, settings: Settings, eligible_sources: int) ->
     return ranked.withColumn("used_tokens", used).where((F.col("used_tokens") <= s.budget) | (F.col("rank") == 1)).drop("in_source", "few")
 
 
+def held(picked: DataFrame) -> DataFrame:
+    """Selected rows (60 at most, by ``Settings``) taken once, so that what follows reads no table again for them."""
+    return picked.sparkSession.createDataFrame(picked.collect(), picked.schema)
+
+
 class NoSources(ValueError):
     """No source is included and in scope."""
 
@@ -324,8 +329,7 @@ def search(
     if model is not None:
         rows = with_model_scores(rows, model, notices)
     picked = select_rows(rows.select("chunk_id", "source_id", "semantic", "keyword", "fused", "effective", "token_count"), s, several)
-    # At most 60 rows; taken once, so that what follows reads no table again for them.
-    return Outcome(chunks.sparkSession.createDataFrame(picked.collect(), picked.schema), notices, found.count)
+    return Outcome(held(picked), notices, found.count)
 
 
 def retrieve(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector=None, settings: Settings = Settings(), rerank=None, eligible: DataFrame | None = None, index=None) -> DataFrame:
@@ -336,11 +340,9 @@ def retrieve(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vec
 def assemble(selected: DataFrame, chunks: DataFrame, titles: DataFrame, budget: int) -> DataFrame:
     """(n, chunk_id, marker, body, estimate): context blocks in rank order while the budget lasts, the first always.
 
-    ``selected`` has 60 rows at most; of ``titles`` (a row for each source) only theirs are taken."""
-    few = selected.select("chunk_id", "rank")
-    rows = passages_of(chunks, few)
-    needed = titles.join(F.broadcast(rows.select("source_id").distinct()), "source_id", "left_semi")
-    rows = rows.join(F.broadcast(needed), "source_id", "left")
+    ``selected`` (chunk_id, source_id, rank) has 60 rows at most; of ``titles`` (a row for each source) only theirs are taken."""
+    needed = titles.join(F.broadcast(selected.select("source_id").distinct()), "source_id", "left_semi")
+    rows = passages_of(chunks, selected.select("chunk_id", "rank")).join(F.broadcast(needed), "source_id", "left")
     number = F.row_number().over(Window.orderBy("rank"))
     marker = F.concat(F.lit("[Source "), F.col("n").cast("string"), F.lit("]"))
     section = F.when(F.col("heading").isNotNull() & (F.col("heading") != ""), F.concat(F.lit("\nSection: "), "heading")).otherwise("")

@@ -143,7 +143,7 @@ def whole_document_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = passages(spark, sf_dir)
-    picked = R.select_rows(_scored(spark, sf_dir), R.Settings(results=12, per_source=3, floor=0.0, budget=200_000), 20)
+    picked = R.held(R.select_rows(_scored(spark, sf_dir), R.Settings(results=12, per_source=3, floor=0.0, budget=200_000), 20))
     titles = documents(spark, sf_dir).select(F.col("source").alias("source_id")).distinct().select("source_id", F.upper("source_id").alias("title"), F.lit("page 1").alias("location"))
     blocks = R.assemble(picked, chunks, titles, 6000)
     return blocks.select("n", "chunk_id", "marker", F.sha2("body", 256).alias("body_sha256"), "estimate")
