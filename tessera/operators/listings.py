@@ -46,8 +46,8 @@ def notebook_sections(rows: DataFrame, needle: str = "") -> DataFrame:
 def eligible(sources: DataFrame, scope: DataFrame | list | None = None, key: str = "source_id") -> DataFrame:
     """(source_id) of the sources that retrieval may use: included and, where there is a ``scope`` of ids, in it.
 
-    A scope of many ids is a table; a short list becomes a literal."""
-    kept = sources.where(F.coalesce("included", F.lit(False)))
+    A scope of many ids is a table; a short list becomes a literal. A source without a flag is included."""
+    kept = sources.where(F.coalesce("included", F.lit(True)))
     if isinstance(scope, DataFrame):
         kept = kept.join(scope.select(key), key, "left_semi")
     elif scope is not None:

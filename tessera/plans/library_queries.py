@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import labels
+from tessera.functions import labels, records
 from tessera.functions import sql as S
 from tessera.functions.dates import parse_date
-from tessera.operators import answers, ingest, store
+from tessera.operators import answers, ingest, listings, store
 from tessera.plans import text_queries
 from tessera.plans.views import SOURCES_SQL, documents, messages, pages, sources, table
 
@@ -99,10 +99,33 @@ def follow_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", F.array_join(labels.follow_ups(k % 2 == 0, k % 4 == 0, F.col("last"), k % 3 == 0), "|").alias("suggestions"))
 
 
-QUERIES = {f.__name__: f for f in (date_parse, relative_dates, model_sizes, http_failures, ingest_rows, discovery_fallback, discovery_picks, web_enrichment, quiz_score, settings_map, byte_sizes, follow_ups)}
+def blank_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its blank lines collapsed, commas having been made ends of lines."""
+    made = records.collapse_blank(F.regexp_replace("text", "[,.] ", " \n \n\n"))
+    return documents(spark, sf_dir).select("doc_id", F.md5(made.cast("binary")).alias("text_md5"), F.length(made).cast("long").alias("n_chars"))
+
+
+def record_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as they are read, some of their fields empty, null or unknown."""
+    s = sources(spark, sf_dir)
+    odd = s.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("title")).alias("title"), F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("site")).alias("site"), F.when(F.col("doc_id") % 5 == 0, "odd").otherwise(F.col("status")).alias("status"), F.when(F.col("doc_id") % 2 == 0, F.col("included")).alias("included"))
+    return records.with_defaults(odd, "sources")
+
+
+def last_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each conversation the last question and the last answer."""
+    return listings.last_said(messages(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (blank_runs, record_defaults, last_messages, date_parse, relative_dates, model_sizes, http_failures, ingest_rows, discovery_fallback, discovery_picks, web_enrichment, quiz_score, settings_map, byte_sizes, follow_ups)}
 
 _N = "(p_size * 3)"
 SQL = {
+    "blank_runs": r"""WITH l AS (SELECT doc_id, array_to_string(list_transform(string_split(regexp_replace(text, '[,.] ', ' ' || chr(10) || ' ' || chr(10) || chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '[\s\p{Z}]+$', '')), chr(10)) AS t FROM documents),
+        c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS t FROM l) SELECT doc_id, md5(t) AS text_md5, length(t)::BIGINT AS n_chars FROM c""",
+    "record_defaults": f"""WITH {SOURCES_SQL} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN title ELSE 'Untitled source' END AS title, CASE WHEN doc_id % 4 <> 0 THEN site END AS site,
+        CASE WHEN doc_id % 5 = 0 THEN 'queued' ELSE status END AS status, CASE WHEN doc_id % 2 = 0 THEN included ELSE true END AS included FROM sources""",
+    "last_messages": "SELECT conv_id, arg_max(text, turn) FILTER (role = 'user') AS last_question, arg_max(text, turn) FILTER (role = 'assistant') AS last_answer FROM conversations GROUP BY conv_id",
     "date_parse": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders",
     "relative_dates": "SELECT event_id, epoch(TIMESTAMP '2024-06-01 00:00:00')::BIGINT - (event_id % 9 + 1) * [60, 3600, 86400, 604800, 2592000, 31536000][event_id % 6 + 1] AS seconds FROM events",
     "model_sizes": f"""WITH m AS (SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 THEN {_N} || 'B' END AS size, CASE WHEN p_partkey % 4 = 0 THEN 8192 WHEN {_N} <= 4 THEN 8192 WHEN {_N} <= 9 THEN 32768 WHEN {_N} <= 200 THEN 131072 ELSE 262144 END AS w FROM part)

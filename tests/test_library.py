@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import labels
+from tessera.functions import labels, records
 from tessera.functions.dates import parse_date
 from tessera.operators import answers, ingest, listings, passages
 from tessera.operators.retrieval import NoSources, Settings, keyword_scores
@@ -214,13 +214,25 @@ def test_listings(spark):
     assert [r.id for r in listings.pinned_first(notes).collect()] == [2, 3, 1] and [r.id for r in listings.filter_notes(notes, "quiz", "t").collect()] == [1]
     src = spark.createDataFrame([("a", True, "ready"), ("b", False, "ready"), ("c", None, "ready"), ("d", True, "failed")], "source_id string, included boolean, status string")
     ids = lambda df: sorted(r.source_id for r in df.collect())
-    assert ids(listings.eligible(src)) == ["a", "d"] and ids(listings.eligible(src, ["d", "b"])) == ["d"] and ids(listings.eligible(src, [])) == [] and ids(listings.usable(src)) == ["a"] and ids(listings.eligible(src, src.where("status = 'ready'"))) == ["a"]
+    assert ids(listings.eligible(src)) == ["a", "c", "d"] and ids(listings.eligible(src, ["d", "b"])) == ["d"] and ids(listings.eligible(src, [])) == [] and ids(listings.usable(src)) == ["a", "c"] and ids(listings.eligible(src, src.where("status = 'ready'"))) == ["a", "c"]
     said = spark.createDataFrame([(1, 1, "user", "q1", False), (1, 2, "assistant", "a1", False), (1, 3, "user", "q2", False), (1, 4, "assistant", "oops", True)], "conv_id long, turn long, role string, text string, is_error boolean")
     assert tuple(listings.last_said(said).first()) == (1, "q2", "a1")
     who = spark.createDataFrame([("b", False), ("z", True), ("A", False)], "display_name string, is_local boolean")
     assert [r.display_name for r in listings.providers(who).collect()] == ["z", "A", "b"]
 
 
+def test_records(spark):
+    rows = spark.createDataFrame([("1", None, "", "odd", None), ("2", "T", "u", "ready", False)], "id string, title string, url string, status string, included boolean")
+    got = sorted(map(tuple, records.with_defaults(rows, "sources").collect()))
+    assert got == [("1", "Untitled source", None, "queued", True), ("2", "T", "u", "ready", False)]
+    assert records.lookup(rows, "2").title == "T" and records.lookup(rows, "9") is None
+    assert records.scalar(rows, F.count("*")) == 2 and records.scalar(rows.where("false"), F.sum(F.length("id"))) == 0
+    one = spark.createDataFrame([(["a"], "b", "pdf", "too short", "odd", "webOnly", " x \n\n \n\ny  \n")], "l array<string>, n string, k string, f string, g string, s string, t string")
+    c = F.col
+    r = one.select(records.approve(c("l"), c("n")), records.approve(c("l"), F.lit("a")), records.revoke(c("l"), F.lit("a")), records.is_approved(c("l"), c("n"), F.lit(True)), records.mime_type(c("k")), records.mime_type(c("n")), records.failure_text(c("f"))["recovery"], records.failure_text(c("g"))["message"], records.uses_sources(c("s")), records.uses_web(c("s")), records.collapse_blank(c("t"))).first()
+    assert tuple(r) == (["a", "b"], ["a"], [], False, "application/pdf", None, "Paste more of it.", "odd", False, True, "x\n\ny")
+
+
 def test_archives_in_parts(spark, tmp_path):
     tables = {
         "sources": spark.createDataFrame([("s1", "T"), ("s2", "U")], "id string, title string"), "chunks": spark.createDataFrame([(f"c{i}", "s1", f"text {i}\u2028more") for i in range(50)] + [("lost", "gone", "x")], "id string, source_id string, text string"),
