@@ -340,9 +340,11 @@ def retrieve(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vec
 def assemble(selected: DataFrame, chunks: DataFrame, titles: DataFrame, budget: int) -> DataFrame:
     """(n, chunk_id, marker, body, estimate): context blocks in rank order while the budget lasts, the first always.
 
-    ``selected`` (chunk_id, source_id, rank) has 60 rows at most; of ``titles`` (a row for each source) only theirs are taken."""
-    needed = titles.join(F.broadcast(selected.select("source_id").distinct()), "source_id", "left_semi")
-    rows = passages_of(chunks, selected.select("chunk_id", "rank")).join(F.broadcast(needed), "source_id", "left")
+    ``selected`` (chunk_id, rank, source_id where it is known) has 60 rows at most; of ``titles`` (a row for each
+    source) only theirs are taken."""
+    rows = passages_of(chunks, selected.select("chunk_id", "rank"))
+    owners = (selected if "source_id" in selected.columns else rows).select("source_id").distinct()
+    rows = rows.join(F.broadcast(titles.join(F.broadcast(owners), "source_id", "left_semi")), "source_id", "left")
     number = F.row_number().over(Window.orderBy("rank"))
     marker = F.concat(F.lit("[Source "), F.col("n").cast("string"), F.lit("]"))
     section = F.when(F.col("heading").isNotNull() & (F.col("heading") != ""), F.concat(F.lit("\nSection: "), "heading")).otherwise("")
