@@ -35,9 +35,9 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sites that are included (the hash of their name is even) and in scope (not the first by name)."""
+    """The sites that are included (the hash of their name is even) and in scope (all but src1)."""
     sites = documents(spark, sf_dir).select(F.col("source").alias("source_id")).distinct().withColumn("included", F.ascii(F.md5(F.col("source_id").cast("binary"))) % 2 == 0)
-    return listings.eligible(sites, sites.where("source_id <> 'web'"))
+    return listings.eligible(sites, sites.where("source_id <> 'src1'"))
 
 
 def scoped_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +178,7 @@ bm AS (SELECT chunk_id, {" + ".join(part(i, t) for i, t in enumerate(_DISTINCT))
 
 
 _BASE = f"WITH {PASSAGES_SQL}, {_bm25_sql()}"
-_SCOPE = "scope AS (SELECT DISTINCT source AS source_id FROM documents WHERE ascii(md5(source)) % 2 = 0 AND source <> 'web')"
+_SCOPE = "scope AS (SELECT DISTINCT source AS source_id FROM documents WHERE ascii(md5(source)) % 2 = 0 AND source <> 'src1')"
 _CHANGED = PASSAGES_SQL.replace("source AS source_id, text,", "source AS source_id, CASE WHEN lang = 'de' THEN text || ' inand the inand' ELSE text END AS text,")
 _FUSED = f""",
 probe AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id = {PROBE_ID} LIMIT 1),

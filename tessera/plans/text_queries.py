@@ -121,6 +121,11 @@ _SCRIPT = "(length(html) - length(string_split(html, '<script')[1]) - 7 * (len(s
 _VOCABULARY = f"words AS (SELECT word, count(*) AS n FROM (SELECT unnest({S.tokens('text')}) AS word FROM documents) GROUP BY word)"
 _THIN = " OR ".join(f"contains(p, {S.text(t)})" for t in L.THIN_PATHS)
 
+#: The pages with the keys of their addresses.
+KEYED = rf"""WITH parts AS (SELECT page_id, url, regexp_replace(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1), '^http$', 'https') AS s, {_HOST} AS h, {_PATH} AS p,
+          regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*?(:[0-9]+)(?:[/?#]|$)', 1) AS port,
+          array_to_string(list_filter(string_split({_QUERY}, '&'), lambda q: q <> '' AND NOT list_contains({S.texts(L.TRACKING_PARAMETERS)}, lower(string_split(q, '=')[1]))), '&') AS q FROM pages),
+        keyed AS (SELECT page_id, coalesce(s || '://' || regexp_replace(h, '^www\.', '') || port || CASE WHEN length(p) > 1 THEN regexp_replace(p, '(.)/+$', '\1') ELSE p END || CASE WHEN q = '' THEN '' ELSE '?' || q END, lower(trim(url))) AS key FROM parts)"""
 SQL = {
     "tokens_count": f"SELECT doc_id, len(w)::BIGINT AS n_tokens, len(list_distinct(w))::BIGINT AS n_distinct FROM (SELECT doc_id, {S.tokens('text')} AS w FROM documents)",
     "stopword_filter": f"SELECT doc_id, len(w)::BIGINT AS n_terms, md5(array_to_string(w, ' ')) AS terms_md5 FROM (SELECT doc_id, {S.content(S.tokens('text'))} AS w FROM documents)",
@@ -133,11 +138,7 @@ SQL = {
     "fnv_hash": f"""WITH {_VOCABULARY}, bytes AS (SELECT word, n, list_transform(range(strlen(word)), lambda i: ('0x' || substr(hex(encode(word)), 2*i+1, 2))::HUGEINT) AS b FROM words)
         SELECT word, n::BIGINT AS n, lower(lpad(hex(list_reduce(list_prepend(14695981039346656037::HUGEINT, b), lambda h, x: (xor(h, x) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT), 16, '0')) AS fnv FROM bytes""",
     "url_host": f"SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages",
-    "url_dedupe": rf"""WITH parts AS (SELECT page_id, url, regexp_replace(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1), '^http$', 'https') AS s, {_HOST} AS h, {_PATH} AS p,
-          regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*?(:[0-9]+)(?:[/?#]|$)', 1) AS port,
-          array_to_string(list_filter(string_split({_QUERY}, '&'), lambda q: q <> '' AND NOT list_contains({S.texts(L.TRACKING_PARAMETERS)}, lower(string_split(q, '=')[1]))), '&') AS q FROM pages),
-        keyed AS (SELECT page_id, coalesce(s || '://' || regexp_replace(h, '^www\.', '') || port || CASE WHEN length(p) > 1 THEN regexp_replace(p, '(.)/+$', '\1') ELSE p END || CASE WHEN q = '' THEN '' ELSE '?' || q END, lower(trim(url))) AS key FROM parts)
-        SELECT key, min(page_id) AS page_id, count(*)::BIGINT AS n_pages FROM keyed GROUP BY key""",
+    "url_dedupe": f"{KEYED} SELECT key, min(page_id) AS page_id, count(*)::BIGINT AS n_pages FROM keyed GROUP BY key",
     "navigation_penalty": f"SELECT page_id, (CASE WHEN h IS NULL THEN 1 WHEN q <> '' THEN 3 WHEN {_THIN} OR p IN ('', '/') THEN 2 ELSE 0 END)::INT AS penalty FROM (SELECT page_id, {_HOST} AS h, lower({_PATH}) AS p, {_QUERY} AS q FROM pages)",
     "private_hosts": """WITH o AS (SELECT c_custkey, (c_custkey*7)%200 AS a, (c_custkey*13)%300 AS b, (c_custkey*3)%256 AS c, c_custkey%256 AS d FROM customer)
         SELECT c_custkey, a||'.'||b||'.'||c||'.'||d AS ip, a||'.'||b||'.'||c||'.'||d IN ('127.0.0.1', '0.0.0.0') OR (a <= 255 AND b <= 255 AND (a = 10 OR (a = 192 AND b = 168) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 169 AND b = 254))) AS is_private FROM o""",
