@@ -50,7 +50,8 @@ def failure_message(body: Column) -> Column:
 
 
 def byte_size(n: Column) -> Column:
-    """Bytes as people read them."""
+    """Bytes as people read them, none for less than none."""
+    n = F.greatest(n, F.lit(0))
     unit = lambda size, name: F.concat(F.format_number(n / F.lit(float(size)), 1), F.lit(f" {name}"))
     return F.when(n < 1000, F.concat(n.cast("string"), F.lit(" bytes"))).when(n < 10**6, unit(10**3, "kB")).when(n < 10**9, unit(10**6, "MB")).otherwise(unit(10**9, "GB"))
 
@@ -59,6 +60,22 @@ def plural(n: Column, one: str, many: str | None = None) -> Column:
     return F.concat(F.format_number(n, 0), F.lit(" "), F.when(n == 1, one).otherwise(many or f"{one}s"))
 
 
+def token_count(n: Column) -> Column:
+    """Digits in groups of three, a dash where it isn't known."""
+    return F.coalesce(F.format_number(n, 0), F.lit("—"))
+
+
+def duration(ms: Column) -> Column:
+    """Milliseconds under a second, else seconds to a tenth (halves up), a dash where it isn't known."""
+    seconds = F.concat(F.round(ms / F.lit(1000.0), 1).cast("decimal(20,1)").cast("string"), F.lit(" s"))
+    return F.coalesce(F.when(ms < 1000, F.concat(ms.cast("string"), F.lit(" ms"))).otherwise(seconds), F.lit("—"))
+
+
+def percent(share: Column) -> Column:
+    """A share in whole percents, halves to the even one."""
+    return F.concat(F.bround(share * 100).cast("long").cast("string"), F.lit("%"))
+
+
 def follow_ups(short_of_sources: Column, local: Column, cited: Column, truncated: Column) -> Column:
     """Up to three suggestions after an answer."""
     some = F.array_compact(

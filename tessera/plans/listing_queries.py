@@ -14,12 +14,14 @@ from tessera.functions import text as T
 from tessera.operators import ingest, listings, store
 from tessera.plans import text_queries
 from tessera.plans.views import SOURCES_SQL, documents, messages, pages, sources, table
-from tessera.sources import models, search
+from tessera.sources import files, models, search
 
 LOOKED_UP = 7
 TOUCHED_AT = "2031-05-06"
 KINDS = (*records.MIME_TYPES, "website")
 BLOCK_KINDS = ("heading", "list_item", "quote", "code", "table", "caption", "paragraph")
+ENDINGS = (".PDF", ".docx", ".rtf", ".epub", ".htm", ".md", ".bin", "", ".tar.gz")
+HEADS = ("255044462D", "504B0304AA", "7B5C727466", "4D5A", "")
 SCOPES = records.KEPT["default_scope"]
 
 
@@ -190,11 +192,27 @@ def model_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("p_brand", *[F.array_join(search.model_names(F.col(c), c), "|").alias(c) for c in ("tags", "list")])
 
 
+def display_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Durations, counts, shares and sizes as they are shown, some of them not known."""
+    k = F.col("event_id")
+    known = lambda c: F.when(k % 10 != 0, c)
+    shown = [labels.duration(known(k * 37)).alias("took"), labels.token_count(known(k * 1009)).alias("tokens"), labels.percent((k % 401) / F.lit(400.0)).alias("share"), labels.byte_size(k % 1200 - 200).alias("size")]
+    return table(spark, sf_dir, "events").select("event_id", *shown)
+
+
+def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kind of a file for each document, by its name's ending or its first bytes."""
+    k = F.col("doc_id")
+    path = F.concat(F.lit("/in.pdf/f"), k.cast("string"), _one_of(ENDINGS, k))
+    return documents(spark, sf_dir).select("doc_id", files.kind_of(path, F.unhex(_one_of(HEADS, k))).alias("kind"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         notebook_list, notebook_search, pinned_sessions, note_filter, provider_order, natural_titles, eligible_sources, usable_sources, point_lookup, scalar_reads, touched,
         file_names, locations, rendered_documents, answer_notes, mime_types, failure_texts, approvals, settings_changed, known_sources, reply_values, model_listing,
+        display_formats, file_kinds,
     )
 }
 
@@ -236,4 +254,9 @@ SQL = {
     "known_sources": f"""{text_queries.KEYED}, known AS (SELECT key, min(page_id) AS id FROM keyed WHERE page_id % 2 = 0 GROUP BY key) SELECT page_id, id AS known_id FROM keyed LEFT JOIN known ON keyed.key = known.key""",
     "reply_values": "SELECT doc_id, md5(text) AS local_md5, md5(text) AS completions_md5, md5(text || ' end') AS messages_md5, doc_id AS local_asked, doc_id + 1 AS local_said, doc_id AS completions_asked, doc_id + 1 AS completions_said, doc_id AS messages_asked, doc_id + 1 AS messages_said FROM documents",
     "model_listing": "SELECT p_brand, string_agg(p_name || ':' || p_partkey, '|' ORDER BY p_name || ':' || p_partkey) AS tags, string_agg(p_name || ':' || p_partkey, '|' ORDER BY p_name || ':' || p_partkey) AS list FROM part GROUP BY p_brand",
+    "display_formats": """WITH e AS (SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN event_id * 37 END AS ms, CASE WHEN event_id % 10 <> 0 THEN event_id * 1009 END AS n, event_id % 1200 - 200 AS b FROM events)
+        SELECT event_id, CASE WHEN ms IS NULL THEN '—' WHEN ms < 1000 THEN ms || ' ms' ELSE ((ms + 50) // 100) // 10 || '.' || ((ms + 50) // 100) % 10 || ' s' END AS took, coalesce(format('{:,}', n), '—') AS tokens,
+          printf('%.0f%%', (event_id % 401) / 400.0::DOUBLE * 100) AS share, greatest(b, 0) || ' bytes' AS size FROM e""",
+    "file_kinds": f"""WITH d AS (SELECT doc_id, {S.texts(ENDINGS)}[doc_id % {len(ENDINGS)} + 1] AS e, doc_id % {len(HEADS)} AS h FROM documents)
+        SELECT doc_id, CASE e WHEN '.PDF' THEN 'pdf' WHEN '.docx' THEN 'docx' WHEN '.rtf' THEN 'rtf' WHEN '.epub' THEN 'epub' WHEN '.htm' THEN 'html' WHEN '.md' THEN 'text' ELSE CASE h WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'rtf' END END AS kind FROM d""",
 }
