@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import flac, licences, packing, pii, quality_mil, quality_rules, sentencepiece_scan, sharding, simhash, warc
+from tessera.llm import chat_format, flac, licences, packing, pii, quality_mil, quality_rules, sentencepiece_scan, sharding, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,10 +22,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.op8_packing,
         "op9_sharding": sharding.op9_sharding,
         "op10_simhash": simhash.op10_simhash,
+        "op11_chat_format": chat_format.op11_chat_format,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    known = {"op1_quality_rules": quality_rules.OP1_SQL, "op4_warc": warc.OP4_SQL}
+    known = {"op1_quality_rules": quality_rules.OP1_SQL, "op4_warc": warc.OP4_SQL, "op11_chat_format": chat_format.OP11_SQL}
     return known | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
