@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat_format, flac, lexical_search, licences, packing, pii, quality_mil, quality_rules, sentencepiece_scan, sharding, simhash, warc
+from tessera.llm import chat_format, flac, hard_negatives, lexical_search, licences, packing, pii, quality_mil, quality_rules, sentencepiece_scan, sharding, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,10 +24,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_simhash": simhash.op10_simhash,
         "op11_chat_format": chat_format.op11_chat_format,
         "op12_lexical_search": lexical_search.op12_lexical_search,
+        "op13_hard_negatives": hard_negatives.op13_hard_negatives,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    known = {"op1_quality_rules": quality_rules.OP1_SQL, "op4_warc": warc.OP4_SQL, "op11_chat_format": chat_format.OP11_SQL, "op12_lexical_search": lexical_search.OP12_SQL}
+    known = {"op1_quality_rules": quality_rules.OP1_SQL, "op4_warc": warc.OP4_SQL, "op11_chat_format": chat_format.OP11_SQL, "op12_lexical_search": lexical_search.OP12_SQL, "op13_hard_negatives": hard_negatives.OP13_SQL}
     return known | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
