@@ -34,6 +34,13 @@ def file_name(name: Column) -> Column:
     return F.when(cleaned == "", F.lit("untitled")).otherwise(F.left(cleaned, F.lit(80)))
 
 
+def file_name_with_id(name: Column, ident: Column) -> Column:
+    """A file name that ends in an id, which is never cut, so that no two rows share one."""
+    end = F.concat(F.lit("-"), F.regexp_replace(ident, '[/\\\\:*?"<>|]', "-"))
+    start = file_name(name)
+    return F.concat(F.left(start, F.greatest(F.lit(0), F.lit(80) - F.length(end))), end)
+
+
 def location(page: Column, url: Column, kind: Column) -> Column:
     """Where a passage stands: its page, else its address, else its kind."""
     return F.coalesce(F.concat(F.lit("page "), page.cast("string")), F.nullif(url, F.lit("")), kind)

@@ -6,7 +6,7 @@ from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.lexicon import REFUSALS
@@ -158,23 +158,35 @@ def suggested_query(provider: Provider, question: str) -> str:
 
 def discover(provider: Provider | None, search_provider: SearchProvider, topic: str, spark: SparkSession, keep: int = 8) -> DataFrame:
     """The results (position, title, url, snippet, reason) worth reading on a topic: searched with a suggested query,
-    one for each address key, chosen by the model or, without a readable reply, by navigation penalty."""
-    from tessera.functions.urls import dedupe_key
+    one for each address key, chosen by the model or, without a readable reply, by navigation penalty.
 
+    The model is shown the merged list, and its numbers are places there. A search without results has none worth reading."""
     query = suggested_query(provider, topic) if provider else topic
     found = search_provider.search(query, MOST_RESULTS)
     rows = [(i, r.get("title") or r["url"], r["url"], r.get("snippet")) for i, r in enumerate(found, 1) if r.get("url")]
-    table = spark.createDataFrame(rows, "position int, title string, url string, snippet string").withColumn("key", dedupe_key(F.col("url")))
-    results = table.groupBy("key").agg(F.min(F.struct("position", "title", "url", "snippet")).alias("r")).select("r.*")
+    results = merged_results(spark.createDataFrame(rows, "position int, title string, url string, snippet string"))
+    shown = [tuple(r) for r in results.orderBy("position").select("position", "title", "url", preview(F.coalesce("snippet", F.lit("")), 200)).collect()]
+    # Held as a list of MOST_RESULTS rows at most, so that the numbers shown are those picked from.
+    results = spark.createDataFrame(results.collect(), results.schema)
     picks = None
-    if provider and rows:
+    if provider and shown:
         try:
-            picks = replies.choices(provider.generate(*prompts.pick(topic, [r[:3] for r in rows], keep)), len(rows), keep)
+            picks = replies.choices(provider.generate(*prompts.pick(topic, shown, keep)), len(shown), keep)
         except Exception:
             picks = None
     return pick_results(results, picks, keep)
 
 
+def merged_results(results: DataFrame) -> DataFrame:
+    """A search's results (position, title, url, snippet), the first of each address key, numbered from 1 as they stand."""
+    from tessera.functions.urls import dedupe_key
+
+    keyed = results.withColumn("key", dedupe_key(F.col("url")))
+    first = keyed.groupBy("key").agg(F.min(F.struct("position", "title", "url", "snippet")).alias("r")).select("r.*")
+    # One search's page of results.
+    return first.withColumn("position", F.row_number().over(Window.orderBy("position")))
+
+
 def pick_results(results: DataFrame, picks: list[tuple[int, str | None]] | None, keep: int) -> DataFrame:
     """The results (position from 1) that a model picked; without a readable reply those with the least navigation penalty."""
     from tessera.functions.urls import navigation_penalty
@@ -187,7 +199,8 @@ def pick_results(results: DataFrame, picks: list[tuple[int, str | None]] | None,
 
 
 def enrich(results: DataFrame, pages: DataFrame, top: int = 4) -> DataFrame:
-    """Web results with the text of their pages (url, text), for the first ``top`` where it is 200 characters longer than the snippet.
+    """Web results with the text of their pages (url, text), for the first ``top`` where it is 200 characters longer than
+    the snippet; the others of these have the snippet as their content.
 
     Only these results' pages are joined; of several pages of one url the text that sorts first is taken."""
     first = results.where(F.col("position") <= top).select("url").distinct()
@@ -195,4 +208,13 @@ def enrich(results: DataFrame, pages: DataFrame, top: int = 4) -> DataFrame:
     richer = (F.col("position") <= top) & (F.length("p.text") > F.length(F.coalesce("snippet", F.lit(""))) + 200)
     # At most ``top`` pages.
     joined = results.join(F.broadcast(texts).alias("p"), "url", "left")
-    return joined.withColumn("content", F.when(richer, preview(F.col("p.text"), 3000)).otherwise(F.col("content"))).drop("text")
+    return joined.withColumn("content", F.when(richer, preview(F.col("p.text"), 3000)).when(F.col("position") <= top, F.col("snippet")).otherwise(F.col("content"))).drop("text")
+
+
+def enrich_notice(results: DataFrame, pages: DataFrame, top: int = 4) -> str | None:
+    """What to say where a page (url, text, problem) of the first ``top`` results couldn't be read: the first one's reason."""
+    first = results.where(F.col("position") <= top).select("position", "url")
+    known = pages.join(F.broadcast(first.select("url").distinct()), "url", "left_semi").groupBy("url").agg(F.min(F.struct(F.col("text").isNull().alias("lost"), "problem")).alias("p"))
+    lost = first.join(F.broadcast(known), "url", "left").where(F.coalesce("p.lost", F.lit(True)))
+    row = lost.agg(F.min(F.struct("position", F.coalesce("p.problem", F.lit("not fetched")).alias("reason"))).alias("r")).first()
+    return f"Some pages could not be read in full ({row.r.reason}), so snippets were used for those results." if row.r else None

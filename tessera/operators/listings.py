@@ -61,9 +61,11 @@ def usable(sources: DataFrame, ids: list | None = None, key: str = "source_id")
 
 
 def natural(title: Column) -> Column:
-    """A key that puts numbers within titles in order of their value: runs of digits padded to twenty."""
+    """A key that puts numbers within titles in order of their value, however long: a run of digits as its length without
+    leading zeros, then the digits."""
     parts = F.regexp_extract_all(F.lower(title), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 20, "0")).otherwise(p)), "")
+    digits = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits(p)).cast("string"), 10, "0"), digits(p))).otherwise(p)), "")
 
 
 def sort_sources(rows: DataFrame, by: str = "added", key: str = "doc_id") -> DataFrame:

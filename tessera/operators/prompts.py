@@ -66,7 +66,7 @@ def suggest_query(question: str) -> tuple[str, str]:
     return "You write web search queries.", f"Write one line to search for, and nothing else.\n\n{question}"
 
 
-def pick(topic: str, results: Sequence[tuple[int, str, str]], keep: int) -> tuple[str, str]:
-    """(system, user) that ask which results (number, title, url) to read, as ``n | reason`` lines."""
-    listed = "\n".join(f"{n}. {title} — {url}" for n, title, url in results)
+def pick(topic: str, results: Sequence[tuple[int, str, str, str]], keep: int) -> tuple[str, str]:
+    """(system, user) that ask which results (number, title, url, snippet) to read, as ``n | reason`` lines."""
+    listed = "\n".join(f"{n}. {title} — {url}" + (f"\n   {snippet}" if snippet else "") for n, title, url, snippet in results)
     return "You choose sources worth reading.", f"Topic: {topic}\n\n{listed}\n\nReply with at most {keep} lines 'number | reason', or NONE."

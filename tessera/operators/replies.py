@@ -117,6 +117,8 @@ def with_quiz(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows_of_texts(texts, "ordinal long, question string, choices array<string>, answer long, explanation string, marker string", rows, id_col, text_col, id_col)
 
 
+#: Characters of a pick's reason.
+MOST_REASON = 140
 _PICK = re.compile(r"([^|\-.:—)]*)(?:[|\-.:—)](.*))?", re.S)
 
 
@@ -130,7 +132,8 @@ def choices(text: str, offered: int, keep: int) -> list[tuple[int, str | None]]
         m = _PICK.match(line)
         number = m[1].strip()
         if re.fullmatch(r"[+]?\d+", number) and 1 <= int(number) <= offered and len(picked) < keep:
-            picked.setdefault(int(number), (m[2] or "").strip().strip('|"-–—') or None)
+            reason = " ".join((m[2] or "").strip().strip('|"-–—').split())
+            picked.setdefault(int(number), (reason if len(reason) <= MOST_REASON else re.sub(" [^ ]*$", "", reason[:MOST_REASON]) + "…") or None)
     return list(picked.items()) or None
 
 

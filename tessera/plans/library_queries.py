@@ -135,7 +135,7 @@ SQL = {
         FROM (SELECT doc_id, CASE WHEN length(trim(text)) >= 20 THEN text END AS t FROM documents)""",
     "discovery_fallback": f"SELECT (p.page_id + 1)::INT AS position, url FROM pages p JOIN ({text_queries.SQL['navigation_penalty']}) n ON p.page_id = n.page_id ORDER BY penalty, p.page_id LIMIT 12",
     "web_enrichment": f"""WITH t AS (SELECT url, min(html) AS text FROM pages GROUP BY url), f AS (SELECT p.page_id, text FROM pages p JOIN t ON p.url = t.url WHERE p.page_id < 4)
-        SELECT (p.page_id + 1)::INT AS position, CASE WHEN length(text) > 207 THEN length({S.preview("text", 3000)}) END::BIGINT AS n_chars FROM pages p LEFT JOIN f ON p.page_id = f.page_id""",
+        SELECT (p.page_id + 1)::INT AS position, CASE WHEN p.page_id >= 4 THEN NULL WHEN length(text) > 207 THEN length({S.preview("text", 3000)}) ELSE length('snippet') END::BIGINT AS n_chars FROM pages p LEFT JOIN f ON p.page_id = f.page_id""",
     "discovery_picks": "SELECT (page_id + 1)::INT AS position, url, CASE page_id + 1 WHEN 3 THEN 'a primary source' WHEN 5 THEN 'news' END AS reason FROM pages WHERE page_id + 1 IN (3, 5, 8)",
     "quiz_score": "SELECT q.conv_id, count(*) FILTER (length(q.text) % 4 = length(a.text) % 4)::BIGINT AS score, count(*)::BIGINT AS items FROM conversations q JOIN conversations a ON q.conv_id = a.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant' GROUP BY q.conv_id",
     "settings_map": "SELECT n_name AS name, CASE WHEN n_nationkey = 3 THEN 'changed' ELSE n_nationkey::VARCHAR END AS value FROM nation WHERE n_name NOT IN (SELECT r_name FROM region) UNION ALL SELECT r_name, 'region' FROM region",

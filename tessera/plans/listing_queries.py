@@ -63,8 +63,10 @@ def provider_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def natural_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources by title, numbers in titles by their value."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat("p_brand", F.lit(" no "), F.col("p_partkey").cast("string"), F.lit("B")).alias("title"))
+    """Sources by title, numbers in titles by their value: some with leading zeros, some of 25 digits."""
+    k = F.col("p_partkey")
+    number = F.when(k % 3 == 0, F.concat(F.lit("00"), k.cast("string"))).when(k % 3 == 1, F.concat(F.lit("1"), F.lpad(k.cast("string"), 24, "0"))).otherwise(k.cast("string"))
+    p = table(spark, sf_dir, "part").select(k.alias("doc_id"), F.concat("p_brand", F.lit(" no "), number, F.lit("B")).alias("title"))
     return listings.sort_sources(p, "title").select("doc_id", listings.natural(F.col("title")).alias("sort_key"))
 
 
@@ -232,7 +234,7 @@ SQL = {
     "pinned_sessions": "SELECT conv_id AS id, conv_id % 3 = 0 AS is_pinned, max(turn) AS updated_at FROM conversations GROUP BY conv_id ORDER BY is_pinned DESC, updated_at DESC, id",
     "note_filter": "SELECT doc_id FROM documents WHERE source = 'src10' AND (contains(lower(lang), 'the an') OR contains(lower(text), 'the an'))",
     "provider_order": "SELECT p_partkey, p_name AS display_name, p_size < 10 AS is_local FROM part ORDER BY is_local DESC, lower(p_name), p_name",
-    "natural_titles": "SELECT p_partkey AS doc_id, array_to_string(list_transform(regexp_extract_all(lower(p_brand || ' no ' || p_partkey || 'B'), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END), '') AS sort_key FROM part ORDER BY sort_key, doc_id",
+    "natural_titles": "SELECT p_partkey AS doc_id, array_to_string(list_transform(regexp_extract_all(lower(p_brand || ' no ' || CASE p_partkey % 3 WHEN 0 THEN '00' || p_partkey WHEN 1 THEN '1' || lpad(p_partkey::VARCHAR, 24, '0') ELSE p_partkey::VARCHAR END || 'B'), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(length(coalesce(nullif(ltrim(x, '0'), ''), '0'))::VARCHAR, 10, '0') || coalesce(nullif(ltrim(x, '0'), ''), '0') ELSE x END), '') AS sort_key FROM part ORDER BY sort_key, doc_id",
     "eligible_sources": f"WITH {_FLAGGED} SELECT doc_id FROM flagged WHERE coalesce(included, true) AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "usable_sources": f"WITH {_FLAGGED} SELECT doc_id, status FROM flagged WHERE coalesce(included, true) AND status <> 'failed'",
     "point_lookup": f"SELECT doc_id, lang, source, text FROM documents WHERE doc_id = {LOOKED_UP}",

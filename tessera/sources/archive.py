@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.functions.render import file_name
+from tessera.functions.render import file_name_with_id
 
 VERSION = 1
 MEMBERS = ("sources", "content", "chunks", "embeddings", "sessions", "messages", "notes")
@@ -66,8 +66,8 @@ def export(tables: dict[str, DataFrame], title: str, part_bytes: int = PART_BYTE
     schemas = {n: json.loads(tables[n].schema.json()) for n in names}
     rows = [json_lines(tables[n]).select(F.lit(n).alias("name"), F.lit("").alias("file"), "value") for n in names]
     if "notes" in tables:
-        place = F.concat(F.lit("notes/"), file_name(F.concat_ws("-", "title", "id")), F.lit(".md"))
-        rows.append(tables["notes"].select(F.lit("notes").alias("name"), place.alias("file"), F.concat(F.lit("# "), "title", F.lit("\n\n"), "body").alias("value")))
+        place = F.concat(F.lit("notes/"), file_name_with_id(F.coalesce("title", F.lit("")), F.col("id").cast("string")), F.lit(".md"))
+        rows.append(tables["notes"].select(F.lit("notes").alias("name"), place.alias("file"), F.concat(F.lit("# "), F.coalesce("title", F.lit("")), F.lit("\n\n"), F.coalesce("body", F.lit(""))).alias("value")))
     every = reduce(DataFrame.unionByName, rows)
     parts = max(1, math.ceil((every.agg(F.sum(F.octet_length("value"))).first()[0] or 0) / part_bytes))
     drawn = every.withColumn("part", F.pmod(F.xxhash64("value", F.monotonically_increasing_id()), F.lit(parts)).cast("int"))
@@ -76,9 +76,16 @@ def export(tables: dict[str, DataFrame], title: str, part_bytes: int = PART_BYTE
 
 
 def inspect(content: bytes) -> dict:
-    """The manifest alone; a newer version is refused."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        manifest = json.loads(z.read("manifest.json"))
+    """The manifest alone. What is no archive, is another's or has a newer version is refused with the reason."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            manifest = json.loads(z.read("manifest.json"))
+    except zipfile.BadZipFile as e:
+        raise ValueError(f"the archive could not be read: {e}") from e
+    except KeyError as e:
+        raise ValueError("not a notebook archive: there is no manifest.json in it") from e
+    if not isinstance(manifest, dict) or not {"version", "schemas"} <= set(manifest):
+        raise ValueError("not a notebook archive: its manifest.json has no version or schemas")
     if manifest["version"] > VERSION:
         raise ValueError(f"the archive has version {manifest['version']}, newer than {VERSION}")
     return manifest
@@ -101,12 +108,18 @@ def members(archives: DataFrame) -> DataFrame:
     return archives.select("content").mapInArrow(run, "name string, value string")
 
 
-def load(archives: DataFrame, schemas: dict[str, StructType] | None = None) -> dict[str, DataFrame]:
-    """The archives' tables as they were exported; without ``schemas`` the first archive's manifest has them."""
+def load(archives: DataFrame, schemas: dict[str, StructType] | None = None, staging: str | None = None) -> dict[str, DataFrame]:
+    """The archives' tables as they were exported; without ``schemas`` the first archive's manifest has them.
+
+    With a ``staging`` folder the archives are unzipped once into it, a part for each table; without one
+    every table that is used unzips them again."""
     if schemas is None:
         first = archives.select("content").first()
         schemas = {n: StructType.fromJson(x) for n, x in inspect(bytes(first.content))["schemas"].items()} if first else {}
     lines = members(archives)
+    if staging:
+        lines.write.partitionBy("name").parquet(staging)
+        lines = archives.sparkSession.read.schema("value string, name string").parquet(staging)
     rows = {n: lines.where(F.col("name") == n).select(F.from_json("value", kind).alias("r")) for n, kind in schemas.items()}
     return {n: df.select(*[F.col("r")[c].alias(c) for c in schemas[n].names]) for n, df in rows.items()}
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
-from itertools import takewhile
+from itertools import groupby, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -159,6 +159,14 @@ class _Tree(HTMLParser):
         if at:
             del self.open[at:]
 
+    def parse_marked_section(self, i, report=1):
+        """A marked section of no known kind, which the base class raises on, is a comment that ends at the next bracket."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            end = self.rawdata.find(">", i)
+            return end + 1 if end >= 0 else len(self.rawdata)
+
     def handle_data(self, data):
         if self.in_title:
             self.title += data
@@ -225,81 +233,103 @@ def select(root: Node) -> Node:
     return nodes[int((named if named.max() >= 0.8 * score.max() else score).argmax())]
 
 
-def _hidden(n: Node) -> bool:
-    a = n.attributes
-    if n.tag in SKIPPED or a.get("aria-hidden") == "true" or "hidden" in a or a.get("role") in ("navigation", "banner", "complementary"):
-        return True
-    return "display:none" in a.get("style", "").lower() or (n.tag != "p" and n.length < 1500 and _has(n.classes, CHROME))
+#: What an attribute's value has to be for its element to stay unseen.
+UNSEEN = {
+    "hidden": lambda v: True,
+    "aria-hidden": {"true"}.__contains__,
+    "role": {"navigation", "banner", "complementary"}.__contains__,
+    "style": lambda v: "display:none" in v.lower(),
+}
 
 
-class _Writer:
-    """Writes an element's blocks in document order."""
+def seen(n: Node) -> bool:
+    """Whether an element is read at all: chrome is passed over where it is short, but never a paragraph."""
+    furniture = n.tag != "p" and n.length < 1500 and _has(n.classes, CHROME)
+    return not (furniture or n.tag in SKIPPED or any(UNSEEN[k](v) for k, v in n.attributes.items() if k in UNSEEN))
+
+
+def _plain(n: Node) -> str:
+    return clean(n.flat())
+
+
+def _described(n: Node) -> str:
+    alt = n.attributes.get("alt", "")
+    return "" if len(alt) <= 12 or alt.lower().startswith("logo") else clean(alt)
+
+
+def _cells(n: Node) -> str:
+    rows = ([clean(c.flat()) for c in r.children if c.tag in ("td", "th")] for r in n.walk() if r.tag == "tr")
+    return "\n".join(" | ".join(filter(None, r)) for r in rows if any(r))
 
-    def __init__(self):
-        self.out: list[Block] = []
-        self.outline = _Outline()
-
-    def put(self, kind: str, text: str, least: int = 2) -> None:
-        if len(text := clean(text)) >= least:
-            self.out.append(Block(kind, text, 0, self.outline.path))
-
-    def visit(self, n: Node) -> None:
-        if not n.tag:
-            self.put("paragraph", n.text, 60)
-        elif not _hidden(n):
-            getattr(self, f"_{'heading' if n.tag in HEADINGS else n.tag}", self._other)(n)
-
-    def _heading(self, n: Node) -> None:
-        if text := clean(n.flat()):
-            self.out.append(Block("heading", text, int(n.tag[1]), self.outline.enter(int(n.tag[1]), text)))
-
-    def _pre(self, n: Node) -> None:
-        if len(code := n.flat().strip()) > 8:
-            self.out.append(Block("code", code, 0, self.outline.path))
-
-    def _blockquote(self, n: Node) -> None:
-        self.put("quote", n.flat())
-
-    def _img(self, n: Node) -> None:
-        alt = n.attributes.get("alt", "")
-        if len(alt) > 12 and not alt.lower().startswith("logo"):
-            self.put("caption", alt, 12)
-
-    def _table(self, n: Node) -> None:
-        rows = [[clean(c.flat()) for c in r.children if c.tag in ("td", "th")] for r in n.walk() if r.tag == "tr"]
-        lines = [" | ".join(filter(None, r)) for r in rows if any(r)]
-        if lines:
-            self.out.append(Block("table", "\n".join(lines), 0, self.outline.path))
-
-    def _li(self, n: Node) -> None:
-        own = clean(" ".join(c.text or c.attributes.get("alt", "") for c in n.children if not c.tag or c.tag == "img"))
-        if len(own) >= 3 and (min(1, n.link / n.length) if n.length else 1) < 0.9:
-            self.out.append(Block("list_item", own, 0, self.outline.path))
-        for c in n.children:
-            self.visit(c)
-
-    def _dd(self, n: Node) -> None:
-        self.put("paragraph", n.flat())
-
-    _dt = _dd
-
-    def _other(self, n: Node) -> None:
-        """A block without blocks inside is a paragraph; beside inner blocks, runs of inline text are paragraphs."""
-        if n.tag not in BLOCKS:
-            for c in n.children:
-                self.visit(c)
-        elif not any(c.tag in BLOCKS for c in n.children):
-            self.put("paragraph", n.flat())
-        else:
-            run: list[str] = []
-            for c in [*n.children, None]:
-                if c is None or c.tag in BLOCKS:
-                    self.put("paragraph", " ".join(run), 20)
-                    run = []
-                    if c is not None:
-                        self.visit(c)
-                elif inline := clean(c.flat() if c.tag else c.text):
-                    run.append(inline)
+
+def _own_words(n: Node) -> str:
+    """What an item says outside the elements in it, unless nearly all of it is links."""
+    mostly_links = n.length and n.link >= 0.9 * n.length
+    return "" if mostly_links else clean(" ".join(c.text or c.attributes.get("alt", "") for c in n.children if c.tag in ("", "img")))
+
+
+@dataclass(frozen=True)
+class Form:
+    """What an element is written as: the kind of its block, where the text comes from, how long it has to be, and
+    whether the elements inside are written after it."""
+
+    kind: str
+    text: Callable[[Node], str]
+    least: int = 2
+    inside: bool = False
+
+
+FORMS = {
+    **{h: Form("heading", _plain, 1) for h in HEADINGS},
+    "pre": Form("code", lambda n: n.flat().strip(), 9),
+    "blockquote": Form("quote", _plain),
+    "img": Form("caption", _described, 12),
+    "table": Form("table", _cells, 1),
+    "li": Form("list_item", _own_words, 3, inside=True),
+    "dt": Form("paragraph", _plain),
+    "dd": Form("paragraph", _plain),
+}
+LEAF, THROUGH = Form("paragraph", _plain), Form("", lambda n: "", 1, inside=True)
+#: Least lengths of text that stands by itself, and of a run of inline text beside blocks.
+LOOSE, RUN = 60, 20
+
+
+def form_of(n: Node) -> Form | None:
+    """An element's form; none for a block that holds blocks beside inline text."""
+    if n.tag in FORMS or n.tag not in BLOCKS:
+        return FORMS.get(n.tag, THROUGH)
+    return None if any(c.tag in BLOCKS for c in n.children) else LEAF
+
+
+def pieces(n: Node) -> Iterator[tuple[str, str, int]]:
+    """(kind, text, heading level) of all that is written of a node, in the page's order."""
+    if not n.tag:
+        if len(text := clean(n.text)) >= LOOSE:
+            yield "paragraph", text, 0
+        return
+    if not seen(n):
+        return
+    form = form_of(n)
+    if form is None:
+        for block, some in groupby(n.children, lambda c: c.tag in BLOCKS):
+            if block:
+                for c in some:
+                    yield from pieces(c)
+            elif len(text := clean(" ".join(filter(None, (clean(c.flat() if c.tag else c.text) for c in some))))) >= RUN:
+                yield "paragraph", text, 0
+        return
+    if len(text := form.text(n)) >= form.least:
+        yield form.kind, text, int(n.tag[1]) if form.kind == "heading" else 0
+    for c in n.children if form.inside else ():
+        yield from pieces(c)
+
+
+def blocks_of(nodes: list[Node]) -> list[Block]:
+    """The pieces under the headings that they stand below."""
+    outline, out = _Outline(), []
+    for kind, text, level in (x for n in nodes for x in pieces(n)):
+        out.append(Block(kind, text, level, outline.enter(level, text) if level else outline.path))
+    return out
 
 
 def _first_of_each(blocks: list[Block]) -> list[Block]:
@@ -328,13 +358,14 @@ def trim_head(blocks: list[Block]) -> list[Block]:
 
 
 def trim_tail(blocks: list[Block]) -> list[Block]:
-    """Without footers, and runs of tiny blocks, at the end."""
-    signal = lambda b: _has(b.text.lower(), FOOTERS)
-    tiny = lambda b: len(b.text) < 90 and b.kind in ("paragraph", "list_item")
-    end = len(blocks)
-    while end > 4 and (signal(blocks[end - 1]) or (end > 5 and tiny(blocks[end - 1]) and (signal(blocks[end - 2]) or tiny(blocks[end - 2])))):
-        end -= 1
-    return blocks[:end]
+    """Without the run of footers and neighbouring tiny blocks that ends a page; the first four stay, the fifth unless a footer."""
+    flags = lambda of: np.array([of(b) for b in blocks], bool)
+    footer = flags(lambda b: _has(b.text.lower(), FOOTERS))
+    tiny = flags(lambda b: len(b.text) < 90 and b.kind in ("paragraph", "list_item"))
+    after_either = np.append(False, (footer | tiny)[:-1])[: len(blocks)]
+    place = np.arange(len(blocks))
+    ends = (place >= 4) & (footer | (tiny & after_either & (place >= 5)))
+    return blocks[: int(np.flatnonzero(~ends)[-1]) + 1] if blocks else blocks
 
 
 @dataclass
@@ -353,10 +384,7 @@ def extract(html: str, least: int = 80) -> Page:
     tree.root.measure()
 
     def written(node: Node) -> list[Block]:
-        w = _Writer()
-        for c in [node] if node.tag != "document" else node.children:
-            w.visit(c)
-        return trim_tail(trim_head(_first_of_each(w.out)))
+        return trim_tail(trim_head(_first_of_each(blocks_of([node] if node.tag != "document" else node.children))))
 
     size = lambda bs: sum(len(b.text) for b in bs)
     blocks = written(select(tree.root))
@@ -365,6 +393,14 @@ def extract(html: str, least: int = 80) -> Page:
     return Page(_metadata(tree), blocks, None if size(blocks) >= least else "too little text")
 
 
+def extract_or_say(html: str | None) -> Page:
+    """``extract``, but a page that can't be read is a problem of its own row."""
+    try:
+        return extract(html or "")
+    except Exception as e:  # noqa: BLE001 - whatever a page does to the parser, other pages go on
+        return Page(dict.fromkeys(META_FIELDS), [], f"unreadable page: {type(e).__name__}")
+
+
 META_FIELDS = ("title", "author", "site_name", "description", "canonical", "published", "language")
 SCHEMA = "page_id long, " + ", ".join(f"{m} string" for m in META_FIELDS) + ", problem string, blocks array<struct<kind:string,text:string,level:int,heading_path:string>>"
 
@@ -377,7 +413,7 @@ def with_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 some = batch.slice(at, 128)
-                found = [extract(h or "") for h in some.column(1).to_pylist()]
+                found = [extract_or_say(h) for h in some.column(1).to_pylist()]
                 meta = [pa.array([p.meta[m] for p in found], pa.string()) for m in META_FIELDS]
                 blocks = pa.array([[vars(b) for b in p.blocks] for p in found], kind)
                 yield pa.RecordBatch.from_arrays([some.column(0), *meta, pa.array([p.problem for p in found], pa.string()), blocks], names=["page_id", *META_FIELDS, "problem", "blocks"])
