@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+def doubles(values: Iterable[float]) -> Column:
+    """An array of numbers, written as one expression: a column for each would be a call to the driver's JVM for each."""
+    return F.expr(f"array({', '.join(f'{float(v)!r}D' for v in values)})").cast("array<double>")
+
+
 def dot(a: Column, b: Column) -> Column:
     """Over the length of the shorter one."""
     pairs = F.zip_with(a, b, lambda x, y: F.coalesce(x.cast("double") * y.cast("double"), F.lit(0.0)))

@@ -5,15 +5,17 @@ keeps its id (by address or path) and has its passages replaced."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import urls as U
-from tessera.operators import embedding, keyword_index, passages
-from tessera.operators.store import Store
+from tessera.operators import embedding, keyword_index, passages, vector_index
+from tessera.operators.store import Change, Store
 
 MIN_PASTED = 20
 # The settings that passages and vectors depend on.
@@ -55,45 +57,114 @@ def build(sources: DataFrame, chunking: passages.Chunking = passages.Chunking(),
     return rows, embedding.with_vectors(chunks) if vectors else chunks
 
 
-def store_batch(store: Store, sources: DataFrame, chunking: passages.Chunking = passages.Chunking(), vectors: bool = True) -> DataFrame:
+def store_batch(store: Store, sources: DataFrame, chunking: passages.Chunking = passages.Chunking(), vectors: bool = True, batch: tuple[str, int] | None = None, also: Callable[[Change], None] | None = None) -> DataFrame:
     """Puts a batch into the store as one change; returns the batch's rows by status.
 
-    Sources are upserted, their texts, passages (with vectors) and postings replaced and the
-    statistics of the buckets touched renewed: readers see all of these or none."""
+    Sources are upserted, their texts, passages (with vectors) and postings replaced: readers see all
+    of these or none. What is written is the batch's own. ``batch`` (stream, number) is kept with the
+    change; ``also`` may add to it."""
     rows, chunks = build(sources, chunking, vectors)
-    with store.change() as c:
+    with store.change(batch) as c:
         written, new = c.stage(rows), c.stage(chunks)
         ids = written.select(F.col("id").alias("source_id"))
-        touched = c.replace("chunks", new, ids, "source_id", "id")
+        c.replace("chunks", new, ids, "source_id", "id")
         c.replace("content", sources.where(F.col("text").isNotNull()).select(F.col("id").alias("source_id"), "text"), ids, "source_id", None)
-        c.replace("postings", keyword_index.postings(new.withColumnRenamed("id", "chunk_id")), ids, "source_id", None, sort=("term",))
-        counted = keyword_index.statistics(c.read("postings", touched).withColumn("bucket", c.bucket("source_id")))
-        c.write("statistics", counted.unionByName(c.read("statistics").where(~F.col("bucket").isin(*touched))) if c.has("statistics") else counted)
+        put_postings(c, new, ids)
         c.upsert("sources", written)
+        if also:
+            also(c)
     return written.groupBy("status").agg(F.count("*").alias("sources"), F.sum("bytes").alias("bytes"), F.sum("words").alias("words"))
 
 
-def index_of(store: Store) -> keyword_index.Index:
-    """The store's keyword index, for ``retrieval.search``."""
-    return keyword_index.Index(store.read("postings"), store.read("statistics"))
+def put_postings(c: Change, passages_: DataFrame, sources: DataFrame) -> None:
+    """The postings of sources (source_id) replaced by those of their passages (id, source_id, text)."""
+    c.replace("postings", keyword_index.postings(passages_.withColumnRenamed("id", "chunk_id")), sources, "source_id", None, sort=("term",))
+
+
+def store_passages(store: Store, passages_: DataFrame, batch: tuple[str, int] | None = None) -> None:
+    """Ready-made passages (id, source_id, text and more) in place of all that their sources had, as one change."""
+    with store.change(batch) as c:
+        new = c.stage(passages_)
+        ids = new.select("source_id").distinct()
+        c.replace("chunks", new, ids, "source_id", "id")
+        put_postings(c, new, ids)
+
+
+def build_index(store: Store) -> None:
+    """Makes the blocks of the keyword index, and of the vectors' where there are any, from all that the store has, as one change.
+
+    What comes later is read beside the blocks until they are made anew."""
+    with store.change() as c:
+        c.fold("postings")
+        rows = c.read("postings")
+        whole = keyword_index.totals(rows).first()
+        c.write("posting_blocks", keyword_index.blocks(rows, whole.n, whole.words))
+        c.write("posting_terms", keyword_index.frequencies(rows))
+        c.write("posting_totals", store.spark.createDataFrame([(whole.n, whole.words)], "n long, words long"))
+        c.follow("postings")
+        if "vector" in c.read("chunks").columns:
+            c.fold("chunks")
+            found = _vectors(c.read("chunks"))
+            centres = vector_index.centres_of(found)
+            c.write("vector_blocks", vector_index.blocks(found, centres))
+            c.write("vector_centres", store.spark.createDataFrame([(i, x) for i, x in enumerate(centres.tolist())], "cell int, centre array<double>"))
+            c.follow("chunks")
+
+
+def _vectors(chunks: DataFrame) -> DataFrame:
+    return chunks.select(F.col("id").alias("chunk_id"), "source_id", "vector")
+
+
+def index_of(store: Store) -> keyword_index.Index | keyword_index.BlockIndex:
+    """The store's keyword index, for ``retrieval.search``: blocks where they were made, else its postings."""
+    if not store.has("posting_blocks"):
+        rows = store.read("postings")
+        return keyword_index.Index(rows, keyword_index.statistics(rows.withColumn("bucket", F.lit(0))))
+    put, gone = store.since("postings")
+    return keyword_index.BlockIndex(store.read("posting_blocks"), store.read("posting_terms"), store.read("posting_totals"), store.base("postings"), put, gone)
+
+
+def vectors_of(store: Store) -> DataFrame | vector_index.VectorIndex:
+    """The store's vectors, for ``retrieval.search``: blocks where they were made, else all of them."""
+    if not store.has("vector_blocks"):
+        return _vectors(store.read("chunks"))
+    put, gone = store.since("chunks")
+    rows = store.read("vector_centres").orderBy("cell").collect()  # vector_index.CENTRES at most
+    centres = np.array([r.centre for r in rows]) if rows else np.zeros((0, 0))
+    return vector_index.VectorIndex(store.read("vector_blocks"), centres, None if put is None else _vectors(put), gone)
 
 
 def delete_sources(store: Store, ids: DataFrame) -> None:
     """The sources (source_id) and all that hangs on them taken out, as one change."""
     with store.change() as c:
-        touched = c.delete("chunks", ids, "source_id")
+        c.delete("chunks", ids, "source_id")
         c.delete("content", ids, "source_id")
         c.delete("postings", ids, "source_id")
-        counted = keyword_index.statistics(c.read("postings", touched).withColumn("bucket", c.bucket("source_id")))
-        c.write("statistics", counted.unionByName(c.read("statistics").where(~F.col("bucket").isin(*touched))))
         c.delete("sources", ids.withColumnRenamed("source_id", "id"), "id")
 
 
-def reindex(store: Store, texts: DataFrame | None = None, chunking: passages.Chunking = passages.Chunking()) -> DataFrame:
-    """Passages, vectors and postings made anew from texts (id, kind, title, url, text, error), without any given from those stored."""
+def reindex(store: Store, texts: DataFrame | None = None, chunking: passages.Chunking = passages.Chunking(), parts: int = 1, token: str | None = None) -> DataFrame:
+    """Passages, vectors and postings made anew from texts (id, kind, title, url, text, error), without any given from those stored.
+
+    In several ``parts`` by the id's hash, each a change; with a ``token`` that names this reindexing, one that was cut
+    short goes on with the first part that isn't in the store. Returns the counts of the parts done now."""
     if texts is None:
         texts = store.read("sources").select("id", "kind", "title", "url", "error").join(store.read("content").withColumnRenamed("source_id", "id"), "id", "left")
-    return store_batch(store, texts, chunking)
+    done = []
+    for part in range(parts):
+        name = f"reindex {token}"
+        if token and store.seen(name, part):
+            continue
+        mine = texts.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
+        done.append(store_batch(store, mine, chunking, batch=(name, part) if token else None))
+    if not done:
+        return store_batch_counts(texts.where("false"))
+    return reduce(DataFrame.unionByName, done).groupBy("status").agg(*[F.sum(c).alias(c) for c in ("sources", "bytes", "words")])
+
+
+def store_batch_counts(rows: DataFrame) -> DataFrame:
+    """No counts, in the columns that ``store_batch`` returns."""
+    return rows.select(F.lit("").alias("status"), *[F.lit(0).cast("long").alias(c) for c in ("sources", "bytes", "words")])
 
 
 def needs_reindex(old: DataFrame, new: DataFrame) -> bool:

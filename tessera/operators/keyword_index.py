@@ -1,24 +1,42 @@
-"""A stored keyword index: the postings of each term, and the statistics that BM25 needs.
+"""A stored keyword index: the postings of each term, in blocks that say how high they can score.
 
 ``postings(source_id, chunk_id, term, tf, dl)`` has a row for each term of a
 passage, and one with the empty term, so that passages without words count as
-well. It is kept by buckets of source_id, like the passages, so that a change
-rewrites the buckets it touches; within a bucket rows are sorted by term, so a
-question's few terms are read by pushed filters from the row groups that have
-them. ``statistics(bucket, n, words)`` is a row for each bucket.
+well. It is kept by source_id, like the passages, so that a change brings its own
+postings and names the sources whose earlier ones are gone.
+
+``blocks`` are made from postings: passages of about one length are dealt to ranges of
+about ``RANGE``, and a block is what a term has in a range: its passages as an array, the largest
+frequency, the least length and the largest saturation, sorted by term and range.
+For a question, the bounds of its terms' blocks add up to a bound of each range;
+ranges are read by their bounds, the highest first, and those whose bound is below
+the last score of the list so far are never read. Rare terms weigh most, so their
+ranges come first. The list is exact: bounds hold for every passage, at whatever
+average length the library has since.
+
+What changed after the blocks were made is read as it is: new postings are scored
+one by one, and passages of sources that changed are left out of the blocks.
 
 Nulls: a null text has no words. Repeated chunk_ids are the caller's fault, as in
 the store. An empty table has no postings and no scores."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, field
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators.retrieval import idf, saturation
+from tessera.operators.retrieval import idf, saturation, top
+
+RANGE = 32
+#: Ranges that are read first, and ranges whose numbers come to the driver.
+FIRST, LISTED = 64, 1024
+#: What rounding may take from a bound.
+NEARLY = 1.0 - 1e-9
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -34,6 +52,46 @@ def statistics(rows: DataFrame, bucket: str = "bucket") -> DataFrame:
     return rows.where("term = ''").groupBy(bucket).agg(F.count("*").alias("n"), F.sum("dl").alias("words"))
 
 
+def totals(rows: DataFrame) -> DataFrame:
+    """One row (n, words) of postings: passages and their words."""
+    return rows.where("term = ''").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))
+
+
+def frequencies(rows: DataFrame) -> DataFrame:
+    """(term, df) of postings, sorted by term."""
+    counts = rows.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
+    return counts.repartitionByRange("term").sortWithinPartitions("term")
+
+
+def blocks(rows: DataFrame, passages: int, words: int, size: int = RANGE) -> DataFrame:
+    """(term, range, n, most, least, largest, posts) of postings, sorted by term and range; ``passages`` and ``words`` are their totals.
+
+    Passages of about one length are in one range, as the largest frequency and the least length then go together;
+    a length that many have is dealt to as many ranges as it needs."""
+    length = F.floor(F.log2(F.greatest(F.col("dl"), F.lit(1))) * 4).cast("long")
+    # A row for each class of length: some hundred, whatever the number of passages.
+    classes = rows.where("term = ''").groupBy(length.alias("length")).agg(F.ceil(F.count("*") / size).alias("parts"))
+    spread = rows.where("term <> ''").withColumn("length", length).join(F.broadcast(classes), "length")
+    number = F.col("length") * F.lit(1 << 40) + F.pmod(F.xxhash64("chunk_id"), F.col("parts"))
+    dealt = spread.withColumn("range", number).repartitionByRange("term", "range")
+    share = saturation(F.col("tf").cast("double"), F.col("dl"), F.lit(words / passages if passages else 1.0))
+    post = F.struct("chunk_id", "source_id", "tf", "dl")
+    made = dealt.groupBy("term", "range").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"), F.max(share).alias("largest"), F.collect_list(post).alias("posts"))
+    return made.sortWithinPartitions("term", "range")
+
+
+def _times(terms: list[str]) -> dict[str, int]:
+    return {t: terms.count(t) for t in dict.fromkeys(terms)}
+
+
+def _by_term(values: dict[str, float]) -> Column:
+    """A number for each of a question's terms."""
+    out = F.lit(0.0)
+    for t, v in values.items():
+        out = F.when(F.col("term") == t, F.lit(float(v))).otherwise(out)
+    return out
+
+
 @dataclass
 class Index:
     """Postings and statistics, as they are stored."""
@@ -60,3 +118,131 @@ class Index:
         part = F.col("times") * idf(F.col("n"), F.col("n_with")) * saturation(F.col("tf").cast("double"), F.col("dl"), F.col("avgdl"))
         joined = held.join(F.broadcast(known), "term").crossJoin(F.broadcast(whole))
         return joined.groupBy("chunk_id", "source_id").agg(F.sum(part).alias("keyword")).select("chunk_id", "source_id", "keyword")
+
+    def top(self, terms: list[str], n: int, eligible: DataFrame | None = None) -> list[Row]:
+        """The best ``n`` (chunk_id, keyword), of ``eligible`` sources where given."""
+        scored = self.scores(terms)
+        return top(scored if eligible is None else scored.join(eligible, "source_id", "left_semi"), "keyword", n) if terms else []
+
+
+@dataclass
+class Statistics:
+    """Of a library at a question: passages, average length, and how many passages hold each term."""
+
+    n: int
+    avgdl: float
+    df: dict[str, int]
+
+    def weight(self, term: str, times: int) -> float:
+        held = self.df.get(term, 0)
+        raw = math.log((self.n - held + 0.5) / (held + 0.5))
+        return times * (raw if raw > 0 else 1e-6)
+
+
+@dataclass
+class BlockIndex:
+    """Blocks with their terms' frequencies and totals, and what changed since: the postings put in, and the sources
+    whose postings in the blocks are gone. ``postings`` are those that the blocks were made of."""
+
+    blocks: DataFrame
+    terms: DataFrame
+    totals: DataFrame
+    postings: DataFrame
+    put: DataFrame | None = None
+    gone: DataFrame | None = None
+    #: Postings in the blocks that the last question read.
+    read: int = field(default=0, compare=False)
+
+    @cached_property
+    def built(self) -> Row:
+        """The totals of the blocks' making."""
+        return self.totals.first()
+
+    def statistics(self, terms: list[str]) -> Statistics:
+        """Frequencies are looked up by term; what is gone is counted among the postings of these terms alone."""
+        distinct = list(dict.fromkeys(terms))
+        whole = self.built
+        n, words, df = whole.n, whole.words, {r.term: r.df for r in self.terms.where(F.col("term").isin(*distinct)).collect()}
+        counted = []
+        if self.gone is not None:
+            counted.append((-1, self.postings.join(self.gone, "source_id", "left_semi")))
+        if self.put is not None:
+            counted.append((1, self.put))
+        for sign, rows in counted:
+            for r in rows.where(F.col("term").isin("", *distinct)).groupBy("term").agg(F.count("*").alias("n"), F.sum("dl").alias("words")).collect():
+                if r.term == "":
+                    n, words = n + sign * r.n, words + sign * r.words
+                else:
+                    df[r.term] = df.get(r.term, 0) + sign * r.n
+        return Statistics(n, words / n if n else 0.0, df)
+
+    def _of(self, terms: dict[str, int]) -> DataFrame:
+        return self.blocks.where(F.col("term").isin(*terms))
+
+    def _scored(self, rows: DataFrame, terms: dict[str, int], known: Statistics) -> DataFrame:
+        part = _by_term({t: known.weight(t, k) for t, k in terms.items()}) * saturation(F.col("tf").cast("double"), F.col("dl"), F.lit(known.avgdl))
+        return rows.groupBy("chunk_id", "source_id").agg(F.sum(part).alias("keyword"))
+
+    def _posts(self, found: DataFrame) -> DataFrame:
+        rows = found.select("term", F.inline("posts"))
+        return rows if self.gone is None else rows.join(self.gone, "source_id", "left_anti")
+
+    def bounds(self, terms: list[str], known: Statistics) -> DataFrame:
+        """(range, bound, n): the most that a passage of a range can score, and its postings of the terms. No posting is read.
+
+        A block's largest saturation was that at the average length of its making; it grows at most as that did."""
+        grown = max(1.0, known.avgdl * self.built.n / self.built.words) if self.built.words else 1.0
+        share = F.least(saturation(F.col("most").cast("double"), F.col("least"), F.lit(known.avgdl)), F.col("largest") * F.lit(grown))
+        weights = _by_term({t: known.weight(t, k) for t, k in _times(terms).items()})
+        heads = self._of(_times(terms)).select("term", "range", "n", (weights * share).alias("bound"))
+        return heads.groupBy("range").agg(F.sum("bound").alias("bound"), F.sum("n").alias("n"))
+
+    def scores(self, terms: list[str]) -> DataFrame:
+        """(chunk_id, source_id, keyword) of every passage with a term."""
+        times, known = _times(terms), self.statistics(terms)
+        rows = self._posts(self._of(times))
+        if self.put is not None:
+            rows = rows.unionByName(self.put.where(F.col("term").isin(*times)).select(*rows.columns))
+        return self._scored(rows, times, known)
+
+    def top(self, terms: list[str], n: int, eligible: DataFrame | None = None) -> list[Row]:
+        """The best ``n`` (chunk_id, keyword), of ``eligible`` sources where given, ties to the least chunk_id."""
+        times, known = _times(terms), self.statistics(terms)
+        if not times or not known.n:
+            return []
+        ranges = self.bounds(terms, known)
+        listed = ranges.orderBy(F.desc("bound"), "range").limit(LISTED).collect()
+        best: list[Row] = []
+        self.read = 0
+
+        def take(rows: DataFrame) -> None:
+            within = rows if eligible is None else rows.join(eligible, "source_id", "left_semi")
+            found = top(self._scored(within, times, known), "keyword", n)
+            best[:] = sorted([*best, *found], key=lambda r: (-r.keyword, r.chunk_id))[:n]
+
+        def in_reach() -> list[Row]:
+            """The ranges not read so far that may hold a row of the list."""
+            least = best[-1].keyword * NEARLY if len(best) == n else -math.inf
+            return [r for r in listed[done:] if r.bound >= least]
+
+        if self.put is not None:
+            take(self.put.where(F.col("term").isin(*times)).select("term", "chunk_id", "source_id", "tf", "dl"))
+        done = 0
+        for most in (FIRST, LISTED):
+            some = in_reach()[:most]
+            if some:
+                take(self._posts(self._of(times).where(F.col("range").isin([r.range for r in some]))))
+                self.read += sum(r.n for r in some)
+                done += len(some)
+        if len(listed) == LISTED and done == LISTED:
+            last, least = listed[-1], best[-1].keyword * NEARLY if len(best) == n else -math.inf
+            after = (F.col("bound") < last.bound) | ((F.col("bound") == last.bound) & (F.col("range") > last.range))
+            more = ranges.where(after & (F.col("bound") >= least))
+            self.read += more.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            take(self._posts(self._of(times).join(more.select("range"), "range", "left_semi")))
+        return best
+
+    def share_read(self, terms: list[str]) -> float:
+        """Of the terms' postings in blocks, the share that the last ``top`` read."""
+        whole = self._of(_times(terms)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        return self.read / whole if whole else 0.0

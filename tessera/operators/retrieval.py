@@ -23,7 +23,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.functions import lexicon as L
 from tessera.functions import text as T
-from tessera.functions.vectors import dot, norm
+from tessera.functions.vectors import doubles
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 RRF_K, BOTH_CHANNELS = 60.0, 1.15
@@ -134,9 +134,11 @@ def keyword_top(chunks: DataFrame, terms: list[str], n: int, eligible: DataFrame
 def semantic_scores(vectors: DataFrame, query: list[float]) -> DataFrame:
     """(chunk_id, semantic): cosine with the query, where above 0; the query is a literal, so there is no join."""
     length = sum(x * x for x in query) ** 0.5
-    literal = F.array(*[F.lit(float(x)) for x in query])
-    both = norm(F.col("vector")) * F.lit(length)
-    score = F.when(both == 0, F.lit(0.0)).otherwise(dot(F.col("vector"), literal) / both)
+    # One expression of text: built of columns, its lambdas alone take the driver longer than a small scan.
+    numbers = ", ".join(f"{float(x)!r}D" for x in query)
+    products = f"zip_with(vector, cast(array({numbers}) AS array<double>), (x, y) -> coalesce(double(x) * y, 0D))"
+    both = f"(sqrt(aggregate(vector, 0D, (s, x) -> s + double(x) * double(x))) * {length!r}D)"
+    score = F.expr(f"CASE WHEN {both} = 0 THEN 0D ELSE aggregate({products}, 0D, (s, x) -> s + x) / {both} END")
     return vectors.select("chunk_id", score.alias("semantic")).where("semantic > 0")
 
 
@@ -152,13 +154,40 @@ def top(scores: DataFrame, score: str, n: int) -> list[Row]:
 def ranks_of(scores: DataFrame, score: str, rows: list[Row]) -> list[int]:
     """Each row's rank among all scores. The rows, best first, part the scores into as many ranges
     and one; the counts of these are all that leaves a task."""
-    if not rows:
-        return []
-    limits = F.array(*[F.struct(F.lit(r[score]).alias("score"), F.lit(r.chunk_id).alias("id")) for r in rows])
+    return ranks_from(scores.select(rows_before(score, rows).alias("at"), F.lit(1).cast("long").alias("n")), len(rows)) if rows else []
+
+
+def rows_before(score: str, rows: list[Row]) -> Column:
+    """How many of some rows, best first, stand before a row: where it is put, so the rows themselves count in their own range or before."""
+    ids = F.lit([r.chunk_id for r in rows]) if rows else F.array()
+    limits = F.arrays_zip(doubles(r[score] for r in rows).alias("score"), ids.alias("id"))
     before = lambda x: (x["score"] > F.col(score)) | ((x["score"] == F.col(score)) & (x["id"] < F.col("chunk_id")))
-    # A score is put where the rows before it end, so the rows themselves count in their own range or before.
-    counts = {r.at: r.n for r in scores.groupBy(F.size(F.filter(limits, before)).alias("at")).agg(F.count("*").alias("n")).collect()}
-    return list(accumulate(counts.get(i, 0) for i in range(len(rows))))
+    return F.size(F.filter(limits, before))
+
+
+def ranks_from(counts: DataFrame, n: int) -> list[int]:
+    """The ranks of ``n`` rows from how many rows stand in each range (at, n) that they part all into."""
+    held = {r.at: r.n for r in counts.groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    return list(accumulate(held.get(i, 0) for i in range(n)))
+
+
+@dataclass
+class Scan:
+    """The vector channel by a scan of all vectors: scores (chunk_id, semantic) and what fusion asks of them."""
+
+    scores: DataFrame
+
+    def top(self, n: int) -> list[Row]:
+        return top(self.scores, "semantic", n)
+
+    def scores_of(self, ids: list) -> list[Row]:
+        return self.scores.where(F.col("chunk_id").isin(*ids)).select("chunk_id", "semantic").collect()
+
+    def ranks_of(self, rows: list[Row]) -> list[int]:
+        return ranks_of(self.scores, "semantic", rows)
+
+    def count(self) -> int:
+        return self.scores.count()
 
 
 @dataclass
@@ -166,36 +195,38 @@ class Fused:
     """What the channels found: the best rows, whether there are any, and how many there were before the cut (a count of its own)."""
 
     rows: DataFrame
-    some: bool
+    ids: list
     count: Callable[[], int]
 
 
-def fuse(semantic: DataFrame | None, keyword: list[Row], candidates: int, id_type: StructField) -> Fused:
-    """(chunk_id, semantic, keyword, rrf, fused): the best ``candidates`` by reciprocal ranks; ``keyword`` is the top list of its channel.
+def fuse(semantic, keyword: list[Row], candidates: int, id_type: StructField) -> Fused:
+    """(chunk_id, semantic, keyword, rrf, fused): the best ``candidates`` by reciprocal ranks; ``keyword`` is the top list of its channel,
+    ``semantic`` the scores of the other, a ``Scan`` of them or an index's ``Channel``, or None.
 
     Only the first ``candidates`` of a channel can be among the best by rank in
     it alone. A keyword hit beyond the vector channel's list has its exact rank
     there counted. All lists here have ``candidates`` rows at most."""
     words = {r.chunk_id: (n, r.keyword) for n, r in enumerate(keyword[:candidates], 1)}
     near, hits = {}, []
+    semantic = Scan(semantic) if isinstance(semantic, DataFrame) else semantic
     if semantic is not None:
-        near = {r.chunk_id: (n, r.semantic) for n, r in enumerate(top(semantic, "semantic", candidates), 1)}
+        near = {r.chunk_id: (n, r.semantic) for n, r in enumerate(semantic.top(candidates), 1)}
         far = [i for i in words if i not in near]
-        if far:
-            hits = semantic.where(F.col("chunk_id").isin(*far)).select("chunk_id", "semantic").collect()
-            hits.sort(key=lambda r: (-r.semantic, r.chunk_id))
-        near |= {r.chunk_id: (n, r.semantic) for r, n in zip(hits, ranks_of(semantic, "semantic", hits), strict=True)}
+        # A list that isn't full holds all rows above 0, so there are no others.
+        if far and len(near) == candidates:
+            hits = sorted(semantic.scores_of(far), key=lambda r: (-r.semantic, r.chunk_id))
+        near |= {r.chunk_id: (n, r.semantic) for r, n in zip(hits, semantic.ranks_of(hits), strict=True)}
     rrf = {i: sum(1.0 / (RRF_K + c[i][0]) for c in (near, words) if i in c) * (BOTH_CHANNELS if i in near and i in words else 1.0) for i in {**near, **words}}
     best = sorted(rrf, key=lambda i: (-rrf[i], i))[:candidates]
     rows = [(i, near.get(i, (0, None))[1], words.get(i, (0, None))[1], rrf[i], rrf[i] / rrf[best[0]]) for i in best]
     schema = StructType([StructField("chunk_id", id_type.dataType), *(StructField(c, DoubleType()) for c in ("semantic", "keyword", "rrf", "fused"))])
     every = lambda: len(words) if semantic is None else semantic.count() + len([i for i in words if i not in near])
-    return Fused(SparkSession.active().createDataFrame(rows, schema), bool(rrf), every)
+    return Fused(SparkSession.active().createDataFrame(rows, schema), best, every)
 
 
-def passages_of(chunks: DataFrame, found: DataFrame) -> DataFrame:
-    """The chunks of a short list, with its columns: their ids reach the scan as a filter."""
-    ids = [r.chunk_id for r in found.select("chunk_id").collect()]
+def passages_of(chunks: DataFrame, found: DataFrame, ids: list | None = None) -> DataFrame:
+    """The chunks of a short list, with its columns: their ids, given or collected, reach the scan as a filter."""
+    ids = [r.chunk_id for r in found.select("chunk_id").collect()] if ids is None else ids
     return chunks.where(F.col("chunk_id").isin(*ids) if ids else F.lit(False)).join(F.broadcast(found), "chunk_id")
 
 
@@ -279,28 +310,26 @@ def with_model_scores(scored: DataFrame, score: Callable[[list[Row]], list[float
 
 
 def search(
-    chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector: list[float] | Callable[[str], list[float]] | None = None, settings: Settings = Settings(),
+    chunks: DataFrame, vectors, query: str, query_vector: list[float] | Callable[[str], list[float]] | None = None, settings: Settings = Settings(),
     rerank=None, eligible: DataFrame | None = None, index=None, model: Callable[[list[Row]], list[float] | None] | None = None,
 ) -> Outcome:
     """Rows (chunk_id, source_id, semantic, keyword, fused, effective, rank, used_tokens) of the selected passages.
 
     ``eligible`` (source_id) keeps both channels to sources that are included and in
     scope; it comes after the keyword statistics, and where it has no row NoSources
-    is raised. ``index`` (``keyword_index.Index``) saves the keyword channel from reading
-    texts. ``query_vector`` may be an embedder; where it fails, the keyword channel
+    is raised. ``index`` (``keyword_index.Index`` or ``BlockIndex``) saves the keyword channel
+    from reading texts; ``vectors`` (chunk_id, vector) may be a ``VectorIndex`` instead. ``query_vector`` may be an embedder; where it fails, the keyword channel
     stands alone, with a notice. An empty query finds nothing. With no candidate
     at all and no floor, the first passages in reading order are taken. ``rerank``
     replaces the lexical score: a function of (candidates) that returns them with
     a column ``effective``; ``model`` scores the best ``MODEL_RERANK`` after that."""
     s, notices = settings.clamped(), []
+    several = None
     if eligible is not None:
         eligible = eligible.select("source_id").distinct()
         several = len(eligible.limit(2).collect())
         if not several:
             raise NoSources("no source is included and in scope")
-    else:
-        ends = chunks.agg(F.min("source_id").alias("a"), F.max("source_id").alias("b")).first()
-        several = 1 if ends.a == ends.b else 2
     terms = T.keyword_terms(query)
     within = lambda rows: rows if eligible is None else rows.join(eligible, "source_id", "left_semi")
     if callable(query_vector):
@@ -310,29 +339,42 @@ def search(
             query_vector = None
             notices.append(NOTICE_NO_VECTORS)
     semantic = None
-    if vectors is not None and query_vector and query.strip():
+    if hasattr(vectors, "channel"):
+        semantic = vectors.channel(query_vector, eligible) if query_vector and query.strip() else None
+    elif vectors is not None and query_vector and query.strip():
         semantic = semantic_scores(vectors, query_vector)
         if eligible is not None:
             owned = vectors.select("chunk_id", "source_id") if "source_id" in vectors.columns else chunks.select("chunk_id", "source_id")
             semantic = semantic.join(within(owned).select("chunk_id"), "chunk_id", "left_semi")
-    keyword = keyword_top(chunks, terms, s.candidates, eligible) if index is None else top(within(index.scores(terms)), "keyword", s.candidates) if terms else []
+    keyword = keyword_top(chunks, terms, s.candidates, eligible) if index is None else index.top(terms, s.candidates, eligible)
     found = fuse(semantic, keyword, s.candidates, chunks.schema["chunk_id"])
-    fused = found.rows
-    if s.floor <= 0 and query.strip() and not found.some:
-        first = within(chunks).orderBy("chunk_id").limit(s.candidates).select("chunk_id").collect()
-        fused = chunks.sparkSession.createDataFrame([(r.chunk_id, None, None, 1.0, 1.0) for r in first], fused.schema)
-    rows = passages_of(chunks, fused)
+    fused, ids = found.rows, found.ids
+    if s.floor <= 0 and query.strip() and not ids:
+        ids = [r.chunk_id for r in within(chunks).orderBy("chunk_id").limit(s.candidates).select("chunk_id").collect()]
+        fused = chunks.sparkSession.createDataFrame([(i, None, None, 1.0, 1.0) for i in ids], fused.schema)
+    rows = passages_of(chunks, fused, ids)
     if rerank is None:
         rows = rows.withColumn("effective", lexical_score(query, F.col("text"), F.col("heading"), F.col("token_count"), F.col("fused")))
     else:
         rows = rerank(rows)
     if model is not None:
         rows = with_model_scores(rows, model, notices)
-    picked = select_rows(rows.select("chunk_id", "source_id", "semantic", "keyword", "fused", "effective", "token_count"), s, several)
+    # The candidates, without their texts, are one short list, so nothing is shuffled to select from them.
+    scored = rows.select("chunk_id", "source_id", "semantic", "keyword", "fused", "effective", "token_count")
+    short = scored.collect()
+    if several is None:
+        several = 2 if len({r.source_id for r in short}) > 1 else _sources(chunks)
+    picked = select_rows(chunks.sparkSession.createDataFrame(short, scored.schema).coalesce(1), s, several)
     return Outcome(held(picked), notices, found.count)
 
 
-def retrieve(chunks: DataFrame, vectors: DataFrame | None, query: str, query_vector=None, settings: Settings = Settings(), rerank=None, eligible: DataFrame | None = None, index=None) -> DataFrame:
+def _sources(chunks: DataFrame) -> int:
+    """1 where all passages are of one source, else 2."""
+    ends = chunks.agg(F.min("source_id").alias("a"), F.max("source_id").alias("b")).first()
+    return 1 if ends.a == ends.b else 2
+
+
+def retrieve(chunks: DataFrame, vectors, query: str, query_vector=None, settings: Settings = Settings(), rerank=None, eligible: DataFrame | None = None, index=None) -> DataFrame:
     """The selected passages of ``search``."""
     return search(chunks, vectors, query, query_vector, settings, rerank, eligible, index).rows
 

@@ -123,7 +123,11 @@ SCHEMA = "path string, kind string, error string, blocks array<struct<page:int,k
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
     """(path, kind, length, content) of the files that have a known kind, hidden ones left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return known(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder))
+
+
+def known(files: DataFrame) -> DataFrame:
+    """The files (path, length, content) that have a known kind, hidden ones left out."""
     shown = files.where(~F.col("path").rlike("/\\.[^/]*(/|$)"))
     return shown.select("path", kind_of(F.col("path"), F.col("content")).alias("kind"), "length", "content").where("kind is not null")
 
