@@ -6,10 +6,10 @@ learned layer. Gated attention, tanh(Vh) * sigmoid(Uh), gives each passage a
 weight within its bag, learned from document labels alone; the score is the
 logistic of the weighted passage representation.
 
-Training takes at most ``SAMPLE`` labelled documents (those with the least
-hashed ids), of each at most ``BAG`` passages spread evenly over the whole
-text, and none whose crc32(doc_id as text) modulo 4 is 2; these are held
-out. Scoring takes every passage, in one pass without a shuffle; a long text's
+Training takes whole documents: at most ``SAMPLE`` labelled ones, those with
+the least hashed ids, as far as their passages come to ``PASSAGES`` at most
+(one that would go beyond is passed over, later ones may still fit), and none
+whose crc32(doc_id as text) modulo 4 is 2; these are held out. Scoring takes every passage, in one pass without a shuffle; a long text's
 are measured ``SLICE`` bytes at a time. Labels, language, source and id are
 never inputs of a score.
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded, in_batches, table
 
-PASSAGE, SAMPLE, BAG, THRESHOLD = 512, 4000, 64, 0.7
+PASSAGE, SAMPLE, PASSAGES, THRESHOLD = 512, 4000, 1 << 16, 0.7
 SLICE = PASSAGE << 11
 HIDDEN, GATE, ROUNDS, SEED = 24, 16, 400, 7
 TRIGRAM_BINS, DECAY = 512, 1e-4
@@ -153,12 +153,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _scorer(model: Model | None, bag: int = BAG):
+def _scorer(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text", 1 << 20):
             x, bags = passage_features(batch.column("text").to_pylist())
             if model is None:
-                parts = [b[np.unique(np.linspace(0, len(b) - 1, min(bag, len(b))).astype(np.int64))] for b in np.split(x, np.cumsum(bags)[:-1])]
+                parts = np.split(x, np.cumsum(bags)[:-1])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([p.tobytes() for p in parts], pa.binary())], names=["doc_id", "x"])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x, bags).astype(np.float64))], names=["doc_id", "score"])
@@ -167,23 +167,36 @@ def _scorer(model: Model | None, bag: int = BAG):
 
 
 @in_batches
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, bag: int = BAG) -> Model:
-    """A model from at most ``sample`` labelled documents that aren't held out.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, passages: int = PASSAGES) -> Model:
+    """A model from at most ``sample`` labelled documents that aren't held out, all passages of each.
 
-    The sample's ids and labels are at most ``sample`` rows and so are joined by
-    broadcast; features of at most ``bag`` passages of each, not texts, come to the driver."""
+    The sample's ids, labels and sizes are at most ``sample`` rows and so are joined by broadcast; features of
+    at most ``passages`` passages, not texts, come to the driver."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     drawn = known.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chosen = texts.join(F.broadcast(drawn.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("text"), F.xxhash64("text")).alias("t")).select("doc_id", "t.text")
-    bags = chosen.mapInArrow(_scorer(None, bag), "doc_id long, x binary")
     y = {r.doc_id: r.y for r in drawn.collect()}
+    sizes = chosen.select("doc_id", F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("text"), F.lit(0)) / PASSAGE)).alias("n"), F.xxhash64("doc_id").alias("h"))
+    whole = _within(sorted(sizes.collect(), key=lambda r: (r.h, r.doc_id)), passages)
+    taken = docs.sparkSession.createDataFrame([(i,) for i in whole], "doc_id long")
+    bags = chosen.join(F.broadcast(taken), "doc_id", "left_semi").mapInArrow(_scorer(None), "doc_id long, x binary")
     rows = sorted(bags.toLocalIterator(), key=lambda r: r.doc_id)
     x = [np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES) for r in rows]
     every = np.concatenate(x) if x else np.zeros((0, N_FEATURES), np.float32)
     return fit(every, np.array([len(b) for b in x], np.int64), np.array([y[r.doc_id] for r in rows], np.float32))
 
 
+def _within(sizes: list, passages: int) -> list[int]:
+    """The documents, in their order, whose passages fit into what is left of ``passages``."""
+    out = []
+    for r in sizes:
+        if r.n <= passages:
+            out.append(r.doc_id)
+            passages -= r.n
+    return out
+
+
 @in_batches
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for each row."""

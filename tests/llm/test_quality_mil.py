@@ -105,3 +105,17 @@ def test_texts_of_one_id(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, x string")
     a, b = (M.train(df, labels).w for df in (d, d.orderBy("text").repartition(5)))
     assert all(np.array_equal(a[k], b[k]) for k in a) and a
+
+
+def test_whole_documents_within_the_bound_of_passages(spark, monkeypatch):
+    """A text's passages are fitted all or not at all, and a long one doesn't keep out those after it."""
+    texts = [(i, "word " * (40 + 1000 * (i % 5))) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    seen = {}
+    monkeypatch.setattr(M, "fit", lambda x, bags, y: seen.update(bags=bags.tolist(), rows=len(x)))
+    M.train(docs, labels)
+    sizes = {i: -(-len(t) // M.PASSAGE) for i, t in texts}
+    assert sorted(seen["bags"]) == sorted(n for i, n in sizes.items() if zlib.crc32(str(i).encode()) % 4 != 2) and seen["rows"] == sum(seen["bags"])
+    M.train(docs, labels, passages=100)
+    assert 60 < sum(seen["bags"]) <= 100 and max(seen["bags"]) > 5
