@@ -34,6 +34,7 @@ SENTENCES = {
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mit-warranty": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "mit-liability-named": "in no event shall * be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "mit-liability": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "apache-named": "licensed under the apache license version 2 0",
@@ -52,6 +53,9 @@ SENTENCES = {
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-endorse-named": "neither the name of * nor the names of * may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-endorse-alone": "the name of * may not be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-advertise": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
     "lgpl21-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
     "lgpl3-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "agpl3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
@@ -70,9 +74,15 @@ SENTENCES = {
     "cc-by-sa-long": "this work is licensed under a creative commons attribution sharealike 4 0 international license",
 }
 RULES = (
+    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertise", "bsd-endorse")),
+    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertise", "bsd-endorse-named")),
+    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertise")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse-named")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse-alone")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("MIT", ("mit-grant", "mit-notice", "mit-warranty", "mit-liability")),
+    ("MIT", ("mit-grant", "mit-notice", "mit-warranty", "mit-liability-named")),
     ("MIT", ("mit-grant", "mit-notice", "mit-warranty")),
     ("MIT", ("mit-grant", "mit-notice")),
     ("ISC", ("isc-grant",)),
@@ -141,7 +151,13 @@ SENTENCES |= {name: text for name, (text, _) in _NAMED.items()}
 RULES += tuple((licence, (name,)) for name, (_, licence) in _NAMED.items())
 #: Every known sentence has one of these, so a text without any needs no further look.
 #: Each is part of one word, as line breaks may stand between words.
-ANCHORS = ("licen", "copyright", "reserved", "permission", "redistribut", "warrant", "mozilla", "domain", "mpl")
+ANCHORS = ("licen", "copyright", "reserved", "permission", "redistribut", "warrant", "mozilla", "domain", "mpl", "advertis", "liable")
+
+#: A slot of a sentence, for the name of a holder or project, and the most words that it takes.
+SLOT, MOST_WORDS = "*", 16
+#: Licences that a further numbered clause makes another one, and how such a clause begins.
+WHOLE = frozenset({"BSD-2-Clause", "BSD-3-Clause"})
+_CLAUSE = re.compile(r"[3-5]\b")
 
 _STRONG = re.compile(r"[.!?;:…]+(?=\s|$)|\n\s*")
 _WORD = re.compile(r"[^\W_]+")
@@ -172,8 +188,31 @@ def anchors_of(sentences: dict[str, str]) -> tuple[str, ...]:
     return tuple(sorted(out))
 
 
+def end_of(words: list[str], at: int, known: list[str]) -> int | None:
+    """Where a known sentence that begins at ``at`` ends, slots taking as few words as they can; None where it isn't there."""
+    ends = {at}
+    for part, slot in _parts(known):
+        if slot:
+            ends = {j for e in ends for j in range(e + 1, min(e + MOST_WORDS, len(words)) + 1)}
+        ends = {e + len(part) for e in ends if words[e : e + len(part)] == part}
+        if not ends:
+            return None
+    return min(ends)
+
+
+def _parts(known: list[str]) -> Iterator[tuple[list[str], bool]]:
+    """The runs of words between a sentence's slots, and whether a slot stands before each."""
+    run, slot = [], False
+    for w in [*known, None]:
+        if w is None or w == SLOT:
+            yield run, slot
+            run, slot = [], True
+        else:
+            run.append(w)
+
+
 class Knowledge:
-    """Sentences by their first words, and ordered rules."""
+    """Sentences by their first words (slots come later), and ordered rules."""
 
     def __init__(self, sentences: dict[str, str] = SENTENCES, rules: tuple = RULES, max_gap: int = MAX_GAP):
         self.rules, self.max_gap = rules, max_gap
@@ -190,16 +229,23 @@ class Knowledge:
         out, i = [], 0
         while i < len(words):
             if marks[i]:
-                hit = next(((k, name) for k, name in self.first.get(tuple(words[i : i + 3]), ()) if words[i : i + len(k)] == k and marks[i + len(k)]), None)
+                ends = ((end_of(words, i, k), name) for k, name in self.first.get(tuple(words[i : i + 3]), ()))
+                hit = next(((end, name) for end, name in ends if end is not None and marks[end]), None)
                 out.append((hit[1] if hit else None, offsets[i]))
                 if hit:
-                    i += len(hit[0])
+                    i = hit[0]
                     continue
             i += 1
         return out
 
-    def licences(self, found: list[tuple[str | None, int]]) -> list[tuple[str, int]]:
-        """(licence, offset) of every match of a rule, by offset; rules are tried in order."""
+    def licences(self, found: list[tuple[str | None, int]], text: str = "") -> list[tuple[str, int]]:
+        """(licence, offset) of every match of a rule, by offset; rules are tried in order. With the ``text``, a rule of
+        ``WHOLE`` is refused where a numbered clause that it does not have goes on after it."""
+
+        def goes_on(last: int) -> bool:
+            after = found[last + 1 : last + 3]
+            return len(after) == 2 and after[0][0] is None and bool(_CLAUSE.match(text, after[0][1]))
+
         places: dict[str, list[int]] = {}
         for i, (name, _) in enumerate(found):
             if name:
@@ -213,7 +259,7 @@ class Knowledge:
                     if near is None:
                         break
                     run.append(near)
-                if len(run) == len(sequence) and not taken & set(run):
+                if len(run) == len(sequence) and not taken & set(run) and not (licence in WHOLE and goes_on(run[-1])):
                     taken |= set(run)
                     out.append((licence, found[start][1]))
         return sorted(out, key=lambda x: x[1])
@@ -234,7 +280,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
             for text in batch.column("text").to_pylist():
                 low = (text or "").lower()
                 found = known.sentences(text) if text and any(a in low for a in anchors) else []
-                names.append([{"name": n, "start": s} for n, s in known.licences(found)])
+                names.append([{"name": n, "start": s} for n, s in known.licences(found, text or "")])
                 ids.append([n for n, _ in found if n])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, kind), pa.array(ids, pa.list_(pa.string()))], names=["doc_id", "licences", "sentence_ids"])
 

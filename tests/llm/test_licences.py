@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from tessera.llm import licences as L
 
 K = L.Knowledge()
@@ -66,7 +68,7 @@ def test_anchors_hold_across_line_breaks_and_for_other_sentences(docs):
     """Each sentence alone, wrapped at every word in several ways."""
     names = list(L.SENTENCES)
     for gap in ("\n", "  ", "\n\t", " - "):
-        rows = {r.doc_id: r.sentence_ids for r in L.scan(docs(["Text. " + gap.join(L.SENTENCES[k].upper().split()) + "." for k in names])).collect()}
+        rows = {r.doc_id: r.sentence_ids for r in L.scan(docs(["Text. " + gap.join(L.SENTENCES[k].replace("*", "x corp").upper().split()) + "." for k in names])).collect()}
         assert [rows[i] for i in range(len(names))] == [[k] for k in names]
     assert L.scan(docs(["All rights\nreserved."])).first().licences[0].name == "all-rights-reserved"
     own, rules = {"own": "use it as you like", "greek": "ελεύθερη χρήση"}, (("Own", ("own",)), ("Greek", ("greek",)))
@@ -95,3 +97,42 @@ def test_odd_rows(docs):
     rows = {r.doc_id: r for r in L.scan(docs(texts)).collect()}
     assert [[x.name for x in rows[i].licences] for i in range(6)] == [[], [], ["MIT"] * 3, ["all-rights-reserved"], ["all-rights-reserved"], ["all-rights-reserved"]]
     assert rows[3].licences[0].start == 200_001 and L.scan(docs(["a"]).where("false")).count() == 0
+
+
+BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n"
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n"
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+)
+ENDORSE = "may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+
+
+def _of(text):
+    known = L.Knowledge()
+    return [n for n, _ in known.licences(known.sentences(text), text)]
+
+
+@pytest.mark.parametrize(
+    ("third", "licence"),
+    [
+        ("", ["BSD-2-Clause"]),
+        ("THIS SOFTWARE IS PROVIDED BY SOMEONE AS IS.\n", ["BSD-2-Clause"]),
+        ("3. Neither the name of the copyright holder nor the names of its contributors " + ENDORSE, ["BSD-3-Clause"]),
+        ("3. Neither the name of Example Inc. nor the names of its contributors " + ENDORSE, ["BSD-3-Clause"]),
+        ("* Neither the name of the University of Example,\n  Department of Names, nor the names of other contributors " + ENDORSE, ["BSD-3-Clause"]),
+        ("3. The name of J. Doe may not" + ENDORSE[3:], ["BSD-3-Clause"]),
+        ("3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software.\n4. Neither the name of Ex nor the names of its contributors " + ENDORSE, ["BSD-4-Clause"]),
+        ("3. You must send us a postcard.\n", []),
+        ("3. Neither the name of Example Inc. nor the names of its contributors " + ENDORSE + "4. You must send us a postcard.\n", []),
+    ],
+)
+def test_clauses_after_the_second(third, licence):
+    assert _of(BSD + third) == licence
+
+
+def test_slots_take_names_and_no_more():
+    words = "neither the name of a b c nor the names of d may be x".split()
+    known = "neither the name of * nor the names of * may be x".split()
+    assert L.end_of(words, 0, known) == len(words)
+    assert L.end_of(words, 0, known[:-1] + ["y"]) is None and L.end_of(words[:4] + words[7:], 0, known) is None
+    assert L.end_of("a b c".split() + ["z"] * 17 + ["d"], 0, "a b c * d".split()) is None
