@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, FloatType, LongType
 
 from tessera.functions.lexicon import STOP_WORDS
 from tessera.functions.text import stem_word
@@ -29,8 +29,8 @@ def _slots(names: list[str], weight: float) -> tuple[np.ndarray, np.ndarray]:
     return (h % np.uint64(DIMENSIONS)).astype(np.int64), np.where(h >> np.uint64(63) == 1, -weight, weight)
 
 
-def embed(texts: list[str]) -> np.ndarray:
-    """Unit vectors of ``DIMENSIONS``, a row for each text; no features give zeros.
+def sums(texts: list[str]) -> np.ndarray:
+    """The added-up weights of each text's features, a row of ``DIMENSIONS`` for each.
 
     A word's own feature and letter runs make one sparse vector, computed once
     for each distinct word; pairs of neighbours are hashed side by side."""
@@ -52,6 +52,12 @@ def embed(texts: list[str]) -> np.ndarray:
             end = at + len(k) - 1
             row += counts @ vectors[which].astype(np.float64) + np.bincount(pair_at[at:end], pair[at:end], DIMENSIONS)
             at = end
+    return out
+
+
+def embed(texts: list[str]) -> np.ndarray:
+    """Unit vectors of ``DIMENSIONS``, a row for each text; no features give zeros."""
+    out = sums(texts)
     length = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, length, out=np.zeros_like(out), where=length > 0)
 
@@ -64,5 +70,13 @@ def builtin_embedding(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([v.astype(np.float32) for part in parts for v in part])
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def feature_sums(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The sums behind the vectors of a column of texts, in hundredths: whole numbers, as all weights are."""
+    for texts in batches:
+        parts = [np.rint(sums(texts.iloc[i : i + SLICE].fillna("").tolist()) * 100).astype(np.int64) for i in range(0, len(texts), SLICE)]
+        yield pd.Series([v for part in parts for v in part])
+
+
 def with_vectors(rows: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.withColumn("vector", builtin_embedding(F.col(text_col)))

@@ -374,6 +374,20 @@ def _sources(chunks: DataFrame) -> int:
     return 1 if ends.a == ends.b else 2
 
 
+def trace(found: Outcome, chunks: DataFrame) -> DataFrame:
+    """What was found and why, a row for each passage: its scores, a preview of 180 characters, whether it went into the
+    context, and the whole retrieval's figures: candidates before the cut, tokens used, and a word where nothing matched."""
+    rows = passages_of(chunks.select("chunk_id", "text", "heading"), found.rows.drop("heading"))
+    shown = rows.select("rank", "chunk_id", "source_id", "semantic", "keyword", "fused", "effective", "heading", T.preview(F.col("text"), 180).alias("preview"), F.lit(True).alias("in_context"))
+    used = found.rows.agg(F.coalesce(F.max("used_tokens"), F.lit(0)).alias("tokens_used"), F.count("*").alias("hits"))
+    said = F.when(F.col("hits") == 0, F.lit(NOTHING_MATCHED))
+    figures = used.select("tokens_used", F.lit(found.candidates()).alias("candidates"), F.concat_ws(" ", *[F.lit(n) for n in found.notices], said).alias("notes"))
+    return figures.join(shown, how="left")
+
+
+NOTHING_MATCHED = "No passage matched the question."
+
+
 def retrieve(chunks: DataFrame, vectors, query: str, query_vector=None, settings: Settings = Settings(), rerank=None, eligible: DataFrame | None = None, index=None) -> DataFrame:
     """The selected passages of ``search``."""
     return search(chunks, vectors, query, query_vector, settings, rerank, eligible, index).rows

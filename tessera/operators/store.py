@@ -23,6 +23,7 @@ import uuid
 from contextlib import contextmanager
 from collections.abc import Iterator
 
+from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -262,6 +263,25 @@ class Store:
             c.upsert(name, new, key, latest)
         return self.read(name)
 
+    def sql(self, query: str, args: dict | list | None = None) -> DataFrame:
+        """A query over the store's tables by their names, with named (``:x``) or positional (``?``) parameters.
+
+        It is parsed as a part of a query, so a statement that defines or changes something is refused before it runs.
+        Its tables are those of one manifest, under names of their own in the session while the query is analysed."""
+        _, manifest = self._manifest()
+        token, whole = f"s{uuid.uuid4().hex}", {}
+        for name, table in manifest["tables"].items():
+            self._rows(name, table).createOrReplaceTempView(f"{token}_{name}")
+            whole[name] = f"{name} AS (SELECT * FROM {token}_{name})"
+        try:
+            named = f"WITH {', '.join(whole.values())} " if whole else ""
+            return self.spark.sql(f"{named}SELECT * FROM (\n{query}\n)", args)
+        except ParseException as e:
+            raise ValueError(f"not a query: {query.strip()[:80]}") from e
+        finally:
+            for name in whole:
+                self.spark.catalog.dropTempView(f"{token}_{name}")
+
     def fold(self, *names: str, bucket_bytes: int = BUCKET_BYTES) -> None:
         """The changes of tables (of all but those that an index follows) written into the buckets they touch."""
         with self.change() as c:

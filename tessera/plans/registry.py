@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import library_queries, listing_queries, parse_queries, retrieval_queries, store_queries, stored_queries, text_queries
+from tessera.plans import gate_queries, library_queries, listing_queries, parse_queries, retrieval_queries, store_queries, stored_queries, text_queries
 
-_MODULES = (text_queries, retrieval_queries, store_queries, parse_queries, library_queries, listing_queries, stored_queries)
+_MODULES = (text_queries, retrieval_queries, store_queries, parse_queries, library_queries, listing_queries, stored_queries, gate_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

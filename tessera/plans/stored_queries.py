@@ -20,23 +20,27 @@ from tessera.plans import store_queries
 from tessera.plans.views import documents, lines, passages, vectors
 
 _made: dict[tuple[str, str, str], Store] = {}
+_folders: list[tuple[SparkSession, str]] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; on a cluster its parent has to be named."""
+    """A new folder that driver and executors share, deleted when the driver's Python ends; on a cluster its parent has to be named."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/tessera-library-{uuid.uuid4().hex}"
+    if not _folders:
+        atexit.register(_forget_all)
+    _folders.append((spark, f"{base.rstrip('/')}/tessera-library-{uuid.uuid4().hex}"))
+    return _folders[-1][1]
 
 
 def _forget_all() -> None:
-    for store in _made.values():
+    for spark, path in _folders:
         try:
-            fs, where = store._fs("")
-            fs.delete(where, True)
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # noqa: BLE001 - the session may have ended first
             return
 
@@ -46,8 +50,6 @@ def library(spark: SparkSession, sf_dir: str, purpose: str = "ask") -> Store:
     key = (spark.sparkContext.applicationId, sf_dir, purpose)
     if key not in _made:
         store = Store(spark, scratch(spark))
-        if not _made:
-            atexit.register(_forget_all)
         _made[key] = store
         rows = passages(spark, sf_dir).join(vectors(spark, sf_dir), "chunk_id", "left").withColumnRenamed("chunk_id", "id")
         # Every passage is a source of its own where one is to be replaced by itself.
@@ -99,7 +101,6 @@ def stored_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of ``upsert_sources`` through a store: changed ones and then new ones are put in, and read over the table."""
     old, changed = store_queries._library(spark, sf_dir)
     store = Store(spark, scratch(spark), buckets=8)
-    _made[(spark.sparkContext.applicationId, store.path, "upserts")] = store
     store.write("sources", old, "id")
     store.upsert("sources", changed)
     return store.upsert("sources", changed.withColumn("id", F.col("id") + 1_000_000_000))
@@ -111,7 +112,6 @@ def stored_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     parents = documents(spark, sf_dir).where("doc_id % 5 = 0").select(F.col("doc_id").alias("source_id"))
     new = parents.select(F.concat_ws(":", F.col("source_id"), F.lit("new")).alias("chunk_id"), "source_id", F.lit(0).cast("long").alias("n_chars"))
     store = Store(spark, scratch(spark), buckets=8)
-    _made[(spark.sparkContext.applicationId, store.path, "children")] = store
     store.write("chunks", rows, "source_id")
     with store.change() as c:
         c.replace("chunks", new, parents, "source_id", "chunk_id")

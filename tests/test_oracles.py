@@ -33,7 +33,7 @@ def test_query_matches_sql(spark, duck, sf, name):
 
 
 #: Held against brute force or golden values in test_parsers.
-PARSERS = {"sentences", "markdown_blocks", "chunks", "html_extract", "html_metadata", "builtin_embedding"}
+PARSERS = {"chunks", "html_extract", "html_metadata"}
 
 
 def test_every_other_query_has_sql():
