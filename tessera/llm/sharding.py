@@ -9,7 +9,10 @@ shuffled order, bucket by bucket, gives its shard (rank modulo the number of
 shards, so counts differ by one at most: the law ``rows``) and its slot there.
 
 The number of buckets follows the summed size, so a task never gathers more
-than about ``bucket_bytes`` whatever the size of the input.
+than about ``bucket_bytes`` at once whatever the size of the input. Beyond
+``TASKS`` buckets a task has several: its records are sorted by bucket, on disk
+where they need be, and gathered a bucket at a time, so neither the number of
+tasks nor a task's memory grows with the input.
 
 Cases: a null text has size 1 and the checksum of no bytes; empty and very long
 texts are records like any other; a null key is a key. Repeated rows are kept,
@@ -26,20 +29,26 @@ from pyspark.sql import functions as F
 from tessera.llm.common import few, stored, table
 
 SHARDS, SEED, BUCKET_BYTES = 8, 20_240_229, 32 << 20
+#: Tasks of the scatter, which the driver keeps the sizes of.
+TASKS = 20_000
 
 
 def size_of(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
-def external_shuffle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def external_shuffle(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, tasks: int = TASKS) -> DataFrame:
     """(bucket, place, doc_id, text): the records, shuffled within and over the buckets, written once."""
     records = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = records.agg(F.sum(size_of(F.col("text")))).first()[0] or 0
     buckets = max(1, math.ceil(total / bucket_bytes))
     drawn = records.withColumn("draw", F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), F.monotonically_increasing_id()))
-    scattered = drawn.withColumn("bucket", F.pmod(F.col("draw"), F.lit(buckets)).cast("int")).repartitionById(buckets, F.col("bucket"))
-    gathered = scattered.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("draw", "doc_id", "text"))).alias("all"))
+    tasks = min(tasks, buckets)
+    numbered = drawn.withColumn("bucket", F.pmod(F.col("draw"), F.lit(buckets)).cast("int")).withColumn("task", F.col("bucket") % tasks)
+    scattered = numbered.repartitionById(tasks, F.col("task"))
+    # Sorted where there are many to a task: aggregation then holds one bucket at a time.
+    scattered = scattered.sortWithinPartitions("task", "bucket") if tasks < buckets else scattered
+    gathered = scattered.groupBy("task", "bucket").agg(F.sort_array(F.collect_list(F.struct("draw", "doc_id", "text"))).alias("all"))
     dealt = gathered.select("bucket", F.posexplode(F.shuffle("all", seed)).alias("place", "row"))
     return stored(dealt.select("bucket", F.col("place").cast("long").alias("place"), "row.doc_id", "row.text"))
 

@@ -50,3 +50,11 @@ def test_empty_and_written(docs, spark, tmp_path):
     write_shards(with_shards(external_shuffle(docs(["a", "b", "c"])), 2), f"{tmp_path}/out")
     back = spark.read.parquet(f"{tmp_path}/out")
     assert sorted((r.shard, r.slot) for r in back.collect()) == [(0, 0), (0, 1), (1, 0)]
+
+
+def test_more_buckets_than_tasks(docs):
+    """The same records in the same buckets, in an order that the layout's seeds give each time."""
+    df = docs([f"t{i}" * (i % 7) for i in range(400)])
+    one, few, again = (sorted((r.bucket, r.place, r.doc_id) for r in external_shuffle(df, bucket_bytes=200, tasks=n).collect()) for n in (99, 3, 3))
+    assert few == again and sorted((b, d) for b, _, d in one) == sorted((b, d) for b, _, d in few) and len({b for b, *_ in one}) > 20
+    laws(with_shards(external_shuffle(df, bucket_bytes=40, tasks=3)).collect())
