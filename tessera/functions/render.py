@@ -34,6 +34,17 @@ def file_name(name: Column) -> Column:
     return F.when(cleaned == "", F.lit("untitled")).otherwise(F.left(cleaned, F.lit(80)))
 
 
+def counted(n: Column, name: str) -> Column:
+    """A number with its word, which is plural but for one."""
+    return F.concat(F.format_number(n, 0), F.lit(f" {name}"), F.when(n == 1, F.lit("")).otherwise("s"))
+
+
+def subtitle(kind: Column, site: Column, pages: Column, words: Column) -> Column:
+    """A source's second line: its kind, its site where there is one, and its pages or else its words."""
+    size = F.when(pages > 0, counted(pages, "page")).when(words > 0, counted(words, "word"))
+    return F.concat_ws(" · ", kind, F.nullif(site, F.lit("")), size)
+
+
 def file_name_with_id(name: Column, ident: Column) -> Column:
     """A file name that ends in an id, which is never cut, so that no two rows share one."""
     end = F.concat(F.lit("-"), F.regexp_replace(ident, '[/\\\\:*?"<>|]', "-"))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import gates
+from tessera.functions import gates, render
 from tessera.functions import sql as S
 from tessera.operators import retrieval as R
 from tessera.operators.events import EventLog
 from tessera.plans import retrieval_queries as Q
 from tessera.plans.stored_queries import library, scratch
-from tessera.plans.views import PASSAGES_SQL, pages, passages, table, vectors
+from tessera.plans.views import PASSAGES_SQL, SOURCES_SQL, pages, passages, sources, table, vectors
 from tessera.sources import robots
 
 
@@ -48,6 +48,14 @@ def robots_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STORE_SQL = "SELECT source_id, count(*) AS passages, max(token_count) AS longest FROM chunks WHERE token_count > :least GROUP BY source_id"
 
 
+def source_subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second line of every source: some have pages, some no site, some neither pages nor words."""
+    s, k = sources(spark, sf_dir), F.col("doc_id")
+    site = F.when(k % 4 == 0, F.lit("")).when(k % 4 != 1, F.col("site"))
+    pages_ = F.when(k % 3 == 0, F.col("chunk_count"))
+    return s.select("doc_id", render.subtitle(F.col("notebook"), site, pages_, F.when(k % 5 == 0, 0).otherwise(F.col("words"))).alias("subtitle"))
+
+
 def store_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query with a named parameter over the tables of a store."""
     return library(spark, sf_dir).sql(_STORE_SQL, {"least": 40})
@@ -70,7 +78,7 @@ def retrieval_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("rank", "chunk_id", F.round("effective", 6).alias("effective"), "preview", F.col("tokens_used").cast("long").alias("tokens_used"), F.col("candidates").cast("long").alias("candidates"), "notes")
 
 
-QUERIES = {f.__name__: f for f in (provider_gates, page_failures, robots_origins, store_sql, event_tail, retrieval_trace)}
+QUERIES = {f.__name__: f for f in (provider_gates, page_failures, robots_origins, source_subtitles, store_sql, event_tail, retrieval_trace)}
 
 
 def _gates_sql() -> str:
@@ -90,6 +98,8 @@ SQL = {
         r(port, rule, allow, regex) AS (VALUES (0, '/en/', false, '^/en/'), (0, '/en/1', true, '^/en/1'), (1, '/*7$', false, '^/.*7$'), (1, '/e(n', false, '^/e\(n')),
         h AS (SELECT page_id, max({'n': length(rule), 'allow': allow, 'rule': rule}) AS b FROM p JOIN r ON p.port = r.port AND regexp_matches(CASE path WHEN '' THEN '/' ELSE path END, regex) GROUP BY page_id)
         SELECT p.page_id, coalesce(b.allow, true) AS allowed, b.rule AS rule FROM p LEFT JOIN h ON p.page_id = h.page_id""",
+    "source_subtitles": f"""WITH {SOURCES_SQL}, c AS (SELECT doc_id, notebook, CASE WHEN doc_id % 4 > 1 THEN site END AS home, CASE WHEN doc_id % 3 = 0 THEN chunk_count ELSE 0 END AS p, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE words END AS w FROM sources)
+        SELECT doc_id, concat_ws(' · ', notebook, home, CASE WHEN p > 0 THEN format('{{:,}}', p) || CASE p WHEN 1 THEN ' page' ELSE ' pages' END WHEN w > 0 THEN format('{{:,}}', w) || CASE w WHEN 1 THEN ' word' ELSE ' words' END END) AS subtitle FROM c""",
     "store_sql": f"WITH {PASSAGES_SQL} {_STORE_SQL.replace('chunks', 'passages').replace(':least', '40')}",
     "event_tail": """SELECT event_id AS number, CASE WHEN event_id % 5 = 0 THEN 'error' ELSE 'info' END AS level, 'event ' || event_id AS message FROM events WHERE event_id % 5 < 3 ORDER BY event_id DESC LIMIT 400""",
     "retrieval_trace": _TRACED + f""" SELECT k.rank, k.chunk_id, round(k.effective, 6) AS effective, {S.preview("text", 180)} AS preview, (SELECT max(used_tokens) FROM picked)::BIGINT AS tokens_used, (SELECT count(*) FROM rrf)::BIGINT AS candidates, '' AS notes
