@@ -14,7 +14,9 @@ associatively into the best sums at each boundary; with these, each chunk maps
 its right states to left ones, the boundary states follow from the maps, and
 each chunk is backtraced by itself between its two states. Where a chunk begins at a space
 that no piece reaches across, its only state is 0 and the matrix is a single
-number; long texts without such places get full matrices.
+number. Where no such place is in reach, small chunks have full matrices, all made
+side by side, a depth of every chunk in each step, with the states that begin a
+character alone.
 
 Texts over ``CHUNK`` bytes are scanned so; a shorter one is a chunk by itself, whose
 path is found directly. Chunks of giant documents become rows and are dealt to
@@ -41,6 +43,8 @@ from tessera.llm.common import bounded, in_batches, stored, table
 from tessera.llm.packing import spread
 
 CHUNK, GIANT, GROUP = 1 << 12, 1 << 16, 1 << 18
+#: Bytes of a chunk inside a stretch that no safe place cuts.
+SMALL = 384
 SPACE = "▁".encode()
 #: What an unknown character costs beyond the lowest score, as in unigram models.
 UNKNOWN_COST = 10.0
@@ -200,50 +204,68 @@ def is_safe(raw: bytes, at: int) -> bool:
     return at == 0 or at == len(raw) or (raw.startswith(SPACE, at) and raw[max(0, at - 3) : at] != SPACE)
 
 
-class Forward:
-    """Best sums over a span of bytes, worked off by the byte where arcs end.
-
-    The bytes before ``lead`` are what goes before the chunk, for the pieces that
-    reach into it. ``enter`` has a row of sums for each column, by the left state:
-    its node is that many bytes before the chunk."""
-
-    def __init__(self, lattice: Lattice, data: bytes, lead: int, enter: np.ndarray):
-        self.lattice, self.n, self.lead = lattice, len(data), lead
-        self.raw = raw = np.frombuffer(data, np.uint8)
-        s, e, p, w = lattice.arcs(raw, np.full(len(raw), len(raw)))
-        keep = e > lead
-        order = np.lexsort((s[keep], e[keep]))
-        self.s, self.e, self.p, self.w = (x[keep][order] for x in (s, e, p, w))
-        columns = np.arange(len(enter))
-        self.best = np.full((self.n + 1, len(enter)), LOW)
-        self.via = np.full((self.n + 1, len(enter)), -1, np.int64)
-        self.best[: lead + 1] = enter[:, lead::-1].T
-        cuts = np.searchsorted(self.e, np.arange(self.n + 2)).tolist()
-        for end in range(lead + 1, self.n + 1):
-            a, b = cuts[end], cuts[end + 1]
-            if a < b:
-                sums = self.best[self.s[a:b]] + self.w[a:b, None]
-                top = sums.argmax(0)
-                value = sums[top, columns]
-                self.best[end] = np.where(value > LOW / 2, value, LOW)
-                self.via[end] = np.where(value > LOW / 2, a + top, -1)
-
-    def transfer(self, states: int) -> np.ndarray:
-        """(column, right state): the sum up to the node that is ``state`` bytes before the end."""
-        out = np.full((self.best.shape[1], states), LOW)
-        reach = min(states, self.n + 1)
-        out[:, :reach] = self.best[self.n - np.arange(reach)].T
+class Abreast:
+    """Best sums over many chunks at once, a depth of all of them in each step.
+
+    A chunk is (bytes, lead): the bytes before ``lead`` are what goes before it, for the pieces that reach into it, and
+    begin with a character. ``enters`` has for each chunk a row of sums for each column, by the left state: its node is
+    that many bytes before the chunk. Of equal sums the longest last piece is kept."""
+
+    def __init__(self, lattice: Lattice, chunks: list[tuple[bytes, int]], enters: list[np.ndarray], trace: bool):
+        self.lattice = lattice
+        self.size, self.lead = np.array([len(d) for d, _ in chunks]), np.array([x for _, x in chunks])
+        self.first = np.cumsum(self.size) - self.size
+        self.raw = np.frombuffer(b"".join(d for d, _ in chunks), np.uint8)
+        owner = np.repeat(np.arange(len(chunks)), self.size)
+        s, e, p, w = lattice.arcs(self.raw, (self.first + self.size)[owner])
+        c = owner[s]
+        # A chunk has a node more than bytes, so nodes are shifted by its number.
+        depth = e - self.first[c]
+        keep = depth > self.lead[c]
+        order = np.lexsort((s[keep], e[keep], depth[keep]))
+        self.s, self.p, w, c, depth = (x[keep][order] for x in (s, p, w, c, depth))
+        self.e = e[keep][order]
+        start, end = self.s + c, self.e + c
+        ends = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]])) if len(end) else np.zeros(0, np.int64)
+        self.best = np.full((int(self.size.sum()) + len(chunks), max(len(x) for x in enters)), LOW)
+        self.via = np.full(len(self.best), -1) if trace else None
+        for i, enter in enumerate(enters):
+            at = self.first[i] + i + self.lead[i]
+            self.best[at - np.arange(enter.shape[1]), : len(enter)] = enter.T
+        steps = np.flatnonzero(np.concatenate([[True], depth[1:] != depth[:-1], [True]])) if len(depth) else np.zeros(1, np.int64)
+        bounds, weight = np.searchsorted(ends, steps).tolist(), w[:, None]
+        for k, (a, b) in enumerate(zip(steps.tolist(), steps[1:].tolist(), strict=False)):
+            cuts = ends[bounds[k] : bounds[k + 1]]
+            sums = self.best[start[a:b]] + weight[a:b]
+            top = np.maximum.reduceat(sums, cuts - a, axis=0)
+            ok = top > LOW / 2
+            here = end[cuts]
+            self.best[here] = np.where(ok, top, LOW)
+            if trace:
+                # The first arc of those that give the best sum is the longest.
+                which = np.where(sums[:, 0] == np.repeat(top[:, 0], np.diff(np.append(cuts, b))), np.arange(a, b), b)
+                self.via[here] = np.where(ok[:, 0], np.minimum.reduceat(which, cuts - a), -1)
+
+    def transfer(self, i: int, states: int) -> np.ndarray:
+        """(column, right state) of a chunk: the sum up to the node that is ``state`` bytes before its end."""
+        out, reach = np.full((self.best.shape[1], states), LOW), min(states, int(self.size[i]) + 1)
+        out[:, :reach] = self.best[self.first[i] + i + self.size[i] - np.arange(reach)].T
         return out
 
-    def trace(self, state: int) -> tuple[list[int], int]:
-        """Ids of the first column's path from the right state back to a left one, and that one."""
-        at, out = self.n - state, []
-        while at > self.lead:
-            k = int(self.via[at, 0])
+    def trace(self, i: int, state: int) -> tuple[list[int], int]:
+        """Ids of a chunk's path from a right state back to a left one, and that one; -1 where there is no path."""
+        first, lead, at, out = int(self.first[i]), int(self.lead[i]), int(self.size[i]) - state, []
+        if at < 0 or self.best[first + i + at, 0] <= LOW / 2:
+            return [], -1
+        while at > lead:
+            k = int(self.via[first + i + at])
             piece = int(self.p[k])
-            out += [piece] if piece >= 0 else self.lattice.byte_id[self.raw[self.s[k] : self.e[k]]].tolist()[::-1]
-            at = int(self.s[k])
-        return out[::-1], self.lead - at
+            if piece >= 0:
+                out.append(piece)
+            else:
+                out += self.lattice.byte_id[self.raw[self.s[k] : self.e[k]]].tolist()[::-1]
+            at = int(self.s[k]) - first
+        return out[::-1], lead - at
 
 
 def plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -404,11 +426,11 @@ def encode_span(words: Words, raw: bytes, chunk: int = CHUNK) -> np.ndarray:
         out.append(words.ids(short)[0])
         short = []
         if part:
-            out.append(np.array(scan_encode(words.lattice, part, chunk), np.uint32))
+            out.append(np.array(scan_encode(words.lattice, part, min(chunk, SMALL)), np.uint32))
     return np.concatenate(out)
 
 
-def scan_encode(lattice: Lattice, raw: bytes, chunk: int = CHUNK) -> list[int]:
+def scan_encode(lattice: Lattice, raw: bytes, chunk: int | None = None) -> list[int]:
     """The scan over the chunks of one stretch, in this process."""
     return Segment(lattice, raw, 0, True, True, chunk).ids(_start(lattice), 0)
 
@@ -420,58 +442,88 @@ def _start(lattice: Lattice) -> np.ndarray:
 
 
 class Segment:
-    """A run of chunks: ``lead`` bytes of ``raw`` go before it; left, right: whether its ends are safe."""
+    """A stretch of chunks: ``lead`` bytes of ``raw`` go before it; left, right: whether its ends are safe.
+
+    All its chunks' matrices are made side by side, with a column for each left state that begins a character."""
 
-    def __init__(self, lattice: Lattice, raw: bytes, lead: int, left: bool, right: bool, chunk: int = CHUNK):
+    def __init__(self, lattice: Lattice, raw: bytes, lead: int, left: bool, right: bool, chunk: int | None = None):
         self.lattice, self.raw = lattice, raw
-        begins = [lead + b for b in cut(raw[lead:], chunk)]
-        self.chunks = []
+        begins = [lead + b for b in cut(raw[lead:], chunk or SMALL)]
+        self.chunks, self.leads, self.safe = [], [], []
         for i, a in enumerate(begins):
             b = begins[i + 1] if i + 1 < len(begins) else len(raw)
             before = 0 if (left if i == 0 else is_safe(raw, a)) else min(a, lattice.states - 1)
-            self.chunks.append((a - before, b, before, right if b == len(raw) else is_safe(raw, b)))
-
-    def _forward(self, i: int, enter: np.ndarray) -> Forward:
-        a, b, lead, _ = self.chunks[i]
-        return Forward(self.lattice, self.raw[a:b], lead, enter)
+            while before and raw[a - before] & 0xC0 == 0x80:
+                before -= 1
+            self.chunks.append((raw[a - before : b], before))
+            self.safe.append(right if b == len(raw) else is_safe(raw, b))
+        self._made: list[np.ndarray] | None = None
 
     def matrices(self) -> list[np.ndarray]:
         """Each chunk's max-plus matrix (left state, right state)."""
-        states, out = self.lattice.states, []
-        for i, (_, _, lead, safe) in enumerate(self.chunks):
-            alone = np.full((lead + 1, states), LOW)
-            np.fill_diagonal(alone, 0.0)
-            matrix = np.full((states, states), LOW)
-            matrix[: lead + 1] = self._forward(i, alone).transfer(states)
-            if safe:
-                matrix[:, 1:] = LOW
-            out.append(matrix)
-        return out
-
-    def _entries(self, enter: np.ndarray) -> list[np.ndarray]:
-        """The sums into each chunk's left states, from the segment's own."""
-        ahead = scan(self.matrices())
-        return [enter, *(np.maximum((enter[:, None] + m).max(0), LOW) for m in ahead[:-1])]
+        if self._made is None:
+            states, self._made = self.lattice.states, []
+            lefts = [[k for k in range(lead + 1) if k == 0 or data[lead - k] & 0xC0 != 0x80] for data, lead in self.chunks]
+            enters = []
+            for (_, lead), some in zip(self.chunks, lefts, strict=True):
+                enter = np.full((len(some), lead + 1), LOW)
+                enter[np.arange(len(some)), some] = 0.0
+                enters.append(enter)
+            for at, to in self._groups([len(x) for x in lefts]):
+                run = Abreast(self.lattice, self.chunks[at:to], enters[at:to], False)
+                for i in range(at, to):
+                    matrix = np.full((states, states), LOW)
+                    matrix[lefts[i]] = run.transfer(i - at, states)[: len(lefts[i])]
+                    if self.safe[i]:
+                        matrix[:, 1:] = LOW
+                    self._made.append(matrix)
+        return self._made
+
+    def _groups(self, columns: list[int]) -> Iterator[tuple[int, int]]:
+        """Runs of chunks whose nodes have about ``GROUP`` sums for all columns, one chunk at least."""
+        at = size = 0
+        for i, ((data, _), n) in enumerate(zip(self.chunks, columns, strict=True)):
+            if i > at and size + len(data) * n > 8 * GROUP:
+                yield at, i
+                at, size = i, 0
+            size += len(data) * n
+        yield at, len(self.chunks)
+
+    def matrix(self) -> np.ndarray:
+        """The whole segment's, as a tree of products."""
+        level = self.matrices()
+        while len(level) > 1:
+            level = [plus(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        return level[0]
+
+    def _runs(self, enter: np.ndarray) -> list[tuple[int, Abreast]]:
+        """The chunks' best paths, once the sums into each are known from the matrices."""
+        into = [enter]
+        for m in self.matrices()[:-1]:
+            into.append(np.maximum((into[-1][:, None] + m).max(0), LOW))
+        enters = [x[None, : lead + 1] for x, (_, lead) in zip(into, self.chunks, strict=True)]
+        return [(at, Abreast(self.lattice, self.chunks[at:to], enters[at:to], True)) for at, to in self._groups([1] * len(self.chunks))]
+
+    def solve(self, enter: np.ndarray, state: int) -> tuple[list[int], int]:
+        """Ids of the path that leaves in ``state``, of equal sums the longest last piece and so on back, and its left state."""
+        out = []
+        for at, run in reversed(self._runs(enter)):
+            for i in range(len(run.size) - 1, -1, -1):
+                ids, state = run.trace(i, state)
+                out.append(ids)
+        return [j for ids in reversed(out) for j in ids], state
 
     def ids(self, enter: np.ndarray, state: int) -> list[int]:
-        """Ids of the path that leaves in ``state``: of equal sums the longest last piece, and so on back."""
-        out = []
-        for i, sums in reversed(list(enumerate(self._entries(enter)))):
-            ids, state = self._forward(i, sums[None]).trace(state)
-            out.append(ids)
-        return [j for ids in reversed(out) for j in ids]
+        return self.solve(enter, state)[0]
 
     def lefts(self, enter: np.ndarray, rights: list[int]) -> list[int]:
-        """The left state of the best path to each right state, -1 where there is none."""
-        works = [self._forward(i, sums[None]) for i, sums in enumerate(self._entries(enter))]
-        out = []
-        for state in rights:
-            for w in reversed(works):
-                if state >= 0:
-                    at = w.n - state
-                    state = w.trace(state)[1] if at >= 0 and w.best[at, 0] > LOW / 2 else -1
-            out.append(state)
-        return out
+        """The left state of the best path to each right state, -1 where there is none. Paths soon meet, so each is followed once."""
+        now = {r: r for r in rights}
+        for _, run in reversed(self._runs(enter)):
+            for i in range(len(run.size) - 1, -1, -1):
+                known = {r: run.trace(i, r)[1] if r >= 0 else -1 for r in set(now.values())}
+                now = {r: known[x] for r, x in now.items()}
+        return [now[r] for r in rights]
 
 
 def decode_ids(lattice: Lattice, ids: list[int]) -> str:
@@ -487,8 +539,9 @@ def worker_words(path: str) -> Words:
 
 
 def _chunks(lattice: Lattice, raw: bytes, chunk: int) -> list[dict]:
-    """The chunks of one normalised text, with the stretches of those whose ends are safe."""
-    begins, out = cut(raw, chunk), []
+    """The chunks of one normalised text, with the stretches of those whose ends are safe; where no safe place is in
+    reach, chunks are one row, which has chunks of its own."""
+    begins, out = [a for a in cut(raw, chunk) if is_safe(raw, a)], []
     for a, b in zip(begins, [*begins[1:], len(raw)], strict=True):
         left, right = is_safe(raw, a), is_safe(raw, b)
         lead = 0 if left else min(a, lattice.states - 1)
@@ -511,7 +564,8 @@ def scan_texts(words: Words, raws: list[bytes], chunk: int = CHUNK) -> list[tupl
     every = words.flat[spread(words.start[at], words.length[at])]
     out, n = [], 0
     for rows in texts:
-        ahead = scan([np.array([[sums[n + i]]]) if r["parts"] else small_matrix(words, r) for i, r in enumerate(rows)])
+        segments = {i: Segment(words.lattice, r["raw"], r["lead"], r["safe_left"], r["safe_right"], min(chunk, SMALL)) for i, r in enumerate(rows) if not r["parts"]}
+        ahead = scan([_trimmed(segments[i].matrix(), r) if i in segments else np.array([[sums[n + i]]]) for i, r in enumerate(rows)])
         state, ids = 0, []
         for i in range(len(rows) - 1, -1, -1):
             r = rows[i]
@@ -523,8 +577,8 @@ def scan_texts(words: Words, raws: list[bytes], chunk: int = CHUNK) -> list[tupl
             if i:
                 enter[:] = LOW
                 enter[: ahead[i - 1].shape[1]] = ahead[i - 1][0]
-            ids.append(segment_ids(words, r | {"enter": enter.astype("<f8").tobytes(), "state_out": state}))
-            state = 0 if r["safe_left"] else Segment(words.lattice, r["raw"], r["lead"], False, r["safe_right"]).lefts(enter, [state])[0]
+            found, state = segments[i].solve(enter, state)
+            ids.append(np.array(found, np.uint32))
         out.append((np.concatenate(ids[::-1]), float(ahead[-1][0, 0])))
         n += len(rows)
     return out
@@ -536,7 +590,10 @@ def scan_text(words: Words, raw: bytes, chunk: int = CHUNK) -> tuple[np.ndarray,
 
 def small_matrix(words: Words, r: dict) -> np.ndarray:
     """A segment's matrix without the states that a safe end doesn't have."""
-    m = segment_matrix(words, r["raw"], r["lead"], r["safe_left"], r["safe_right"])
+    return _trimmed(segment_matrix(words, r["raw"], r["lead"], r["safe_left"], r["safe_right"]), r)
+
+
+def _trimmed(m: np.ndarray, r: dict) -> np.ndarray:
     return m[: 1 if r["safe_left"] else None, : 1 if r["safe_right"] else None]
 
 
@@ -560,12 +617,12 @@ def segment_matrix(words: Words, raw: bytes, lead: int, left: bool, right: bool)
     """A segment's matrix; one with safe ends adds up its stretches' sums."""
     lattice = words.lattice
     if not (left and right):
-        return scan(Segment(lattice, raw, lead, left, right).matrices())[-1]
+        return Segment(lattice, raw, lead, left, right).matrix()
     parts = safe_split(raw[lead:])
     out = np.full((lattice.states, lattice.states), LOW)
     at = words.at([p for p in parts if len(p) <= CHUNK])
     out[0, 0] = words.score[at].sum()
-    out[0, 0] += sum(scan(Segment(lattice, p, 0, True, True).matrices())[-1][0, 0] for p in parts if len(p) > CHUNK)
+    out[0, 0] += sum(Segment(lattice, p, 0, True, True).matrix()[0, 0] for p in parts if len(p) > CHUNK)
     return out
 
 

@@ -149,3 +149,24 @@ def test_models_with_spaces_inside_pieces_are_refused(monkeypatch):
     monkeypatch.setattr(S, "_model", lambda path: model)
     with pytest.raises(ValueError, match="space"):
         S.Lattice(PATH)
+
+
+def test_long_texts_without_spaces(spark):
+    """Random and common ideographs, letters and unknown characters, within a task and as giants: the best path's ids."""
+    import random
+
+    rnd = random.Random(8)
+    kinds = {1: "的一是不了在人有我他这个们中来上大为和国", 2: "".join(chr(c) for c in range(0x4E00, 0x9FA5, 7)), 3: "abcdefghij/0123456789", 4: "日🙂\x01é長"}
+    texts = {i: "".join(rnd.choice(k) for _ in range(n)) for i, (k, n) in enumerate([(kinds[1], 12_000), (kinds[2], 8_000), (kinds[3], 30_000), (kinds[4], 3_000), (kinds[2], 1_500)])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in S.encode(df, PATH, giant=20_000).collect()}
+    for i, t in texts.items():
+        assert got[i] == best(LATTICE.normalise(t))[1], i
+    assert {r.doc_id: r.text for r in S.decode(S.encode(df, PATH), PATH).collect()} == texts
+
+
+def test_matrix_of_a_segment_is_the_product_of_its_chunks():
+    raw = ("中来上大为和国日" * 40 + "abc" * 50).encode()
+    segment = S.Segment(LATTICE, raw, 0, True, True, 64)
+    parts = segment.matrices()
+    assert len(parts) > 10 and np.allclose(segment.matrix(), S.scan(parts)[-1]) and abs(segment.matrix()[0, 0] - best(raw)[0]) < 1e-6
