@@ -123,11 +123,17 @@ def stored_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (stored_bm25, stored_scores, stored_fusion, stored_retrieve, stored_replace, stored_upserts, stored_children)}
 
+
+def _owned(sql: str) -> str:
+    """The same over the vectors that a passage has: a store keeps no others."""
+    return sql.replace("FROM embeddings, probe)", "FROM embeddings JOIN documents ON vec_id = doc_id, probe)")
+
+
 SQL = {
     "stored_bm25": Q._BASE + ", top AS (SELECT chunk_id, keyword, row_number() OVER (ORDER BY keyword DESC, chunk_id)::INT AS rank FROM bm) SELECT chunk_id, round(keyword, 6) AS score, rank FROM top WHERE rank <= 20",
     "stored_scores": Q.SQL["bm25_all"],
-    "stored_fusion": Q.SQL["rrf_fusion"],
-    "stored_retrieve": Q.SQL["hybrid_retrieve"],
+    "stored_fusion": _owned(Q.SQL["rrf_fusion"]),
+    "stored_retrieve": _owned(Q.SQL["hybrid_retrieve"]),
     "stored_replace": Q.SQL["index_replace"],
     "stored_upserts": store_queries.SQL["upsert_sources"],
     "stored_children": store_queries.SQL["replace_chunks"],
