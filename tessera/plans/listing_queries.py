@@ -252,7 +252,11 @@ SQL = {
         SELECT event_id, {_case(_MESSAGES, "failure")} AS message, {_case(_RECOVERIES, "failure")} AS recovery FROM f WHERE failure IS NOT NULL""",
     "approvals": """WITH o AS (SELECT o_orderkey, range(0, o_orderkey % 4 + 1) AS a, o_orderkey % 6 AS n FROM orders)
         SELECT o_orderkey, array_to_string(CASE WHEN list_contains(a, n) THEN a ELSE list_append(a, n) END, ',') AS with_it, array_to_string(list_filter(a, lambda x: x <> n), ',') AS without_it, o_orderkey % 5 = 0 OR list_contains(a, n) AS may_send FROM o""",
-    "settings_changed": "SELECT * FROM (VALUES ('none', false), ('value', true), ('another setting', false), ('gone', true)) t(change, reindex) WHERE (SELECT count(*) FROM region WHERE r_name = 'ASIA') = 1",
+    "settings_changed": f"""WITH old AS (SELECT {S.texts(ingest.INDEX_SETTINGS)}[r_regionkey % {len(ingest.INDEX_SETTINGS)} + 1] AS name, r_name AS value FROM region),
+        new AS (SELECT c AS change, name, CASE WHEN c = 'value' AND value = 'ASIA' THEN 'other' ELSE value END AS value FROM old, (VALUES ('none'), ('value'), ('another setting'), ('gone')) t(c) WHERE c <> 'gone' OR value <> 'ASIA'
+          UNION ALL SELECT 'another setting', 'theme', 'dark')
+        SELECT d.change, EXISTS (SELECT name, value FROM old EXCEPT SELECT name, value FROM new n WHERE n.change = d.change) OR EXISTS (SELECT name, value FROM new n WHERE n.change = d.change AND list_contains({S.texts(ingest.INDEX_SETTINGS)}, name) EXCEPT SELECT name, value FROM old) AS reindex
+        FROM (SELECT DISTINCT change FROM new) d""",
     "known_sources": f"""{text_queries.KEYED}, known AS (SELECT key, min(page_id) AS id FROM keyed WHERE page_id % 2 = 0 GROUP BY key) SELECT page_id, id AS known_id FROM keyed LEFT JOIN known ON keyed.key = known.key""",
     "reply_values": "SELECT doc_id, md5(text) AS local_md5, md5(text) AS completions_md5, md5(text || ' end') AS messages_md5, doc_id AS local_asked, doc_id + 1 AS local_said, doc_id AS completions_asked, doc_id + 1 AS completions_said, doc_id AS messages_asked, doc_id + 1 AS messages_said FROM documents",
     "model_listing": "SELECT p_brand, string_agg(p_name || ':' || p_partkey, '|' ORDER BY p_name || ':' || p_partkey) AS tags, string_agg(p_name || ':' || p_partkey, '|' ORDER BY p_name || ':' || p_partkey) AS list FROM part GROUP BY p_brand",
