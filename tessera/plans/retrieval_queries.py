@@ -129,7 +129,7 @@ def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both channels, fusion, rerank, cap, floor and budget in one plan."""
+    """Both channels, fusion, rerank, cap, floor and budget: a few jobs that end in short lists, then one over these."""
     question = " ".join(TERMS)
     out = R.retrieve(passages(spark, sf_dir), vectors(spark, sf_dir), question, _probe(spark, sf_dir), R.Settings(budget=12_000), lambda c: c.withColumn("effective", F.round(R.lexical_score(question, F.col("text"), F.col("heading"), F.col("token_count"), F.col("fused")), 9)))
     return out.select("chunk_id", "source_id", F.round("fused", 6).alias("fused"), F.round("effective", 6).alias("effective"), "rank", F.col("used_tokens").cast("long").alias("used_tokens"))
