@@ -20,7 +20,8 @@ is one group already; only the rest is held against all parts. So a group of
 near copies, however large, costs what its rows cost, and only rows of many
 unlike texts under one key cost the product of their parts.
 
-Cases: null and empty texts are one group. Rows that share a doc_id are one
+Cases: null and empty texts are one group. Very long texts are compared whole,
+with all their shingles. Rows that share a doc_id are one
 document, of which one row stays: that with the least hash of its text, and of
 all columns then. Rows without an id are compared to none and all stay. Ties
 go to the least doc_id. Other columns are kept, whatever their names. An empty

@@ -7,7 +7,8 @@ and none is padded, as every length is a power of two. Pieces of equal length
 form a bucket, from which a trainer draws batches of one shape.
 
 Cases: a null or empty text has the end id alone, one piece of length 1.
-Repeated rows are packed once each. Any other columns are ignored, whatever
+Very long texts are cut into ids whole, a batch by themselves. Repeated rows
+are packed once each. Any other columns are ignored, whatever
 their names. An empty table gives no rows."""
 
 from __future__ import annotations

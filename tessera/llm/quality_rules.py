@@ -12,6 +12,7 @@ Windows are compared by a 64-bit hash of their words' 64-bit hashes.
 
 Cases: a null or empty text has no words and fails the base rule. Lines
 without a word are dropped at no loss. Repeated rows are judged once each.
+Very long texts are judged whole, all their lines in one row.
 Other columns are kept by ``clean`` and ignored by ``measure``; helper columns
 exist only inside. An empty table gives no rows."""
 

@@ -13,6 +13,8 @@ a block's groups leave it, never all pairs.
 
 Cases: a null text, or one without words, has fingerprint zero and is linked
 like any other. Texts of fewer words than a shingle hash the whole sequence.
+Very long texts are hashed whole; their shingles' hashes, 8 bytes each and about
+30 times the text in passing, are in memory at once.
 Equal texts and repeated rows share a fingerprint and so a component. Other
 columns are ignored, whatever their names. An empty table gives no rows."""
 
