@@ -77,17 +77,15 @@ def store_batch(store: Store, sources: DataFrame, chunking: passages.Chunking =
 
 
 def put_postings(c: Change, passages_: DataFrame, sources: DataFrame) -> None:
-    """The postings of sources (source_id) replaced by those of their passages (id, source_id, text)."""
-    c.replace("postings", keyword_index.postings(passages_.withColumnRenamed("id", "chunk_id")), sources, "source_id", None, sort=("term",))
+    """The packed postings of sources (source_id) replaced by those of their passages (id, source_id, text), which lie by source_id already where they are a table's."""
+    c.replace("postings", keyword_index.packed(passages_.withColumnRenamed("id", "chunk_id")), sources, "source_id", None, dealt=True)
 
 
 def store_passages(store: Store, passages_: DataFrame, batch: tuple[str, int] | None = None) -> None:
     """Ready-made passages (id, source_id, text and more) in place of all that their sources had, as one change."""
     with store.change(batch) as c:
-        new = c.stage(passages_)
-        ids = new.select("source_id").distinct()
-        c.replace("chunks", new, ids, "source_id", "id")
-        put_postings(c, new, ids)
+        new = c.replace("chunks", passages_, None, "source_id", "id")
+        put_postings(c, new, new.select("source_id"))
 
 
 def build_index(store: Store) -> None:
@@ -99,7 +97,6 @@ def build_index(store: Store) -> None:
         rows = c.read("postings")
         whole = keyword_index.totals(rows).first()
         c.write("posting_blocks", keyword_index.blocks(rows, whole.n, whole.words))
-        c.write("posting_terms", keyword_index.frequencies(rows))
         c.write("posting_totals", store.spark.createDataFrame([(whole.n, whole.words)], "n long, words long"))
         c.follow("postings")
         if "vector" in c.read("chunks").columns:
@@ -118,10 +115,10 @@ def _vectors(chunks: DataFrame) -> DataFrame:
 def index_of(store: Store) -> keyword_index.Index | keyword_index.BlockIndex:
     """The store's keyword index, for ``retrieval.search``: blocks where they were made, else its postings."""
     if not store.has("posting_blocks"):
-        rows = store.read("postings")
+        rows = keyword_index.unpacked(store.read("postings"))
         return keyword_index.Index(rows, keyword_index.statistics(rows.withColumn("bucket", F.lit(0))))
     put, gone = store.since("postings")
-    return keyword_index.BlockIndex(store.read("posting_blocks"), store.read("posting_terms"), store.read("posting_totals"), store.base("postings"), put, gone)
+    return keyword_index.BlockIndex(store.read("posting_blocks"), store.read("posting_totals"), store.base("postings"), None if put is None else keyword_index.unpacked(put), gone)
 
 
 def vectors_of(store: Store) -> DataFrame | vector_index.VectorIndex:

@@ -1,13 +1,13 @@
 """A stored keyword index: the postings of each term, in blocks that say how high they can score.
 
-``postings(source_id, chunk_id, term, tf, dl)`` has a row for each term of a
-passage, and one with the empty term, so that passages without words count as
-well. It is kept by source_id, like the passages, so that a change brings its own
-postings and names the sources whose earlier ones are gone.
+``packed(source_id, chunk_id, dl, terms, tfs)`` has a row for each passage, also for one
+without words. It is kept by source_id, like the passages, so that a change brings its own
+postings and names the sources whose earlier ones are gone. ``postings(source_id, chunk_id,
+term, tf, dl)`` are the same with a row for each term, and one with the empty term.
 
-``blocks`` are made from postings: passages of about one length are dealt to ranges of
+``blocks`` are made from packed postings: passages of about one length are dealt to ranges of
 about ``RANGE``, and a block is what a term has in a range: its passages as an array, the largest
-frequency, the least length and the largest saturation, sorted by term and range.
+frequency, the least length and the largest saturation, sorted by term and range within a file.
 For a question, the bounds of its terms' blocks add up to a bound of each range;
 ranges are read by their bounds, the highest first, and those whose bound is below
 the last score of the list so far are never read. Rare terms weigh most, so their
@@ -23,28 +23,63 @@ the store. An empty table has no postings and no scores."""
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from tessera.functions import text as T
-from tessera.operators.retrieval import idf, saturation, top
+from tessera.operators.retrieval import K1, B, idf, saturation, top
 
 RANGE = 32
+#: Words of a task that makes blocks, and blocks that it passes on at once.
+TASK, BATCH = 1 << 21, 1 << 15
 #: Ranges that are read first, and ranges whose numbers come to the driver.
 FIRST, LISTED = 64, 1024
 #: What rounding may take from a bound.
 NEARLY = 1.0 - 1e-9
 
 
+def _runs(words: Column) -> Column:
+    """The runs of equal words of a sorted array, as (first place, word)."""
+    begins = lambda w, i: F.when((i == 0) | (F.get(words, i - 1) != w), F.struct(i.alias("at"), w.alias("word")))
+    return F.filter(F.transform(words, begins), lambda r: r.isNotNull())
+
+
+def packed(chunks: DataFrame) -> DataFrame:
+    """(source_id, chunk_id, dl, terms, tfs): a row for each passage, counted within its row, so nothing is shuffled.
+
+    Terms are one text with spaces between, which takes half of an array's bytes in a shuffle."""
+    lower = F.lower("text")
+    plain = F.when(F.octet_length(lower) == F.length(lower), lower).otherwise(T.fold(lower))
+    words = F.sort_array(F.coalesce(T.tokens(plain), F.array().cast("array<string>")))
+
+    def counted(words: Column) -> Column:
+        lengths = lambda runs: F.transform(runs, lambda r, k: (F.coalesce(F.get(runs, k + 1)["at"], F.size(words)) - r["at"]).cast("int"))
+        return T.let(_runs(words), lambda runs: F.struct(F.size(words).cast("long").alias("dl"), F.array_join(F.transform(runs, lambda r: r["word"]), " ").alias("terms"), lengths(runs).alias("tfs")))
+
+    return chunks.select("source_id", "chunk_id", T.let(words, counted).alias("c")).select("source_id", "chunk_id", "c.dl", "c.terms", "c.tfs")
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """A row for each term of packed postings, and one with the empty term."""
+    # Without terms the text is empty, and its split is the empty term.
+    terms = F.when(F.col("terms") == "", F.array(F.lit(""))).otherwise(F.split(F.concat("terms", F.lit(" ")), " "))
+    pairs = F.arrays_zip(terms.alias("term"), F.array_append("tfs", F.lit(1)).alias("tf"))
+    split = rows.select("source_id", "chunk_id", "dl", F.inline(pairs))
+    return split.select("source_id", "chunk_id", "term", F.col("tf").cast("long").alias("tf"), "dl")
+
+
 def postings(chunks: DataFrame) -> DataFrame:
-    """The postings of ``chunks``: counted within each task first, as a passage's words are all in one."""
-    words = F.coalesce(T.tokens(T.fold(F.lower("text"))), F.array().cast("array<string>"))
-    split = chunks.select("source_id", "chunk_id", words.alias("words")).select("source_id", "chunk_id", F.size("words").cast("long").alias("dl"), F.explode(F.array_append("words", F.lit(""))).alias("term"))
-    counted = split.groupBy("source_id", "chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    return counted.select("source_id", "chunk_id", "term", "tf", "dl")
+    """The postings of ``chunks``, a row for each term of a passage."""
+    return unpacked(packed(chunks))
 
 
 def statistics(rows: DataFrame, bucket: str = "bucket") -> DataFrame:
@@ -53,31 +88,63 @@ def statistics(rows: DataFrame, bucket: str = "bucket") -> DataFrame:
 
 
 def totals(rows: DataFrame) -> DataFrame:
-    """One row (n, words) of postings: passages and their words."""
-    return rows.where("term = ''").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))
-
-
-def frequencies(rows: DataFrame) -> DataFrame:
-    """(term, df) of postings, sorted by term."""
-    counts = rows.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
-    return counts.repartitionByRange("term").sortWithinPartitions("term")
+    """One row (n, words) of packed postings: passages and their words."""
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words"))
 
 
 def blocks(rows: DataFrame, passages: int, words: int, size: int = RANGE) -> DataFrame:
-    """(term, range, n, most, least, largest, posts) of postings, sorted by term and range; ``passages`` and ``words`` are their totals.
+    """(term, range, n, most, least, largest, posts) of packed postings, each file sorted by term and range; ``passages`` and ``words`` are their totals.
 
     Passages of about one length are in one range, as the largest frequency and the least length then go together;
-    a length that many have is dealt to as many ranges as it needs."""
+    a length that many have is dealt to as many ranges as it needs. Passages are shuffled packed and by range, so a
+    task has its ranges whole and makes their blocks by itself, at about ``TASK`` words."""
     length = F.floor(F.log2(F.greatest(F.col("dl"), F.lit(1))) * 4).cast("long")
     # A row for each class of length: some hundred, whatever the number of passages.
-    classes = rows.where("term = ''").groupBy(length.alias("length")).agg(F.ceil(F.count("*") / size).alias("parts"))
-    spread = rows.where("term <> ''").withColumn("length", length).join(F.broadcast(classes), "length")
+    classes = rows.groupBy(length.alias("length")).agg(F.ceil(F.count("*") / size).alias("parts"))
+    spread = rows.withColumn("length", length).join(F.broadcast(classes), "length")
     number = F.col("length") * F.lit(1 << 40) + F.pmod(F.xxhash64("chunk_id"), F.col("parts"))
-    dealt = spread.withColumn("range", number).repartitionByRange("term", "range")
-    share = saturation(F.col("tf").cast("double"), F.col("dl"), F.lit(words / passages if passages else 1.0))
-    post = F.struct("chunk_id", "source_id", "tf", "dl")
-    made = dealt.groupBy("term", "range").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"), F.max(share).alias("largest"), F.collect_list(post).alias("posts"))
-    return made.sortWithinPartitions("term", "range")
+    dealt = spread.select(number.alias("range"), "chunk_id", "source_id", "dl", "terms", "tfs").repartition(math.ceil(words / TASK) or 1, "range")
+    posts = StructType([rows.schema["chunk_id"], rows.schema["source_id"], StructField("tf", LongType()), StructField("dl", LongType())])
+    schema = StructType([StructField("term", StringType()), *(StructField(n, LongType()) for n in ("range", "n", "most", "least")), StructField("largest", DoubleType()), StructField("posts", ArrayType(posts))])
+    return dealt.mapInArrow(_grouped(words / passages if passages else 1.0, to_arrow_schema(schema)), schema)
+
+
+def _grouped(avgdl: float, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The blocks of a task's packed postings, by term and range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [some for b in batches if (some := b.filter(pc.not_equal(b["terms"], ""))).num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks()
+        # Split into 64-bit offsets, as the terms of a task may be over 2 GB.
+        lists = pc.split_pattern(rows["terms"].combine_chunks().cast(pa.large_string()), " ")
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        term = lists.flatten().dictionary_encode()
+        order = pc.sort_indices(term.dictionary).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        ranges, within = np.unique(rows["range"].to_numpy(), return_inverse=True)
+        key = place[term.indices.to_numpy()] * len(ranges) + within[row]
+        sort = np.argsort(key, kind="stable")
+        key, row = key[sort], row[sort]
+        tf = rows["tfs"].combine_chunks().flatten().to_numpy().astype(np.int64)[sort]
+        dl = rows["dl"].to_numpy()[row]
+        at = np.flatnonzero(np.diff(key, prepend=-1))
+        share = tf * (K1 + 1) / (tf + K1 * ((1 - B) + B * dl / avgdl))
+        ends = np.append(at, len(key))
+        figures = [ranges[key[at] % len(ranges)], np.diff(ends), np.maximum.reduceat(tf, at), np.minimum.reduceat(dl, at), np.maximum.reduceat(share, at)]
+        for i in range(0, len(at), BATCH):
+            j = min(i + BATCH, len(at))
+            some = slice(ends[i], ends[j])
+            posts = [rows[c].combine_chunks().take(pa.array(row[some])) for c in ("chunk_id", "source_id")] + [pa.array(tf[some]), pa.array(dl[some])]
+            kind = schema.field("posts").type
+            held_ = pa.StructArray.from_arrays([p.cast(f.type) for p, f in zip(posts, kind.value_type, strict=True)], fields=list(kind.value_type))
+            lists_ = pa.ListArray.from_arrays(pa.array((ends[i : j + 1] - ends[i]).astype(np.int32)), held_, type=kind)
+            names = term.dictionary.take(pa.array(order[key[at[i:j]] // len(ranges)])).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([names, *(pa.array(f[i:j]) for f in figures), lists_], schema=schema)
+
+    return run
 
 
 def _times(terms: list[str]) -> dict[str, int]:
@@ -141,13 +208,12 @@ class Statistics:
 
 @dataclass
 class BlockIndex:
-    """Blocks with their terms' frequencies and totals, and what changed since: the postings put in, and the sources
-    whose postings in the blocks are gone. ``postings`` are those that the blocks were made of."""
+    """Blocks and their totals, and what changed since: the postings put in, and the sources
+    whose postings in the blocks are gone. ``passages`` are the packed postings that the blocks were made of."""
 
     blocks: DataFrame
-    terms: DataFrame
     totals: DataFrame
-    postings: DataFrame
+    passages: DataFrame
     put: DataFrame | None = None
     gone: DataFrame | None = None
     #: Postings in the blocks that the last question read.
@@ -159,21 +225,22 @@ class BlockIndex:
         return self.totals.first()
 
     def statistics(self, terms: list[str]) -> Statistics:
-        """Frequencies are looked up by term; what is gone is counted among the postings of these terms alone."""
+        """Frequencies are those of the terms' blocks; what is gone is counted in these, and by its passages' lengths."""
         distinct = list(dict.fromkeys(terms))
         whole = self.built
-        n, words, df = whole.n, whole.words, {r.term: r.df for r in self.terms.where(F.col("term").isin(*distinct)).collect()}
-        counted = []
+        n, words, df = whole.n, whole.words, {r.term: r.df for r in self._of(_times(terms)).groupBy("term").agg(F.sum("n").alias("df")).collect()}
         if self.gone is not None:
-            counted.append((-1, self.postings.join(self.gone, "source_id", "left_semi")))
+            lost = totals(self.passages.join(self.gone, "source_id", "left_semi")).first()
+            n, words = n - lost.n, words - lost.words
+            held = self._of(_times(terms)).select("term", F.inline("posts")).join(self.gone, "source_id", "left_semi")
+            for r in held.groupBy("term").agg(F.count("*").alias("n")).collect():
+                df[r.term] -= r.n
         if self.put is not None:
-            counted.append((1, self.put))
-        for sign, rows in counted:
-            for r in rows.where(F.col("term").isin("", *distinct)).groupBy("term").agg(F.count("*").alias("n"), F.sum("dl").alias("words")).collect():
+            for r in self.put.where(F.col("term").isin("", *distinct)).groupBy("term").agg(F.count("*").alias("n"), F.sum("dl").alias("words")).collect():
                 if r.term == "":
-                    n, words = n + sign * r.n, words + sign * r.words
+                    n, words = n + r.n, words + r.words
                 else:
-                    df[r.term] = df.get(r.term, 0) + sign * r.n
+                    df[r.term] = df.get(r.term, 0) + r.n
         return Statistics(n, words / n if n else 0.0, df)
 
     def _of(self, terms: dict[str, int]) -> DataFrame:

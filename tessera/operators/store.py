@@ -68,12 +68,16 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "id", immutable: tuple[str
     return both.select(*[pick(c).alias(c) for c in old.columns])
 
 
+def _without_repeats(rows: DataFrame, key: str | None) -> None:
+    if key and not rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        raise ValueError(f"repeated {key}")
+
+
 def replace_children(old: DataFrame, new: DataFrame, parents: DataFrame, parent_key: str, key: str | None) -> DataFrame:
     """``old`` without the children of ``parents`` (also where ``new`` has none) and with ``new``.
 
     Raises ValueError where ``new`` repeats a key; the old rows then stand."""
-    if key and not new.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        raise ValueError(f"repeated {key}")
+    _without_repeats(new, key)
     return old.join(parents.select(parent_key).distinct(), parent_key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
 
@@ -138,6 +142,8 @@ def touch(rows: DataFrame, row_id, now: Column, opened: bool, key: str = "id") -
 #: Buckets of a table to begin with, and the bytes of one beyond which the table is dealt to twice as many.
 BUCKETS = 8
 BUCKET_BYTES = 1 << 30
+#: Files in row groups of 16 MB, so that a file is several tasks' to read.
+WRITTEN = {"compression": "zstd", "parquet.block.size": 16 << 20}
 
 
 class Store:
@@ -334,31 +340,39 @@ class Change:
     def _plain(self, name: str, rows: DataFrame) -> str:
         """Rows written to a folder of their own."""
         version = f"{name}/{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.store.path}/{version}")
+        rows.write.options(**WRITTEN).parquet(f"{self.store.path}/{version}")
         return version
 
-    def _put(self, name: str, rows: DataFrame, bucket: Column | None, sort: tuple[str, ...] = ()) -> dict[str, str]:
-        """Writes rows to a new version; the folder of each bucket that has any."""
+    def _put(self, name: str, rows: DataFrame, bucket: Column | None, sort: tuple[str, ...] = (), dealt: bool = False) -> dict[str, str]:
+        """Writes rows to a new version; the folder of each bucket that has any. Rows that were ``dealt``, as read from another table's buckets, are not shuffled."""
         if bucket is None:
             return {"0": self._plain(name, rows)}
         version = f"{name}/{uuid.uuid4().hex}"
         # Rebalanced, so that a bucket with a third of all rows is more than one task's.
-        dealt = rows.withColumn("bucket", bucket).hint("rebalance", "bucket")
-        dealt = dealt.sortWithinPartitions("bucket", *sort) if sort else dealt
-        dealt.write.partitionBy("bucket").parquet(f"{self.store.path}/{version}")
+        placed = rows.withColumn("bucket", bucket)
+        placed = placed if dealt else placed.hint("rebalance", "bucket")
+        placed = placed.sortWithinPartitions("bucket", *sort) if sort else placed
+        placed.write.options(**WRITTEN).partitionBy("bucket").parquet(f"{self.store.path}/{version}")
         return {n[len("bucket=") :]: f"{version}/{n}" for n in self.store._names(version) if n.startswith("bucket=")}
 
-    def _add(self, name: str, put: DataFrame | None, gone: DataFrame | None) -> None:
-        """Rows and gone keys of a table with their number, which grows with each that the store has taken."""
+    def _add(self, name: str, put: DataFrame | None, gone: DataFrame | None, check: str | None = None, own: bool = False) -> DataFrame | None:
+        """Rows and gone keys of a table with their number, which grows with each that the store has taken; returns the rows as written.
+
+        ``check`` is a key that the rows may not repeat; with ``own`` the gone keys are those of the rows."""
         table = self._table(name)
-        number = self.manifest["operations"] = self.manifest.get("operations", 0) + 1
-        written = {"n": number}
+        number, rows = self.manifest.get("operations", 0) + 1, None
+        written, schema = {"n": number}, StructType.fromJson(table["schema"])
         if put is not None:
-            written["put"] = self._plain(name, put.select(*StructType.fromJson(table["schema"]).names).withColumn(CHANGE, F.lit(number).cast("long")))
+            written["put"] = self._plain(name, put.select(*schema.names).withColumn(CHANGE, F.lit(number).cast("long")))
+            rows = self.store._of(schema, [f"{self.store.path}/{written['put']}"])
+            _without_repeats(rows, check)
+            gone = rows if own else gone
+        self.manifest["operations"] = number
         if gone is not None:
             written["gone"] = self._plain(name, gone.select(table["key"]).distinct().withColumn(CHANGE, F.lit(number).cast("long")))
         table.setdefault("changes", []).append(written)
         self.touched.add(name)
+        return rows
 
     def follow(self, name: str) -> None:
         """From now on what an index was made of is folded with the index alone, which reads the changes since."""
@@ -383,12 +397,19 @@ class Change:
 
     def write(self, name: str, rows: DataFrame, key: str | None = None, sort: tuple[str, ...] = (), buckets: int | None = None, unique: bool = False) -> None:
         """The whole table anew, in as many buckets as its size needs."""
-        folders = self._put(name, rows, self.bucket(key, buckets) if key else None, sort)
+        self._take(name, self._whole(name, rows, key, sort, buckets, unique))
+
+    def _take(self, name: str, table: dict) -> None:
+        self.manifest["tables"][name] = table
+        self.touched.add(name)
+
+    def _whole(self, name: str, rows: DataFrame, key: str | None, sort: tuple[str, ...] = (), buckets: int | None = None, unique: bool = False, dealt: bool = False) -> dict:
+        """A table written, which the change hasn't taken yet."""
+        folders = self._put(name, rows, self.bucket(key, buckets) if key else None, sort, dealt)
         if key and (needed := self._needed(folders, buckets or self.manifest["buckets"])) > (buckets or self.manifest["buckets"]):
             buckets, again = needed, self.store._of(rows.schema, [f"{self.store.path}/{f}" for f in folders.values()])
             folders = self._put(name, again, self.bucket(key, buckets), sort)
-        self.manifest["tables"][name] = {"key": key, "sort": list(sort), "schema": rows.schema.jsonValue(), "folders": folders, "buckets": buckets, "unique": unique, "changes": [], "followed": bool(self.manifest["tables"].get(name, {}).get("followed"))}
-        self.touched.add(name)
+        return {"key": key, "sort": list(sort), "schema": rows.schema.jsonValue(), "folders": folders, "buckets": buckets, "unique": unique, "changes": [], "followed": bool(self.manifest["tables"].get(name, {}).get("followed"))}
 
     def upsert(self, name: str, new: DataFrame, key: str = "id", latest: str | None = None) -> None:
         """Rows put in by key; only they are written."""
@@ -405,15 +426,18 @@ class Change:
             raise ValueError(f"{name} is kept by {table['key']}, not by {key}")
         return table
 
-    def replace(self, name: str, new: DataFrame, parents: DataFrame, parent_key: str, key: str | None, sort: tuple[str, ...] = ()) -> None:
-        """The parents' children replaced by ``new`` in a table kept by ``parent_key``; ValueError where ``new`` repeats a key."""
-        if key and not new.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-            raise ValueError(f"repeated {key}")
+    def replace(self, name: str, new: DataFrame, parents: DataFrame | None, parent_key: str, key: str | None, sort: tuple[str, ...] = (), dealt: bool = False) -> DataFrame:
+        """The parents' children replaced by ``new`` in a table kept by ``parent_key``; ValueError where ``new`` repeats a key.
+
+        Without ``parents`` they are those of ``new``. Returns the new rows as written, so that ``new`` is computed once. ``dealt`` is as in ``_put``."""
         if not self.has(name):
-            self.write(name, new, parent_key, sort)
-            return
+            table = self._whole(name, new, parent_key, sort, dealt=dealt)
+            rows = self.store._base(table)
+            _without_repeats(rows, key)
+            self._take(name, table)
+            return rows
         self._keyed(name, parent_key)
-        self._add(name, new, parents)
+        return self._add(name, new, parents, key, parents is None)
 
     def delete(self, name: str, parents: DataFrame, parent_key: str) -> None:
         """The rows of the parents taken out of a table kept by ``parent_key``."""

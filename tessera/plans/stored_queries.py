@@ -45,17 +45,19 @@ def _forget_all() -> None:
             return
 
 
-def library(spark: SparkSession, sf_dir: str, purpose: str = "ask") -> Store:
-    """A store of every passage, with its vector where there is one, and its index."""
+def library(spark: SparkSession, sf_dir: str, purpose: str = "ask", index: bool = True) -> Store:
+    """A store of every passage, with its vector where there is one, and, unless it isn't asked for, its index."""
     key = (spark.sparkContext.applicationId, sf_dir, purpose)
     if key not in _made:
         store = Store(spark, scratch(spark))
-        _made[key] = store
-        rows = passages(spark, sf_dir).join(vectors(spark, sf_dir), "chunk_id", "left").withColumnRenamed("chunk_id", "id")
+        # Vectors are what is hashed, so that texts are not sorted for the join.
+        rows = passages(spark, sf_dir).join(vectors(spark, sf_dir).hint("shuffle_hash"), "chunk_id", "left").withColumnRenamed("chunk_id", "id")
         # Every passage is a source of its own where one is to be replaced by itself.
         rows = rows.withColumn("source_id", F.col("id").cast("string")) if purpose == "replace" else rows
         ingest.store_passages(store, rows)
-        ingest.build_index(store)
+        _made[key] = store
+    if index and not _made[key].has("posting_blocks"):
+        ingest.build_index(_made[key])
     return _made[key]
 
 
