@@ -43,17 +43,28 @@ def fnv1a(text: str) -> int:
     return h
 
 
-def fnv1a_many(texts: list[str]) -> np.ndarray:
-    """FNV-1a of many texts, a byte of each at a time."""
+def joined_bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The UTF-8 of texts one after another, and where each begins and how long it is."""
     raw = [t.encode() for t in texts]
     size = np.array([len(r) for r in raw], np.int64)
-    data, start = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size
+
+
+def fnv1a_from(h: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """FNV-1a hashes that went as far as ``h``, gone on with bytes of ``data``, a byte of each at a time."""
     order = np.argsort(-size, kind="stable")
-    h = np.full(len(raw), 0xCBF29CE484222325, np.uint64)
-    for i in range(int(size.max()) if len(size) else 0):
-        on = order[: np.searchsorted(-size[order], -i)]
-        h[on] = (h[on] ^ data[start[on] + i]) * np.uint64(0x100000001B3)
-    return h
+    h, at, longest = h[order], start[order], -size[order]
+    for i in range(int(-longest[0]) if len(h) else 0):
+        n = np.searchsorted(longest, -i)
+        h[:n] = (h[:n] ^ data[at[:n] + i]) * np.uint64(0x100000001B3)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
+def fnv1a_many(texts: list[str]) -> np.ndarray:
+    """FNV-1a of many texts."""
+    return fnv1a_from(np.full(len(texts), 0xCBF29CE484222325, np.uint64), *joined_bytes(texts))
 
 
 @F.pandas_udf(StringType())
