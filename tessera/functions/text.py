@@ -56,7 +56,9 @@ def stems(words: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     """A token for each CJK character, one for each four others, and one more; 0 for no text."""
-    other = F.length(F.regexp_replace(text, L.CJK_CLASS, ""))
+    # Most texts have no character from U+1100 on, where CJK begins, and are counted by that.
+    n = F.length(text)
+    other = F.when((F.octet_length(text) == n) | ~text.rlike("[\\x{1100}-\\x{10FFFF}]"), n).otherwise(F.length(F.regexp_replace(text, L.CJK_CLASS, "")))
     return F.when(F.length(text) == 0, F.lit(0)).otherwise(F.length(text) - other + F.ceil(other / F.lit(4.0)) + 1).cast("long")
 
 

@@ -58,7 +58,7 @@ def source_subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def store_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query with a named parameter over the tables of a store."""
-    return library(spark, sf_dir).sql(_STORE_SQL, {"least": 40})
+    return library(spark, sf_dir, index=False).sql(_STORE_SQL, {"least": 40})
 
 
 def event_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
