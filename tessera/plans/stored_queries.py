@@ -17,7 +17,7 @@ from tessera.operators import retrieval as R
 from tessera.operators.store import Store
 from tessera.plans import retrieval_queries as Q
 from tessera.plans import store_queries
-from tessera.plans.views import documents, lines, passages, vectors
+from tessera.plans.views import documents, lines, passages, passages_of, vectors
 
 _made: dict[tuple[str, str, str], Store] = {}
 _folders: list[tuple[SparkSession, str]] = []
@@ -93,9 +93,9 @@ def stored_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores after the texts of one language changed: a change beside the blocks, which stay as they are."""
     store = library(spark, sf_dir, "replace")
-    changed = passages(spark, sf_dir).join(documents(spark, sf_dir).where("lang = 'de'").select(F.col("doc_id").alias("chunk_id")), "chunk_id", "left_semi")
+    changed = passages_of(documents(spark, sf_dir).where("lang = 'de'"))
     new = changed.withColumnRenamed("chunk_id", "id").withColumn("text", F.concat("text", F.lit(" inand the inand"))).withColumn("source_id", F.col("id").cast("string"))
-    ingest.store_passages(store, new.join(store.read("chunks").select("id", "vector"), "id", "left"))
+    ingest.store_passages(store, new.join(store.read("chunks").where("vector is not null").select("id", "vector").hint("shuffle_hash"), "id", "left"))
     return ingest.index_of(store).scores(Q.TERMS).select("chunk_id", F.round("keyword", 6).alias("score"))
 
 

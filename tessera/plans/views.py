@@ -56,7 +56,10 @@ SOURCES_SQL = f"""sources AS (
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A passage for each document, its first line as heading."""
-    docs = documents(spark, sf_dir)
+    return passages_of(documents(spark, sf_dir))
+
+
+def passages_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_id"), "text", T.preview(F.substring_index("text", "\n", 1), 60).alias("heading"), T.token_estimate(F.col("text")).alias("token_count"))
 
 
