@@ -17,8 +17,8 @@ SLICE = 256
 def rows_of_texts(docs: DataFrame, fields: str, rows: Callable[[str], list[tuple]], id_col: str = "doc_id", text_col: str = "text", name: str = "doc_id") -> DataFrame:
     """(``name``, ``fields``...): the rows that ``rows`` makes of each text, with the text's id of whatever type.
 
-    Null texts count as empty. Of the columns only these two are read."""
-    kept = docs.select(F.col(id_col).alias(name), F.col(text_col).cast("string").alias("__text"))
+    Null texts count as empty; bytes that aren't UTF-8 become U+FFFD. Of the columns only these two are read."""
+    kept = docs.select(F.col(id_col).alias(name), F.make_valid_utf8(F.col(text_col).cast("string")).alias("__text"))
     schema = StructType([kept.schema[name], *StructType.fromDDL(fields)])
     kinds = to_arrow_schema(schema)
 
